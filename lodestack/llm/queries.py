@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.io import load
-from lodestack.llm import near_duplicates
+from lodestack.llm import near_duplicates, prompt_pairs, truncation
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,6 +18,23 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return raw.unionByName(runs)
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = prompt_pairs.defects(load(spark, folder, "workspace_chats"), "chat_id", "message", "textresponse")
+    return found.select(F.col("key").alias("chat_id"), "defect_type")
+
+
+def _cuts(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_values(load(spark, folder, "rfp_runs"), "run_id", "intake_source", ["requirements", "draft_proposal"])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cuts(spark, folder).filter("cut").select(F.col("key").alias("run_id"), F.col("field").alias("field_name")).distinct()
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_rates(_cuts(spark, folder)).withColumnsRenamed({"origin": "intake_source", "field": "field_name"})
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = near_duplicates.near_pairs(_texts(spark, folder), "record_key", "text", "table_name")
     return pairs.select(F.col("part").alias("table_name"), "first_key", "second_key")
@@ -29,7 +46,7 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_groups)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
