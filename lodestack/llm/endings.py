@@ -23,6 +23,7 @@ CLOSED = re.compile(r"[.!?。！？:;][\"'”’»)\]*_]*$|^[\[(*_-].*[\])*_-]$"
 URL = re.compile(r"(?:https?://|www\.)\S+$")
 FLUSH = 400_000
 MIN_SEEN, MIN_SHARE = 3, 0.08
+LINE, LINE_SHARE = 7, 0.8  # tokens of a short line; share of the lines beginning like it that are it
 
 
 def mask(token: str) -> str:
@@ -65,6 +66,15 @@ class Ending:
     word: str = ""
     item: bool = False
     style: str = ""
+    line: str = ""
+
+
+def opening(tokens: list[str]) -> list[str]:
+    """A line's tokens with numbers masked and without closing punctuation."""
+    end = len(tokens)
+    while end and not tokens[end - 1][0].isalnum():
+        end -= 1
+    return ["#" if t.isdigit() else t for t in tokens[:end]]
 
 
 def examine(text: str, short: int = 4) -> Ending:
@@ -99,20 +109,27 @@ def examine(text: str, short: int = 4) -> Ending:
     plain = [t for t in tokens if t[0].isalnum()]
     if len(plain) <= short and not tail:
         return Ending("complete")
+    if tokens and not tail and tokens[-1] in "}])\"'»”>*_":
+        return Ending("complete")
     if not tokens or not tokens[-1][0].isalnum():
         return Ending("complete" if tail == "..." and tokens and tokens[-1] in ".!?" else "cut")
+    if not tail and len(plain) > 1 and plain[-1].isdigit() and plain[-2].isdigit() and len(plain[-1] + plain[-2]) > 6:
+        return Ending("complete")  # a telephone number
     item = bool(ITEM.match(lines[-1]))
     style = ""
     if item:
         others = [x.rstrip() for x in lines[:-1] if ITEM.match(x)]
         style = "" if not others else "bare" if all(x[-1].isalnum() for x in others) else "stopped"
     words = tuple(t if not t[0].isalnum() else mask(t) for t in tokens[-3:])
-    return Ending("unsure", words, tokens[-1], item, style)
+    start = opening(TOKEN.findall(last))
+    line = " ".join(start) if len(start) <= LINE and sum(t[0].isalnum() for t in start) >= 3 else ""
+    return Ending("unsure", words, tokens[-1], item, style, line)
 
 
 def evidence(texts: DataFrame, column: str) -> DataFrame:
     """(gram, ends, bare, total) over all texts: how often masked word pairs and triples and plain words
-    occur before the end of a text, end a sentence or line, and end a line outside lists without a stop."""
+    occur before the end of a text, end a sentence or line, and end a line outside lists without a stop;
+    and how often lines begin with some words and hold nothing else."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends, bare, total = Counter(), Counter(), Counter()
@@ -123,6 +140,12 @@ def evidence(texts: DataFrame, column: str) -> DataFrame:
 
         for pdf in batches:
             for text in pdf["text"]:
+                for line in text.split("\n"):
+                    start = opening(TOKEN.findall(line)[: LINE + 4])
+                    for k in range(3, min(len(start), LINE) + 1):
+                        gram = "0 " + " ".join(start[:k])
+                        total[gram] += 1
+                        ends[gram] += len(start) == k
                 tokens = TOKEN.findall(text)
                 size = len(tokens)
                 masked = [mask(t) if t[0].isalnum() else t for t in tokens]
@@ -163,9 +186,9 @@ def evidence(texts: DataFrame, column: str) -> DataFrame:
 
 
 def decide(unsure: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``unsure`` (key columns, words array, word, item, style) with a column ``cut``.
+    """Rows of ``unsure`` (key columns, words array, word, item, style, line) with a column ``cut``.
 
-    The longest words with MIN_SEEN occurrences decide: outside lists they must end lines without
+    A short line that many texts have as it is, is complete.  Else the longest words with MIN_SEEN occurrences decide: outside lists they must end lines without
     a stop in MIN_SHARE of the cases, in lists end sentences or lines.  A last word that no text
     has elsewhere, or a bare item among items with stops, is cut.
     """
@@ -173,6 +196,7 @@ def decide(unsure: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
         *key,
         F.explode(
             F.array(
+                F.struct(F.lit(0).alias("n"), F.concat(F.lit("0 "), "line").alias("gram")),
                 F.struct(F.lit(1).alias("n"), F.concat(F.lit("1 "), "word").alias("gram")),
                 F.struct(F.lit(2).alias("n"), F.concat(F.lit("2 "), F.array_join(F.slice("words", -2, 2), " ")).alias("gram")),
                 F.struct(F.lit(3).alias("n"), F.concat(F.lit("3 "), F.array_join("words", " ")).alias("gram")),
@@ -182,7 +206,7 @@ def decide(unsure: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
     found = (
         keys.join(seen, "gram", "left")
         .groupBy(*key)
-        .agg(*(F.max(F.when(F.col("n") == n, F.coalesce(c, F.lit(0)))).alias(f"{c}{n}") for n in (1, 2, 3) for c in ("total", "ends", "bare")))
+        .agg(*(F.max(F.when(F.col("n") == n, F.coalesce(c, F.lit(0)))).alias(f"{c}{n}") for n in (0, 1, 2, 3) for c in ("total", "ends", "bare")))
     )
 
     def share(n: int):
@@ -191,7 +215,8 @@ def decide(unsure: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
 
     digits = F.col("word").rlike("[0-9]")
     cut = (
-        F.when(F.col("item") & (F.col("style") == "stopped"), True)
+        F.when((F.col("line") != "") & (F.col("total0") >= MIN_SEEN) & (F.col("ends0") / F.col("total0") >= LINE_SHARE), False)
+        .when(F.col("item") & (F.col("style") == "stopped"), True)
         .when(~digits & (F.col("total1") == 0), True)
         .when(F.col("total3") >= MIN_SEEN, share(3))
         .when(F.col("total2") >= MIN_SEEN, share(2))

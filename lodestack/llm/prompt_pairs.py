@@ -36,6 +36,7 @@ REFUSAL = re.compile(
     re.I | re.X | re.S,
 )
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
+ROW = re.compile(r"^\s*\|.*$", re.M)
 QUOTE = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»")
 JSON_KEY = re.compile(r'"[^"\\]{1,40}"\s*:')
 # Words of short lead-ins before a repeated message.
@@ -85,7 +86,7 @@ def is_copy(message: str, shown: str) -> bool:
 
 def is_other_language(message: str, shown: str) -> bool:
     """The answer's language is neither the message's nor one the message asks for."""
-    text = JSON_KEY.sub(" ", shown) if shown[:1] in "{[" else QUOTE.sub(" ", re.sub(r"```.*?(?:```|\Z)", " ", shown, flags=re.S))
+    text = JSON_KEY.sub(" ", shown) if shown[:1] in "{[" else QUOTE.sub(" ", ROW.sub(" ", re.sub(r"```.*?(?:```|\Z)", " ", shown, flags=re.S)))
     said, asked = language.detect(text), language.detect(message)
     return bool(said and asked and said != asked and said not in language.requested(message))
 
@@ -106,25 +107,25 @@ def defects(df: DataFrame, key: str, message: str, answer: str) -> DataFrame:
                 said, asked = said or "", asked or ""
                 shown = visible(said)
                 if is_empty(shown):
-                    out.append((k, "empty_answer", None, None, None, None, 0))
+                    out.append((k, "empty_answer", *[None] * 5, 0))
                     continue
                 if asked.strip() and is_copy(asked, shown):
-                    out.append((k, "copies_question", None, None, None, None, 0))
+                    out.append((k, "copies_question", *[None] * 5, 0))
                     if asked.strip() and is_other_language(asked, shown):
-                        out.append((k, "other_language", None, None, None, None, 0))
+                        out.append((k, "other_language", *[None] * 5, 0))
                     continue
                 if is_refusal(shown):
-                    out.append((k, "refusal", None, None, None, None, 0))
+                    out.append((k, "refusal", *[None] * 5, 0))
                 if asked.strip() and is_other_language(asked, shown):
-                    out.append((k, "other_language", None, None, None, None, 0))
+                    out.append((k, "other_language", *[None] * 5, 0))
                 end = endings.examine(shown)
                 if end.state == "cut":
-                    out.append((k, "truncated", None, None, None, None, 0))
+                    out.append((k, "truncated", *[None] * 5, 0))
                 elif end.state == "unsure":
-                    out.append((k, None, list(end.words), end.word, end.item, end.style, len(said)))
-            yield pd.DataFrame(out, columns=["key", "defect_type", "words", "word", "item", "style", "length"])
+                    out.append((k, None, list(end.words), end.word, end.item, end.style, end.line, len(said)))
+            yield pd.DataFrame(out, columns=["key", "defect_type", "words", "word", "item", "style", "line", "length"])
 
-    judged = pairs.mapInPandas(judge, f"key {kind}, defect_type string, words array<string>, word string, item boolean, style string, length int")
+    judged = pairs.mapInPandas(judge, f"key {kind}, defect_type string, words array<string>, word string, item boolean, style string, line string, length int")
     unsure = judged.filter("defect_type is null").drop("defect_type")
     cut = endings.decide(unsure, endings.evidence(pairs, "answer"), ["key"])
     limits = significant_lengths(pairs.filter(F.length("answer") >= LENGTH_FROM).select(F.lit("").alias("source"), F.length("answer").alias("length")))

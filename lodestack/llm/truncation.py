@@ -71,12 +71,12 @@ def cut_values(df: DataFrame, key: str, source: str, fields: list[str]) -> DataF
                 {
                     "key": pdf["key"], "field": pdf["field"], "origin": pdf["origin"],
                     "state": [e.state for e in ends], "words": [list(e.words) for e in ends], "word": [e.word for e in ends],
-                    "item": [e.item for e in ends], "style": [e.style for e in ends],
+                    "item": [e.item for e in ends], "style": [e.style for e in ends], "line": [e.line for e in ends],
                     "chars": [len(v) for v in pdf["value"]], "bytes": [len(v.encode("utf-8", "replace")) for v in pdf["value"]],
                 }
             )
 
-    seen = values.mapInPandas(look, f"key {kind}, field string, origin string, state string, words array<string>, word string, item boolean, style string, chars int, bytes int")
+    seen = values.mapInPandas(look, f"key {kind}, field string, origin string, state string, words array<string>, word string, item boolean, style string, line string, chars int, bytes int")
     units = F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))
     name = F.concat_ws("\t", F.coalesce("origin", F.lit("\0")), "field", "u.unit")
     lengths = seen.filter("chars > 0").withColumn("u", F.explode(units)).select(name.alias("source"), "u.length")
