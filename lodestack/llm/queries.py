@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.io import load
-from lodestack.llm import near_duplicates, prompt_pairs, truncation
+from lodestack.llm import leaks, near_duplicates, prompt_pairs, segments, truncation
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,9 +45,46 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("part").alias("table_name"), F.col("key").alias("record_key"), "group_id", "links")
 
 
+def _pieces(spark: SparkSession, folder: str, distinct: bool) -> DataFrame:
+    return segments.pieces(load(spark, folder, "raw_documents"), "raw_id", "textcontent", "embed_profile", load(spark, folder, "size_limits"), distinct=distinct)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, False).filter("pieces > 1 and piece = 0").select(F.col("key").alias("raw_id")).distinct()
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, True).select(F.col("key").alias("raw_id"), "piece", "start", "end", "pieces", F.col("text").alias("piece_text"))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "eval_items"), "item_id", "item_text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.sum("windows").alias("windows"))
+
+
+def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    clean = leaks.remove_leaks(docs, "doc_id", "text", load(spark, folder, "eval_items"), "item_id", "item_text")
+    return clean.select("doc_id", F.length("text").alias("n_chars_left"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_leaked_items, p7_cleaned)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": """
+            select distinct r.raw_id from raw_documents r
+            join size_limits d on d.profile = 'default' and d.applies_to = 'textcontent'
+            left join size_limits s on s.profile = r.embed_profile and s.applies_to = 'textcontent'
+            where length(r.textcontent) > coalesce(s.max_size, d.max_size)
+        """,
+    }
