@@ -147,6 +147,23 @@ def spans(text: str, grams: Grams) -> list[tuple[int, int]]:
     return out
 
 
+def _cutter(shared, mode: str):
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if t is None or not shared.value.hits(words(t)):
+                return t
+            if mode == "documents":
+                return "\0"
+            for start, end in reversed(spans(t, shared.value)):
+                t = t[:start] + t[end:]
+            return t
+
+        return texts.map(one)
+
+    return cut
+
+
 def remove_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int = 8, mode: str = "spans") -> DataFrame:
     """``docs`` without leaked passages: mode ``spans`` cuts them out of the text column, ``documents`` drops the rows.
 
@@ -156,19 +173,7 @@ def remove_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_ke
     for grams in _blocks(items, item_key, item_text, n):
         shared = docs.sparkSession.sparkContext.broadcast(grams)
 
-        @F.pandas_udf("string")
-        def cut(texts: pd.Series, shared=shared) -> pd.Series:
-            def one(t):
-                if t is None or not shared.value.hits(words(t)):
-                    return t
-                if mode == "documents":
-                    return "\0"
-                for start, end in reversed(spans(t, shared.value)):
-                    t = t[:start] + t[end:]
-                return t
-
-            return texts.map(one)
-
+        cut = _cutter(shared, mode)
         kept = kept.withColumn(text, cut(F.col(text)))
         if mode == "documents":
             kept = kept.filter(F.col(text).isNull() | (F.col(text) != "\0"))
