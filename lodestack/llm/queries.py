@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.io import load
-from lodestack.llm import leaks, near_duplicates, prompt_pairs, segments, truncation
+from lodestack.llm import leaks, near_duplicates, prompt_pairs, segments, subjects, truncation
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,8 +75,24 @@ def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return clean.select("doc_id", F.length("text").alias("n_chars_left"))
 
 
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    areas = sorted(r.subject_area for r in load(spark, folder, "subject_areas").select("subject_area").collect())  # eight rows
+    return subjects.subjects(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "subject_labels"), "doc_id", "subject_area", areas)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select(F.col("key").alias("doc_id"), F.col("area").alias("subject_area"))
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each subject area by source and lang."""
+    docs = load(spark, folder, "documents").select("doc_id", "source", "lang")
+    found = _subjects(spark, folder).withColumnRenamed("key", "doc_id")
+    return found.join(docs, "doc_id").groupBy(F.col("area").alias("subject_area"), "source", "lang").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_leaked_items, p7_cleaned)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_leaked_items, p7_cleaned, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
