@@ -31,7 +31,7 @@ FIRST, SECOND, RATE = 16, 8, 0.3
 SAMPLE = 6000  # labelled documents at most
 PARTS = 6  # partitions of the sample
 PLAIN, SURE = 0.4, 0.85  # least probability of a sentence's subject with and without a label of its document when labelled anew
-TREATS = 0.6  # least probability of a subject that a sentence treats
+TREATS = 0.5  # least probability of a subject that a sentence treats
 SHARE = 0.25  # of the sentences that treat any subject
 KNOWN = 400_000  # distinct words a task remembers
 
@@ -228,7 +228,7 @@ def fit(labelled: DataFrame, areas: list[str]) -> Model:
                     yield pd.DataFrame({"e": [e.astype(np.float32).tobytes()], "w": [w.astype(np.float64).tobytes()], "b": [b.astype(np.float64).tobytes()], "loss": [loss], "n": [n]})
 
         sums = packed.mapInPandas(add, "e binary, w binary, b binary, loss double, n long").collect()  # at most PARTS rows
-        shared.unpersist()
+        shared.destroy()
         n = sum(r.n for r in sums)
         if not n:
             model.bias[:] = -20
