@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestack.llm import words as W
 from lodestack.session import cut
 
-BUCKETS, DIM = 1 << 16, 12
+BUCKETS, DIM = 1 << 15, 12
 RUNS = (3, 4, 5)  # lengths of the character runs
 FIRST, SECOND, RATE = 16, 8, 0.3
 SAMPLE = 6000  # labelled documents at most
