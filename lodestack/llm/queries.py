@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.io import load
-from lodestack.llm import leaks, near_duplicates, prompt_pairs, segments, subjects, truncation
+from lodestack.llm import leaks, near_duplicates, personal, prompt_pairs, segments, subjects, truncation
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +57,15 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder, True).select(F.col("key").alias("raw_id"), "piece", "start", "end", "pieces", F.col("text").alias("piece_text"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.findings(_texts(spark, folder), "record_key", "text", "table_name")
+    return found.select(F.col("part").alias("table_name"), F.col("key").alias("record_key"), "pii_type", "start_pos").distinct()
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.redacted(_texts(spark, folder).distinct(), "text")
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "eval_items"), "item_id", "item_text")
 
@@ -92,7 +101,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p7_found, p7_leaked_items, p7_cleaned, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_redacted, p7_found, p7_leaked_items, p7_cleaned, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
