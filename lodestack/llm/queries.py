@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.io import load
-from lodestack.llm import leaks, near_duplicates, personal, prompt_pairs, segments, subjects, truncation
+from lodestack.llm import leaks, near_duplicates, packing, personal, prompt_pairs, segments, subjects, truncation
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +66,18 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redacted(_texts(spark, folder).distinct(), "text")
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_profiles(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "size_limits"), ["pack_train", "pack_eval"])
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).select("profile", "container", F.col("key").alias("doc_id"), "piece", "token_start", "tokens")
+
+
+def p6_usage(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.usage(_packed(spark, folder), load(spark, folder, "size_limits"))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "eval_items"), "item_id", "item_text")
 
@@ -101,7 +113,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_redacted, p7_found, p7_leaked_items, p7_cleaned, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_redacted, p6_containers, p6_usage, p7_found, p7_leaked_items, p7_cleaned, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
