@@ -57,7 +57,7 @@ HOST = re.compile(rf"[^\W_][\w-]*(?:{DOT}[^\W_][\w-]*)+", re.I)
 DIGITS = re.compile(r"(?<![\w.,/#@-])(?<!\d:)(?:\+[ ]?|\(\+?)?\d(?:[\d  (). /-]{4,22}\d)(?![\w]|[.,/-]\d)(?:[ ]?(?:ext|x|poste|app|durchwahl)\.?[ ]?\d{1,5})?", re.I)
 PHONE_SHAPES = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d[\d .-]{5,14}\d|00\d{2}[\d .-]{7,14}|\(0?\d{2,4}\)[ ]?\d{3,4}[ -]?\d{3,4}|1[ -.]\d{3}[ -.]\d{3}[ -.]\d{4}|\d{3}[-. ]\d{3}[-. ]\d{4}|0\d{2,4}/\d{4,6}(?:[ -]\d{2,4})?|0\d(?:[ .-]?\d\d){4}|0\d{3}[ -]\d{2}[ -]\d{4}|0\d{4}[ -]?\d{3}[ -]?\d{3}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}|0\d{9,10}")
 IDS = re.compile(
-    r"(?<![\w-])(?:(?P<nino>[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])|(?P<pass>[A-Z]{1,2}\d{7,8})|(?P<dni>\d{8}-? ?[A-Z])|(?P<nie>[XYZ]-?\d{7}-?[A-Z])|(?P<nir>[1-478] ?\d\d ?(?:0\d|1[0-2]|[2-9]\d) ?\d[\dAB] ?\d{3} ?\d{3}(?: ?\d\d)?)|(?P<ssn>\d{3}(?P<sep>[- ])\d\d(?P=sep)\d{4})|(?P<perso>[CFGHJKLMNPRTVWXYZ0-9]{8,9}\d(?:D)?))(?![\w]|-\d)"
+    r"(?<![\w-])(?:(?P<nino>[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])|(?P<pass>[A-Z]{1,2}\d{7,8})|(?P<dni>\d{8}-? ?[A-ZÑ])|(?P<nie>[XYZ]-?\d{7}-?[A-Z])|(?P<nir>[1-478] ?\d\d ?(?:0\d|1[0-2]|[2-9]\d) ?\d[\dAB] ?\d{3} ?\d{3}(?: ?\d\d)?)|(?P<ssn>\d{3}(?P<sep>[- ])\d\d(?P=sep)\d{4})|(?P<perso>[CFGHJKLMNPRTVWXYZ0-9]{8,9}\d(?:D)?))(?![\w]|-\d)"
 )
 NUMBER_STREET = re.compile(rf"(?<![\w.,/:-])\d{{1,5}} ?[A-Za-z]?,? (?:[A-ZÀ-Þ][\w'’.-]*[ ]){{1,3}}(?i:{NUMBERED})\b\.?|(?<![\w.,/:-])\d{{1,5}}(?: ?(?i:bis|ter|quater|[A-Z]))?,? (?i:{ROAD_FR}) [^\d,;\n|/]{{3,40}}")
 STREET_NUMBER = re.compile(rf"(?<![\w-])(?:[A-ZÄÖÜ][\w-]*(?:[ -][A-ZÄÖÜ][\w-]*)?[ -]?(?i:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer|steig|chaussee|graben)|(?i:{ROAD_ES}) [^\d\n;|]{{2,40}}?,?) ?(?:n[.º°o]{{1,2}} ?)?\d{{1,4}}(?: ?[a-z])?\b")
