@@ -95,43 +95,43 @@ def defects(df: DataFrame, key: str, message: str, answer: str) -> DataFrame:
     """(key, defect_type), one row per pair and defect: empty_answer, truncated, refusal, copies_question, other_language.
 
     A repeated (key, message, answer) counts once.  A null answer is empty; a null message can make
-    an answer neither a copy nor of another language.  Rows with a null key keep a null key.
+    an answer neither a copy nor of another language.  Rows with a null key have no result.
     """
-    pairs = df.select(F.col(key).alias("key"), F.col(message).alias("message"), F.col(answer).alias("answer")).distinct()
+    pairs = df.select(F.col(key).alias("key"), F.col(message).alias("message"), F.col(answer).alias("answer")).filter("key is not null").distinct().withColumn("mark", F.xxhash64("message", "answer"))
     kind = df.schema[key].dataType.simpleString()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k, asked, said in zip(pdf["key"], pdf["message"], pdf["answer"], strict=True):
+            for k, mark, asked, said in zip(pdf["key"], pdf["mark"], pdf["message"], pdf["answer"], strict=True):
                 said, asked = said or "", asked or ""
                 shown = visible(said)
                 if is_empty(shown):
-                    out.append((k, "empty_answer", *[None] * 5, 0))
+                    out.append((k, mark, "empty_answer", *[None] * 5, 0))
                     continue
                 if asked.strip() and is_copy(asked, shown):
-                    out.append((k, "copies_question", *[None] * 5, 0))
+                    out.append((k, mark, "copies_question", *[None] * 5, 0))
                     if asked.strip() and is_other_language(asked, shown):
-                        out.append((k, "other_language", *[None] * 5, 0))
+                        out.append((k, mark, "other_language", *[None] * 5, 0))
                     continue
                 if is_refusal(shown):
-                    out.append((k, "refusal", *[None] * 5, 0))
+                    out.append((k, mark, "refusal", *[None] * 5, 0))
                 if asked.strip() and is_other_language(asked, shown):
-                    out.append((k, "other_language", *[None] * 5, 0))
+                    out.append((k, mark, "other_language", *[None] * 5, 0))
                 end = endings.examine(shown)
                 if end.state == "cut":
-                    out.append((k, "truncated", *[None] * 5, 0))
+                    out.append((k, mark, "truncated", *[None] * 5, 0))
                 elif end.state == "unsure":
-                    out.append((k, None, list(end.words), end.word, end.item, end.style, end.line, len(said)))
-            yield pd.DataFrame(out, columns=["key", "defect_type", "words", "word", "item", "style", "line", "length"])
+                    out.append((k, mark, None, list(end.words), end.word, end.item, end.style, end.line, len(said)))
+            yield pd.DataFrame(out, columns=["key", "mark", "defect_type", "words", "word", "item", "style", "line", "length"])
 
-    judged = pairs.mapInPandas(judge, f"key {kind}, defect_type string, words array<string>, word string, item boolean, style string, line string, length int")
+    judged = pairs.mapInPandas(judge, f"key {kind}, mark long, defect_type string, words array<string>, word string, item boolean, style string, line string, length int")
     unsure = judged.filter("defect_type is null").drop("defect_type")
-    cut = endings.decide(unsure, endings.evidence(pairs, "answer"), ["key"])
+    cut = endings.decide(unsure, endings.evidence(pairs, "answer"), ["key", "mark"])
     limits = significant_lengths(pairs.filter(F.length("answer") >= LENGTH_FROM).select(F.lit("").alias("source"), F.length("answer").alias("length")))
     cut = cut.join(F.broadcast(limits.select("length").distinct().withColumn("limit", F.lit(True))), "length", "left")
     truncated = cut.filter("cut or limit").select("key", F.lit("truncated").alias("defect_type"))
-    shortened = shortened_versions(pairs).join(unsure.select("key"), "key", "left_semi").select("key", F.lit("truncated").alias("defect_type"))
+    shortened = shortened_versions(pairs).join(unsure.select("key", "mark"), ["key", "mark"], "left_semi").select("key", F.lit("truncated").alias("defect_type"))
     return judged.filter("defect_type is not null").select("key", "defect_type").unionByName(truncated).unionByName(shortened).distinct()
 
 
@@ -141,4 +141,4 @@ def shortened_versions(pairs: DataFrame) -> DataFrame:
     order = Window.partitionBy("head").orderBy("answer")
     texts = long.select("answer").distinct().withColumn("head", F.substring("answer", 1, LENGTH_FROM)).withColumn("next", F.lead("answer").over(order))
     short = texts.filter(F.expr("startswith(next, answer)")).select("answer")
-    return long.join(short, "answer", "left_semi").select("key")
+    return long.join(short, "answer", "left_semi").select("key", "mark")

@@ -51,13 +51,14 @@ def _values(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFram
     """(key, field, origin, value), each delivered value once."""
     cells = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("origin"), F.explode(cells).alias("cell"))
-    return rows.select("key", "origin", "cell.field", "cell.value").filter("value is not null").distinct()
+    values = rows.select("key", "origin", "cell.field", "cell.value").filter("key is not null and value is not null").distinct()
+    return values.withColumn("mark", F.xxhash64("value"))
 
 
 def cut_values(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
     """(key, field, origin, cut, at_limit) for every value of the fields that is not null.
 
-    Empty values are complete.  Null sources are one source.  A value is cut where its structure or
+    Empty values are complete; null keys and values have no row.  Null sources are one source.  A value is cut where its structure or
     its last words show it, or where it is unfinished at a length (characters or bytes) that the
     source cuts at.  Repeated rows count once.
     """
@@ -69,19 +70,19 @@ def cut_values(df: DataFrame, key: str, source: str, fields: list[str]) -> DataF
             ends = [endings.examine(v) for v in pdf["value"]]
             yield pd.DataFrame(
                 {
-                    "key": pdf["key"], "field": pdf["field"], "origin": pdf["origin"],
+                    "key": pdf["key"], "mark": pdf["mark"], "field": pdf["field"], "origin": pdf["origin"],
                     "state": [e.state for e in ends], "words": [list(e.words) for e in ends], "word": [e.word for e in ends],
                     "item": [e.item for e in ends], "style": [e.style for e in ends], "line": [e.line for e in ends],
                     "chars": [len(v) for v in pdf["value"]], "bytes": [len(v.encode("utf-8", "replace")) for v in pdf["value"]],
                 }
             )
 
-    seen = values.mapInPandas(look, f"key {kind}, field string, origin string, state string, words array<string>, word string, item boolean, style string, line string, chars int, bytes int")
+    seen = values.mapInPandas(look, f"key {kind}, mark long, field string, origin string, state string, words array<string>, word string, item boolean, style string, line string, chars int, bytes int")
     units = F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))
     name = F.concat_ws("\t", F.coalesce("origin", F.lit("\0")), "field", "u.unit")
     lengths = seen.filter("chars > 0").withColumn("u", F.explode(units)).select(name.alias("source"), "u.length")
     limits = F.broadcast(significant_lengths(lengths).select("source", "length"))
-    ids = ["key", "field"]
+    ids = ["key", "field", "mark"]
     judged = endings.decide(seen.filter("state = 'unsure'"), endings.evidence(values, "value"), ids).select(*ids, "origin", "cut")
     here = seen.withColumn("u", F.explode(units)).withColumn("source", name).select(*ids, "origin", "state", "source", F.col("u.length").alias("length"))
     limit = here.join(limits, ["source", "length"], "left_semi").select(*ids, "origin").distinct().withColumn("at_limit", F.lit(True))
@@ -89,7 +90,7 @@ def cut_values(df: DataFrame, key: str, source: str, fields: list[str]) -> DataF
     merged = seen.select(*ids, "origin", "state").alias("a").join(judged.alias("b"), same, "left").select("a.*", "b.cut")
     merged = merged.alias("a").join(limit.alias("b"), same, "left").select("a.*", F.coalesce("b.at_limit", F.lit(False)).alias("at_limit"))
     cut = (F.col("state") == "cut") | ((F.col("state") == "unsure") & (F.coalesce("cut", F.lit(False)) | F.col("at_limit")))
-    return merged.select(*ids, "origin", cut.alias("cut"), "at_limit").distinct()
+    return merged.select("key", "field", "origin", cut.alias("cut"), "at_limit").distinct()
 
 
 def cut_rates(cuts: DataFrame) -> DataFrame:
