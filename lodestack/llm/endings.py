@@ -34,7 +34,7 @@ def mask(token: str) -> str:
 
 def json_state(text: str) -> str | None:
     """``closed`` or ``open`` for a text that holds a JSON value from its first bracket on, else None."""
-    start = re.match(r"(?:[^{}\[\]\n]{0,80}\n)?\s*(?:```\w*\s*)?(?=[{\[]\s*[\"{\[\]}\d-])", text)
+    start = re.match(r"(?:[^{}\[\]\n]{0,80}\n)?\s*(?:```\w*\s*)?(?=[{\[]\s*(?:[\"{\[\]}\d-]|$))", text)
     if not start:
         return None
     depth, quoted, escaped = 0, False, False
