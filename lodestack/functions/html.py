@@ -107,7 +107,7 @@ def to_markdown(html: str, base: str = "") -> str:
     builder.close()
     text = re.sub(r"\[(?:\d+|edit|citation needed)\]", "", "".join(builder.out))
     text = re.sub(r"[ \t]+\n", "\n", text)
-    return re.sub(r"\n{4,}", "\n\n\n", re.sub(r"\n[ \t]+(?=\n)", "\n", text)).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ \t]+(?=\n)", "\n", text)).strip()
 
 
 def html_to_markdown(column: str) -> Column:
