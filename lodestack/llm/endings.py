@@ -8,30 +8,31 @@ texts: words that sentences never end with, or a word no other text has, show a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm import words as W
+from lodestack.llm.language import FUNCTION_WORDS
+
 TOKEN = re.compile(r"https?://\S+|[^\W_]+(?:[’'-][^\W_]+)*|\n|[^\w\s]")
 ITEM = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+")
 ADDED = re.compile(r"(?:\s|…|\ufffd|<!--[^<>]*-->|\[(?:\.\.\.|…|[^\[\]\n]{0,20}\b(?:truncat|cut|tronqu|abgeschnitten)[^\[\]\n]{0,30})\]|\((?:\.\.\.|…)\))+$", re.I)
 CLOSED = re.compile(r"[.!?。！？:;][\"'”’»)\]*_]*$|^[\[(*_-].*[\])*_-]$")
 URL = re.compile(r"(?:https?://|www\.)\S+$")
-FLUSH = 400_000
-MIN_SEEN, MIN_SHARE = 3, 0.08
+FLUSH = 4_000_000
+FILTER_BITS, CHUNKS = 24, 32
+FRAME, FRAME_SHARE, WORD_SHARE = 60, 0.3, 0.02  # words of a sentence frame; least shares of a list item's frame and last word that end
+STOPS, DOTS, BULLETS, MARKS = (np.array([ord(c) for c in x], np.uint32) for x in (".!?。！？", ".)", "-*•+", ",;:"))
+_tables: dict[str, np.ndarray] = {}
+MIN_SEEN, MIN_SHARE, PRIOR = 3, 0.08, 6  # occurrences; share of them that end; weight of the shorter words' share
 LINE, LINE_SHARE = 7, 0.8  # tokens of a short line; share of the lines beginning like it that are it
 
 
-def mask(token: str) -> str:
-    if token[0].isdigit() or (len(token) > 1 and any(c.isdigit() for c in token)):
-        return "#"
-    return "X" if token[0].isupper() else token
-
-
 def json_state(text: str) -> str | None:
     """``closed`` or ``open`` for a text that holds a JSON value from its first bracket on, else None."""
     start = re.match(r"(?:[^{}\[\]\n]{0,80}\n)?\s*(?:```\w*\s*)?(?=[{\[]\s*(?:[\"{\[\]}\d-]|$))", text)
@@ -59,22 +60,12 @@ def json_state(text: str) -> str | None:
 
 @dataclass
 class Ending:
-    """state: complete, cut or unsure; words: the last masked words; word: the last word; item: in a list; style: how other items end."""
+    """state: complete, cut or unsure; core: the text without what was added after it; item: in a list; style: how other items end."""
 
     state: str
-    words: tuple[str, ...] = ()
-    word: str = ""
+    core: str = ""
     item: bool = False
     style: str = ""
-    line: str = ""
-
-
-def opening(tokens: list[str]) -> list[str]:
-    """A line's tokens with numbers masked and without closing punctuation."""
-    end = len(tokens)
-    while end and not tokens[end - 1][0].isalnum():
-        end -= 1
-    return ["#" if t.isdigit() else t for t in tokens[:end]]
 
 
 def examine(text: str, short: int = 4) -> Ending:
@@ -120,106 +111,213 @@ def examine(text: str, short: int = 4) -> Ending:
     if item:
         others = [x.rstrip() for x in lines[:-1] if ITEM.match(x)]
         style = "" if not others else "bare" if all(x[-1].isalnum() for x in others) else "stopped"
-    words = tuple(t if not t[0].isalnum() else mask(t) for t in tokens[-3:])
-    start = opening(TOKEN.findall(last))
-    line = " ".join(start) if len(start) <= LINE and sum(t[0].isalnum() for t in start) >= 3 else ""
-    return Ending("unsure", words, tokens[-1], item, style, line)
+    return Ending("unsure", core, item, style)
+
+
+def _table(name: str, test) -> np.ndarray:
+    if name not in _tables:
+        _tables[name] = np.fromiter((test(chr(i)) for i in range(0x10000)), dtype=bool, count=0x10000)
+    return _tables[name]
+
+
+def _at(table: np.ndarray, cps: np.ndarray) -> np.ndarray:
+    return table[np.minimum(cps, 0xFFFF)]
+
+
+class Words:
+    """The words of a batch of texts with what the evidence needs of them, as arrays."""
+
+    def __init__(self, texts: list[str]):
+        joined = "\0".join(texts)
+        raw, self.owner, start = W.scan(texts)
+        cps = np.append(W.code_points(joined), np.zeros(3, np.uint32))
+        size = len(start)
+        word = W.is_word_char(cps)
+        stops = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+        end = stops[np.searchsorted(stops, start, side="right")] if size else start
+        digit = np.add.reduceat(np.append(_at(_table("digit", str.isdigit), cps[:-1]), False).astype(np.int32), np.ravel(np.column_stack((start, end))))[::2] > 0 if size else np.empty(0, bool)
+        upper = _at(_table("upper", str.isupper), cps[start])
+        number = np.where(digit, np.uint64(1), raw)
+        masked = np.where(digit, np.uint64(1), np.where(upper, np.uint64(2), raw))
+        gap = cps[end].astype(np.uint64) if size else raw
+        self.size, self.digit = size, digit
+        first_of_text = np.concatenate(([True], self.owner[1:] != self.owner[:-1])) if size else np.empty(0, bool)
+        last_of_text = np.append(first_of_text[1:], True) if size else first_of_text
+        self.last = last_of_text
+        self.raw = W.mix(raw ^ np.uint64(11))
+        before, sign = np.roll(masked, 1), np.roll(gap, 1)
+        self.pair = W.mix(W.mix(before * np.uint64(3) ^ np.uint64(12)) ^ sign ^ (masked << np.uint64(1)))
+        self.has_pair = ~first_of_text
+        self.triple = W.mix(W.mix(np.roll(masked, 2) * np.uint64(5) ^ np.roll(gap, 2)) ^ self.pair)
+        self.has_triple = self.has_pair & np.roll(self.has_pair, 1) if size else self.has_pair
+        lower_next = np.append(_at(_table("lower", str.islower), cps[start[1:]]), False) & ~last_of_text if size else first_of_text
+        after, second = cps[end], cps[end + 1] if size else cps[end]
+        line_end = (after == 10) | (after == 13) | ((after == 32) & ((second == 10) | (second == 13)))
+        self.stopped = np.isin(after, STOPS) & ~lower_next & ((second <= 32) | ~_at(_table("alnum", str.isalnum), second))
+        self.line = line_end & ~last_of_text
+        self.counted = ~last_of_text | self.stopped
+        self.frame = self._frames(raw, digit, upper, gap, first_of_text)
+        breaks = np.cumsum((cps == 10) | (cps == 0))
+        row = breaks[start] if size else start
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if size else np.empty(0, np.int64)
+        self.length = np.diff(np.append(first, size))
+        self.line_of = np.repeat(np.arange(len(first)), self.length)
+        self.first = first
+        begin = np.concatenate(([0], np.flatnonzero((cps[:-3] == 10) | (cps[:-3] == 0)) + 1))
+        begin = begin[row[first]] if size else begin[:0]
+        lead, lead2, lead3 = cps[begin], cps[np.minimum(begin + 1, len(cps) - 1)], cps[np.minimum(begin + 2, len(cps) - 1)]
+        numbered = (lead >= 48) & (lead <= 57) & (np.isin(lead2, DOTS) | ((lead2 >= 48) & (lead2 <= 57) & np.isin(lead3, DOTS)))
+        self.item = ((np.isin(lead, BULLETS) & (lead2 == 32)) | numbered)[self.line_of] if size else first_of_text
+        self.openings: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        h = np.zeros(len(first), np.uint64)
+        for k in range(1, LINE + 1):
+            lines = np.flatnonzero(self.length >= k)
+            h[lines] = W.mix(h[lines] * np.uint64(7) + W.mix(number[first[lines] + k - 1] ^ np.uint64(13)))
+            if k >= 3:
+                self.openings[k] = (lines, h[lines].copy())
+
+
+    def _frames(self, raw, digit, upper, gap, first_of_text) -> np.ndarray:
+        """Hash of each sentence up to each word with all but function words, numbers and marks masked; 0 past FRAME words."""
+        if "function" not in _tables:
+            _tables["function"] = np.unique(W.scan(sorted({w for words in FUNCTION_WORDS.values() for w in words.split()}))[0])
+        out = np.zeros(self.size, np.uint64)
+        if not self.size:
+            return out
+        kept = np.isin(raw, _tables["function"])
+        code = np.where(digit, np.uint64(1), np.where(kept, raw, np.where(upper, np.uint64(2), np.uint64(3))))
+        mark = np.where(np.isin(np.roll(gap, 1), MARKS), np.roll(gap, 1), np.uint64(0))
+        code = W.mix(code * np.uint64(9) ^ mark)
+        begins = first_of_text | np.roll(self.stopped | self.line, 1)
+        begins[0] = True
+        repeated = np.concatenate(([False], code[1:] == code[:-1])) & ~begins
+        first = np.flatnonzero(begins)
+        length = np.diff(np.append(first, self.size))
+        h = np.zeros(len(first), np.uint64)
+        for k in range(min(FRAME, int(length.max()))):
+            some = np.flatnonzero(length > k)
+            at = first[some] + k
+            h[some] = np.where(repeated[at], h[some], W.mix(h[some] * np.uint64(7) + code[at]))
+            out[at] = h[some]
+        return out
 
 
-def evidence(texts: DataFrame, column: str) -> DataFrame:
-    """(gram, ends, bare, total) over all texts: how often masked word pairs and triples and plain words
-    occur before the end of a text, end a sentence or line, and end a line outside lists without a stop;
-    and how often lines begin with some words and hold nothing else."""
+def last_grams(cores: list[str]) -> list[tuple[list[int], bool]]:
+    """For each text (with at least one word): hashes of its last line's opening (0 if long), last word, pair, triple and sentence frame; whether the word has digits."""
+    w = Words(cores)
+    ends = np.flatnonzero(w.last)
+    opening = np.zeros(len(w.first), np.uint64)
+    for k, (lines, h) in w.openings.items():
+        whole = w.length[lines] == k
+        opening[lines[whole]] = h[whole]
+    none = np.uint64(0)
+    table = np.column_stack((opening[w.line_of[ends]], w.raw[ends], np.where(w.has_pair[ends], w.pair[ends], none), np.where(w.has_triple[ends], w.triple[ends], none), w.frame[ends]))
+    by_text = {int(o): (row.view(np.int64).tolist(), bool(d)) for o, row, d in zip(w.owner[ends], table, w.digit[ends], strict=True)}
+    return [by_text.get(i, ([0] * 5, False)) for i in range(len(cores))]
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return (W.mix(hashes) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _wanted(unsure: DataFrame) -> np.ndarray:
+    """Bit array of fixed size that holds the grams of all unsure endings."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for pdf in batches:
+            if len(pdf):
+                bits[_bits(np.concatenate(pdf["grams"].to_numpy()).astype(np.int64).view(np.uint64))] = True
+        packed = np.packbits(bits)
+        step = len(packed) // CHUNKS
+        for k in range(CHUNKS):
+            if packed[k * step : (k + 1) * step].any():
+                yield pd.DataFrame({"chunk": [k], "bits": [packed[k * step : (k + 1) * step].tobytes()]})
+
+    def either(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
+
+    packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    rows = unsure.select("grams").mapInPandas(mark, "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect()
+    for row in rows:  # at most CHUNKS rows
+        packed[row.chunk * len(packed) // CHUNKS : (row.chunk + 1) * len(packed) // CHUNKS] = np.frombuffer(row.bits, np.uint8)
+    return np.unpackbits(packed).view(bool)
+
+
+def evidence(texts: DataFrame, column: str, unsure: DataFrame) -> DataFrame:
+    """(gram, total, ends, bare) over all texts, of the grams that unsure endings have: how often a word,
+    masked pair or triple occurs before the end of a text, ends a sentence or line, and ends a line
+    outside lists without a stop; and how often lines open with some words and hold nothing else.
+
+    Numbers count as one word, capitalised words in pairs and triples as another.  Grams are 64-bit
+    hashes; the filter of fixed size lets some others pass, which changes no count.
+    """
+    wanted = texts.sparkSession.sparkContext.broadcast(_wanted(unsure))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends, bare, total = Counter(), Counter(), Counter()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def keep(gram: np.ndarray, ends: np.ndarray, bare: np.ndarray) -> None:
+            hit = wanted.value[_bits(gram)]
+            held.append((gram[hit], ends[hit], bare[hit]))
 
         def rows() -> pd.DataFrame:
-            out = pd.DataFrame({"gram": list(total), "total": list(total.values())})
-            return out.assign(ends=[ends[k] for k in total], bare=[bare[k] for k in total])
+            gram, ends, bare = (np.concatenate(x) for x in zip(*held, strict=True))
+            values, back = np.unique(gram, return_inverse=True)
+            counts = [np.bincount(back, minlength=len(values)).astype(np.int64)] + [np.bincount(back, weights=x, minlength=len(values)).astype(np.int64) for x in (ends, bare)]
+            return pd.DataFrame(dict(zip(("gram", "total", "ends", "bare"), (values.view(np.int64), *counts), strict=True)))
 
         for pdf in batches:
-            for text in pdf["text"]:
-                for line in text.split("\n"):
-                    start = opening(TOKEN.findall(line)[: LINE + 4])
-                    for k in range(3, min(len(start), LINE) + 1):
-                        gram = "0 " + " ".join(start[:k])
-                        total[gram] += 1
-                        ends[gram] += len(start) == k
-                tokens = TOKEN.findall(text)
-                size = len(tokens)
-                masked = [mask(t) if t[0].isalnum() else t for t in tokens]
-                item = False
-                for i, t in enumerate(tokens):
-                    if i == 0 or tokens[i - 1] == "\n":
-                        item = t in "-*•+" or (t.isdigit() and i + 1 < size and tokens[i + 1] in ".)")
-                    if not t[0].isalnum() or i + 1 >= size:
-                        continue
-                    after = tokens[i + 1]
-                    line = after == "\n"
-                    if after in ".!?" and len(after) == 1:
-                        rest = tokens[i + 2 : i + 5]
-                        stop = not rest or not rest[0][0].islower()
-                    else:
-                        stop = line
-                    if line and not any(x != "\n" for x in tokens[i + 1 : i + 4]):
-                        continue  # blank lines up to the end of the text
-                    keys = ["1 " + t]
-                    if i >= 1:
-                        keys.append("2 " + " ".join(masked[i - 1 : i + 1]))
-                    if i >= 2:
-                        keys.append("3 " + " ".join(masked[i - 2 : i + 1]))
-                    for k in keys:
-                        total[k] += 1
-                        if stop:
-                            ends[k] += 1
-                            if line and not item:
-                                bare[k] += 1
-                if len(total) > FLUSH:
-                    yield rows()
-                    ends, bare, total = Counter(), Counter(), Counter()
-        if total:
+            w = Words(pdf["text"].tolist())
+            if not w.size:
+                continue
+            ends = w.stopped | w.line
+            bare = w.line & ~w.item & ~w.stopped
+            for gram, has in ((w.raw, True), (w.pair, w.has_pair), (w.triple, w.has_triple), (w.frame, w.frame != 0)):
+                use = np.flatnonzero(w.counted & has)
+                keep(gram[use], ends[use], bare[use])
+            for k, (lines, h) in w.openings.items():
+                whole = w.length[lines] == k
+                keep(h, whole, whole)
+            if sum(len(x[0]) for x in held) > FLUSH:
+                yield rows()
+                held.clear()
+        if held:
             yield rows()
 
-    counted = texts.select(F.col(column).alias("text")).filter("text is not null").mapInPandas(count, "gram string, total long, ends long, bare long")
+    counted = texts.select(F.col(column).alias("text")).filter("text is not null").mapInPandas(count, "gram long, total long, ends long, bare long")
     return counted.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("total", "ends", "bare")))
 
 
 def decide(unsure: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``unsure`` (key columns, words array, word, item, style, line) with a column ``cut``.
+    """Rows of ``unsure`` (key columns, grams array<long>, digits, item, style) with a column ``cut``.
 
-    A short line that many texts have as it is, is complete.  Else the longest words with MIN_SEEN occurrences decide: outside lists they must end lines without
-    a stop in MIN_SHARE of the cases, in lists end sentences or lines.  A last word that no text
-    has elsewhere, or a bare item among items with stops, is cut.
+    A short line that many texts have as it is, is complete.  Else the last three words decide,
+    backed by the last two: outside lists they must end lines without a stop in MIN_SHARE of the
+    cases, in lists end sentences or lines.  An item whose sentence frame (function words,
+    numbers and marks, all else masked) often ends there, with a word that ends sentences, is whole.
+    A last word that no text has elsewhere, or a bare
+    item among items with stops, is cut.
     """
-    keys = unsure.select(
-        *key,
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("n"), F.concat(F.lit("0 "), "line").alias("gram")),
-                F.struct(F.lit(1).alias("n"), F.concat(F.lit("1 "), "word").alias("gram")),
-                F.struct(F.lit(2).alias("n"), F.concat(F.lit("2 "), F.array_join(F.slice("words", -2, 2), " ")).alias("gram")),
-                F.struct(F.lit(3).alias("n"), F.concat(F.lit("3 "), F.array_join("words", " ")).alias("gram")),
-            )
-        ).alias("k"),
-    ).select(*key, "k.n", "k.gram")
+    keys = unsure.select(*key, F.posexplode("grams").alias("n", "gram")).filter("gram <> 0")
     found = (
         keys.join(seen, "gram", "left")
         .groupBy(*key)
-        .agg(*(F.max(F.when(F.col("n") == n, F.coalesce(c, F.lit(0)))).alias(f"{c}{n}") for n in (0, 1, 2, 3) for c in ("total", "ends", "bare")))
+        .agg(*(F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}") for n in range(5) for c in ("total", "ends", "bare")))
     )
 
-    def share(n: int):
-        hits = F.when(F.col("item"), F.col(f"ends{n}")).otherwise(F.col(f"bare{n}"))
-        return hits / F.col(f"total{n}") < MIN_SHARE
+    def hits(n: int):
+        return F.when(F.col("item"), F.col(f"ends{n}")).otherwise(F.col(f"bare{n}"))
 
-    digits = F.col("word").rlike("[0-9]")
+    pair = (hits(2) + PRIOR * MIN_SHARE / 2) / (F.col("total2") + PRIOR)
+    triple = (hits(3) + PRIOR * pair) / (F.col("total3") + PRIOR)
+    known = (F.col("total2") >= MIN_SEEN) | (F.col("total3") >= MIN_SEEN)
     cut = (
-        F.when((F.col("line") != "") & (F.col("total0") >= MIN_SEEN) & (F.col("ends0") / F.col("total0") >= LINE_SHARE), False)
+        F.when((F.col("total0") >= MIN_SEEN) & (F.col("ends0") / F.col("total0") >= LINE_SHARE), False)
         .when(F.col("item") & (F.col("style") == "stopped"), True)
-        .when(~digits & (F.col("total1") == 0), True)
-        .when(F.col("total3") >= MIN_SEEN, share(3))
-        .when(F.col("total2") >= MIN_SEEN, share(2))
-        .otherwise(~digits)
+        .when(~F.col("digits") & (F.col("total1") == 0), True)
+        .when(F.col("item") & (F.col("total4") >= MIN_SEEN) & (F.col("ends4") / F.col("total4") >= FRAME_SHARE) & (F.col("ends1") / F.col("total1") >= WORD_SHARE), False)
+        .when(known, triple < MIN_SHARE)
+        .otherwise(~F.col("digits"))
     )
     return unsure.join(found, key).withColumn("cut", cut)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm import endings, language
 from lodestack.llm.truncation import significant_lengths
+from lodestack.session import cut
 
 THINK = re.compile(r"<(think|thinking|thought|reasoning)>.*?(?:</\1>|\Z)", re.S | re.I)
 TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&nbsp;")
@@ -100,37 +101,41 @@ def defects(df: DataFrame, key: str, message: str, answer: str) -> DataFrame:
     pairs = df.select(F.col(key).alias("key"), F.col(message).alias("message"), F.col(answer).alias("answer")).filter("key is not null").distinct().withColumn("mark", F.xxhash64("message", "answer"))
     kind = df.schema[key].dataType.simpleString()
 
+    pairs = cut(pairs)
+
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, cores = [], []
             for k, mark, asked, said in zip(pdf["key"], pdf["mark"], pdf["message"], pdf["answer"], strict=True):
                 said, asked = said or "", asked or ""
                 shown = visible(said)
                 if is_empty(shown):
-                    out.append((k, mark, "empty_answer", *[None] * 5, 0))
-                    continue
-                if asked.strip() and is_copy(asked, shown):
-                    out.append((k, mark, "copies_question", *[None] * 5, 0))
-                    if asked.strip() and is_other_language(asked, shown):
-                        out.append((k, mark, "other_language", *[None] * 5, 0))
+                    out.append((k, mark, "empty_answer", None, None, None, None, 0))
                     continue
-                if is_refusal(shown):
-                    out.append((k, mark, "refusal", *[None] * 5, 0))
+                kinds = []
+                copied = bool(asked.strip()) and is_copy(asked, shown)
+                if copied:
+                    kinds.append("copies_question")
+                elif is_refusal(shown):
+                    kinds.append("refusal")
                 if asked.strip() and is_other_language(asked, shown):
-                    out.append((k, mark, "other_language", *[None] * 5, 0))
-                end = endings.examine(shown)
-                if end.state == "cut":
-                    out.append((k, mark, "truncated", *[None] * 5, 0))
-                elif end.state == "unsure":
-                    out.append((k, mark, None, list(end.words), end.word, end.item, end.style, end.line, len(said)))
-            yield pd.DataFrame(out, columns=["key", "mark", "defect_type", "words", "word", "item", "style", "line", "length"])
-
-    judged = pairs.mapInPandas(judge, f"key {kind}, mark long, defect_type string, words array<string>, word string, item boolean, style string, line string, length int")
+                    kinds.append("other_language")
+                end = endings.examine(shown) if not copied else None
+                if end and end.state == "cut":
+                    kinds.append("truncated")
+                out.extend((k, mark, kind, None, None, None, None, 0) for kind in kinds)
+                if end and end.state == "unsure":
+                    cores.append((k, mark, end, len(said)))
+            for (k, mark, end, size), (grams, digits) in zip(cores, endings.last_grams([c[2].core for c in cores]), strict=True):
+                out.append((k, mark, None, grams, digits, end.item, end.style, size))
+            yield pd.DataFrame(out, columns=["key", "mark", "defect_type", "grams", "digits", "item", "style", "length"])
+
+    judged = cut(pairs.mapInPandas(judge, f"key {kind}, mark long, defect_type string, grams array<long>, digits boolean, item boolean, style string, length int"))
     unsure = judged.filter("defect_type is null").drop("defect_type")
-    cut = endings.decide(unsure, endings.evidence(pairs, "answer"), ["key", "mark"])
+    ended = endings.decide(unsure, endings.evidence(pairs, "answer", unsure), ["key", "mark"])
     limits = significant_lengths(pairs.filter(F.length("answer") >= LENGTH_FROM).select(F.lit("").alias("source"), F.length("answer").alias("length")))
-    cut = cut.join(F.broadcast(limits.select("length").distinct().withColumn("limit", F.lit(True))), "length", "left")
-    truncated = cut.filter("cut or limit").select("key", F.lit("truncated").alias("defect_type"))
+    ended = ended.join(F.broadcast(limits.select("length").distinct().withColumn("limit", F.lit(True))), "length", "left")
+    truncated = ended.filter("cut or limit").select("key", F.lit("truncated").alias("defect_type"))
     shortened = shortened_versions(pairs).join(unsure.select("key", "mark"), ["key", "mark"], "left_semi").select("key", F.lit("truncated").alias("defect_type"))
     return judged.filter("defect_type is not null").select("key", "defect_type").unionByName(truncated).unionByName(shortened).distinct()
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import endings
+from lodestack.session import cut
 
 NEIGHBOURS = 25  # lengths on either side that a hazard is held against
 MIN_AT_LENGTH = 5
@@ -62,35 +63,38 @@ def cut_values(df: DataFrame, key: str, source: str, fields: list[str]) -> DataF
     its last words show it, or where it is unfinished at a length (characters or bytes) that the
     source cuts at.  Repeated rows count once.
     """
-    values = _values(df, key, source, fields)
+    values = cut(_values(df, key, source, fields))
     kind = df.schema[key].dataType.simpleString()
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ends = [endings.examine(v) for v in pdf["value"]]
+            last = iter(endings.last_grams([e.core for e in ends if e.state == "unsure"]))
+            grams = [next(last) if e.state == "unsure" else (None, None) for e in ends]
             yield pd.DataFrame(
                 {
                     "key": pdf["key"], "mark": pdf["mark"], "field": pdf["field"], "origin": pdf["origin"],
-                    "state": [e.state for e in ends], "words": [list(e.words) for e in ends], "word": [e.word for e in ends],
-                    "item": [e.item for e in ends], "style": [e.style for e in ends], "line": [e.line for e in ends],
+                    "state": [e.state for e in ends], "grams": [g for g, _ in grams], "digits": [d for _, d in grams],
+                    "item": [e.item for e in ends], "style": [e.style for e in ends],
                     "chars": [len(v) for v in pdf["value"]], "bytes": [len(v.encode("utf-8", "replace")) for v in pdf["value"]],
                 }
             )
 
-    seen = values.mapInPandas(look, f"key {kind}, mark long, field string, origin string, state string, words array<string>, word string, item boolean, style string, line string, chars int, bytes int")
+    seen = cut(values.mapInPandas(look, f"key {kind}, mark long, field string, origin string, state string, grams array<long>, digits boolean, item boolean, style string, chars int, bytes int"))
     units = F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))
     name = F.concat_ws("\t", F.coalesce("origin", F.lit("\0")), "field", "u.unit")
     lengths = seen.filter("chars > 0").withColumn("u", F.explode(units)).select(name.alias("source"), "u.length")
     limits = F.broadcast(significant_lengths(lengths).select("source", "length"))
     ids = ["key", "field", "mark"]
-    judged = endings.decide(seen.filter("state = 'unsure'"), endings.evidence(values, "value"), ids).select(*ids, "origin", "cut")
+    unsure = seen.filter("state = 'unsure'")
+    judged = endings.decide(unsure, endings.evidence(values, "value", unsure), ids).select(*ids, "origin", "cut")
     here = seen.withColumn("u", F.explode(units)).withColumn("source", name).select(*ids, "origin", "state", "source", F.col("u.length").alias("length"))
     limit = here.join(limits, ["source", "length"], "left_semi").select(*ids, "origin").distinct().withColumn("at_limit", F.lit(True))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*ids, "origin")]
     merged = seen.select(*ids, "origin", "state").alias("a").join(judged.alias("b"), same, "left").select("a.*", "b.cut")
     merged = merged.alias("a").join(limit.alias("b"), same, "left").select("a.*", F.coalesce("b.at_limit", F.lit(False)).alias("at_limit"))
-    cut = (F.col("state") == "cut") | ((F.col("state") == "unsure") & (F.coalesce("cut", F.lit(False)) | F.col("at_limit")))
-    return merged.select("key", "field", "origin", cut.alias("cut"), "at_limit").distinct()
+    lost = (F.col("state") == "cut") | ((F.col("state") == "unsure") & (F.coalesce("cut", F.lit(False)) | F.col("at_limit")))
+    return merged.select("key", "field", "origin", lost.alias("cut"), "at_limit").distinct()
 
 
 def cut_rates(cuts: DataFrame) -> DataFrame:
