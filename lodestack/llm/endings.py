@@ -1,12 +1,14 @@
 """Where texts stop: structure at the end of a text and corpus evidence for complete endings.
 
 A text whose last character closes a sentence, table row, code block or JSON value is complete by
-its structure.  For any other, the last words are held against how the same words go on in all
+its structure; of a closed JSON value, the strings that begin like sentences are looked at too.
+For any other, the last words are held against how the same words go on in all
 texts: words that sentences never end with, or a word no other text has, show a cut.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +25,7 @@ TOKEN = re.compile(r"https?://\S+|[^\W_]+(?:[’'-][^\W_]+)*|\n|[^\w\s]")
 ITEM = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+")
 ADDED = re.compile(r"(?:\s|…|\ufffd|<!--[^<>]*-->|\[(?:\.\.\.|…|[^\[\]\n]{0,20}\b(?:truncat|cut|tronqu|abgeschnitten)[^\[\]\n]{0,30})\]|\((?:\.\.\.|…)\))+$", re.I)
 CLOSED = re.compile(r"[.!?。！？:;][\"'”’»)\]*_]*$|^[\[(*_-].*[\])*_-]$")
+STRING = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?')
 URL = re.compile(r"(?:https?://|www\.)\S+$")
 FLUSH = 4_000_000
 FILTER_BITS, CHUNKS = 24, 32
@@ -58,6 +61,21 @@ def json_state(text: str) -> str | None:
     return "open"
 
 
+def unfinished_string(text: str) -> str | None:
+    """The first string of a JSON value that begins like a sentence (capital, three words) and has no end of one."""
+    for m in STRING.finditer(text):
+        if m.group(1):
+            continue  # a key
+        try:
+            value = json.loads(m.group())
+        except ValueError:
+            continue
+        value = value.strip()
+        if value[:1].isupper() and len(value) > 15 and len(value.split()) > 2 and not CLOSED.search(value) and not URL.search(value):
+            return value
+    return None
+
+
 @dataclass
 class Ending:
     """state: complete, cut or unsure; core: the text without what was added after it; item: in a list; style: how other items end."""
@@ -77,7 +95,8 @@ def examine(text: str, short: int = 4) -> Ending:
         core, tail = core[:-3].rstrip(), "..."
     state = json_state(core)
     if state:
-        return Ending("cut" if state == "open" else "complete")
+        inner = unfinished_string(core) if state == "closed" else None
+        return examine(inner, 2) if inner else Ending("cut" if state == "open" else "complete")
     if core.count("```") % 2:
         return Ending("cut")
     if core.endswith("```"):
@@ -313,10 +332,10 @@ def decide(unsure: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
     triple = (hits(3) + PRIOR * pair) / (F.col("total3") + PRIOR)
     known = (F.col("total2") >= MIN_SEEN) | (F.col("total3") >= MIN_SEEN)
     cut = (
-        F.when((F.col("total0") >= MIN_SEEN) & (F.col("ends0") / F.col("total0") >= LINE_SHARE), False)
+        F.when((F.col("total0") >= MIN_SEEN) & (F.try_divide(F.col("ends0"), F.col("total0")) >= LINE_SHARE), False)
         .when(F.col("item") & (F.col("style") == "stopped"), True)
         .when(~F.col("digits") & (F.col("total1") == 0), True)
-        .when(F.col("item") & (F.col("total4") >= MIN_SEEN) & (F.col("ends4") / F.col("total4") >= FRAME_SHARE) & (F.col("ends1") / F.col("total1") >= WORD_SHARE), False)
+        .when(F.col("item") & (F.col("total4") >= MIN_SEEN) & (F.try_divide(F.col("ends4"), F.col("total4")) >= FRAME_SHARE) & (F.try_divide(F.col("ends1"), F.col("total1")) >= WORD_SHARE), False)
         .when(known, triple < MIN_SHARE)
         .otherwise(~F.col("digits"))
     )
