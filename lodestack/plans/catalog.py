@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.plans import conversations, ingest, mutations, relational, retrieval, scalars, stateful  # noqa: F401
+from lodestack.plans import conversations, documents, ingest, mutations, relational, retrieval, scalars, stateful  # noqa: F401
 from lodestack.plans.registry import QUERIES, SQL
 
 
