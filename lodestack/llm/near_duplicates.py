@@ -30,7 +30,7 @@ from lodestack.llm import words
 from lodestack.session import cut
 
 ID_BITS, OWNER_BITS, RANK_BITS = 42, 14, 8
-SKETCH_BITS, SKETCH_CHUNKS = 22, 32
+SKETCH_BITS, SKETCH_CHUNKS = 21, 32
 BLOOM_BITS = 26
 LEAST = 5  # shared positional bytes a pair needs inside the posted prefixes
 FLUSH = 1 << 20  # postings a task gathers before it sends them on
@@ -126,10 +126,12 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
             out = []
             for b in np.flatnonzero(np.diff(edges)):
                 mine = order[edges[b] : edges[b + 1]]
-                table, local = np.unique(sig[mine], return_inverse=True)
-                head = np.array([len(mine), len(table)], "<u4")
+                fresh = np.concatenate(([True], sig[mine[1:]] != sig[mine[:-1]]))  # a record's postings stay together
+                heads = mine[fresh]
+                each = np.diff(np.append(np.flatnonzero(fresh), len(mine)))
                 low = (ids[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                out.append((int(b), b"".join(x.tobytes() for x in (head, low, (ids[mine] >> np.uint64(32)).astype("<u2"), (local & 0xFFFF).astype("<u2"), (local >> 16).astype("<u2"), (size[mine] & 0xFFFF).astype("<u2"), (size[mine] >> 16).astype("<u2"), (at[mine] & 0xFFFF).astype("<u2"), (at[mine] >> 16).astype("<u2"), table.astype("<u8")))))
+                columns = (np.array([len(mine), len(heads)], "<u4"), sig[heads].astype("<u8"), size[heads].astype("<u4"), each.astype("<u4"), low, (ids[mine] >> np.uint64(32)).astype("<u2"), (at[mine] & 0xFFFF).astype("<u2"), (at[mine] >> 16).astype("<u2"))
+                out.append((int(b), b"".join(x.tobytes() for x in columns)))
             return pd.DataFrame(out, columns=["bucket", "blob"])
 
         for pdf in batches:
@@ -156,11 +158,19 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    count, tabled = np.frombuffer(blob, "<u4", 2)
-    low = np.frombuffer(blob, "<u4", count, 8).astype(np.uint64)
-    parts = [np.frombuffer(blob, "<u2", count, 8 + int(count) * (4 + 2 * k)).astype(np.int64) for k in range(7)]
-    table = np.frombuffer(blob, "<u8", tabled, 8 + int(count) * 18)
-    return low | (parts[0].astype(np.uint64) << np.uint64(32)), table[parts[1] | parts[2] << 16], parts[3] | parts[4] << 16, parts[5] | parts[6] << 16
+    count, heads = map(int, np.frombuffer(blob, "<u4", 2))
+    place = 8
+
+    def column(kind: str, n: int) -> np.ndarray:
+        nonlocal place
+        values = np.frombuffer(blob, kind, n, place)
+        place += values.nbytes
+        return values
+
+    sig, size, each = column("<u8", heads), column("<u4", heads).astype(np.int64), column("<u4", heads)
+    low, high, at, over = column("<u4", count), column("<u2", count), column("<u2", count), column("<u2", count)
+    ids = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+    return ids, np.repeat(sig, each), np.repeat(size, each), at.astype(np.int64) | over.astype(np.int64) << 16
 
 
 def _meetings(ids: np.ndarray, sig: np.ndarray, size: np.ndarray, at: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
