@@ -15,11 +15,11 @@ RUNS = "(select distinct * exclude (ingested_at) from rfp_runs)"
 
 
 def raw(t):
-    return t.raw_documents.drop("ingested_at").distinct()
+    return t.raw_documents.drop("ingested_at").dropDuplicates(["raw_id"])
 
 
 def runs(t):
-    return t.rfp_runs.drop("ingested_at").distinct()
+    return t.rfp_runs.drop("ingested_at").dropDuplicates(["run_id"])
 
 
 @query(
