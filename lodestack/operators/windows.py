@@ -24,21 +24,61 @@ def rolling_count(df: DataFrame, keys: Sequence[str], micros: Column, seconds: i
     return counted.withColumn(name, F.when(F.col("_at").isNotNull(), F.col(name))).drop("_at", "_slot")
 
 
-def within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: Column, budget: int) -> DataFrame:
-    """Rows taken in order while the cost of the rows before is under the budget: the last may overshoot."""
-    before = F.sum(F.coalesce(cost, F.lit(0))).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < budget).drop("_before")
+def _same(left: str, right: str, columns: Sequence[str]) -> Column:
+    test = F.lit(True)
+    for c in columns:
+        test = test & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return test
 
 
-def sessions(df: DataFrame, keys: Sequence[str], micros: Column, gap_seconds: int, tie: Column) -> DataFrame:
-    """``session``: number of the key's run of rows at most ``gap_seconds`` apart (a sliding time to live)."""
-    window = Window.partitionBy(*keys).orderBy("_at", tie)
-    new = (F.col("_at") - F.lag("_at").over(window) > gap_seconds * 1_000_000).cast("int")
-    return df.withColumn("_at", micros).withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("session", F.sum("_new").over(window)).drop("_at", "_new")
+def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], amount: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``amount`` over the rows of the key before this one, null amounts as 0.
+
+    ``bucket`` cuts the order into ranges (it must not fall while the order rises): a window holds
+    one range of one key, and only the sums of ranges meet in a second, small window.  The columns
+    of ``order`` must be free of nulls.
+    """
+    split = df.withColumn("_b", bucket).withColumn("_v", F.coalesce(amount, F.lit(0)))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = split.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    rows = split.withColumn("_inside", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    joined = rows.alias("r").join(sums.select(*keys, "_b", "_before").alias("s"), _same("r", "s", [*keys, "_b"]))
+    return joined.select("r.*", (F.col("r._inside") + F.col("s._before")).alias(name)).drop("_b", "_v", "_inside")
+
+
+def previous(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``name``: struct (value) of the row of the key before this one, null for the first; cut into ranges like :func:`running_sum`."""
+    split = df.withColumn("_b", bucket).withColumn("_v", F.struct(value.alias("value")))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    last = split.groupBy(*keys, "_b").agg(F.max_by("_v", F.struct(*order)).alias("_last")).withColumn("_edge", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
+    rows = split.withColumn("_inside", F.lag("_v").over(inside))
+    joined = rows.alias("r").join(last.select(*keys, "_b", "_edge").alias("s"), _same("r", "s", [*keys, "_b"]))
+    return joined.select("r.*", F.coalesce("r._inside", "s._edge").alias(name)).drop("_b", "_v", "_inside")
+
+
+def within_budget(df: DataFrame, keys: Sequence[str], order: str, cost: Column, budget: int, width: int = 10_000) -> DataFrame:
+    """Rows taken in the order of a whole number while the cost of the rows before is under the budget: the last may overshoot."""
+    return running_sum(df, keys, F.floor(F.col(order) / width), [order], cost, "_before").filter(F.col("_before") < budget).drop("_before")
+
+
+def sessions(df: DataFrame, keys: Sequence[str], micros: Column, gap_seconds: int, tie: str, days: int = 7) -> DataFrame:
+    """``session``: number of the key's run of rows at most ``gap_seconds`` apart (a sliding time to live).
+
+    Rows without an instant are left out; the time line of a key is cut into ranges of ``days``.
+    """
+    timed = df.withColumn("_at", micros).filter("_at is not null")
+    bucket = F.floor(F.col("_at") / (days * 86_400_000_000))
+    linked = previous(timed, keys, bucket, ["_at", tie], F.col("_at"), "_prev")
+    fresh = F.coalesce((F.col("_at") - F.col("_prev.value") > gap_seconds * 1_000_000).cast("int"), F.lit(0))
+    flagged = linked.withColumn("_new", fresh).drop("_prev")
+    counted = running_sum(flagged, keys, bucket, ["_at", tie], F.col("_new"), "_sum")
+    return counted.withColumn("session", (F.col("_sum") + F.col("_new")).cast("long")).drop("_at", "_new", "_sum")
 
 
-def changes(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column) -> DataFrame:
-    """Rows whose value differs from that of the row before; the first row of a key is no change."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    return df.withColumn("previous", before).withColumn("_first", first).filter(~F.col("_first") & ~value.eqNullSafe(F.col("previous"))).drop("_first")
+def changes(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: Column, days: int = 30) -> DataFrame:
+    """Rows whose value differs from that of the row before (``previous``); the first row of a key is no change. Rows without an instant come last."""
+    timed = df.withColumn("_at", F.coalesce(F.unix_micros(ts), F.lit(2**62)))
+    linked = previous(timed, keys, F.floor(F.col("_at") / (days * 86_400_000_000)), ["_at", tie], value, "_prev")
+    changed = linked.filter(F.col("_prev").isNotNull() & ~value.eqNullSafe(F.col("_prev.value")))
+    return changed.withColumn("previous", F.col("_prev.value")).drop("_prev", "_at")

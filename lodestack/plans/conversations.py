@@ -78,7 +78,7 @@ def _(t):
 
 @query("op73_budgeted_prefix", f"select raw_id, workspace_id from (select raw_id, workspace_id, coalesce(sum(coalesce(token_count_estimate, 0)) over (partition by workspace_id order by raw_id rows between unbounded preceding and 1 preceding), 0) as before from {RAW}) where before < 1500")
 def _(t):
-    return W.within_budget(raw(t), ["workspace_id"], [F.asc("raw_id")], F.col("token_count_estimate"), 1500).select("raw_id", "workspace_id")
+    return W.within_budget(raw(t), ["workspace_id"], "raw_id", F.col("token_count_estimate"), 1500).select("raw_id", "workspace_id")
 
 
 _ROLL = "count(*) over (partition by {0} order by ts range between interval 1 day preceding and current row)"
@@ -106,7 +106,7 @@ def _(t):
 @query("op77_change_notices", f"select run_id, workspace_id, previous from (select run_id, workspace_id, generator_model, lag(generator_model) over w as previous, row_number() over w as rn from {RUNS} window w as (partition by workspace_id order by created_at, run_id)) where rn > 1 and generator_model is distinct from previous")
 def _(t):
     df = runs(t).select("run_id", "workspace_id", "created_at", "generator_model")
-    return W.changes(df, ["workspace_id"], [F.asc_nulls_last("created_at"), F.asc("run_id")], F.col("generator_model")).select("run_id", "workspace_id", "previous")
+    return W.changes(df, ["workspace_id"], "created_at", "run_id", F.col("generator_model")).select("run_id", "workspace_id", "previous")
 
 
 @query("op78_fork_prefix", f"select chat_id, message from {CHATS} where workspace_id = 7 and chat_id <= 500 and textresponse is not null")
@@ -141,4 +141,5 @@ def _(t):
 def _(t):
     """The newest messages of each conversation that fit a history budget, walked from the newest."""
     cost = F.ceil(F.length(F.concat(F.coalesce("message", F.lit("")), F.coalesce("textresponse", F.lit("")))) / 4.0)
-    return W.within_budget(chats(t), ["workspace_id", "thread_id"], [F.desc("chat_id")], cost, 700).select("workspace_id", "thread_id", "chat_id")
+    turns = chats(t).withColumn("back", -F.col("chat_id"))
+    return W.within_budget(turns, ["workspace_id", "thread_id"], "back", cost, 700).select("workspace_id", "thread_id", "chat_id")

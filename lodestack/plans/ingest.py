@@ -94,7 +94,7 @@ def _(t):
 
     marked = t.documents.select("doc_id", "page_id", "rev_ts", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
     first = marked.groupBy("page_id").agg(F.min(F.struct("rev_ts", "doc_id")).alias("m")).select("m.doc_id", "page_id")
-    later = changes(marked, ["page_id"], [F.asc_nulls_last("rev_ts"), F.asc("doc_id")], F.col("h")).select("doc_id", "page_id")
+    later = changes(marked, ["page_id"], "rev_ts", "doc_id", F.col("h")).select("doc_id", "page_id")
     return first.unionByName(later)
 
 

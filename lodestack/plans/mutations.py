@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.operators import relational as R
+from lodestack.operators import windows as W
 from lodestack.plans.registry import query
 from lodestack.plans.relational import CHATS, chats
 from lodestack.plans.scalars import RUNS, runs
@@ -30,9 +30,9 @@ def _(t):
 
 @query("op164_change_capture", f"select run_id, workspace_id, previous from (select run_id, workspace_id, requirements, lag(requirements) over (partition by workspace_id order by created_at, run_id) as previous from {RUNS} where workspace_id is not null) where requirements is not null and previous is not null and requirements <> previous")
 def _(t):
-    before = F.lag("requirements").over(Window.partitionBy("workspace_id").orderBy(F.asc_nulls_last("created_at"), "run_id"))
-    rows = runs(t).filter("workspace_id is not null").withColumn("previous", before)
-    return rows.filter("requirements is not null and previous is not null and requirements <> previous").select("run_id", "workspace_id", "previous")
+    rows = runs(t).filter("workspace_id is not null").select("run_id", "workspace_id", "created_at", "requirements")
+    changed = W.changes(rows, ["workspace_id"], "created_at", "run_id", F.col("requirements"))
+    return changed.filter("requirements is not null and previous is not null").select("run_id", "workspace_id", "previous")
 
 
 @query("op165_history_lookup", f"select r.run_id, epoch_us(r.created_at)::bigint as created_us, w.title from {RUNS} r left join workspaces w using (workspace_id) order by created_us desc, run_id")

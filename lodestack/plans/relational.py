@@ -240,7 +240,7 @@ def _(t):
 PASS_THROUGH = {
     "rollup": "select o_orderstatus, o_orderpriority, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by rollup (o_orderstatus, o_orderpriority)",
     "cube": "select l_returnflag, l_linestatus, count(*) as n from lineitem group by cube (l_returnflag, l_linestatus)",
-    "window": "select o_orderkey, rank() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey) as rk, ntile(4) over (order by o_totalprice, o_orderkey) as quarter from orders",
+    "window": "select o_orderkey, rank() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rk, ntile(4) over (partition by o_custkey order by o_totalprice, o_orderkey) as quarter from orders",
     "set_ops": "select c_custkey from customer where c_acctbal > 0 intersect select o_custkey from orders except select c_custkey from customer where c_mktsegment = 'BUILDING'",
     "join": "select n.n_name, count(*) as customers, round(avg(c.c_acctbal), 4) as balance from customer c join nation n on n.n_nationkey = c.c_nationkey group by n.n_name",
     "subquery": "select s_suppkey from supplier s where s_acctbal > (select avg(s_acctbal) from supplier) and exists (select 1 from lineitem l where l.l_suppkey = s.s_suppkey)",

@@ -15,7 +15,7 @@ US = "epoch_us(ts)"
 @query("op139_sliding_ttl", f"with g as (select event_id, user_id, ts, case when {US} - lag({US}) over w > 21600000000 then 1 else 0 end as fresh from events where ts is not null window w as (partition by user_id order by ts, event_id)) select event_id, user_id, (sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding))::bigint as session from g")
 def _(t):
     """Runs of a user's events with at most six hours between them: each hit renews the state."""
-    return W.sessions(t.events.filter("ts is not null"), ["user_id"], F.unix_micros("ts"), 21_600, F.col("event_id")).select("event_id", "user_id", "session")
+    return W.sessions(t.events.filter("ts is not null"), ["user_id"], F.unix_micros("ts"), 21_600, "event_id").select("event_id", "user_id", "session")
 
 
 @query("op139_session_sizes", f"with g as (select event_id, user_id, ts, case when {US} - lag({US}) over w > 21600000000 then 1 else 0 end as fresh from events where ts is not null window w as (partition by user_id order by ts, event_id)), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from g) select user_id, epoch_us(min(ts))::bigint as from_us, count(*) as events from s group by user_id, session")
@@ -28,11 +28,10 @@ def _(t):
 @query("op140_cached_decisions", f"select event_id, coalesce({US} - lag({US}) over (partition by user_id, event_type order by ts, event_id) <= case when event_type = 'error' then 30000000 else 3600000000 end, false) as cached from events where ts is not null")
 def _(t):
     """Whether the decision for (user, type) is still held: 30 seconds for failures, an hour otherwise."""
-    from pyspark.sql import Window
-
-    at = F.unix_micros("ts")
-    age = at - F.lag(at).over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return t.events.filter("ts is not null").select("event_id", F.coalesce(age <= F.when(F.col("event_type") == "error", 30_000_000).otherwise(3_600_000_000), F.lit(False)).alias("cached"))
+    timed = t.events.filter("ts is not null").withColumn("at", F.unix_micros("ts"))
+    linked = W.previous(timed, ["user_id", "event_type"], F.floor(F.col("at") / (7 * 86_400_000_000)), ["at", "event_id"], F.col("at"), "prev")
+    age = F.col("at") - F.col("prev.value")
+    return linked.select("event_id", F.coalesce(age <= F.when(F.col("event_type") == "error", 30_000_000).otherwise(3_600_000_000), F.lit(False)).alias("cached"))
 
 
 @query("op141_route_order", "select event_id, coalesce(case when value > 80 then 'calculated' end, case when event_type = 'purchase' then 'model' end, case when user_id % 5 = 0 then 'sticky' end, 'fallback') as route from events")
@@ -50,7 +49,7 @@ def _(t):
 @query("op142_cooldown", f"select event_id from (select event_id, {US} as a, lag({US}) over (partition by user_id, event_type order by ts, event_id) as b from events where ts is not null) where b is null or a - b > 30000000")
 def _(t):
     """Events that do not follow one of the same user and type within the 30 seconds before."""
-    df = W.sessions(t.events.filter("ts is not null"), ["user_id", "event_type"], F.unix_micros("ts"), 30, F.col("event_id"))
+    df = W.sessions(t.events.filter("ts is not null"), ["user_id", "event_type"], F.unix_micros("ts"), 30, "event_id")
     return df.groupBy("user_id", "event_type", "session").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("event_id")
 
 

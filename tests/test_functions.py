@@ -139,9 +139,20 @@ def test_rolling_count_equals_a_loop(spark):
 
 def test_budget_sessions_changes(spark):
     df = spark.createDataFrame([("a", i, c) for i, c in enumerate([5, 5, 5, None, 5])], "k string, i long, c long")
-    assert [r.i for r in W.within_budget(df, ["k"], [F.asc("i")], F.col("c"), 11).orderBy("i").collect()] == [0, 1, 2]
-    assert [r.session for r in W.sessions(df, ["k"], F.when(F.col("i") > 2, F.col("i") + 100).otherwise(F.col("i")) * 1_000_000, 10, F.col("i")).orderBy("i").collect()] == [0, 0, 0, 1, 1]
-    assert [r.i for r in W.changes(df, ["k"], [F.asc("i")], F.col("c")).orderBy("i").collect()] == [3, 4]
+    assert [r.i for r in W.within_budget(df, ["k"], "i", F.col("c"), 11, 2).orderBy("i").collect()] == [0, 1, 2]
+    assert [r.session for r in W.sessions(df, ["k"], F.when(F.col("i") > 2, F.col("i") + 100).otherwise(F.col("i")) * 1_000_000, 10, "i").orderBy("i").collect()] == [0, 0, 0, 1, 1]
+    assert [r.i for r in W.changes(df.withColumn("t", F.timestamp_seconds(F.col("i") * 2_000_000)), ["k"], "t", "i", F.col("c")).orderBy("i").collect()] == [3, 4]
+
+
+def test_split_windows_equal_loops(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), i, int(v)) for i, (k, v) in enumerate(zip(rng.integers(0, 2, 200), rng.integers(0, 9, 200), strict=True))] + [(None, 900 + i, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k long, i long, v long")
+    sums = {r.i: r.s for r in W.running_sum(df, ["k"], F.floor(F.col("i") / 17), ["i"], F.col("v"), "s").collect()}
+    back = {r.i: r.p and r.p.value for r in W.previous(df, ["k"], F.floor(F.col("i") / 17), ["i"], F.col("v"), "p").collect()}
+    for k, i, _ in rows:
+        earlier = [v for k2, j, v in rows if k2 == k and j < i]
+        assert sums[i] == sum(earlier) and back[i] == (earlier[-1] if earlier else None)
 
 
 def test_relational(spark):
