@@ -223,6 +223,13 @@ class Words:
 
 def last_grams(cores: list[str]) -> list[tuple[list[int], bool]]:
     """For each text (with at least one word): hashes of its last line's opening (0 if long), last word, pair, triple and sentence frame; whether the word has digits."""
+    out: list[tuple[list[int], bool]] = []
+    for first, last in W.slices(cores):
+        out.extend(_last_grams(cores[first:last]))
+    return out
+
+
+def _last_grams(cores: list[str]) -> list[tuple[list[int], bool]]:
     w = Words(cores)
     ends = np.flatnonzero(w.last)
     opening = np.zeros(len(w.first), np.uint64)
@@ -287,17 +294,19 @@ def evidence(texts: DataFrame, column: str, unsure: DataFrame) -> DataFrame:
             return pd.DataFrame(dict(zip(("gram", "total", "ends", "bare"), (values.view(np.int64), *counts), strict=True)))
 
         for pdf in batches:
-            w = Words(pdf["text"].tolist())
-            if not w.size:
-                continue
-            ends = w.stopped | w.line
-            bare = w.line & ~w.item & ~w.stopped
-            for gram, has in ((w.raw, True), (w.pair, w.has_pair), (w.triple, w.has_triple), (w.frame, w.frame != 0)):
-                use = np.flatnonzero(w.counted & has)
-                keep(gram[use], ends[use], bare[use])
-            for k, (lines, h) in w.openings.items():
-                whole = w.length[lines] == k
-                keep(h, whole, whole)
+            texts_ = pdf["text"].tolist()
+            for first, last in W.slices(texts_):
+                w = Words(texts_[first:last])
+                if not w.size:
+                    continue
+                ends = w.stopped | w.line
+                bare = w.line & ~w.item & ~w.stopped
+                for gram, has in ((w.raw, True), (w.pair, w.has_pair), (w.triple, w.has_triple), (w.frame, w.frame != 0)):
+                    use = np.flatnonzero(w.counted & has)
+                    keep(gram[use], ends[use], bare[use])
+                for k, (lines, h) in w.openings.items():
+                    whole = w.length[lines] == k
+                    keep(h, whole, whole)
             if sum(len(x[0]) for x in held) > FLUSH:
                 yield rows()
                 held.clear()

@@ -54,8 +54,8 @@ def _ids(texts: list[str], parts: list[str], n: int, min_words: int) -> tuple[np
 
 def _sets(pdf: pd.DataFrame, n: int, min_words: int, ranks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of a batch: (row index, rank, id) of the distinct positional bytes, in the index's order."""
-    for at in range(0, len(pdf), 1 << OWNER_BITS):
-        piece = pdf.iloc[at : at + (1 << OWNER_BITS)]
+    for at, end in words.slices(pdf["text"].tolist(), rows=1 << OWNER_BITS):
+        piece = pdf.iloc[at:end]
         ids, owner = _ids(piece["text"].tolist(), piece["part"].tolist(), n, min_words)
         rank = ranks[ids >> np.uint64(ID_BITS - SKETCH_BITS)].astype(np.uint64) if ranks is not None else np.uint64(0)
         packed = (owner.astype(np.uint64) << np.uint64(ID_BITS + RANK_BITS)) | (rank << np.uint64(ID_BITS)) | ids

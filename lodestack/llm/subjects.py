@@ -265,8 +265,8 @@ def subjects(docs: DataFrame, key: str, text: str, labels: DataFrame, label_key:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                piece = pdf.iloc[at : at + 2000]
+            for at, end in W.slices(pdf["text"].tolist()):
+                piece = pdf.iloc[at:end]
                 probability, owner = model.value.score(piece["text"].tolist())
                 if not len(owner):
                     continue

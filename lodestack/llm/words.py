@@ -6,6 +6,8 @@ scan works on code points in NumPy, so no Python object is made per word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -36,6 +38,18 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def slices(texts: list[str], chars: int = 1_500_000, rows: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch with at most so many characters (or one text) and rows, to bound the arrays of a scan."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and (size + len(text) > chars or i - start >= rows):
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
