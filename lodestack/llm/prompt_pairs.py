@@ -36,6 +36,8 @@ REFUSAL = re.compile(
     |no\ (?:me\ está\ permitido|puedo\ (?:ayudar|responder|contestar|hablar|comentar|atender|compartir)|estoy\ autorizad)|prefiero\ no|debo\ (?:rechazar|negarme)|me\ es\ imposible|esta\ (?:pregunta|solicitud|petición)\ (?:supera|excede|va\ más\ allá))""",
     re.I | re.X | re.S,
 )
+# Openings of sentences that only send the reader elsewhere.
+REFERRAL = re.compile(r"\W*(?:please|kindly|try|contact|ask|consult|perhaps|you (?:may|could|can|might)|if you|feel free|let me know|is there anything|thank you|thanks|bitte|wenden sie|veuillez|merci de|adressez|n'hésitez|consulte|pregunte|por favor|diríjase|gracias)\b", re.I)
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 ROW = re.compile(r"^\s*\|.*$", re.M)
 QUOTE = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»")
@@ -57,10 +59,11 @@ def is_empty(shown: str) -> bool:
 
 
 def is_refusal(shown: str) -> bool:
-    """A sentence of refusal and nothing else of substance (at most one short referral)."""
+    """Sentences of refusal and nothing else of substance: short referrals elsewhere are nothing."""
+    shown = shown.replace("’", "'").replace("\u00a0", " ")
     if not REFUSAL.search(shown):
         return False
-    rest = [s for s in SENTENCE.split(shown) if not REFUSAL.search(s) and len(WORD.findall(s)) > 3]
+    rest = [s for s in SENTENCE.split(shown) if not REFUSAL.search(s) and len(WORD.findall(s)) > 3 and not (REFERRAL.match(s) and len(WORD.findall(s)) <= 14)]
     return not rest
 
 

@@ -28,6 +28,14 @@ def test_kinds_of_defects(spark):
     }
 
 
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [("I won’t be able to assist with the bid bond. Please ask a colleague.", True), ("I cannot share anything concerning Lund. The office closed it in May.", False), ("It is not possible to merge lot 3 with the table.", False), ('"We are sorry" reads weakly here; write that it closed.', False), ("Zu Lund darf ich keine Auskunft geben.", True)],
+)
+def test_refusals(answer, want):
+    assert P.is_refusal(answer) is want
+
+
 def test_empty_table_and_long_text(spark):
     assert found(spark, []) == set()
     assert found(spark, [(1, "Why?", "The office closed the log. " * 20_000)]) == set()
