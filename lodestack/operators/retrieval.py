@@ -31,57 +31,38 @@ def similarity(distance: Column, compat: bool = False) -> Column:
     return out.when(distance < 0, 1 - F.abs(distance)).otherwise(1 - distance)
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = 4, threshold: float | None = 0.25, pinned: DataFrame | None = None, compat: bool = False, same_namespace: bool = False) -> DataFrame:
-    """(query_id, vec_id, distance, score, place): the nearest ``top`` vectors of each query, then the threshold, then pins removed.
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = 4, same_namespace: bool = False) -> DataFrame:
+    """(query_id, vec_id, distance, place): the ``top`` nearest vectors of each query by cosine distance.
 
     ``vectors`` has (namespace, vec_id, embedding), ``queries`` (query_id, embedding) and with
-    ``same_namespace`` a namespace.  Queries are a stated, bounded set: they are numbered and
-    broadcast in blocks of QUERIES_AT_ONCE, so no exchange moves a vector; each task keeps only its
-    ``top`` rows a query before the exchange.  Equal distances go by vec_id.
-    """
-    total = queries.count()
-    blocks = max(1, -(-total // QUERIES_AT_ONCE))
-    keyed = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        block = keyed.filter(F.col("_block") == b).select("query_id", F.col("embedding").alias("_query"), *(["namespace"] if same_namespace else []))
-        on = ["namespace"] if same_namespace else None
-        pairs = vectors.join(F.broadcast(block), on) if on else vectors.crossJoin(F.broadcast(block))
-        near = pairs.select("query_id", "vec_id", F.round(cosine_distance(F.col("embedding"), F.col("_query")), 6).alias("distance"))
-        order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id")
-        kept = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, top))
-        found = kept if found is None else found.unionByName(kept)
-    scored = found.withColumn("score", F.round(similarity(F.col("distance"), compat), 6))
-    if threshold is not None:
-        scored = scored.filter(F.col("score") >= threshold)
-    return scored.join(pinned.select("vec_id").distinct(), "vec_id", "left_anti") if pinned is not None else scored
-
-
-def batch_search(vectors: DataFrame, queries: DataFrame, top: int = 4) -> DataFrame:
-    """The same nearest vectors by matrix products: (query_id, vec_id, distance), for sets of many queries.
-
-    Every row of ``vectors`` is held against all queries; a batch of vectors meets a block of
-    queries in one product, and only each task's nearest ``top`` leave it.
+    ``same_namespace`` a namespace, whose vectors alone are searched.  Every vector is held against
+    every query: queries, a stated set, are read and broadcast in blocks of about QUERIES_AT_ONCE,
+    a batch of vectors meets a block in one matrix product, and only each task's nearest leave it,
+    so no exchange moves a vector.  Vectors of length 0 have a null distance and come last; null
+    vectors are left out; equal distances go by vec_id.
     """
+    top = max(1, top)
     total = queries.count()
     blocks = max(1, -(-2 * total // QUERIES_AT_ONCE))
-    near = None
+    found = None
     for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").filter("embedding is not null").collect()
-        block = _nearest_of(vectors, rows, top)
-        near = block if near is None else near.unionByName(block)
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).filter("embedding is not null")
+        rows = block.select("query_id", "embedding", (F.col("namespace") if same_namespace else F.lit("")).cast("string").alias("namespace")).collect()
+        near = _nearest_of(vectors, rows, top, same_namespace)
+        found = near if found is None else found.unionByName(near)
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id")
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
 
 
-def _nearest_of(vectors: DataFrame, rows: list, top: int) -> DataFrame:
+def _nearest_of(vectors: DataFrame, rows: list, top: int, same_namespace: bool) -> DataFrame:
     """The nearest vectors each task finds for one block of queries."""
     ids = np.array([r.query_id for r in rows], np.int64)
     matrix = _unit(np.array([r.embedding for r in rows], np.float64)) if rows else np.empty((0, 0))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    spaces = np.array([r.namespace for r in rows], object)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, spaces))
 
-    def nearest(batches):
-        names, block = shared.value
+    def hold(batches):
+        names, block, wanted = shared.value
         best_d = np.empty((len(names), 0))
         best_v = np.empty((len(names), 0), np.int64)
         for pdf in batches:
@@ -89,19 +70,35 @@ def _nearest_of(vectors: DataFrame, rows: list, top: int) -> DataFrame:
             if not len(names) or not len(given):
                 continue
             distance = np.round(1 - block @ _unit(np.stack(given["embedding"].to_numpy()).astype(np.float64)).T, 6) + 0.0
-            d = np.concatenate((best_d, distance), 1)
-            v = np.concatenate((best_v, np.broadcast_to(given["vec_id"].to_numpy(np.int64), distance.shape)), 1)
-            order = np.lexsort((v, d), axis=1)[:, :top]
+            number = given["vec_id"].to_numpy(np.int64)
+            v = np.broadcast_to(number, distance.shape)
+            if same_namespace:
+                other = given["namespace"].to_numpy(object)[None, :] != wanted[:, None]
+                distance, v = np.where(other, np.inf, distance), np.where(other, -1, v)
+            d, v = np.concatenate((best_d, distance), 1), np.concatenate((best_v, v), 1)
+            order = np.lexsort((v, d, v < 0), axis=1)[:, :top]
             best_d, best_v = np.take_along_axis(d, order, 1), np.take_along_axis(v, order, 1)
         if best_d.size:
             k = best_d.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(names, k), "vec_id": best_v.ravel(), "distance": best_d.ravel()})
+            out = pd.DataFrame({"query_id": np.repeat(names, k), "vec_id": best_v.ravel(), "distance": best_d.ravel()})
+            out = out[out["vec_id"] >= 0] if same_namespace else out
+            yield out.assign(distance=out["distance"].astype(object).where(out["distance"].notna(), None))
+
+    space = F.col("namespace").cast("string").alias("namespace") if same_namespace else F.lit("").alias("namespace")
+    return vectors.select("vec_id", "embedding", space).mapInPandas(hold, "query_id long, vec_id long, distance double")
+
 
-    return vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, distance double")
+def search(vectors: DataFrame, queries: DataFrame, top: int = 4, threshold: float | None = 0.25, pinned: DataFrame | None = None, compat: bool = False, same_namespace: bool = False) -> DataFrame:
+    """:func:`nearest` with a score: first the nearest ``top``, then the threshold, then pinned vectors removed, so fewer may be left."""
+    scored = nearest(vectors, queries, top, same_namespace).withColumn("score", F.round(similarity(F.col("distance"), compat), 6))
+    if threshold is not None:
+        scored = scored.filter(F.col("score") >= threshold)
+    return scored.join(pinned.select("vec_id").distinct(), "vec_id", "left_anti") if pinned is not None else scored
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, np.nan, norm)
 
 
 def backfill(hits: DataFrame, history: DataFrame, n: int, pinned: DataFrame | None = None) -> DataFrame:

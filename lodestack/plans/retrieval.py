@@ -33,7 +33,7 @@ def _(t):
 def _(t):
     """Every vector whose id is divisible by 20 against all vectors, by matrix products."""
     probes_ = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return V.batch_search(vectors(t), probes_, 4).select("query_id", "vec_id", F.abs("distance").alias("distance"))
+    return V.nearest(vectors(t), probes_, 4).select("query_id", "vec_id", F.abs("distance").alias("distance"))
 
 
 @query("op83_topn_then_threshold", f"select query_id, vec_id, round(1 - distance, 6) as score from ({_near('q.vec_id < 5 and q.label = v.label', 10)}) where round(1 - distance, 6) >= 0.2 and vec_id % 7 <> 3")

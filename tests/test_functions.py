@@ -118,10 +118,16 @@ def test_search_forms_agree_and_ties(spark):
     rows = [("n", i, rng.standard_normal(8).tolist()) for i in range(200)] + [("n", 900, [0.0] * 8)]
     v = spark.createDataFrame(rows + [("n", 201, rows[3][2])], "namespace string, vec_id long, embedding array<double>")
     q = v.filter("vec_id in (3, 5)").select(F.col("vec_id").alias("query_id"), "embedding")
-    slow = {(r.query_id, r.place, r.vec_id) for r in V.search(v.filter("vec_id <> 900"), q, 5, None).collect()}
-    fast = {(r.query_id, r.place, r.vec_id) for r in V.batch_search(v.filter("vec_id <> 900"), q, 5).collect()}
-    assert slow == fast and (3, 1, 3) in slow and (3, 2, 201) in slow
-    assert V.search(v, q.limit(0), 5).count() == 0 and V.batch_search(v, q.limit(0), 5).count() == 0
+    pairs = v.crossJoin(q.select("query_id", F.col("embedding").alias("q"))).select("query_id", "vec_id", F.round(V.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("d")).collect()
+    for n in (3, 5):
+        want = sorted((1e9 if r.d is None else r.d, r.vec_id) for r in pairs if r.query_id == n)
+        for top in (5, 500):
+            got = V.nearest(v.repartition(3), q, top).filter(f"query_id = {n}").orderBy("place").collect()
+            assert [r.vec_id for r in got] == [i for _, i in want[:top]]
+    assert got[-1].distance is None and V.search(v, q, 500, None).filter("vec_id = 900 and score = 0").count() == 2
+    mine = q.withColumn("namespace", F.when(F.col("query_id") == 3, "n").otherwise("other"))
+    assert {r.query_id for r in V.search(v, mine, 5, None, same_namespace=True).collect()} == {3}
+    assert V.search(v, q.limit(0), 5).count() == 0 and V.search(v.limit(0), q, 5).count() == 0
 
 
 def test_similarity_of_distances(spark):
