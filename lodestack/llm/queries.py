@@ -116,12 +116,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_redacted, p6_containers, p6_usage, p7_found, p7_leaked_items, p7_cleaned, p8_found, p8_composition)}
 
 
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_SHOWN = r"""replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]', '\1', 'g'),
+    '(?i)\[[a-z]+://[^\s\]]+[ \t]*([^\]]*)\]', '\1', 'g'), '(?i)<(?:br|hr|p|div|li|td|tr)\b[^<>]*>', ' ', 'g'), '</?[a-zA-Z][^<>]*>|''{{2,}}', '', 'g'), '&nbsp;', ' ')"""
+
+
+def _eight_words(table: str, key: str, text: str) -> str:
+    words = f"select {key}, {_WORDS.format(_SHOWN.format(text))} as w from {table} where {text} is not null"
+    return f"select distinct {key}, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as g from ({words})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": f"""
+            with texts as (
+                select distinct 'raw_documents' as t, raw_id::varchar as k, textcontent as x from raw_documents where textcontent is not null
+                union all select distinct 'rfp_runs', run_id, draft_proposal from rfp_runs where draft_proposal is not null),
+            words as (select t, k, {_WORDS.format("x")} as w from texts),
+            grams as (select distinct t, k, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from words where len(w) >= 20),
+            sizes as (select t, k, count(*) as n from grams group by 1, 2),
+            shared as (select a.t, a.k as first_key, b.k as second_key, count(*) as s from grams a join grams b on a.t = b.t and a.g = b.g and a.k < b.k group by 1, 2, 3)
+            select s.t as table_name, s.first_key, s.second_key from shared s
+            join sizes x on x.t = s.t and x.k = s.first_key join sizes y on y.t = s.t and y.k = s.second_key
+            where 2 * s.s >= x.n + y.n - s.s
+        """,
         "p4_found": """
             select distinct r.raw_id from raw_documents r
             join size_limits d on d.profile = 'default' and d.applies_to = 'textcontent'
             left join size_limits s on s.profile = r.embed_profile and s.applies_to = 'textcontent'
             where length(r.textcontent) > coalesce(s.max_size, d.max_size)
         """,
+        "p7_found": f"""
+            with d as ({_eight_words("documents", "doc_id", "text")}), i as ({_eight_words("eval_items", "item_id", "item_text")})
+            select distinct d.doc_id, i.item_id from d join i using (g)
+        """,
     }
