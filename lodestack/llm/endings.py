@@ -23,9 +23,11 @@ from lodestack.llm.language import FUNCTION_WORDS
 
 TOKEN = re.compile(r"https?://\S+|[^\W_]+(?:[’'-][^\W_]+)*|\n|[^\w\s]")
 ITEM = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+")
-ADDED = re.compile(r"(?:\s|…|\ufffd|<!--[^<>]*-->|\[(?:\.\.\.|…|[^\[\]\n]{0,20}\b(?:truncat|cut|tronqu|abgeschnitten)[^\[\]\n]{0,30})\]|\((?:\.\.\.|…)\))+$", re.I)
+ADDED = re.compile(r"(?:\s|…|\ufffd|<!--[^<>]*-->|\[(?:\.\.\.|…|[^\[\]\n]{0,20}\b(?:truncat|cut|tronqu|abgeschnitten)[^\[\]\n]{0,30})\]|\((?:\.\.\.|…|continued|suite|fortsetzung|continúa)\)?)+$", re.I)
 CLOSED = re.compile(r"[.!?。！？:;][\"'”’»)\]*_]*$|^[\[(*_-].*[\])*_-]$")
 STRING = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?')
+PHONE = re.compile(r"(?:[+(]|\b)(?:\d[ ().\-/]{0,2}){8,14}\d(?: ?ext\.? ?\d{1,5})?$")
+SUBJECT = re.compile(r"(?:^|[,;] )(?:subject|objet|betreff|asunto): [^.:]{3,80}$", re.I)
 URL = re.compile(r"(?:https?://|www\.)\S+$")
 FLUSH = 4_000_000
 FILTER_BITS, CHUNKS = 24, 32
@@ -36,6 +38,13 @@ MIN_SEEN, MIN_SHARE, PRIOR = 3, 0.08, 6  # occurrences; share of them that end;
 LINE, LINE_SHARE = 7, 0.8  # tokens of a short line; share of the lines beginning like it that are it
 
 
+def strip_added(text: str) -> tuple[str, str]:
+    """The text without blanks and marks of a cut at its end, and those marks."""
+    from_ = max(0, len(text) - 200)
+    added = ADDED.search(text, from_)
+    return (text[: added.start()], added.group().strip()) if added else (text, "")
+
+
 def json_state(text: str) -> str | None:
     """``closed`` or ``open`` for a text that holds a JSON value from its first bracket on, else None."""
     start = re.match(r"(?:[^{}\[\]\n]{0,80}\n)?\s*(?:```\w*\s*)?(?=[{\[]\s*(?:[\"{\[\]}\d-]|$))", text)
@@ -88,9 +97,7 @@ class Ending:
 
 def examine(text: str, short: int = 4) -> Ending:
     """Structure at the end of ``text``; texts of at most ``short`` words are complete as they are."""
-    added = ADDED.search(text)
-    core = text[: added.start()] if added else text
-    tail = added.group().strip() if added else ""
+    core, tail = strip_added(text)
     if core.endswith("...") and len(core) > 3:
         core, tail = core[:-3].rstrip(), "..."
     state = json_state(core)
@@ -115,6 +122,10 @@ def examine(text: str, short: int = 4) -> Ending:
         return Ending("cut")
     if not tail and (CLOSED.search(last) or URL.search(last)):
         return Ending("complete")
+    if not tail and (last.endswith("|") or PHONE.search(last) or SUBJECT.search(last)):
+        return Ending("complete")
+    if last.rfind("[") > last.rfind("]") or last.rfind("{") > last.rfind("}"):
+        return Ending("cut")
     tokens = [t for t in TOKEN.findall(core) if t != "\n"]
     plain = [t for t in tokens if t[0].isalnum()]
     if len(plain) <= short and not tail:
@@ -123,8 +134,6 @@ def examine(text: str, short: int = 4) -> Ending:
         return Ending("complete")
     if not tokens or not tokens[-1][0].isalnum():
         return Ending("complete" if tail == "..." and tokens and tokens[-1] in ".!?" else "cut")
-    if not tail and len(plain) > 1 and plain[-1].isdigit() and plain[-2].isdigit() and len(plain[-1] + plain[-2]) > 6:
-        return Ending("complete")  # a telephone number
     item = bool(ITEM.match(lines[-1]))
     style = ""
     if item:
@@ -294,7 +303,7 @@ def evidence(texts: DataFrame, column: str, unsure: DataFrame) -> DataFrame:
             return pd.DataFrame(dict(zip(("gram", "total", "ends", "bare"), (values.view(np.int64), *counts), strict=True)))
 
         for pdf in batches:
-            texts_ = pdf["text"].tolist()
+            texts_ = [strip_added(t)[0] for t in pdf["text"]]
             for first, last in W.slices(texts_):
                 w = Words(texts_[first:last])
                 if not w.size:
