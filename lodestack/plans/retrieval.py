@@ -81,7 +81,7 @@ def _overlap_sql(q: str, x: str) -> str:
 @query("op84_rerank", f"select workspace_id, id, score from (select w.workspace_id, c.chat_id as id, {_overlap_sql('w.title', 'c.message')} as score, row_number() over (partition by w.workspace_id order by {_overlap_sql('w.title', 'c.message')} desc, c.chat_id) as place from workspaces w join {CHATS} c using (workspace_id) where c.message is not null and w.title is not null) where place <= 4")
 def _(t):
     """Chats of each workspace by a stand-in relevance score to its title, best four."""
-    df = chats(t).filter("message is not null").join(F.broadcast(t.workspaces.filter("title is not null").select("workspace_id", "title")), "workspace_id").select("workspace_id", "title", F.col("chat_id").alias("id"), "message")
+    df = chats(t).filter("message is not null").join(t.workspaces.filter("title is not null").select("workspace_id", "title"), "workspace_id").select("workspace_id", "title", F.col("chat_id").alias("id"), "message")
     return V.rerank(df, V.overlap_score(F.col("title"), F.col("message")), ["workspace_id"]).select("workspace_id", "id", "score")
 
 
