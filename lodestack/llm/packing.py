@@ -147,6 +147,6 @@ def pack_profiles(df: DataFrame, key: str, text: str, limits: DataFrame, profile
 def usage(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """(profile, containers, tokens, unused share) of packed containers."""
     per = packed.groupBy("profile").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
-    return per.join(F.broadcast(limits.select("profile", "max_size")), "profile").select(
+    return per.join(limits.select("profile", "max_size"), "profile").select(
         "profile", "containers", "tokens", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("max_size")), 6).alias("unused_share")
     )

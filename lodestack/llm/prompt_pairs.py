@@ -137,16 +137,36 @@ def defects(df: DataFrame, key: str, message: str, answer: str) -> DataFrame:
     unsure = judged.filter("defect_type is null").drop("defect_type")
     ended = endings.decide(unsure, endings.evidence(pairs, "answer", unsure), ["key", "mark"])
     limits = significant_lengths(pairs.filter(F.length("answer") >= LENGTH_FROM).select(F.lit("").alias("source"), F.length("answer").alias("length")))
-    ended = ended.join(F.broadcast(limits.select("length").distinct().withColumn("limit", F.lit(True))), "length", "left")
+    ended = ended.join(limits.select("length").distinct().withColumn("limit", F.lit(True)), "length", "left")
     truncated = ended.filter("cut or limit").select("key", F.lit("truncated").alias("defect_type"))
     shortened = shortened_versions(pairs).join(unsure.select("key", "mark"), ["key", "mark"], "left_semi").select("key", F.lit("truncated").alias("defect_type"))
     return judged.filter("defect_type is not null").select("key", "defect_type").unionByName(truncated).unionByName(shortened).distinct()
 
 
 def shortened_versions(pairs: DataFrame) -> DataFrame:
-    """Keys whose answer (of at least LENGTH_FROM characters) is a proper beginning of its next neighbour in text order."""
+    """Keys whose answer (of at least LENGTH_FROM characters) is a proper beginning of its next neighbour in text order.
+
+    Distinct answers are ordered by ranges; each task compares neighbours and hands on its first and
+    last answer, so that the few pairs across ranges are compared too.
+    """
     long = pairs.filter(F.length("answer") >= LENGTH_FROM)
-    order = Window.partitionBy("head").orderBy("answer")
-    texts = long.select("answer").distinct().withColumn("head", F.substring("answer", 1, LENGTH_FROM)).withColumn("next", F.lead("answer").over(order))
-    short = texts.filter(F.expr("startswith(next, answer)")).select("answer")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = None
+        for pdf in batches:
+            short = []
+            for answer in pdf["answer"]:
+                if last is not None and answer.startswith(last):
+                    short.append(last)
+                first = answer if first is None else first
+                last = answer
+            yield pd.DataFrame({"short": short, "first": None, "last": None})
+        if last is not None:
+            yield pd.DataFrame({"short": [None], "first": [first], "last": [last]})
+
+    ordered = long.select("answer").distinct().repartitionByRange("answer").sortWithinPartitions("answer")
+    found = cut(ordered.mapInPandas(compare, "short string, first string, last string"))
+    edges = found.filter("first is not null").withColumn("next", F.lead("first").over(Window.orderBy("first")))  # a row a range
+    crossing = edges.filter(F.expr("startswith(next, last)")).select("last")
+    short = found.filter("short is not null").select(F.col("short").alias("answer")).union(crossing)
     return long.join(short, "answer", "left_semi").select("key", "mark")

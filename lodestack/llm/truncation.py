@@ -84,7 +84,7 @@ def cut_values(df: DataFrame, key: str, source: str, fields: list[str]) -> DataF
     units = F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))
     name = F.concat_ws("\t", F.coalesce("origin", F.lit("\0")), "field", "u.unit")
     lengths = seen.filter("chars > 0").withColumn("u", F.explode(units)).select(name.alias("source"), "u.length")
-    limits = F.broadcast(significant_lengths(lengths).select("source", "length"))
+    limits = significant_lengths(lengths).select("source", "length")
     ids = ["key", "field", "mark"]
     unsure = seen.filter("state = 'unsure'")
     judged = endings.decide(unsure, endings.evidence(values, "value", unsure), ids).select(*ids, "origin", "cut")

@@ -47,6 +47,10 @@ def test_shortened_versions(spark):
     from pyspark.sql import functions as F
 
     assert [r.key for r in P.shortened_versions(df.withColumn("mark", F.lit(1))).collect()] == [2]
+    texts = sorted({f"{'x' * 40}{i:03b}"[:n] for i in range(8) for n in (41, 42, 43)})
+    many = spark.createDataFrame([(i, "q", t) for i, t in enumerate(texts)], "key long, message string, answer string").withColumn("mark", F.lit(1))
+    want = {i for i, t in enumerate(texts) if any(o != t and o.startswith(t) for o in texts)}
+    assert {r.key for r in P.shortened_versions(many).collect()} == want
 
 
 @pytest.mark.parametrize(("text", "lang"), [("What is the price of it?", "en"), ("Quel est le prix de la charte ?", "fr"), ("Was kostet der Mietvertrag?", "de"), ("¿Qué dice el pliego sobre la nota?", "es"), ("46 x 12", None), ("", None)])
