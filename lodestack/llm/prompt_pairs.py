@@ -160,9 +160,10 @@ def shortened_versions(pairs: DataFrame) -> DataFrame:
                     short.append(last)
                 first = answer if first is None else first
                 last = answer
-            yield pd.DataFrame({"short": short, "first": None, "last": None})
+            if short:
+                yield pd.DataFrame({"short": short, "first": [None] * len(short), "last": [None] * len(short)}, dtype=object)
         if last is not None:
-            yield pd.DataFrame({"short": [None], "first": [first], "last": [last]})
+            yield pd.DataFrame({"short": [None], "first": [first], "last": [last]}, dtype=object)
 
     ordered = long.select("answer").distinct().repartitionByRange("answer").sortWithinPartitions("answer")
     found = cut(ordered.mapInPandas(compare, "short string, first string, last string"))
