@@ -31,16 +31,14 @@ EXAMPLES, EPOCHS, RATE = 1600, 6, 0.5
 
 # Given names, lower case, without regard to accents.
 GIVEN = frozenset(
-    """adam adele agnes ahmed aisha alain albert alejandro alex alexander alice amelie amina ana andre andrea andreas angela anita anna anne anouk anton antonio ali
-    aurelie baptiste beatriz ben benoit bernard bianca brigitte bruno camille carla carlos carmen carolina catherine cecile chiara chloe christian christine claire clara claude
-    claudia cristina dagmar daniel daniela darius david diana diego dieter dmitri dominique edith eduardo elena elias elisa elise emil emilia emma enrique erik ernst esther eva
-    fabien farid fatima fatou felix fernando florian francois frank franz frida gabriel gerard gilles giulia greta guillaume gustav hana hannah hans hassan heike heinz helena helene
-    henri hugo ibrahim idris ilse ines ingrid irene isabel ivan jack jacques james jan jana javier jean jens joana joao johan johanna john jonas jordan jorge jose josef juan judith
-    julia julie jurgen karim karin karl katarina kofi klaus laura lars leila lena leon leonie liam lina lisa louis louise lucas lucia luis luisa lukas malgorzata manuel marc marco
-    marek margarita maria marie mario markus marta martin martina mathilde max mehmet michael michel miguel mireille miriam mohamed monika nadia natalia nicolas nicole nils nina noah
-    nora olaf olga oliver olivier omar oscar pablo patricia paul paula pedro petra philippe pierre quentin rachel rania raul rene robert roberto rosa samir samuel sandra sara sarah
-    sebastian serge sergio silvia simon sofia sophie stefan susanne tarek teresa tessa theo thomas tobias tomas ulla ulrich ursula valerie vera victor victoria viktor vincent wanda
-    werner wim wolfgang xavier yara yasmin yusuf yves zeno zoe""".split()
+    """adam ahmed aisha alex alexander alice amina ana andre andrea andreas angela anna anouk anton ali baptiste beatriz ben benoit bernard bruno carlos catherine chiara
+    chloe christian claire clara daniel darius david dmitri eduardo elena elias elisa elise emil emilia emma esther eva farid fatima fatou felix fernando francois frank
+    gabriel gilles greta hana hannah hans hassan helene hugo ibrahim idris ines ingrid isabel jacques james jana jean joana joao johan johanna
+    john jonas jordan jorge jose josef juan julia julie jurgen karim karin katarina kofi klaus laura lars leila lena leon liam lisa louis louise
+    lucas lucia luis luisa lukas malgorzata manuel marc marco marek margarita maria marie mario markus marta martin martina mathilde max mehmet michael michel miguel
+    mireille miriam mohamed monika nadia natalia nicolas nicole nils nina noah nora olaf olga oliver olivier omar oscar pablo patricia paul paula pedro petra philippe
+    pierre quentin rachel rania raul rene robert roberto rosa samir samuel sandra sara sarah sebastian serge sergio silvia simon sofia sophie stefan susanne tarek teresa
+    tessa theo thomas tobias tomas ulla ulrich ursula valerie vera victor victoria viktor vincent wanda werner wim wolfgang xavier yara yasmin yusuf yves zeno zoe""".split()
 )
 # Endings of surnames, titles, particles and kinds of streets.
 SURNAME = tuple("ado oglu strom ström en ier ward kamp ska ski vic vić dze etti elli ala aris aux eau hurst quist mann son sen ez ini ova ov off stein berg bauer meyer mayer man".split())
