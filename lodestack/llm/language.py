@@ -18,20 +18,26 @@ LANGUAGE_NAMES = {
     "es": "spanish espagnol spanisch spanische español espanol castellano",
 }
 
-_WORDS = {lang: frozenset(w.split()) for lang, w in FUNCTION_WORDS.items()}
+_SPEAKS: dict[str, list[str]] = {}
+for _lang, _words in FUNCTION_WORDS.items():
+    for _word in set(_words.split()):
+        _SPEAKS.setdefault(_word, []).append(_lang)
 _NAMES = {name: lang for lang, names in LANGUAGE_NAMES.items() for name in names.split()}
 _TOKEN = re.compile(r"[^\W\d_]+")
 _REQUEST = re.compile(r"\b(?:in|into|to|en|auf|ins|al|a|to be)\s+(?:\w+\s+)?(" + "|".join(sorted(_NAMES)) + r")\b")
-_LETTERS = {"fr": "àâçèêëîïôûùœ", "de": "äöüß", "es": "ñ¿¡óáíú"}
+_LETTERS = {"fr": re.compile("[àâçèêëîïôûùœ]"), "de": re.compile("[äöüß]"), "es": re.compile("[ñ¿¡óáíú]")}
 
 
 def detect(text: str) -> str | None:
     """The language with the most function words; None where no word speaks for one or two are level."""
     lowered = text.lower()
-    tokens = _TOKEN.findall(lowered)
-    score = {lang: float(sum(t in words for t in tokens)) for lang, words in _WORDS.items()}
-    for lang, letters in _LETTERS.items():
-        score[lang] += 0.5 * min(2, sum(lowered.count(c) for c in letters))
+    score = dict.fromkeys(FUNCTION_WORDS, 0.0)
+    for languages in filter(None, map(_SPEAKS.get, _TOKEN.findall(lowered))):
+        for lang in languages:
+            score[lang] += 1
+    if not lowered.isascii():
+        for lang, letters in _LETTERS.items():
+            score[lang] += 0.5 * min(2, len(letters.findall(lowered)))
     first, second = sorted(score.values(), reverse=True)[:2]
     return max(score, key=score.get) if first > second else None
 

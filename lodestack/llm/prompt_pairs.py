@@ -22,6 +22,8 @@ from lodestack.session import cut
 
 THINK = re.compile(r"<(think|thinking|thought|reasoning)>.*?(?:</\1>|\Z)", re.S | re.I)
 TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&nbsp;")
+# Control and format characters, and blanks of other widths.
+INVISIBLE = re.compile("[\\x00-\\x08\\x0b-\\x1f\\x7f-\\xa0\\xad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\u3164\\ufe00-\\ufe0f\\ufeff\\uffa0\\ufff9-\\ufffb]")
 WORD = re.compile(r"[^\W_]+")
 # Placeholders that stand for no answer, compared without case, spaces and punctuation.
 PLACEHOLDERS = frozenset("na,null,nil,nan,empty,noneprovided,notprovided,noanswer,noresponse,noanswerprovided,tbd,todo,tba,placeholder,undefined,blank,noresponseprovided,nocontent,keineantwort,keineangabe,ka,sansréponse,nonrenseigné,vide,sinrespuesta,vacío,leer,pasderéponse".split(","))
@@ -49,8 +51,9 @@ LENGTH_FROM = 40
 
 def visible(answer: str) -> str:
     """The part of an answer that a reader sees: no reasoning, tags or invisible characters."""
-    text = TAG.sub(" ", THINK.sub(" ", answer))
-    return "".join(c if c.isprintable() or c in "\n\t" else " " for c in text).strip()
+    if "<" in answer or "&" in answer:
+        answer = TAG.sub(" ", THINK.sub(" ", answer))
+    return INVISIBLE.sub(" ", answer).strip()
 
 
 def is_empty(shown: str) -> bool:
@@ -72,6 +75,9 @@ def is_copy(message: str, shown: str) -> bool:
     asked, said = WORD.findall(message.lower()), WORD.findall(shown.lower())
     if len(asked) < 2 or len(said) < 2:
         return asked == said and bool(said)
+    if len(set(asked).difference(said)) > 0.15 * len(asked):
+        joined = "".join(asked)
+        return len(joined) > 8 and "".join(said) == joined
     spare, extra = Counter(asked), []
     rounds = max(1, round(len(said) / len(asked)))
     for w in spare:
