@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 import pandas as pd
@@ -58,7 +59,7 @@ def _(t):
 @query("op104_path_template", "select event_id, 'k=' || (props ->> '$.k') || ' ${missing}' as filled from events where json_valid(props) and (props ->> '$.k') is not null")
 def _(t):
     held = t.events.filter("props is not null").filter(J.path("props", "$.k").isNotNull())
-    return held.select("event_id", _text(lambda p: J.substitute("k=${k} ${missing}", __import__("json").loads(p)), "props").alias("filled"))
+    return held.select("event_id", _text(lambda p: J.substitute("k=${k} ${missing}", json.loads(p)), "props").alias("filled"))
 
 
 @query("op121_json_repair")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.operators import relational as R
 from lodestack.operators import windows as W
 from lodestack.plans.registry import query
 from lodestack.plans.relational import CHATS, chats

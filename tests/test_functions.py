@@ -130,6 +130,22 @@ def test_search_forms_agree_and_ties(spark):
     assert V.search(v, q.limit(0), 5).count() == 0 and V.search(v.limit(0), q, 5).count() == 0
 
 
+def test_backfill_takes_hits_first_then_newest_history(spark):
+    hits = spark.createDataFrame([("q", 1, 0.9, "a", 1), ("q", 2, 0.8, "b", 2)], "key string, id long, score double, text string, place long")
+    past = [("q", 2, 0.5, "b", 9, 0), ("q", 3, 0.5, "c", 7, 0), ("q", 4, 0.5, "d", 8, 0), ("q", 5, None, "e", 9, 0), ("q", 6, 0.5, None, 9, 0), ("q", 7, 0.5, "g", 9, 0), ("r", 1, 0.4, "z", 1, 0)]
+    history = spark.createDataFrame(past, "key string, id long, score double, text string, turn long, place long")
+    pinned = spark.createDataFrame([("q", 7)], "key string, id long")
+    got = {(r.key, r.id, r.origin) for r in V.backfill(hits, history, 3, pinned).collect()}
+    assert got == {("q", 1, 0), ("q", 2, 0), ("q", 4, 1), ("r", 1, 1)}
+    assert V.backfill(hits.limit(0), history.limit(0), 3).count() == 0
+
+
+def test_rerank(spark):
+    df = spark.createDataFrame([("k", i, t) for i, t in enumerate(["risk vault", "vault", "risk vault", "none"])], "k string, id long, text string")
+    got = V.rerank(df, V.overlap_score(F.lit("the risk and the vault"), F.col("text")), ["k"], 3).orderBy("place").collect()
+    assert [r.id for r in got] == [0, 2, 1] and got[0].score == got[1].score == 0.5
+
+
 def test_similarity_of_distances(spark):
     df = spark.createDataFrame([(None,), (1.4,), (-0.2,), (0.3,)], "d double").select(V.similarity(F.col("d")).alias("s"), V.similarity(F.col("d"), True).alias("c"))
     assert [(round(r.s, 6), round(r.c, 6)) for r in df.collect()] == [(0, 0), (-0.4, 1), (0.8, 0.8), (0.7, 0.7)]
