@@ -105,13 +105,14 @@ def backfill(hits: DataFrame, history: DataFrame, n: int, pinned: DataFrame | No
     """(key, id, score, text, origin): search hits first, then sources of the history newest first, at most ``n`` a key.
 
     hits: (key, id, score, text, place); history: (key, id, score, text, turn, place).  A source
-    needs a score and a text, is taken once, and never where it is pinned.
+    needs a score and a text, is taken once, and never where it is pinned: (key, id), or (id) for all keys.
     """
     a = hits.select("key", "id", "score", "text", F.lit(0).alias("origin"), F.lit(0).cast("long").alias("age"), F.col("place").cast("long").alias("place"))
     b = history.filter("score is not null and text is not null").select("key", "id", "score", "text", F.lit(1).alias("origin"), (-F.col("turn")).cast("long").alias("age"), F.col("place").cast("long").alias("place"))
     both = a.unionByName(b)
     if pinned is not None:
-        both = both.join(pinned.select("key", "id").distinct(), ["key", "id"], "left_anti")
+        on = [c for c in ("key", "id") if c in pinned.columns]
+        both = both.join(pinned.select(*on).distinct(), on, "left_anti")
     first = both.groupBy("key", "id").agg(F.min(F.struct("origin", "age", "place", "score", "text")).alias("s")).select("key", "id", "s.*")
     place = F.row_number().over(Window.partitionBy("key").orderBy("origin", "age", "place", "id"))
     return first.withColumn("_n", place).filter(F.col("_n") <= n).select("key", "id", "score", "text", "origin")

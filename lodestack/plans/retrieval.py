@@ -15,28 +15,22 @@ def vectors(t):
     return t.embeddings.select(F.col("label").alias("namespace"), "vec_id", "embedding")
 
 
-def probes(t, ids=(0, 1, 2, 3, 4)):
-    return t.embeddings.filter(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("namespace"))
+def probes(t):
+    """The query vectors: every vector whose id is divisible by 20."""
+    return t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("namespace"))
 
 
 def _near(condition: str, top: int, where: str = "true") -> str:
     return f"select q.vec_id as query_id, v.vec_id, v.label, {DISTANCE} as distance, row_number() over (partition by q.vec_id order by {DISTANCE}, v.vec_id) as place from embeddings v join embeddings q on {condition} where {where} qualify place <= {top}"
 
 
-@query("op53_vector_topk", f"select query_id, vec_id, abs(distance) as distance, place::int as place from ({_near('q.vec_id < 5', 4)})")
+@query("op53_vector_topk", f"select query_id, vec_id, abs(distance) as distance, place::int as place from ({_near('q.vec_id % 20 = 0', 4)})")
 def _(t):
-    """The four nearest vectors of five query vectors over the whole collection."""
+    """The four nearest vectors of each query vector over the whole collection."""
     return V.search(vectors(t), probes(t).drop("namespace"), 4, None).select("query_id", "vec_id", F.abs("distance").alias("distance"), "place")
 
 
-@query("op53_all_queries", f"select query_id, vec_id, abs(distance) as distance from ({_near('q.vec_id % 20 = 0', 4)})")
-def _(t):
-    """Every vector whose id is divisible by 20 against all vectors, by matrix products."""
-    probes_ = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return V.nearest(vectors(t), probes_, 4).select("query_id", "vec_id", F.abs("distance").alias("distance"))
-
-
-@query("op83_topn_then_threshold", f"select query_id, vec_id, round(1 - distance, 6) as score from ({_near('q.vec_id < 5 and q.label = v.label', 10)}) where round(1 - distance, 6) >= 0.2 and vec_id % 7 <> 3")
+@query("op83_topn_then_threshold", f"select query_id, vec_id, round(1 - distance, 6) as score from ({_near('q.vec_id % 20 = 0 and q.label = v.label', 10)}) where round(1 - distance, 6) >= 0.2 and vec_id % 7 <> 3")
 def _(t):
     pinned = t.embeddings.filter("vec_id % 7 = 3").select("vec_id")
     return V.search(vectors(t), probes(t), 10, 0.2, pinned, same_namespace=True).select("query_id", "vec_id", "score")
@@ -61,15 +55,15 @@ def _(t):
 
 @query(
     "op92_source_backfill",
-    f"""with hits as (select query_id as key, vec_id as id, round(1 - distance, 6) as score, place from ({_near('q.vec_id < 5', 4)}) where 1 - distance >= 0.3 and vec_id % 5 <> 1),
-    hist as (select q.vec_id as key, v.vec_id as id, 0.5 as score, v.vec_id as turn from embeddings q join embeddings v on v.label = q.label where q.vec_id < 5 and v.vec_id % 5 <> 1),
+    f"""with hits as (select query_id as key, vec_id as id, round(1 - distance, 6) as score, place from ({_near('q.vec_id % 20 = 0', 4)}) where 1 - distance >= 0.3 and vec_id % 5 <> 1),
+    hist as (select q.vec_id as key, v.vec_id as id, 0.5 as score, v.vec_id as turn from embeddings q join embeddings v on v.label = q.label where q.vec_id % 20 = 0 and v.vec_id % 5 <> 1),
     b as (select key, id, score, 0 as origin, 0 as age, place from hits union all select key, id, score, 1, -turn, 0 from hist), f as (select *, row_number() over (partition by key, id order by origin, age, place) r from b),
     n as (select *, row_number() over (partition by key order by origin, age, place, id) k from f where r = 1) select key, id, score::double as score, origin::int as origin from n where k <= 8""",
 )
 def _(t):
     hits = V.search(vectors(t), probes(t).drop("namespace"), 4, 0.3).select(F.col("query_id").alias("key"), F.col("vec_id").alias("id"), "score", F.lit("hit").alias("text"), "place")
     past = probes(t).select(F.col("query_id").alias("key"), "namespace").join(vectors(t), "namespace").select("key", F.col("vec_id").alias("id"), F.lit(0.5).alias("score"), F.lit("past").alias("text"), F.col("vec_id").alias("turn"), F.lit(0).alias("place"))
-    pins = probes(t).select(F.col("query_id").alias("key")).crossJoin(t.embeddings.filter("vec_id % 5 = 1").select(F.col("vec_id").alias("id")))
+    pins = t.embeddings.filter("vec_id % 5 = 1").select(F.col("vec_id").alias("id"))
     return V.backfill(hits, past, 8, pins).select("key", "id", "score", "origin")
 
 
@@ -85,7 +79,7 @@ def _(t):
     return V.rerank(df, V.overlap_score(F.col("title"), F.col("message")), ["workspace_id"]).select("workspace_id", "id", "score")
 
 
-@query("op152_knowledge_block", f"select query_id, coalesce(string_agg('- From [' || label || ']: ' || vec_id, chr(10) order by place) filter (where 1 - distance >= 0.5), 'none found') as block from ({_near('q.vec_id < 5', 3)}) group by 1")
+@query("op152_knowledge_block", f"select query_id, coalesce(string_agg('- From [' || label || ']: ' || vec_id, chr(10) order by place) filter (where 1 - distance >= 0.5), 'none found') as block from ({_near('q.vec_id % 20 = 0', 3)}) group by 1")
 def _(t):
     near = V.search(vectors(t), probes(t).drop("namespace"), 3, None).join(t.embeddings.select("vec_id", "label"), "vec_id")
     line = F.when(F.col("score") >= 0.5, F.struct("place", F.concat(F.lit("- From ["), F.col("label").cast("string"), F.lit("]: "), F.col("vec_id").cast("string")).alias("text")))
@@ -100,7 +94,7 @@ def _(t):
 
 @query("op149_query_context")
 def _(t):
-    """Query-mode context of five questions: pinned vectors, hits above the threshold, backfill, refusal where nothing is left."""
+    """Query-mode context of each question: pinned vectors, hits above the threshold, backfill, refusal where nothing is left."""
     hits = V.search(vectors(t), probes(t), 4, 0.3, same_namespace=True)
     source = hits.select(F.col("query_id").alias("key"), F.col("vec_id").alias("id"), "score", F.lit("hit").alias("text"), "place")
     past = probes(t).select(F.col("query_id").alias("key"), "namespace").join(vectors(t), "namespace").select("key", F.col("vec_id").alias("id"), F.lit(0.3).alias("score"), F.lit("past").alias("text"), F.col("vec_id").alias("turn"), F.lit(0).alias("place"))
