@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +70,10 @@ def _sets(pdf: pd.DataFrame, n: int, min_words: int, ranks: np.ndarray | None =
         )
 
 
+def _press(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 1)
+
+
 def _signatures(owner: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, size, signature) of each record's set; equal sets have equal signatures."""
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, np.int64)
@@ -92,10 +97,10 @@ def _sketch(records: DataFrame, n: int, min_words: int) -> tuple[np.ndarray, int
             step = len(total) // SKETCH_CHUNKS
             for k in range(SKETCH_CHUNKS):
                 chunk = total[k * step : (k + 1) * step]
-                yield pd.DataFrame({"chunk": [k], "total": [int(chunk.sum())], "counts": [np.minimum(chunk, 65535).astype("<u2").tobytes()]})
+                yield pd.DataFrame({"chunk": [k], "total": [int(chunk.sum())], "counts": [_press(np.minimum(chunk, 65535).astype("<u2").tobytes())]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = sum(np.frombuffer(b, "<u2").astype(np.int64) for b in pdf["counts"])
+        counts = sum(np.frombuffer(zstandard.decompress(b), "<u2").astype(np.int64) for b in pdf["counts"])
         ranks = np.where(counts < 2, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(counts, 1) / 2)))).astype(np.uint8)
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "total": [int(pdf["total"].sum())], "ranks": [ranks.tobytes()]})
 
@@ -131,7 +136,7 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
                 each = np.diff(np.append(np.flatnonzero(fresh), len(mine)))
                 low = (ids[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
                 columns = (np.array([len(mine), len(heads)], "<u4"), sig[heads].astype("<u8"), size[heads].astype("<u4"), each.astype("<u4"), low, (ids[mine] >> np.uint64(32)).astype("<u2"), (at[mine] & 0xFFFF).astype("<u2"), (at[mine] >> 16).astype("<u2"))
-                out.append((int(b), b"".join(x.tobytes() for x in columns)))
+                out.append((int(b), _press(b"".join(x.tobytes() for x in columns))))
             return pd.DataFrame(out, columns=["bucket", "blob"])
 
         for pdf in batches:
@@ -158,6 +163,7 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    blob = zstandard.decompress(blob)
     count, heads = map(int, np.frombuffer(blob, "<u4", 2))
     place = 8
 
