@@ -1,8 +1,8 @@
 """Where texts stop: structure at the end of a text and corpus evidence for complete endings.
 
 A text whose last character closes a sentence, table row, code block or JSON value is complete by
-its structure; of a closed JSON value, the strings that begin like sentences are looked at too.
-For any other, the last words are held against how the same words go on in all
+its structure; of a closed JSON value, the strings that begin like sentences are looked at too, and
+text that follows it is judged as prose.  For any other, the last words are held against how the same words go on in all
 texts: words that sentences never end with, or a word no other text has, show a cut.
 """
 
@@ -26,6 +26,8 @@ ITEM = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+")
 ADDED = re.compile(r"(?:\s|…|\ufffd|<!--[^<>]*-->|\[(?:\.\.\.|…|[^\[\]\n]{0,20}\b(?:truncat|cut|tronqu|abgeschnitten)[^\[\]\n]{0,30})\]|\((?:\.\.\.|…|continued|suite|fortsetzung|continúa)\)?)+$", re.I)
 CLOSED = re.compile(r"[.!?。！？:;][\"'”’»)\]*_]*$|^[\[(*_-].*[\])*_-]$")
 STRING = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?')
+JSON = re.compile(r"(?:[^{}\[\]\n]{0,80}\n)?\s*(?:```\w*\s*)?(?=[{\[]\s*(?:[\"{\[\]}\d-]|$))")
+FENCE = re.compile(r"\s*(?:```)?\s*")
 PHONE = re.compile(r"(?:[+(]|\b)(?:\d[ ().\-/]{0,2}){8,14}\d(?: ?ext\.? ?\d{1,5})?$")
 SUBJECT = re.compile(r"(?:^|[,;] )(?:subject|objet|betreff|asunto): [^.:]{3,80}$", re.I)
 URL = re.compile(r"(?:https?://|www\.)\S+$")
@@ -45,13 +47,14 @@ def strip_added(text: str) -> tuple[str, str]:
     return (text[: added.start()], added.group().strip()) if added else (text, "")
 
 
-def json_state(text: str) -> str | None:
-    """``closed`` or ``open`` for a text that holds a JSON value from its first bracket on, else None."""
-    start = re.match(r"(?:[^{}\[\]\n]{0,80}\n)?\s*(?:```\w*\s*)?(?=[{\[]\s*(?:[\"{\[\]}\d-]|$))", text)
+def json_state(text: str, at: int = 0) -> tuple[str, int] | None:
+    """``closed`` or ``open`` for a text that from ``at`` on holds a JSON value after at most one line, and where the value ends; else None."""
+    start = JSON.match(text, at)
     if not start:
         return None
     depth, quoted, escaped = 0, False, False
-    for c in text[start.end() :]:
+    for i in range(start.end(), len(text)):
+        c = text[i]
         if quoted:
             if escaped:
                 escaped = False
@@ -66,8 +69,8 @@ def json_state(text: str) -> str | None:
         elif c in "}]":
             depth -= 1
             if depth == 0:
-                return "closed"
-    return "open"
+                return "closed", i + 1
+    return "open", len(text)
 
 
 def unfinished_string(text: str) -> str | None:
@@ -100,10 +103,22 @@ def examine(text: str, short: int = 4) -> Ending:
     core, tail = strip_added(text)
     if core.endswith("...") and len(core) > 3:
         core, tail = core[:-3].rstrip(), "..."
-    state = json_state(core)
-    if state:
-        inner = unfinished_string(core) if state == "closed" else None
-        return examine(inner, 2) if inner else Ending("cut" if state == "open" else "complete")
+    at = end = 0
+    while value := json_state(core, at):
+        state, end = value
+        if state == "open":
+            return Ending("cut")
+        at = FENCE.match(core, end).end()
+    if at < len(core) or not end:
+        after = _prose(core, tail, short)
+        if after.state != "complete":
+            return after
+    inner = unfinished_string(core[:end])
+    return examine(inner, 2) if inner else Ending("complete")
+
+
+def _prose(core: str, tail: str, short: int) -> Ending:
+    """The ending of a text that is not, or not only, a JSON value."""
     if core.count("```") % 2:
         return Ending("cut")
     if core.endswith("```"):

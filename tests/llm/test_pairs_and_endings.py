@@ -70,6 +70,18 @@ def test_examine(text, state):
     assert endings.examine(text).state == state
 
 
+@pytest.mark.parametrize(
+    ("text", "state"),
+    [
+        ('## Summary\n\n{"lot": 3} The office closed it.\n* Costs of...', "unsure"), ('{"lot": 3} The office closed the', "unsure"), ('```json\n{"lot": 3}\n```\nThe office closed the', "unsure"),
+        ('{"lot": 3}\n{"note": [\n1, 2', "cut"), ('{"lot": 3} The office closed it.', "complete"), ('{"lot": 3}\n\n```  \n', "complete"), ('{"note": "The office closed the"} It is open.', "unsure"),
+        ('{"lot": 3}\n' * 3000, "complete"), ('{"lot": 3}\n' * 3000 + "The office closed the", "unsure"),
+    ],
+)
+def test_text_after_a_json_value(text, state):
+    assert endings.examine(text).state == state
+
+
 def test_significant_lengths(spark):
     rows = [("s", n) for n in range(100, 400) for _ in range(2)] + [("s", 250)] * 60 + [("t", n) for n in range(100, 400)]
     got = T.significant_lengths(spark.createDataFrame(rows, "source string, length int")).collect()
