@@ -105,8 +105,19 @@ def _(t):
     return raw(t).join(removed, "raw_id", "left_anti").select("raw_id", "title", (F.col("raw_id") % 3 == 0).alias("pinned"))
 
 
+def store_listing(t):
+    from lodestack.operators.relational import counted
+
+    return counted(t.workspaces.select("workspace_id", "title"), raw(t), "workspace_id", "workspace_id", "documents")
+
+
 @query("op171_store_listing", f"select w.workspace_id, w.title, count(d.raw_id) as documents from workspaces w left join {RAW} d on d.workspace_id = w.workspace_id group by 1, 2 order by 1 limit 20")
 def _(t):
-    from lodestack.operators.relational import counted
+    """The first 20 workspaces only; op171_store_listing_whole has every one."""
+    return store_listing(t).orderBy("workspace_id").limit(20)
+
 
-    return counted(t.workspaces.select("workspace_id", "title"), raw(t), "workspace_id", "workspace_id", "documents").orderBy("workspace_id").limit(20)
+@query("op171_store_listing_whole", f"select w.workspace_id, w.title, count(d.raw_id) as documents from workspaces w left join {RAW} d on d.workspace_id = w.workspace_id group by 1, 2 order by 1")
+def _(t):
+    """Every workspace in one answer, as the listing has no further pages."""
+    return store_listing(t).orderBy("workspace_id")

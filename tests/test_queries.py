@@ -43,6 +43,11 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() >= 0
 
 
+def test_store_listing_is_whole(spark, duck):
+    got = [r.workspace_id for r in catalog.queries()["op171_store_listing_whole"](spark, DATA).collect()]
+    assert got == [w for (w,) in duck.execute("select workspace_id from workspaces order by 1").fetchall()] and len(got) > 20
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) % 4 == 0 and {r.place for r in rows} == {1, 2, 3, 4} and all(r.query_id % 20 == 0 for r in rows)
