@@ -213,9 +213,19 @@ def _(t):
     return t.rfp_runs.select("run_id", "run_status", F.unix_micros("created_at").alias("created_us")).distinct().orderBy(F.desc("created_us"), "run_id")
 
 
+def listing_by_size(t):
+    return t.raw_documents.groupBy("raw_id").agg(F.max(F.length("textcontent")).alias("size")).orderBy(F.desc_nulls_last("size"), "raw_id")
+
+
 @query("op87_listing_by_size", "select raw_id, max(length(textcontent)) as size from raw_documents group by 1 order by size desc nulls last, raw_id limit 100")
 def _(t):
-    return t.raw_documents.groupBy("raw_id").agg(F.max(F.length("textcontent")).alias("size")).orderBy(F.desc_nulls_last("size"), "raw_id").limit(100)
+    """The 100 largest documents only; op87_listing_by_size_whole has every one."""
+    return listing_by_size(t).limit(100)
+
+
+@query("op87_listing_by_size_whole", "select raw_id, max(length(textcontent)) as size from raw_documents group by 1 order by size desc nulls last, raw_id")
+def _(t):
+    return listing_by_size(t)
 
 
 @query("op89_union_distinct", "select title as name from raw_documents where title is not null union select page_title from documents where page_title is not null")

@@ -48,6 +48,14 @@ def test_store_listing_is_whole(spark, duck):
     assert got == [w for (w,) in duck.execute("select workspace_id from workspaces order by 1").fetchall()] and len(got) > 20
 
 
+def test_listing_by_size_is_whole(spark, tmp_path):
+    rows = [(i, "x" * (i % 7) if i % 50 else None) for i in range(150)]
+    spark.createDataFrame(rows + rows[:9], "raw_id long, textcontent string").write.parquet(str(tmp_path / "raw_documents.parquet"))
+    got = [(r.raw_id, r.size) for r in catalog.queries()["op87_listing_by_size_whole"](spark, str(tmp_path)).collect()]
+    want = sorted(((i, None if t is None else len(t)) for i, t in rows), key=lambda x: (-1 if x[1] is None else x[1]) * -1000 + x[0])
+    assert got == want
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) % 4 == 0 and {r.place for r in rows} == {1, 2, 3, 4} and all(r.query_id % 20 == 0 for r in rows)
