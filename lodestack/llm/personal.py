@@ -1,8 +1,8 @@
 """Personal information in free text: a semi-Markov conditional random field over candidate spans.
 
 A text is segmented into personal data (email, phone, id_number, address, name) and the rest.  Only
-spans that could be personal data (by a character pattern or a given name) are segments with
-features; all else scores nothing, so the lattice of a text is as long as its candidates are many.
+spans that could be personal data (by a character pattern or capital letters) are segments with
+features; whether a given name is a listed one is a feature too.  All else scores nothing, so the lattice of a text is as long as its candidates are many.
 Features look at the whole span (its shape, digits, case, the suffix of a surname) and at the words
 around it; a transition feature looks at the entity that ended just before.  Boundaries and types
 are chosen jointly by dynamic programming over the lattice, in which a segment has at most MAX_SPAN
@@ -20,25 +20,37 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.language import FUNCTION_WORDS
+
 TYPES = ("email", "phone", "id_number", "address", "name")
 MAX_SPAN, BACK, NEAR = 120, 8, 12
 EXAMPLES, EPOCHS, RATE = 1600, 6, 0.5
 
+
+def plain(word: str) -> str:
+    word = word.lower().replace("ł", "l")
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 # Given names, lower case, without regard to accents.
 GIVEN = frozenset(
-    """adam ahmed aisha alex alexander alice amina ana andre andrea andreas angela anna anouk anton ali baptiste beatriz ben benoit bernard bruno carlos catherine chiara
-    chloe christian claire clara daniel darius david dmitri eduardo elena elias elisa elise emil emilia emma esther eva farid fatima fatou felix fernando francois frank
-    gabriel gilles greta hana hannah hans hassan helene hugo ibrahim idris ines ingrid isabel jacques james jana jean joana joao johan johanna
-    john jonas jordan jorge jose josef juan julia julie jurgen karim karin katarina kofi klaus laura lars leila lena leon liam lisa louis louise
-    lucas lucia luis luisa lukas malgorzata manuel marc marco marek margarita maria marie mario markus marta martin martina mathilde max mehmet michael michel miguel
-    mireille miriam mohamed monika nadia natalia nicolas nicole nils nina noah nora olaf olga oliver olivier omar oscar pablo patricia paul paula pedro petra philippe
-    pierre quentin rachel rania raul rene robert roberto rosa samir samuel sandra sara sarah sebastian serge sergio silvia simon sofia sophie stefan susanne tarek teresa
-    tessa theo thomas tobias tomas ulla ulrich ursula valerie vera victor victoria viktor vincent wanda werner wim wolfgang xavier yara yasmin yusuf yves zeno zoe""".split()
+    """adam adele agnes ahmed aisha alain albert alejandro alex alexander alice amelie amina ana andre andrea andreas angela anita anna anne anouk anton antonio ali
+    aurelie baptiste beatriz ben benoit bernard bianca brigitte bruno camille carla carlos carmen carolina catherine cecile chiara chloe christian christine claire clara claude
+    claudia cristina dagmar daniel daniela darius david diana diego dieter dmitri dominique edith eduardo elena elias elisa elise emil emilia emma enrique erik ernst esther eva
+    fabien farid fatima fatou felix fernando florian francois frank franz frida gabriel gerard gilles giulia greta guillaume gustav hana hannah hans hassan heike heinz helena helene
+    henri hugo ibrahim idris ilse ines ingrid irene isabel ivan jack jacques james jan jana javier jean jens joana joao johan johanna john jonas jordan jorge jose josef juan judith
+    julia julie jurgen karim karin karl katarina kofi klaus laura lars leila lena leon leonie liam lina lisa louis louise lucas lucia luis luisa lukas malgorzata manuel marc marco
+    marek margarita maria marie mario markus marta martin martina mathilde max mehmet michael michel miguel mireille miriam mohamed monika nadia natalia nicolas nicole nils nina noah
+    nora olaf olga oliver olivier omar oscar pablo patricia paul paula pedro petra philippe pierre quentin rachel rania raul rene robert roberto rosa samir samuel sandra sara sarah
+    sebastian serge sergio silvia simon sofia sophie stefan susanne tarek teresa tessa theo thomas tobias tomas ulla ulrich ursula valerie vera victor victoria viktor vincent wanda
+    werner wim wolfgang xavier yara yasmin yusuf yves zeno zoe""".split()
 )
 # Endings of surnames, titles, particles and kinds of streets.
 SURNAME = tuple("ado oglu strom ström en ier ward kamp ska ski vic vić dze etti elli ala aris aux eau hurst quist mann son sen ez ini ova ov off stein berg bauer meyer mayer man".split())
@@ -63,17 +75,30 @@ INITIALS = re.compile(r"(?<![\w.])[A-ZÀ-Þ]\. ?(?:[A-ZÀ-Þ]\. ?)?(?=(?:" + PAR
 FAMILY = re.compile(rf"(?:[ \t]+[A-ZÀ-Þ]\.)?(?:[ \t]+{PARTICLE})*[ \t]+([^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)?)", re.I)
 LAST = re.compile(rf"(?:{PARTICLE}\s+)?([A-ZÀ-Þ][\w'’-]+)")
 BEFORE = re.compile(rf"(?:({PARTICLE}[ \t]+)?([A-ZÀ-Þ][\w'’]*(?:-[A-ZÀ-Þ][\w'’]*)?)(,?)[ \t]+)$")
+CAPITAL = r"[A-ZÀ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*"
+CAPITALISED = re.compile(CAPITAL)
+NAME_BEFORE = re.compile(rf"({CAPITAL})[ \t]+$")
+BETWEEN = re.compile(rf"[ \t]+(?:[A-ZÀ-Þ]\.[ \t]+)?(?:{PARTICLE}[ \t]+)?")
+TITLES = frozenset("mr mrs ms miss mx dr prof sir mme mlle m mm monsieur madame herr herrn frau sr sra srta don doña señor señora".split())
+# Closings of letters, and what stands between a name and a contact.
+CLOSING = re.compile(r"(?:regards|sincerely|faithfully|wishes|thanks|cordialement|salutations|grüßen|grüsse|grüße|saludos?|atentamente)[,.!]?\s*$", re.I)
+ALONE = re.compile(rf"\n[ \t]*({CAPITAL})[ \t]*(?=\r?\n|$)")
+TITLED_BY = re.compile(rf"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Mme|Mlle|M(?!\.)|MM|Monsieur|Madame|Herr|Herrn|Frau|Sr|Sra|Srta|Don|Doña|Señor|Señora)\.?[ \t]+({PARTICLE}[ \t]+)?")
+STREET = re.compile(rf"(?:{NUMBERED})\.?", re.I)
+CONTACT = re.compile(r"[ \t]*[<(:,/|][ \t]*(?:[\w.+-]{1,64}@\w|\+?\(?\d[\d ().-]{6,}\d)")
+LABELS = frozenset("tel telefon telephone telefono phone mobile mobil fax email mail courriel correo contact kontakt contacto call appelez durchwahl poste hotline".split())
+WORDS_OF_NAME = 4
+# Words that begin sentences before a place or a month, months, and what stands before a contact.
+COMMON = frozenset(plain(w) for words in FUNCTION_WORDS.values() for w in words.split()) | frozenset(
+    """in on at by for from between to as until since near within per en entre pour a dans des depuis vers selon chez para desde hasta segun hacia zwischen fur bis laut seit bei nach aus unter january february march april may june
+    july august september october november december janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre januar februar marz juni juli oktober dezember""".split()
+)
 WORD = re.compile(r"[^\W\d_]+")
 GIVEN_TRIGGER = re.compile(r"[A-ZÀ-Þ][^\W\d_]{1,12}")
 
 Span = tuple[int, int, str, list[str]]
 
 
-def plain(word: str) -> str:
-    word = word.lower().replace("ł", "l")
-    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
-
-
 def _shape(value: str) -> str:
     return re.sub(r"[^\W\d_]", "A", re.sub(r"\d", "9", re.sub(r"[   ]", " ", value)))
 
@@ -167,13 +192,80 @@ def _names(text: str) -> Iterator[Span]:
     for m in INITIALS.finditer(text):
         after = LAST.match(text, m.end())
         if after:
-            yield m.start(), after.end(), "name", features(m.start(), after.end(), "initial", after.group(1))
+            before = NAME_BEFORE.search(text, max(0, m.start() - 24), m.start())
+            follows = f"initial:follows={bool(before and not _word(before.group(1))[2])}"
+            yield m.start(), after.end(), "name", [*features(m.start(), after.end(), "initial", after.group(1)), follows]
             second = re.search(r"[A-ZÀ-Þ]\. ?$", m.group()[2:])
             if second:  # the first may be an abbreviated title
                 start = m.start() + 2 + second.start()
                 yield start, after.end(), "name", features(start, after.end(), "initial", after.group(1))
 
 
+@lru_cache(100_000)
+def _word(word: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether a word is a listed given name, ends like a surname, is a common word, a label of a contact, in capitals."""
+    w = plain(word)
+    return w in GIVEN or w.split("-")[0] in GIVEN, w.endswith(SURNAME), w in COMMON, w in LABELS, word.isupper() and len(word) > 1
+
+
+def _capitalised(text: str) -> Iterator[Span]:
+    """Runs of capitalised words, single ones after a title, in a signature or before a contact, and pairs about a comma."""
+
+    def features(start: int, end: int, form: str, words: list[str]) -> list[str]:
+        title = bool(TITLE.search(text, max(0, start - 12), start))
+        kinds = [_word(w) for w in words]
+        listed, inner, known = kinds[0][0], any(k[0] for k in kinds[1:]), kinds[-1][1]
+        before = text[max(0, start - 12) : start].rstrip(" \t*#|_\"'(-")
+        opening = not before or before[-1] in ".!?:;\n"
+        common = "label" if any(k[3] for k in kinds) else kinds[0][2]
+        upper = sum(k[4] for k in kinds)
+        case = "all" if upper == len(words) else "first" if kinds[0][4] and upper == 1 else "some" if upper else "none"
+        after = text[end : end + 2].lstrip(" \t")[:1]
+        follow = "9" if after.isdigit() else "end" if not after or after.isspace() else _follow(text, end)
+        street = bool(STREET.fullmatch(words[-1]))
+        return [
+            f"form={form}", f"{form}:title={title}", f"{form}:listed={listed}", f"{form}:inner={inner}", f"{form}:family={known}", f"{form}:common={common}", f"{form}:case={case}", f"{form}:words={len(words)}", f"{form}:opening={opening}",
+            f"{form}:title,words={title},{len(words)}", f"{form}:opening,title={opening},{title}", f"{form}:listed,family={listed},{known}", f"{form}:next={follow}", f"{form}:street={street}", *(f"{form}:{f}" for f in _around(text, start, end)),
+        ]
+
+    places = [m.span() for m in CAPITALISED.finditer(text)]
+    run: list[tuple[int, int]] = []  # the words of the run so far
+    for n, (start, end) in enumerate(places):
+        prior = text[start - 1 : start]
+        free = not (prior.isalnum() or prior and prior in "_@.＠/'’-")
+        if run and not (text[run[-1][1] : start] == " " or (start - run[-1][1] < 24 and BETWEEN.fullmatch(text, run[-1][1], start))):
+            run = []
+        following = text[end : end + 1]
+        if (not run and not free) or following.isdigit() or (following and following in "_@＠"):
+            run = []
+            continue
+        word = text[start:end]
+        if n and word.lower() not in TITLES and text[slice(*places[n - 1])].lower() in TITLES and start - places[n - 1][1] < 24:
+            lead = TITLED_BY.fullmatch(text, *(places[n - 1][0], start))
+            if lead:
+                at = lead.start(1) if lead.group(1) else start
+                yield at, end, "name", features(at, end, "single", [word])
+        run.append((start, end))
+        del run[:-WORDS_OF_NAME]
+        part = [text[x:y] for x, y in run] if len(run) > 1 else []
+        for i in range(len(part) - 2, -1, -1):
+            if part[i].lower() in TITLES or part[-1].lower() in TITLES:
+                break
+            if max(map(len, part[i:])) > 1 and len(part[-1]) > 1:
+                yield run[i][0], end, "name", features(run[i][0], end, "open", part[i:])
+        if free and following in "<(:,/|" or text[end + 1 : end + 2] in "<(/|":
+            if CONTACT.match(text, end):
+                yield start, end, "name", features(start, end, "contact", [word])
+            if following == "," and n + 1 < len(places) and len(word) > 1 and places[n + 1][0] - end < 4 and text[end + 1 : places[n + 1][0]].strip(" \t") == "" and text[end + 1] in " \t":
+                given = text[slice(*places[n + 1])]
+                after = text[places[n + 1][1] : places[n + 1][1] + 1]
+                if len(given) > 1 and not after.isdigit() and after not in ("_", "@", "＠"):
+                    yield start, places[n + 1][1], "name", features(start, places[n + 1][1], "comma", [given, word])
+    for m in ALONE.finditer(text):
+        if CLOSING.search(text, max(0, m.start() - 20), m.start()):
+            yield m.start(1), m.end(1), "name", features(m.start(1), m.end(1), "signed", [m.group(1)])
+
+
 def _follow(text: str, end: int) -> str:
     m = re.match(r"\s+([^\W\d_]+)", text[end : end + 24])
     if not m:
@@ -182,12 +274,15 @@ def _follow(text: str, end: int) -> str:
 
 
 def candidates(text: str) -> list[Span]:
-    """Possible entities with their features, ordered by start; of equal spans of one type the first."""
+    """Possible entities with their features, ordered by start; of equal spans of one source the first, of two sources the features of both."""
     found: dict[tuple[int, int, str], list[str]] = {}
-    for source in (_emails, _numbers, _addresses, _names):
+    for source in (_emails, _numbers, _addresses, _names, _capitalised):
+        own: dict[tuple[int, int, str], list[str]] = {}
         for start, end, kind, features in source(text):
             if end - start <= MAX_SPAN:
-                found.setdefault((start, end, kind), features)
+                own.setdefault((start, end, kind), features)
+        for key, features in own.items():
+            found[key] = found[key] + features if key in found else features
     return sorted(((s, e, k, f) for (s, e, k), f in found.items()), key=lambda c: (c[0], c[1], c[2]))
 
 
@@ -249,13 +344,16 @@ Rückfragen an {N}, Telefon {P}, bis Montag.|Herr {N} wohnt {A}.|Bitte an {A} se
 NEGATIVE = """Order no. {k} was paid.|Reference RFP-2024-{k} replaces order no. {d} {d} {n}.|Invoice 2024/06/{n}/{d} covers {d} units.|Meter {d}-{d}-{n} counted 1 250 000,00 units on {n}/{n}/2021.|It runs release 10.{n}.2.{n} with patch {k}.|Build hash 9f{d}c{d}e and serial ZK-{d}-{d} belong to it.|
 Grid point 48.{d}, 2.{d} marks the {o}.|Follow @desk_{c} or read https://docs.{c}.example/guide/{n}.|Version {n}.{n}, May 2026.|The Harbour Lane depot and the Castle Hill yard share one {o}.|Chapter {n} of the Avenue plan and box {n} of {c}.|Costs in {c} rose by {n} percent in 2021.|Of {d} users in {c}, {d} still wait.|
 {B} & {B} Partners signed under standard ISO 27001:2013.|{g} Bridge Logistics and {g} Valley Water closed it.|Item {r} links the {o} to {d} cases.|Le lot {n} coûte {d} EUR à {c}.|Zwischen {c} und {c} zählt man {d} Punkte.|Tracking code {r}-{d}, ticket {d}{d}.|In {c}, {d} sites of {c} changed on {n} May 2020.|Annexes: A, B, C|{d};{c};{d};{c}|Account {d}{d}{d}, batch {d}-{n}|the {g} Street school|Saint {g} Square is closed|ISBN 978-{n}-{d}-{d}-1|Room {n} at Station Road|{n} copies of the road survey|Lot {n} of {c} Road Survey costs {d}|{d} units at 12.50 each|{n} sites by the street|EUR {d} {d},00 due""".replace("|\n", "|").split("|")
+# Templates of names that no list has ({S}urname alone) and of other capitalised words ({C}, after a common word {F}).
+TITLED = """Dear Mr {S},\nthe {o} is due.|Mrs. {S} keeps the {o}.|Ask Dr {S} or Ms {S}.|Mme {S} répond lundi.|Frau {S} prüft es.|Herr {S} kommt morgen.|La Sra. {S} llega hoy.|Prof. {S} wrote to {E}.|{S} ({P}) keeps the {o}.|Telefon {P}, Fax ({P})|Kontakt, {E}|Mobile / {P}|Contact: {E}|Best regards,\n{S}""".split("|")
+CAPITALS = """## {C} {C}\n\nThe {o} follows.|**{C} {C}**: {d} units|The {C} {C} keeps the {o}.|In {c}, the {C} {C} opened {d} sites.|{C} {C} Ltd won lot {n}.|{C} {c} and {c} the {o} moved.|{C} {c} zählt man {d} Punkte.|{C} {c}, {d} sites changed.|{F} {C}, the {o} moved.|\n\n{F} {c} and {c}, the {o} failed.|{o}. {F} {C} {n}, the {o} failed.|{F} {C} {n} moved.|{C} {r} links the {o} to {d} cases.|Der {C} prüft die {C} in {c}.|La {C} {C} ouvre en {C}.|{C} {C}\n\nThe {o} was late.|- {C} {C}: {n}|{C}, {c} and {c}|{c}, {c}, {C}|{C} {C} {C} of {c} {n}|see {C} {C} for the {o}|from {C} {c} to {c}|The {C} Lane {o} of {C} {C} Partners|at the {C} {C}.|{C} {C} Logistics signed it.|{C} {C} described the {o}.|{C} {C} is a {o}.|for {C} {c}, {n} sites|[{C} {C} {C}]|- {F} {c}, the {o} failed.|. {F} {c}, le {C} {n}|- {F} {c} and {c}, {d} sites|{F} {c}, die {o}|{F} {c} et {c}, le lot {n}|{o}. {F} {c}, {d} sites""".split("|")
 
 
-def _examples(count: int, seed: int = 11) -> Iterator[tuple[str, set[tuple[int, int, str]]]]:
-    """Labelled sentences drawn from the templates."""
+def _examples(count: int, seed: int = 11, outside: bool = False) -> Iterator[tuple[str, set[tuple[int, int, str]]]]:
+    """Labelled sentences drawn from the templates; ``outside``: with names outside the list and more capitalised words."""
     r = random.Random(seed)
     syllables = "ba de fi go hu ka le mi no pu ra se ti vo wu xa ye zo bra cle dri fro gli kra ple tri".split()
-    given = sorted(GIVEN)
+    given, common = sorted(GIVEN), sorted(COMMON)
 
     def made(n: int = 2) -> str:
         return "".join(r.choice(syllables) for _ in range(n))
@@ -267,8 +365,13 @@ def _examples(count: int, seed: int = 11) -> Iterator[tuple[str, set[tuple[int,
         out = (made() + r.choice(SURNAME)).capitalize()
         return out + "-" + (made() + r.choice(SURNAME)).capitalize() if r.random() < 0.15 else out
 
+    def surname() -> str:
+        return family() if r.random() < 0.5 else made(r.choice((1, 2, 2, 3))).capitalize()
+
     def name() -> str:
         g, f, x = r.choice(given).capitalize(), family(), r.random()
+        if outside and r.random() < 0.5:  # a surname of any ending, mostly after a given name outside the list
+            g, f = g if r.random() < 0.3 else made(r.choice((1, 2, 2, 3))).capitalize(), surname()
         if x < 0.55:
             return f"{g} {f}"
         if x < 0.63:
@@ -312,13 +415,13 @@ def _examples(count: int, seed: int = 11) -> Iterator[tuple[str, set[tuple[int,
             out = f"Calle {r.choice(['del', 'de la', 'de los'])} {w}, {n}"
         return out
 
-    slots = {"N": (name, "name"), "E": (email, "email"), "P": (phone, "phone"), "I": (identity, "id_number"), "A": (address, "address")}
+    slots = {"N": (name, "name"), "S": (surname, "name"), "E": (email, "email"), "P": (phone, "phone"), "I": (identity, "id_number"), "A": (address, "address")}
     fill = {
         "o": lambda: r.choice(["meter reading", "risk log", "budget line", "pilot site"]), "c": lambda: made(3).capitalize(), "n": lambda: str(r.randrange(1, 60)), "d": lambda: num("9999"),
-        "k": lambda: num("555-9999") if r.random() < 0.5 else num("999-999"), "r": lambda: f"{r.choice('ABKZ')}{r.choice('CDPT')}-{r.randrange(100, 9999)}", "B": lambda: family(), "g": lambda: r.choice(given).capitalize(),
+        "k": lambda: num("555-9999") if r.random() < 0.5 else num("999-999"), "r": lambda: f"{r.choice('ABKZ')}{r.choice('CDPT')}-{r.randrange(100, 9999)}", "B": lambda: family(), "g": lambda: r.choice(given).capitalize(), "F": lambda: r.choice(common).capitalize(), "C": lambda: (made(r.choice((1, 2, 3))) + r.choice(["", r.choice(SURNAME)])).capitalize(),
     }
     for i in range(count):
-        template = r.choice(POSITIVE if i % 2 else NEGATIVE)
+        template = r.choice((POSITIVE, NEGATIVE, POSITIVE + TITLED, NEGATIVE + CAPITALS)[1 - i % 2 + 2 * outside])
         text, truth = "", set()
         for part in re.split(r"(\{\w\})", template):
             key = part[1:-1] if re.fullmatch(r"\{\w\}", part) else ""
@@ -328,13 +431,13 @@ def _examples(count: int, seed: int = 11) -> Iterator[tuple[str, set[tuple[int,
                 text += value
             else:
                 text += fill[key]() if key in fill else part
-        yield text, truth
+        yield text if truth or not outside or r.random() > 0.15 else text.upper(), truth
 
 
 def train(count: int = EXAMPLES, epochs: int = EPOCHS, seed: int = 11) -> Tagger:
     """Weights that maximise the likelihood of the labelled sentences (Adagrad, L2)."""
     data = []
-    for text, truth in _examples(count, seed):
+    for text, truth in chain(_examples(count, seed), _examples(count, seed, outside=True)):
         spans = sorted(candidates(text), key=lambda c: (c[1], c[0]))
         gold = []
         for start, kind in sorted(truth):

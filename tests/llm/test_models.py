@@ -34,6 +34,25 @@ def test_redaction(tagger, text, want):
     assert personal.redact(text, tagger.find(text)) == want
 
 
+OUTSIDE = "Priya Sharma,Wei Zhang,Kwame Okonkwo,Siobhan Murphy,Hiroshi Tanaka,Linh Nguyen,Svetlana Orlova,Thandiwe Dlamini,Rohan Gupta,Ioana Popescu,Bjarne Lund,Ewa Nowak".split(",")
+PLACES = ["According to {}, the risk log was late.", "Please contact {} at k@w.example.", "Kind regards,\n{}", "Ms {} signed the risk log.", "We met {} near the pilot site today.", "Joindre {} au +33 6 39 98 00 11 si besoin.", "Laut {} ist alles bereit."]
+
+
+def test_names_outside_the_list(tagger):
+    assert not {personal.plain(n.split()[0]) for n in OUTSIDE} & personal.GIVEN
+    texts = [(p.format(n), p.index("{}"), len(n)) for n in OUTSIDE for p in PLACES]
+    texts += [(p.format(n.split()[1]), p.index("{}"), len(n.split()[1])) for n in OUTSIDE for p in ("Please ask Mr {} about it.", "Dear Mrs. {},", "Herr {} kommt morgen.", "Best regards,\n{}")]
+    found = sum((at, at + size, "name") in tagger.find(text) for text, at, size in texts)
+    assert found > 0.9 * len(texts)
+    for text in ("## Executive Summary\n\n## Work Plan\n\nThe office closed.", "In December 2012, Victoria Bridge Logistics moved.", "Between Vispedorf and Lund", "Die Vergabestelle prüft den Mietvertrag.", "TEAM PROFILES PENDING"):
+        assert not tagger.find(text)
+
+
+@pytest.mark.parametrize("name", ["Karl Weber", "Claudia Hansen", "Diego Ruiz", "Ernst Vogel", "Carmen Vega"])
+def test_common_given_names(tagger, name):
+    assert tagger.find(f"Please contact {name} at k@w.example.")[0] == (15, 15 + len(name), "name")
+
+
 def test_positions_count_code_points(spark, tagger):
     rows = [("t", "1", "😀 é mail a.b@post.example ok"), ("t", "1", "😀 é mail a.b@post.example ok"), ("t", "2", None), ("t", "3", "x " * 100_000)]
     df = spark.createDataFrame(rows, "part string, key string, text string").withColumn("value", F.lit(0))
