@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
 SITE = re.compile(r"\[[a-z]+://[^\s\]]+[ \t]*([^\]]*)\]", re.I)
 BREAK = re.compile(r"<(?:br|hr|p|div|li|td|tr)\b[^<>]*>", re.I)
+BLANK = re.compile("&nbsp;")
 INLINE = re.compile(r"</?[a-zA-Z][^<>]*>|'{2,}")
 WORD = re.compile(r"[^\W_]+")
-#: What :func:`spans` skips inside a text and inside a word, and what separates words.
-PIECE = re.compile(r"(?P<skip>\[\[(?:[^\[\]|]*\|)+(?=[^\[\]|]*\]\])|\[\[|\]\]|\[[a-z]+://[^\s\]]+[ \t]*(?=[^\]]*\])|</?(?!br\b|hr\b|p\b|div\b|li\b|td\b|tr\b)[a-zA-Z][^<>]*>|'{2,})|(?P<gap>&nbsp;|<[a-zA-Z][^<>]*>)|(?P<word>[^\W_]+)|(?P<other>.)", re.S | re.I)
 BLOCK = 2_000_000  # n-grams of the test items broadcast at once
 
 
@@ -123,20 +122,26 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     return found.groupBy("key", "item").agg(F.max("windows").alias("windows"))
 
 
+def _traced(text: str) -> tuple[str, list[int]]:
+    """``shown(text).lower()`` and the position in ``text`` of each of its characters."""
+    places = list(range(len(text)))
+    for pattern, fill in ((LINK, None), (SITE, None), (BREAK, " "), (INLINE, ""), (BLANK, " ")):
+        parts, kept, at = [], [], 0
+        for m in pattern.finditer(text):
+            parts += text[at : m.start()], m.group(1) if fill is None else fill
+            kept += places[at : m.start()] + (places[m.start(1) : m.end(1)] if fill is None else places[m.start() : m.start() + len(fill)])
+            at = m.end()
+        if at:
+            text, places = "".join(parts) + text[at:], kept + places[at:]
+    lower = text.lower()
+    return lower, places if len(lower) == len(text) else [p for c, p in zip(text, places, strict=True) for _ in c.lower()]
+
+
 def spans(text: str, grams: Grams) -> list[tuple[int, int]]:
     """Character ranges of a text that hold the items' n-grams, merged where they overlap or touch."""
-    tokens, places, joined = [], [], False
-    for m in PIECE.finditer(text):
-        if m.lastgroup == "word":
-            if joined:
-                tokens[-1] += m.group().lower()
-                places[-1] = (places[-1][0], m.end())
-            else:
-                tokens.append(m.group().lower())
-                places.append((m.start(), m.end()))
-            joined = True
-        elif m.lastgroup != "skip":
-            joined = False
+    seen, at = _traced(text)
+    found = list(WORD.finditer(seen))
+    tokens, places = [m.group() for m in found], [(at[m.start()], at[m.end() - 1] + 1) for m in found]
     out: list[tuple[int, int]] = []
     for first, _ in grams.hits(tokens):
         start, end = places[first][0], places[first + grams.n - 1][1]
@@ -155,8 +160,9 @@ def _cutter(shared, mode: str):
                 return t
             if mode == "documents":
                 return "\0"
-            for start, end in reversed(spans(t, shared.value)):
-                t = t[:start] + t[end:]
+            while ranges := spans(t, shared.value):  # what a cut brings together may be a passage again
+                for start, end in reversed(ranges):
+                    t = t[:start] + t[end:]
             return t
 
         return texts.map(one)

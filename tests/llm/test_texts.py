@@ -68,6 +68,24 @@ def test_leaks(spark):
     assert {r.key for r in leaks.remove_leaks(docs, "key", "text", items, "item", "text", mode="documents").collect()} == {3, 4, 5}
 
 
+@pytest.mark.parametrize("tag", ["</p>", "</div>", "</td>", "</li>", "</tr >", "</b>", "<p>", "<br/>", " </p> "])
+def test_no_hit_is_left_after_cutting(tag):
+    grams = leaks.Grams([(1, "keeper of seven lamps walks past nine doors"), (2, "keeper of seven lampswalks past nine doors now")], 8)
+    text = f"x keeper of seven lamps{tag}walks past nine doors now y"
+    assert grams.hits(leaks.words(text))
+    for start, end in reversed(leaks.spans(text, grams)):
+        text = text[:start] + text[end:]
+    assert not grams.hits(leaks.words(text))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "c", " ", "</p>", "<p>", "</b>", "''", "[[x|", "[[", "]]", "[http://a b", "]", "&nbsp;", "<br>", "<", "</", "İ", "Σ"]), max_size=12))
+def test_traced_words_are_the_words(parts):
+    text = "".join(parts)
+    seen, places = leaks._traced(text)
+    assert leaks.WORD.findall(seen) == leaks.words(text) and len(seen) == len(places) and places == sorted(places)
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK", 1)
     items = spark.createDataFrame(ITEMS, "item long, text string")
