@@ -73,8 +73,9 @@ def json_state(text: str, at: int = 0) -> tuple[str, int] | None:
     return "open", len(text)
 
 
-def unfinished_string(text: str) -> str | None:
-    """The first string of a JSON value that begins like a sentence (capital, three words) and has no end of one."""
+def unfinished_strings(text: str) -> list[str]:
+    """The strings of a JSON value that begin like a sentence (capital, three words) and have no end of one."""
+    out = []
     for m in STRING.finditer(text):
         if m.group(1):
             continue  # a key
@@ -84,8 +85,8 @@ def unfinished_string(text: str) -> str | None:
             continue
         value = value.strip()
         if value[:1].isupper() and len(value) > 15 and len(value.split()) > 2 and not CLOSED.search(value) and not URL.search(value):
-            return value
-    return None
+            out.append(value)
+    return out
 
 
 @dataclass
@@ -99,7 +100,16 @@ class Ending:
 
 
 def examine(text: str, short: int = 4) -> Ending:
-    """Structure at the end of ``text``; texts of at most ``short`` words are complete as they are."""
+    """Structure at the end of ``text``; the first of its endings."""
+    return endings(text, short)[0]
+
+
+def endings(text: str, short: int = 4) -> list[Ending]:
+    """The endings of ``text`` that decide: one that is cut, else all that are unsure, else one that is complete.
+
+    A text has its own ending and those of the strings in its JSON values.  Texts of at most
+    ``short`` words are complete as they are.
+    """
     core, tail = strip_added(text)
     if core.endswith("...") and len(core) > 3:
         core, tail = core[:-3].rstrip(), "..."
@@ -107,14 +117,15 @@ def examine(text: str, short: int = 4) -> Ending:
     while value := json_state(core, at):
         state, end = value
         if state == "open":
-            return Ending("cut")
+            return [Ending("cut")]
         at = FENCE.match(core, end).end()
-    if at < len(core) or not end:
-        after = _prose(core, tail, short)
-        if after.state != "complete":
-            return after
-    inner = unfinished_string(core[:end])
-    return examine(inner, 2) if inner else Ending("complete")
+    found = [_prose(core, tail, short)] if at < len(core) or not end else []
+    for inner in unfinished_strings(core[:end]) if end else []:
+        found.extend(endings(inner, 2))
+    for state in ("cut", "unsure"):
+        if some := [e for e in found if e.state == state]:
+            return some if state == "unsure" else some[:1]
+    return [Ending("complete")]
 
 
 def _prose(core: str, tail: str, short: int) -> Ending:

@@ -119,7 +119,7 @@ def defects(df: DataFrame, key: str, message: str, answer: str) -> DataFrame:
                 said, asked = said or "", asked or ""
                 shown = visible(said)
                 if is_empty(shown):
-                    out.append((k, mark, "empty_answer", None, None, None, None, 0))
+                    out.append((k, mark, "empty_answer", None, None, None, None, 0, 0))
                     continue
                 kinds = []
                 copied = bool(asked.strip()) and is_copy(asked, shown)
@@ -129,19 +129,18 @@ def defects(df: DataFrame, key: str, message: str, answer: str) -> DataFrame:
                     kinds.append("refusal")
                 if asked.strip() and is_other_language(asked, shown):
                     kinds.append("other_language")
-                end = endings.examine(shown) if not copied else None
-                if end and end.state == "cut":
+                ends = endings.endings(shown) if not copied else []
+                if ends and ends[0].state == "cut":
                     kinds.append("truncated")
-                out.extend((k, mark, kind, None, None, None, None, 0) for kind in kinds)
-                if end and end.state == "unsure":
-                    cores.append((k, mark, end, len(said)))
-            for (k, mark, end, size), (grams, digits) in zip(cores, endings.last_grams([c[2].core for c in cores]), strict=True):
-                out.append((k, mark, None, grams, digits, end.item, end.style, size))
-            yield pd.DataFrame(out, columns=["key", "mark", "defect_type", "grams", "digits", "item", "style", "length"])
-
-    judged = cut(pairs.mapInPandas(judge, f"key {kind}, mark long, defect_type string, grams array<long>, digits boolean, item boolean, style string, length int"))
+                out.extend((k, mark, kind, None, None, None, None, 0, 0) for kind in kinds)
+                cores.extend((k, mark, end, len(said), which) for which, end in enumerate(ends) if end.state == "unsure")
+            for (k, mark, end, size, which), (grams, digits) in zip(cores, endings.last_grams([c[2].core for c in cores]), strict=True):
+                out.append((k, mark, None, grams, digits, end.item, end.style, size, which))
+            yield pd.DataFrame(out, columns=["key", "mark", "defect_type", "grams", "digits", "item", "style", "length", "which"])
+
+    judged = cut(pairs.mapInPandas(judge, f"key {kind}, mark long, defect_type string, grams array<long>, digits boolean, item boolean, style string, length int, which int"))
     unsure = judged.filter("defect_type is null").drop("defect_type")
-    ended = endings.decide(unsure, endings.evidence(pairs, "answer", unsure), ["key", "mark"])
+    ended = endings.decide(unsure, endings.evidence(pairs, "answer", unsure), ["key", "mark", "which"])
     limits = significant_lengths(pairs.filter(F.length("answer") >= LENGTH_FROM).select(F.lit("").alias("source"), F.length("answer").alias("length")))
     ended = ended.join(limits.select("length").distinct().withColumn("limit", F.lit(True)), "length", "left")
     truncated = ended.filter("cut or limit").select("key", F.lit("truncated").alias("defect_type"))

@@ -68,26 +68,27 @@ def cut_values(df: DataFrame, key: str, source: str, fields: list[str]) -> DataF
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ends = [endings.examine(v) for v in pdf["value"]]
-            last = iter(endings.last_grams([e.core for e in ends if e.state == "unsure"]))
-            grams = [next(last) if e.state == "unsure" else (None, None) for e in ends]
+            ends = [endings.endings(v) for v in pdf["value"]]
+            last = iter(endings.last_grams([e.core for found in ends for e in found if e.state == "unsure"]))
+            unsure = [[(*next(last), e.item, e.style) for e in found if e.state == "unsure"] for found in ends]
             yield pd.DataFrame(
                 {
                     "key": pdf["key"], "mark": pdf["mark"], "field": pdf["field"], "origin": pdf["origin"],
-                    "state": [e.state for e in ends], "grams": [g for g, _ in grams], "digits": [d for _, d in grams],
-                    "item": [e.item for e in ends], "style": [e.style for e in ends],
+                    "state": [found[0].state for found in ends],
+                    "ends": [[dict(zip(("grams", "digits", "item", "style"), e, strict=True)) for e in found] for found in unsure],
                     "chars": [len(v) for v in pdf["value"]], "bytes": [len(v.encode("utf-8", "replace")) for v in pdf["value"]],
                 }
             )
 
-    seen = cut(values.mapInPandas(look, f"key {kind}, mark long, field string, origin string, state string, grams array<long>, digits boolean, item boolean, style string, chars int, bytes int"))
+    seen = cut(values.mapInPandas(look, f"key {kind}, mark long, field string, origin string, state string, ends array<struct<grams: array<long>, digits: boolean, item: boolean, style: string>>, chars int, bytes int"))
     units = F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))
     name = F.concat_ws("\t", F.coalesce("origin", F.lit("\0")), "field", "u.unit")
     lengths = seen.filter("chars > 0").withColumn("u", F.explode(units)).select(name.alias("source"), "u.length")
     limits = significant_lengths(lengths).select("source", "length")
     ids = ["key", "field", "mark"]
-    unsure = seen.filter("state = 'unsure'")
-    judged = endings.decide(unsure, endings.evidence(values, "value", unsure), ids).select(*ids, "origin", "cut")
+    unsure = seen.filter("state = 'unsure'").select(*ids, "origin", F.posexplode("ends").alias("which", "end")).select(*ids, "origin", "which", "end.*")
+    decided = endings.decide(unsure, endings.evidence(values, "value", unsure), [*ids, "which"])
+    judged = decided.groupBy(*ids, "origin").agg(F.bool_or("cut").alias("cut"))
     here = seen.withColumn("u", F.explode(units)).withColumn("source", name).select(*ids, "origin", "state", "source", F.col("u.length").alias("length"))
     limit = here.join(limits, ["source", "length"], "left_semi").select(*ids, "origin").distinct().withColumn("at_limit", F.lit(True))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*ids, "origin")]

@@ -82,6 +82,17 @@ def test_text_after_a_json_value(text, state):
     assert endings.examine(text).state == state
 
 
+def test_every_string_of_a_json_value(spark):
+    sound, torn = "Harbour office closed it in May", "The harbour office closed it in Ma"
+    filler = [(f"w{i}", "mail", f"Town{i} is open.\n{sound}\nAll is well.") for i in range(30)]
+    rows = [("both", "mail", f'{{"title": "{sound}", "note": "{torn}"}}'), ("sound", "mail", f'{{"title": "{sound}", "note": "{sound}"}}')]
+    assert len(endings.endings(rows[0][2])) == 2
+    df = spark.createDataFrame(filler + rows, "key string, origin string, value string")
+    assert {r.key for r in T.cut_values(df, "key", "origin", ["value"]).filter("cut").collect()} == {"both"}
+    pairs = spark.createDataFrame([(i, "Which annex is it?", v) for i, (_, _, v) in enumerate(filler + rows)], "key long, message string, answer string")
+    assert {tuple(r) for r in P.defects(pairs, "key", "message", "answer").collect()} == {(30, "truncated")}
+
+
 def test_significant_lengths(spark):
     rows = [("s", n) for n in range(100, 400) for _ in range(2)] + [("s", 250)] * 60 + [("t", n) for n in range(100, 400)]
     got = T.significant_lengths(spark.createDataFrame(rows, "source string, length int")).collect()
