@@ -31,6 +31,11 @@ PLACEHOLDERS = frozenset("na,null,nil,nan,empty,noneprovided,notprovided,noanswe
 REFUSAL = re.compile(
     r"""(?:^|(?<=[.!?:,;\n]\s)|(?<=\n)|(?<=^["“«]))\W*(?:(?:sorry|apologies|regrettably|unfortunately|i'm\s+sorry|i\ am\ sorry|i\ apologi[sz]e|as\ an?\ (?:ai\ |language\ )*(?:assistant|model)|désolée?|malheureusement|leider|lo\ siento|lamentablemente|je\ suis\ désolée?|es\ tut\ mir\ leid|tut\ mir\ leid|entschuldigung|nothing\ in\ this\ \w+\ lets\ me\ answer)[,.!:;]?\s*(?:but\s+|mais\s+|aber\s+|pero\s+)?)*
     (?:(?:i|we)(?:\ (?:can\s*not|can't|could\ not|couldn't|won't|will\ not|am\ not|'m\ not|are\ not|must|have\ to|need\ to|would|would\ rather|prefer|decline|refuse|do\ not|don't)|'m\ (?:un|not\ )able|\ am\ unable|\ are\ unable|'d\ rather)\b(?!\ overstate).{0,40}?\b(?:help|assist|answer|comply|share|discuss|comment|decline|refuse|provide|respond|able|say|talk|speak|reveal|fulfil\w*|process|not)\b
+    |(?:i|we)(?:\ (?:can\s*not|can't|could\ not|couldn't|may\ not|won't|will\ not)|(?:'m|\ am|'re|\ are)\ (?:unable\ to|not\ (?:able|allowed|permitted|authori[sz]ed)\ to))\b(?!\ (?:overstate|overemphasi[sz]e|stress|emphasi[sz]e|wait)\b)
+    |(?:that|this)(?:,|\ is\ something|'s\ something)?\ (?:i|we)\ (?:can\s*not|can't|may\ not|won't|am\ not\ (?:able|allowed|permitted)|'m\ not\ (?:able|allowed|permitted))\b
+    |(?:das|dies|so\ etwas|darauf|dazu|darüber|hierzu|hierauf|hierüber|dabei)\ (?:kann|darf|können|dürfen)\ (?:ich|wir)\b[^.!?]{0,60}\b(?:nicht|nichts|kein\w*)\b|(?:ich|wir)\ (?:können|dürfen)\b[^.!?]{0,60}\b(?:nicht|keine?n?)\b|(?:ich\ bin|wir\ sind)\ (?:dazu\ )?nicht\ (?:in\ der\ lage|befugt|berechtigt)
+    |(?:(?:cela|ça),?\ )?(?:je\ ne\ (?:peux|puis|saurais)\b|nous\ ne\ (?:pouvons|saurions)\ pas|(?:je\ ne\ suis|nous\ ne\ sommes)\ pas\ (?:en\ mesure|autorisé|habilité)|nous\ n['’]avons\ pas\ le\ droit)(?!\ (?:pas\ )?(?:assez|trop)\b)
+    |(?:eso\ |esto\ )?no\ (?:(?:lo\ )?(?:puedo|podemos)|(?:me|nos)\ es\ posible|estamos\ autorizad|se\ me\ permite)\b(?!\ (?:exagerar|subrayar|dejar\ de|esperar)\b)
     |no\ answer\ can\ be\ given|(?:that's|this\ is|that\ is)\ (?:something\ i\ would\ rather\ not|outside\ my|beyond\ (?:my|what\ i))|my\ (?:guidelines|rules|policies|instructions)\ (?:prevent|forbid|do\ not\ allow|don't\ allow)
     |this\ (?:request|question)\ (?:goes\ beyond|exceeds|is\ beyond)\ (?:what\ i|my)|nothing\ in\ this\ \w+\ lets\ me\ answer
     |je\ (?:ne\ peux\ pas|ne\ suis\ pas\ (?:en\ mesure|autorisée?)|ne\ saurais|préfère\ ne\ pas|refuse|dois\ (?:refuser|décliner))|il\ m['’]est\ (?:impossible|interdit)\ de|cette\ (?:question|demande)\ dépasse\ ce\ que\ je|je\ n['’]ai\ pas\ le\ droit

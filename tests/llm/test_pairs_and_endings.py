@@ -36,6 +36,16 @@ def test_refusals(answer, want):
     assert P.is_refusal(answer) is want
 
 
+@pytest.mark.parametrize("answer", ["I can't do that.", "I'm unable to do this.", "That I cannot do.", "Das kann ich nicht beantworten.", "Dazu darf ich nichts sagen.", "Ich bin dazu nicht befugt.", "No puedo hacer eso.", "Eso no lo puedo hacer.", "Je ne puis faire cela.", "Cela, je ne peux pas le faire."])
+def test_refusals_with_any_verb(answer):
+    assert P.is_refusal(answer) and not P.is_refusal(answer + " The harbour office of Lund closed the old risk log in May.")
+
+
+@pytest.mark.parametrize("answer", ["I can't overstate how much the office relies on the log.", "The bidder cannot be paid before the log is closed.", "Das kann der Bieter nicht ändern.", "No puedo exagerar lo mucho que depende de ello."])
+def test_no_refusals(answer):
+    assert not P.is_refusal(answer)
+
+
 def test_empty_table_and_long_text(spark):
     assert found(spark, []) == set()
     assert found(spark, [(1, "Why?", "The office closed the log. " * 20_000)]) == set()
