@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +30,9 @@ def get_session(app: str = "lodestack", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that its lineage ends here.
-
-    The folder is the one in ``spark.checkpoint.dir``; only where neither that setting nor a
-    folder of the context exists (single-machine runs, tests) a folder of its own is made.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one in ``spark.checkpoint.dir``; only where neither that setting nor a
+    folder of the context exists (single-machine runs, tests) a folder of its own is made."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,4 +42,23 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lodestack-", dir=os.environ.get("TMPDIR"))
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, so that its lineage ends here."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: lineage ends here, and what reads it reads only its columns.
+
+    Smaller than a checkpoint of texts; the table is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    folder = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
