@@ -9,6 +9,7 @@ texts: words that sentences never end with, or a word no other text has, show a
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,28 +24,48 @@ from lodestack.llm.language import FUNCTION_WORDS
 
 TOKEN = re.compile(r"https?://\S+|[^\W_]+(?:[’'-][^\W_]+)*|\n|[^\w\s]")
 ITEM = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+")
-ADDED = re.compile(r"(?:\s|…|\ufffd|<!--[^<>]*-->|\[(?:\.\.\.|…|[^\[\]\n]{0,20}\b(?:truncat|cut|tronqu|abgeschnitten)[^\[\]\n]{0,30})\]|\((?:\.\.\.|…|continued|suite|fortsetzung|continúa)\)?)+$", re.I)
+# Marks that follow a cut.
+NOTE = re.compile(r"\[(?:\.\.\.|…|[^\[\]\n]*\b(?:truncat|cut|tronqu|abgeschnitten)[^\[\]\n]*)\]", re.I)
+GOES_ON = re.compile(r"\((?:\.\.\.|…|continued|suite|fortsetzung|continúa)\)?", re.I)
+REMARK = re.compile(r"<!--[^<>]*-->")
 CLOSED = re.compile(r"[.!?。！？:;][\"'”’»)\]*_]*$|^[\[(*_-].*[\])*_-]$")
 STRING = re.compile(r'"(?:[^"\\]|\\.)*"(\s*:)?')
-JSON = re.compile(r"(?:[^{}\[\]\n]{0,80}\n)?\s*(?:```\w*\s*)?(?=[{\[]\s*(?:[\"{\[\]}\d-]|$))")
+JSON = re.compile(r"(?:[^{}\[\]\n]*\n)?\s*(?:```\w*\s*)?(?=[{\[]\s*(?:[\"{\[\]}\d-]|$))")
 FENCE = re.compile(r"\s*(?:```)?\s*")
 PHONE = re.compile(r"(?:[+(]|\b)(?:\d[ ().\-/]{0,2}){8,14}\d(?: ?ext\.? ?\d{1,5})?$")
 SUBJECT = re.compile(r"(?:^|[,;] )(?:subject|objet|betreff|asunto): [^.:]{3,80}$", re.I)
 URL = re.compile(r"(?:https?://|www\.)\S+$")
+BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|["{}\[\]]', re.S)
 FLUSH = 4_000_000
-FILTER_BITS, CHUNKS = 24, 32
-FRAME, FRAME_SHARE, WORD_SHARE = 60, 0.3, 0.02  # words of a sentence frame; least shares of a list item's frame and last word that end
+LEAST_BITS, MOST_BITS, CHUNKS = 20, 28, 32  # size of the filter, by the number of grams; pieces it is merged in
+FRAME_SHARE, WORD_SHARE = 0.3, 0.02  # least shares of a list item's frame and last word that end
 STOPS, DOTS, BULLETS, MARKS = (np.array([ord(c) for c in x], np.uint32) for x in (".!?。！？", ".)", "-*•+", ",;:"))
 _tables: dict[str, np.ndarray] = {}
-MIN_SEEN, MIN_SHARE, PRIOR = 3, 0.08, 6  # occurrences; share of them that end; weight of the shorter words' share
-LINE, LINE_SHARE = 7, 0.8  # tokens of a short line; share of the lines beginning like it that are it
+MIN_SEEN, MIN_SHARE, PRIOR, SHORT_SEEN = 3, 0.08, 6, 20  # occurrences; share of them that end; weight of the shorter words' share; occurrences of the frame of a text of a few words
+LINE, LINE_SHARE = 3, 0.8  # least words of a line's opening; share of the lines beginning like it that are it
 
 
 def strip_added(text: str) -> tuple[str, str]:
-    """The text without blanks and marks of a cut at its end, and those marks."""
-    from_ = max(0, len(text) - 200)
-    added = ADDED.search(text, from_)
-    return (text[: added.start()], added.group().strip()) if added else (text, "")
+    """The text without blanks and marks of a cut at its end, and those marks, however long they are."""
+    end = len(text)
+    while end:
+        core = text[:end].rstrip("…\ufffd \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0")
+        core = core.rstrip()
+        last = core[-1:]
+        start = -1
+        if last == ">" and core.endswith("-->"):
+            start, mark = core.rfind("<!--"), REMARK
+        elif last == "]":
+            start, mark = core.rfind("["), NOTE
+        else:
+            start, mark = core.rfind("(", len(core) - 16), GOES_ON  # the marks of this kind are shorter
+        if start < 0 or not mark.fullmatch(core, start):
+            if len(core) == end:
+                break
+            end = len(core)
+            continue
+        end = start
+    return text[:end], text[end:].strip()
 
 
 def json_state(text: str, at: int = 0) -> tuple[str, int] | None:
@@ -52,24 +73,17 @@ def json_state(text: str, at: int = 0) -> tuple[str, int] | None:
     start = JSON.match(text, at)
     if not start:
         return None
-    depth, quoted, escaped = 0, False, False
-    for i in range(start.end(), len(text)):
-        c = text[i]
-        if quoted:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
+    depth = 0
+    for m in BRACKET.finditer(text, start.end()):
+        c = m.group()
+        if c in "{[":
             depth += 1
+        elif c == '"':
+            break  # a string without end
         elif c in "}]":
             depth -= 1
             if depth == 0:
-                return "closed", i + 1
+                return "closed", m.end()
     return "open", len(text)
 
 
@@ -91,7 +105,7 @@ def unfinished_strings(text: str) -> list[str]:
 
 @dataclass
 class Ending:
-    """state: complete, cut or unsure; core: the text without what was added after it; item: in a list; style: how other items end."""
+    """state: complete, cut or unsure; core: the text without what was added after it; item: in a list; style: how other items end, or ``short``."""
 
     state: str
     core: str = ""
@@ -108,7 +122,7 @@ def endings(text: str, short: int = 4) -> list[Ending]:
     """The endings of ``text`` that decide: one that is cut, else all that are unsure, else one that is complete.
 
     A text has its own ending and those of the strings in its JSON values.  Texts of at most
-    ``short`` words are complete as they are.
+    ``short`` words may be answers of a word or two, so that nothing but evidence makes them cut.
     """
     core, tail = strip_added(text)
     if core.endswith("...") and len(core) > 3:
@@ -155,7 +169,7 @@ def _prose(core: str, tail: str, short: int) -> Ending:
     tokens = [t for t in TOKEN.findall(core) if t != "\n"]
     plain = [t for t in tokens if t[0].isalnum()]
     if len(plain) <= short and not tail:
-        return Ending("complete")
+        return Ending("unsure", core, False, "short") if tokens and tokens[-1][0].isalnum() and len(plain) > 1 else Ending("complete")
     if tokens and not tail and tokens[-1] in "}])\"'»”>*_":
         return Ending("complete")
     if not tokens or not tokens[-1][0].isalnum():
@@ -174,8 +188,45 @@ def _table(name: str, test) -> np.ndarray:
     return _tables[name]
 
 
-def _at(table: np.ndarray, cps: np.ndarray) -> np.ndarray:
-    return table[np.minimum(cps, 0xFFFF)]
+def _at(name: str, test, cps: np.ndarray) -> np.ndarray:
+    """``test`` of each code point; those beyond the first plane are tested one by one."""
+    out = _table(name, test)[np.minimum(cps, 0xFFFF)]
+    high = np.flatnonzero(cps >= 0x10000)
+    if len(high):
+        values, back = np.unique(cps[high], return_inverse=True)
+        out[high] = np.fromiter((test(chr(v)) for v in values), dtype=bool, count=len(values))[back]
+    return out
+
+
+def _prefixes(codes: np.ndarray, first: np.ndarray, owner: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Hash of each run of codes from its first one up to each place; codes that are not kept do not change it.
+
+    ``first`` has the place each run begins at, ``owner`` the run of each place.  The hash is a
+    polynomial, so that runs of any length cost one sum over all places.
+    """
+    size = len(codes)
+    if not size:
+        return codes
+    place = np.cumsum(kept) - kept
+    up, down = _powers(size)
+    with np.errstate(over="ignore"):
+        total = np.cumsum(np.where(kept, codes * up[place], np.uint64(0)))
+        before = np.where(first > 0, total[first - 1], np.uint64(0))
+        length = place + kept - place[first][owner]
+        return W.mix((total - before[owner]) * down[place[first]][owner] + length.astype(np.uint64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    have = _tables.get("powers")
+    if have is None or have.shape[1] < n:
+        base = np.uint64(0x9E3779B97F4A7C15)
+        with np.errstate(over="ignore"):
+            steps = [np.full(max(n, 4096), x, np.uint64) for x in (base, np.uint64(pow(int(base), -1, 1 << 64)))]
+            for step in steps:
+                step[0] = 1
+            have = np.stack([np.multiply.accumulate(step) for step in steps])
+        _tables["powers"] = have
+    return have[0], have[1]
 
 
 class Words:
@@ -189,8 +240,8 @@ class Words:
         word = W.is_word_char(cps)
         stops = np.flatnonzero(word[:-1] & ~word[1:]) + 1
         end = stops[np.searchsorted(stops, start, side="right")] if size else start
-        digit = np.add.reduceat(np.append(_at(_table("digit", str.isdigit), cps[:-1]), False).astype(np.int32), np.ravel(np.column_stack((start, end))))[::2] > 0 if size else np.empty(0, bool)
-        upper = _at(_table("upper", str.isupper), cps[start])
+        digit = np.add.reduceat(np.append(_at("digit", str.isdigit, cps[:-1]), False).astype(np.int32), np.ravel(np.column_stack((start, end))))[::2] > 0 if size else np.empty(0, bool)
+        upper = _at("upper", str.isupper, cps[start])
         number = np.where(digit, np.uint64(1), raw)
         masked = np.where(digit, np.uint64(1), np.where(upper, np.uint64(2), raw))
         gap = cps[end].astype(np.uint64) if size else raw
@@ -204,10 +255,10 @@ class Words:
         self.has_pair = ~first_of_text
         self.triple = W.mix(W.mix(np.roll(masked, 2) * np.uint64(5) ^ np.roll(gap, 2)) ^ self.pair)
         self.has_triple = self.has_pair & np.roll(self.has_pair, 1) if size else self.has_pair
-        lower_next = np.append(_at(_table("lower", str.islower), cps[start[1:]]), False) & ~last_of_text if size else first_of_text
+        lower_next = np.append(_at("lower", str.islower, cps[start[1:]]), False) & ~last_of_text if size else first_of_text
         after, second = cps[end], cps[end + 1] if size else cps[end]
         line_end = (after == 10) | (after == 13) | ((after == 32) & ((second == 10) | (second == 13)))
-        self.stopped = np.isin(after, STOPS) & ~lower_next & ((second <= 32) | ~_at(_table("alnum", str.isalnum), second))
+        self.stopped = np.isin(after, STOPS) & ~lower_next & ((second <= 32) | ~_at("alnum", str.isalnum, second))
         self.line = line_end & ~last_of_text
         self.counted = ~last_of_text | self.stopped
         self.frame = self._frames(raw, digit, upper, gap, first_of_text)
@@ -222,22 +273,16 @@ class Words:
         lead, lead2, lead3 = cps[begin], cps[np.minimum(begin + 1, len(cps) - 1)], cps[np.minimum(begin + 2, len(cps) - 1)]
         numbered = (lead >= 48) & (lead <= 57) & (np.isin(lead2, DOTS) | ((lead2 >= 48) & (lead2 <= 57) & np.isin(lead3, DOTS)))
         self.item = ((np.isin(lead, BULLETS) & (lead2 == 32)) | numbered)[self.line_of] if size else first_of_text
-        self.openings: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        h = np.zeros(len(first), np.uint64)
-        for k in range(1, LINE + 1):
-            lines = np.flatnonzero(self.length >= k)
-            h[lines] = W.mix(h[lines] * np.uint64(7) + W.mix(number[first[lines] + k - 1] ^ np.uint64(13)))
-            if k >= 3:
-                self.openings[k] = (lines, h[lines].copy())
-
+        within = np.arange(size) - first[self.line_of] if size else start
+        self.opening = np.where(within >= LINE - 1, _prefixes(W.mix(number ^ np.uint64(13)), first, self.line_of, np.ones(size, bool)), np.uint64(0))
+        self.whole = np.concatenate((row[1:] != row[:-1], [True])) if size else first_of_text
 
     def _frames(self, raw, digit, upper, gap, first_of_text) -> np.ndarray:
-        """Hash of each sentence up to each word with all but function words, numbers and marks masked; 0 past FRAME words."""
+        """Hash of each sentence up to each word with all but function words, numbers and marks masked; a repeated mask counts once."""
         if "function" not in _tables:
             _tables["function"] = np.unique(W.scan(sorted({w for words in FUNCTION_WORDS.values() for w in words.split()}))[0])
-        out = np.zeros(self.size, np.uint64)
         if not self.size:
-            return out
+            return np.zeros(0, np.uint64)
         kept = np.isin(raw, _tables["function"])
         code = np.where(digit, np.uint64(1), np.where(kept, raw, np.where(upper, np.uint64(2), np.uint64(3))))
         mark = np.where(np.isin(np.roll(gap, 1), MARKS), np.roll(gap, 1), np.uint64(0))
@@ -245,19 +290,11 @@ class Words:
         begins = first_of_text | np.roll(self.stopped | self.line, 1)
         begins[0] = True
         repeated = np.concatenate(([False], code[1:] == code[:-1])) & ~begins
-        first = np.flatnonzero(begins)
-        length = np.diff(np.append(first, self.size))
-        h = np.zeros(len(first), np.uint64)
-        for k in range(min(FRAME, int(length.max()))):
-            some = np.flatnonzero(length > k)
-            at = first[some] + k
-            h[some] = np.where(repeated[at], h[some], W.mix(h[some] * np.uint64(7) + code[at]))
-            out[at] = h[some]
-        return out
+        return _prefixes(code, np.flatnonzero(begins), np.cumsum(begins) - 1, ~repeated)
 
 
 def last_grams(cores: list[str]) -> list[tuple[list[int], bool]]:
-    """For each text (with at least one word): hashes of its last line's opening (0 if long), last word, pair, triple and sentence frame; whether the word has digits."""
+    """For each text (with at least one word): hashes of its last line (0 if of one or two words), last word, pair, triple and sentence frame; whether the word has digits."""
     out: list[tuple[list[int], bool]] = []
     for first, last in W.slices(cores):
         out.extend(_last_grams(cores[first:last]))
@@ -267,30 +304,28 @@ def last_grams(cores: list[str]) -> list[tuple[list[int], bool]]:
 def _last_grams(cores: list[str]) -> list[tuple[list[int], bool]]:
     w = Words(cores)
     ends = np.flatnonzero(w.last)
-    opening = np.zeros(len(w.first), np.uint64)
-    for k, (lines, h) in w.openings.items():
-        whole = w.length[lines] == k
-        opening[lines[whole]] = h[whole]
     none = np.uint64(0)
-    table = np.column_stack((opening[w.line_of[ends]], w.raw[ends], np.where(w.has_pair[ends], w.pair[ends], none), np.where(w.has_triple[ends], w.triple[ends], none), w.frame[ends]))
+    table = np.column_stack((w.opening[ends], w.raw[ends], np.where(w.has_pair[ends], w.pair[ends], none), np.where(w.has_triple[ends], w.triple[ends], none), w.frame[ends]))
     by_text = {int(o): (row.view(np.int64).tolist(), bool(d)) for o, row, d in zip(w.owner[ends], table, w.digit[ends], strict=True)}
     return [by_text.get(i, ([0] * 5, False)) for i in range(len(cores))]
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return (W.mix(hashes) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def hash_filter(rows: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """(bits, packed bit array) of a filter that holds the hashes in an array column, sized by their number.
 
-
-def _wanted(unsure: DataFrame) -> np.ndarray:
-    """Bit array of fixed size that holds the grams of all unsure endings."""
+    Beyond 2^MOST_BITS / 16 hashes it lets more others pass.
+    """
+    hashes = rows.filter(F.size(column) > 0).select(F.col(column).alias("grams"))
+    grams = hashes.agg(F.sum(F.size("grams"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * grams + 1))))
+    step = (1 << bits) // 8 // CHUNKS
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        some = np.zeros(1 << bits, bool)
         for pdf in batches:
             if len(pdf):
-                bits[_bits(np.concatenate(pdf["grams"].to_numpy()).astype(np.int64).view(np.uint64))] = True
-        packed = np.packbits(bits)
-        step = len(packed) // CHUNKS
+                some[(W.mix(np.concatenate(pdf["grams"].to_numpy()).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        packed = np.packbits(some)
         for k in range(CHUNKS):
             if packed[k * step : (k + 1) * step].any():
                 yield pd.DataFrame({"chunk": [k], "bits": [packed[k * step : (k + 1) * step].tobytes()]})
@@ -298,11 +333,18 @@ def _wanted(unsure: DataFrame) -> np.ndarray:
     def either(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
 
-    packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    rows = unsure.select("grams").mapInPandas(mark, "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect()
+    packed = np.zeros((1 << bits) // 8, np.uint8)
+    rows = hashes.mapInPandas(mark, "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect()
     for row in rows:  # at most CHUNKS rows
-        packed[row.chunk * len(packed) // CHUNKS : (row.chunk + 1) * len(packed) // CHUNKS] = np.frombuffer(row.bits, np.uint8)
-    return np.unpackbits(packed).view(bool)
+        packed[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.bits, np.uint8)
+    return bits, packed
+
+
+def passes(wanted: tuple[int, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets pass."""
+    bits, packed = wanted
+    bit = W.mix(hashes) >> np.uint64(64 - bits)
+    return packed[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8) & 1 == 1
 
 
 def evidence(texts: DataFrame, column: str, unsure: DataFrame) -> DataFrame:
@@ -311,15 +353,15 @@ def evidence(texts: DataFrame, column: str, unsure: DataFrame) -> DataFrame:
     outside lists without a stop; and how often lines open with some words and hold nothing else.
 
     Numbers count as one word, capitalised words in pairs and triples as another.  Grams are 64-bit
-    hashes; the filter of fixed size lets some others pass, which changes no count.
+    hashes; the filter lets some others pass, which changes no count.
     """
-    wanted = texts.sparkSession.sparkContext.broadcast(_wanted(unsure))
+    wanted = texts.sparkSession.sparkContext.broadcast(hash_filter(unsure, "grams"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def keep(gram: np.ndarray, ends: np.ndarray, bare: np.ndarray) -> None:
-            hit = wanted.value[_bits(gram)]
+            hit = passes(wanted.value, gram)
             held.append((gram[hit], ends[hit], bare[hit]))
 
         def rows() -> pd.DataFrame:
@@ -336,12 +378,11 @@ def evidence(texts: DataFrame, column: str, unsure: DataFrame) -> DataFrame:
                     continue
                 ends = w.stopped | w.line
                 bare = w.line & ~w.item & ~w.stopped
-                for gram, has in ((w.raw, True), (w.pair, w.has_pair), (w.triple, w.has_triple), (w.frame, w.frame != 0)):
+                for gram, has in ((w.raw, True), (w.pair, w.has_pair), (w.triple, w.has_triple), (w.frame, True)):
                     use = np.flatnonzero(w.counted & has)
                     keep(gram[use], ends[use], bare[use])
-                for k, (lines, h) in w.openings.items():
-                    whole = w.length[lines] == k
-                    keep(h, whole, whole)
+                use = np.flatnonzero(w.opening)
+                keep(w.opening[use], w.whole[use], w.whole[use])
             if sum(len(x[0]) for x in held) > FLUSH:
                 yield rows()
                 held.clear()
@@ -353,14 +394,17 @@ def evidence(texts: DataFrame, column: str, unsure: DataFrame) -> DataFrame:
 
 
 def decide(unsure: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``unsure`` (key columns, grams array<long>, digits, item, style) with a column ``cut``.
+    """Rows of ``unsure`` (key columns, grams array<long>, digits, item, style) with columns ``cut`` and ``goes_on``.
+
+    ``goes_on``: other sentences have the same beginning, with names, numbers and content words
+    masked, and nearly all of them go on or close it with a mark, so this one is a shortened version.
 
-    A short line that many texts have as it is, is complete.  Else the last three words decide,
+    ``cut``: a short line that many texts have as it is, is complete.  Else the last three words decide,
     backed by the last two: outside lists they must end lines without a stop in MIN_SHARE of the
     cases, in lists end sentences or lines.  An item whose sentence frame (function words,
     numbers and marks, all else masked) often ends there, with a word that ends sentences, is whole.
-    A last word that no text has elsewhere, or a bare
-    item among items with stops, is cut.
+    A last word that no text has elsewhere, or a bare item among items with stops, is cut.  A text of
+    a few words is cut only where it ends with a word, and its frame and last words both go on in all other texts.
     """
     keys = unsure.select(*key, F.posexplode("grams").alias("n", "gram")).filter("gram <> 0")
     found = (
@@ -375,12 +419,14 @@ def decide(unsure: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
     pair = (hits(2) + PRIOR * MIN_SHARE / 2) / (F.col("total2") + PRIOR)
     triple = (hits(3) + PRIOR * pair) / (F.col("total3") + PRIOR)
     known = (F.col("total2") >= MIN_SEEN) | (F.col("total3") >= MIN_SEEN)
+    goes_on = (F.col("total4") >= MIN_SEEN) & (hits(4) < MIN_SHARE * F.col("total4"))
     cut = (
         F.when((F.col("total0") >= MIN_SEEN) & (F.try_divide(F.col("ends0"), F.col("total0")) >= LINE_SHARE), False)
+        .when(F.col("style") == "short", (F.col("total4") >= SHORT_SEEN) & (F.col("bare4") == 0) & ~F.col("digits") & ((F.col("total1") == 0) | ((F.col("total3") >= MIN_SEEN) & (F.col("bare3") == 0))))
         .when(F.col("item") & (F.col("style") == "stopped"), True)
         .when(~F.col("digits") & (F.col("total1") == 0), True)
         .when(F.col("item") & (F.col("total4") >= MIN_SEEN) & (F.try_divide(F.col("ends4"), F.col("total4")) >= FRAME_SHARE) & (F.try_divide(F.col("ends1"), F.col("total1")) >= WORD_SHARE), False)
         .when(known, triple < MIN_SHARE)
         .otherwise(~F.col("digits"))
     )
-    return unsure.join(found, key).withColumn("cut", cut)
+    return unsure.join(found, key).withColumns({"cut": cut, "goes_on": goes_on})

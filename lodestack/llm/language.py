@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
+from lodestack.llm import words as W
+
 # Function words and names of the languages.
 FUNCTION_WORDS = {
     "en": "the of and to in is are was were be been that which what who whom whose how when where why this these those with from for on at by as it its he she they we you i my your our their not no yes or if can could will would should do does did has have had than then there any some only please into about after before until because so see list give explain compare draft between within each nobody unless without lot asks days page pls check whether still turn annex",
@@ -18,28 +22,59 @@ LANGUAGE_NAMES = {
     "es": "spanish espagnol spanisch spanische español espanol castellano",
 }
 
-_SPEAKS: dict[str, list[str]] = {}
-for _lang, _words in FUNCTION_WORDS.items():
+_SPEAKS: dict[str, list[int]] = {}
+for _place, _words in enumerate(FUNCTION_WORDS.values()):
     for _word in set(_words.split()):
-        _SPEAKS.setdefault(_word, []).append(_lang)
+        _SPEAKS.setdefault(_word, []).append(_place)
 _NAMES = {name: lang for lang, names in LANGUAGE_NAMES.items() for name in names.split()}
-_TOKEN = re.compile(r"[^\W\d_]+")
 _REQUEST = re.compile(r"\b(?:in|into|to|en|auf|ins|al|a|to be)\s+(?:\w+\s+)?(" + "|".join(sorted(_NAMES)) + r")\b")
-_LETTERS = {"fr": re.compile("[àâçèêëîïôûùœ]"), "de": re.compile("[äöüß]"), "es": re.compile("[ñ¿¡óáíú]")}
+# Letters that speak for a language.
+LETTERS = {"fr": "àâçèêëîïôûùœ", "de": "äöüß", "es": "ñ¿¡óáíú"}
+_tables: dict[str, np.ndarray] = {}
+
+
+def _lookup() -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the function words and, for each, a row of ones and zeros by language."""
+    if "hash" not in _tables:
+        words = sorted(_SPEAKS)
+        hashes = W.scan(words)[0]
+        order = np.argsort(hashes)
+        rows = np.zeros((len(words), len(FUNCTION_WORDS)))
+        for i, w in enumerate(words):
+            rows[i, _SPEAKS[w]] = 1
+        _tables["hash"], _tables["rows"] = hashes[order], rows[order]
+    return _tables["hash"], _tables["rows"]
 
 
 def detect(text: str) -> str | None:
-    """The language with the most function words; None where no word speaks for one or two are level."""
-    lowered = text.lower()
-    score = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for languages in filter(None, map(_SPEAKS.get, _TOKEN.findall(lowered))):
-        for lang in languages:
-            score[lang] += 1
-    if not lowered.isascii():
-        for lang, letters in _LETTERS.items():
-            score[lang] += 0.5 * min(2, len(letters.findall(lowered)))
-    first, second = sorted(score.values(), reverse=True)[:2]
-    return max(score, key=score.get) if first > second else None
+    """The language of one text; see :func:`detect_all`."""
+    return detect_all([text])[0]
+
+
+def detect_all(texts: list[str]) -> list[str | None]:
+    """For each text the language with the most function words; None where no word speaks for one or two are level."""
+    out: list[str | None] = []
+    for first, last in W.slices(texts):
+        out.extend(_detect([t.lower() for t in texts[first:last]]))
+    return out
+
+
+def _detect(lowered: list[str]) -> list[str | None]:
+    known, rows = _lookup()
+    hashes, owner, _ = W.scan(lowered)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = known[at] == hashes
+    score = np.stack([np.bincount(owner[hit], weights=rows[at[hit], k], minlength=len(lowered)) for k in range(rows.shape[1])], 1)
+    cps = W.code_points("\0".join(lowered))
+    high = np.flatnonzero(cps >= 128)
+    if len(high):
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), high, side="right")
+        for lang, letters in LETTERS.items():
+            has = np.isin(cps[high], W.code_points(letters))
+            score[:, list(FUNCTION_WORDS).index(lang)] += 0.5 * np.minimum(2, np.bincount(text[has], minlength=len(lowered)))
+    ranked = np.sort(score, axis=1)
+    names = list(FUNCTION_WORDS)
+    return [names[k] if clear else None for k, clear in zip(score.argmax(1).tolist(), (ranked[:, -1] > ranked[:, -2]).tolist(), strict=True)]
 
 
 def requested(text: str) -> set[str]:

@@ -18,9 +18,20 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return raw.unionByName(runs)
 
 
+def _defects(spark: SparkSession, folder: str) -> DataFrame:
+    models = load(spark, folder, "workspaces").select("workspace_id", "chat_model")
+    chats = load(spark, folder, "workspace_chats").join(models, "workspace_id", "left")
+    return prompt_pairs.evidence(chats, "chat_id", "message", "textresponse", [F.col("chat_source"), F.col("chat_model")])
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = prompt_pairs.defects(load(spark, folder, "workspace_chats"), "chat_id", "message", "textresponse")
-    return found.select(F.col("key").alias("chat_id"), "defect_type")
+    return _defects(spark, folder).select(F.col("key").alias("chat_id"), "defect_type").distinct()
+
+
+def p1_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """How many pairs each set of rules makes defective."""
+    rules = _defects(spark, folder).groupBy("key", "defect_type").agg(F.array_join(F.sort_array(F.collect_set("rule")), "+").alias("rules"))  # at most five a pair
+    return rules.groupBy("defect_type", "rules").agg(F.count("*").alias("pairs"))
 
 
 def _cuts(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +124,7 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_redacted, p6_containers, p6_usage, p7_found, p7_leaked_items, p7_cleaned, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_evidence, p2_found, p2_rates, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_redacted, p6_containers, p6_usage, p7_found, p7_leaked_items, p7_cleaned, p8_found, p8_composition)}
 
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
