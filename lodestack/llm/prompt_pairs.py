@@ -150,7 +150,7 @@ def evidence(df: DataFrame, key: str, message: str, answer: str, sources: list[C
     """
     named = F.array_compact(F.array(*(F.concat(F.lit(f"{i}:"), c.cast("string")) for i, c in enumerate(sources or [F.lit("")]))))
     rows = df.select(F.col(key).alias("key"), F.col(message).alias("message"), F.col(answer).alias("answer"), named.alias("source")).filter("key is not null")
-    pairs = keep(rows.distinct().withColumn("mark", F.xxhash64("message", "answer")).withColumn("text", F.xxhash64("answer")))
+    pairs = keep(rows.distinct().withColumn("mark", F.xxhash64("message", "answer")).withColumns({"text": F.xxhash64("answer"), "chars": F.length("answer"), "bytes": F.octet_length("answer")}))
     kind = df.schema[key].dataType.simpleString()
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,19 +180,23 @@ def evidence(df: DataFrame, key: str, message: str, answer: str, sources: list[C
                 out.append((*facts, which, grams, digits, end.item, end.style))
             yield pd.DataFrame(out, columns=["key", "mark", *(c.split()[0] for c in JUDGED.split(", "))])
 
-    judged = keep(pairs.mapInPandas(judge, f"key {kind}, mark long, {JUDGED}"))
+    judged = keep(pairs.select("key", "mark", "text", "message", "answer", "source").mapInPandas(judge, f"key {kind}, mark long, {JUDGED}"))
     unsure = judged.filter("defect_type is null")
     ids = ["key", "mark"]
     ended = endings.decide(unsure.select(*ids, "which", "grams", "digits", "item", "style"), endings.evidence(pairs, "answer", unsure), [*ids, "which"])
     ended = ended.groupBy(*ids).agg(F.bool_or("cut").alias("cut"), F.bool_or(F.col("cut") & F.col("goes_on")).alias("goes_on"))
 
-    def sized(rows: DataFrame, chars: Column, octets: Column) -> DataFrame:
-        """(key, mark, source, length) of each source and unit, the source named with its unit."""
-        units = F.array(*(F.struct(F.lit(u).alias("unit"), size.alias("length")) for u, size in (("chars", chars), ("bytes", octets))))
-        return rows.select(*ids, "text", "source", F.explode(units).alias("u")).select(*ids, "text", F.explode("source").alias("s"), "u.*").select(*ids, "text", F.concat_ws("\t", "unit", "s").alias("source"), "length")
+    def sized(rows: DataFrame, *columns: str) -> DataFrame:
+        """(columns, source, length) for each source and unit, the source named with its unit."""
+        units = F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))
+        return rows.select(*columns, "s", F.explode(units).alias("u")).select(*columns, F.concat_ws("\t", "u.unit", "s").alias("source"), "u.length")
 
-    lengths = sized(unsure.filter("which = 0 and style <> 'short'"), F.col("chars"), F.col("bytes"))
-    limits = significant_lengths(*(x.filter("length > 0").select("text", "source", "length").distinct() for x in (sized(pairs, F.length("answer"), F.octet_length("answer")), lengths)))
+    def by_source(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select(*columns, "chars", "bytes", F.explode("source").alias("s")).filter("chars > 0")
+
+    torn = unsure.filter("which = 0 and style <> 'short'")
+    limits = significant_lengths(*(sized(by_source(rows, "text").distinct()) for rows in (pairs, torn)))  # copies are one text
+    lengths = sized(by_source(torn, *ids), *ids)
     at_limit = lengths.join(limits, ["source", "length"], "left_semi").select(*ids).distinct()
     rules = (
         ended.filter("goes_on").select(*ids, F.lit("frame").alias("rule"))
@@ -231,7 +235,7 @@ def shortened_versions(pairs: DataFrame, unsure: DataFrame | None = None) -> Dat
     each task compares neighbours and hands on its first and last answer, so that the few pairs across ranges
     are compared too.  Answers of any length take part; one of a few words must stop inside a word of its neighbour.
     """
-    texts = (pairs if "text" in pairs.columns else pairs.withColumn("text", F.xxhash64("answer"))).filter(F.length("answer") > 0)
+    texts = (pairs if "text" in pairs.columns else pairs.withColumns({"text": F.xxhash64("answer"), "chars": F.length("answer"), "bytes": F.octet_length("answer")})).filter(F.length("answer") > 0)
     if unsure is None:
         unsure = texts.select("key", "mark", "text")
         near = texts.select("text", "answer").dropDuplicates(["text"]).withColumn("few", F.lit(False))
