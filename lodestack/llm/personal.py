@@ -1,12 +1,12 @@
 """Personal information in free text: a semi-Markov conditional random field over candidate spans.
 
 A text is segmented into personal data (email, phone, id_number, address, name) and the rest.  Only
-spans that could be personal data (by a character pattern or capital letters) are segments with
-features; whether a given name is a listed one is a feature too.  All else scores nothing, so the lattice of a text is as long as its candidates are many.
+spans that could be personal data (by a character pattern, or any run of capitalised words) are segments with
+features; whether a word is a listed given name is one feature among them.  All else scores nothing, so the lattice of a text is as long as its candidates are many.
 Features look at the whole span (its shape, digits, case, the suffix of a surname) and at the words
 around it; a transition feature looks at the entity that ended just before.  Boundaries and types
-are chosen jointly by dynamic programming over the lattice, in which a segment has at most MAX_SPAN
-characters and looks back over at most BACK candidates for its predecessor.
+are chosen jointly by exact dynamic programming over the lattice, in which a segment has at most MAX_SPAN
+characters.
 
 The weights are trained by gradient ascent on the exact log-likelihood (forward-backward over the
 same lattice) of sentences drawn from templates in this file; no row of a table is used.
@@ -14,14 +14,16 @@ same lattice) of sentences drawn from templates in this file; no row of a table
 
 from __future__ import annotations
 
+import base64
 import math
+import os
 import random
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
 from itertools import chain
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from lodestack.llm.language import FUNCTION_WORDS
 
 TYPES = ("email", "phone", "id_number", "address", "name")
-MAX_SPAN, BACK, NEAR = 120, 8, 12
+MAX_SPAN, NEAR = 120, 12  # characters of a segment; between two that are linked
 EXAMPLES, EPOCHS, RATE = 1600, 6, 0.5
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 
 def plain(word: str) -> str:
@@ -60,30 +63,41 @@ NUMBERED = r"street|st|lane|ln|road|rd|avenue|ave|close|way|boulevard|blvd|drive
 ROAD_FR = r"rue|avenue|av\.|chemin|impasse|boulevard|bd|place|allée|quai|route|cours|passage|square|sentier|faubourg"
 ROAD_ES = r"calle|c/|avenida|avda\.?|plaza|paseo|camino|carrera|ronda|travesía|callejón|via|vía"
 
-AT = re.compile(r"[@＠]|[ \t]?[\[({][ \t]?(?:at|arobase|arroba)[ \t]?[\])}][ \t]?|[ \t](?:at|AT)[ \t](?=[\w-]+(?:\.|[ \t]?[\[({]?[ \t]?(?:dot|DOT)\b))", re.I)
+AT = re.compile(r"[@＠]|[\[({][ \t]?(?:[aA][tT]|[aA]robase|[aA]rroba|AROBASE|ARROBA)[ \t]?[\])}]")
+SPOKEN_AT = re.compile(r" (?:at|AT)[ \t](?=[\w-]+(?:\.|[ \t]?[\[({]?[ \t]?(?:dot|DOT)\b))")
 LOCAL = re.compile(r"[^\W_][\w.+%-]{0,62}$|[^\W_]$")
 DOT = r"(?:\.|[ \t]?[\[({][ \t]?(?:dot|point|punkt|punto)[ \t]?[\])}][ \t]?|[ \t](?:dot|DOT)[ \t])"
 HOST = re.compile(rf"[^\W_][\w-]*(?:{DOT}[^\W_][\w-]*)+", re.I)
 DIGITS = re.compile(r"(?<![\w.,/#@-])(?<!\d:)(?:\+[ ]?|\(\+?)?\d(?:[\d  (). /-]{4,22}\d)(?![\w]|[.,/-]\d)(?:[ ]?(?:ext|x|poste|app|durchwahl)\.?[ ]?\d{1,5})?", re.I)
 PHONE_SHAPES = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d[\d .-]{5,14}\d|00\d{2}[\d .-]{7,14}|\(0?\d{2,4}\)[ ]?\d{3,4}[ -]?\d{3,4}|1[ -.]\d{3}[ -.]\d{3}[ -.]\d{4}|\d{3}[-. ]\d{3}[-. ]\d{4}|0\d{2,4}/\d{4,6}(?:[ -]\d{2,4})?|0\d(?:[ .-]?\d\d){4}|0\d{3}[ -]\d{2}[ -]\d{4}|0\d{4}[ -]?\d{3}[ -]?\d{3}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}|0\d{9,10}")
 IDS = re.compile(
-    r"(?<![\w-])(?:(?P<nino>[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])|(?P<pass>[A-Z]{1,2}\d{7,8})|(?P<dni>\d{8}-? ?[A-ZÑ])|(?P<nie>[XYZ]-?\d{7}-?[A-Z])|(?P<nir>[1-478] ?\d\d ?(?:0\d|1[0-2]|[2-9]\d) ?\d[\dAB] ?\d{3} ?\d{3}(?: ?\d\d)?)|(?P<ssn>\d{3}(?P<sep>[- ])\d\d(?P=sep)\d{4})|(?P<perso>[CFGHJKLMNPRTVWXYZ0-9]{8,9}\d(?:D)?))(?![\w]|-\d)"
+    r"(?<![\w-])(?=(?:[ -]?[A-ZÑ0-9]){8})(?:(?P<nino>[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D])|(?P<pass>[A-Z]{1,2}\d{7,8})|(?P<dni>\d{8}-? ?[A-ZÑ])|(?P<nie>[XYZ]-?\d{7}-?[A-Z])|(?P<nir>[1-478] ?\d\d ?(?:0\d|1[0-2]|[2-9]\d) ?\d[\dAB] ?\d{3} ?\d{3}(?: ?\d\d)?)|(?P<ssn>\d{3}(?P<sep>[- ])\d\d(?P=sep)\d{4})|(?P<perso>[CFGHJKLMNPRTVWXYZ0-9]{8,9}\d(?:D)?))(?![\w]|-\d)"
 )
-NUMBER_STREET = re.compile(rf"(?<![\w.,/:-])\d{{1,5}} ?[A-Za-z]?,? (?:[A-ZÀ-Þ][\w'’.-]*[ ]){{1,3}}(?i:{NUMBERED})\b\.?|(?<![\w.,/:-])\d{{1,5}}(?: ?(?i:bis|ter|quater|[A-Z]))?,? (?i:{ROAD_FR}) [^\d,;\n|/]{{3,40}}")
-STREET_NUMBER = re.compile(rf"(?<![\w-])(?:[A-ZÄÖÜ][\w-]*(?:[ -][A-ZÄÖÜ][\w-]*)?[ -]?(?i:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer|steig|chaussee|graben)|(?i:{ROAD_ES}) [^\d\n;|]{{2,40}}?,?) ?(?:n[.º°o]{{1,2}} ?)?\d{{1,4}}(?: ?[a-z])?\b")
+NUMBER_FIRST = re.compile(r"\d{1,5}(?: ?(?:bis|ter|quater|BIS|TER|[A-Za-z])(?![\w]))?,? ([^\W\d_]+\.?)")
+NUMBER_STREET = re.compile(rf"\d{{1,5}} ?[A-Za-z]?,? (?:[A-ZÀ-Þ][\w'’.-]*[ ]){{1,3}}(?i:{NUMBERED})\b\.?")
+_PARTS_FR = r"(?:(?i:de la|de|du|des|la|le|les|et|en|au|aux|sur)[ ]|(?i:[dl])['’])*"
+NUMBER_ROAD = re.compile(rf"\d{{1,5}}(?: ?(?i:bis|ter|quater|[A-Z]))?,? (?i:{ROAD_FR}) (?:{_PARTS_FR}[A-ZÀ-Þ][\w'’.-]*(?:[ -]{_PARTS_FR}[A-ZÀ-Þ][\w'’.-]*)*|[^\d,;\n|/]{{3,}})")
+ROADS_FR = frozenset("rue avenue av. chemin impasse boulevard bd place allée quai route cours passage square sentier faubourg".split())
+# Endings of German streets.
+STREETS_DE = tuple("straße strasse str. weg allee gasse platz ring damm ufer steig chaussee graben".split())
+NUMERO = tuple("n. nº n° no no.".split())
+NUMBER = re.compile(r"(?<!\d)\d{1,5}(?!\d)")
+STREET_NUMBER = re.compile(r"(?<![\w-])[A-ZÄÖÜ][\w-]*(?:[ -][A-ZÄÖÜ][\w-]*)?[ -]?(?i:straße|strasse|str\.|weg|allee|gasse|platz|ring|damm|ufer|steig|chaussee|graben) ?(?:n[.º°o]{1,2} ?)?\d{1,4}(?: ?[a-z])?\b")
+# Beginnings of Spanish streets.
+STREETS_ES = tuple("calle |c/|avenida |avda|plaza |paseo |camino |carrera |ronda |travesía |callejón |via |vía ".split("|"))
+ROAD_NUMBER = re.compile(rf"(?<![\w-])(?i:{ROAD_ES}) [^\d\n;|]{{2,}}?,? ?(?:n[.º°o]{{1,2}} ?)?\d{{1,4}}(?: ?[a-z])?\b")
 INITIALS = re.compile(r"(?<![\w.])[A-ZÀ-Þ]\. ?(?:[A-ZÀ-Þ]\. ?)?(?=(?:" + PARTICLE + r"\s)?[A-ZÀ-Þ][\w'’-]+)")
-FAMILY = re.compile(rf"(?:[ \t]+[A-ZÀ-Þ]\.)?(?:[ \t]+{PARTICLE})*[ \t]+([^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)?)", re.I)
 LAST = re.compile(rf"(?:{PARTICLE}\s+)?([A-ZÀ-Þ][\w'’-]+)")
-BEFORE = re.compile(rf"(?:({PARTICLE}[ \t]+)?([A-ZÀ-Þ][\w'’]*(?:-[A-ZÀ-Þ][\w'’]*)?)(,?)[ \t]+)$")
 CAPITAL = r"[A-ZÀ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*"
-CAPITALISED = re.compile(CAPITAL)
 NAME_BEFORE = re.compile(rf"({CAPITAL})[ \t]+$")
-BETWEEN = re.compile(rf"[ \t]+(?:[A-ZÀ-Þ]\.[ \t]+)?(?:{PARTICLE}[ \t]+)?")
+JOINT = re.compile(rf"[ \t]+(?:[A-ZÀ-Þ]\.[ \t]+)?(?:{PARTICLE}[ \t]+)?")
+CAPITALISED = re.compile(CAPITAL)
+REVERSED = re.compile(rf",[ \t]{{1,3}}({CAPITAL})(?![\d_@＠])(?:[ \t]([A-ZÀ-Þ]\.)(?= |,|$))?")
 TITLES = frozenset("mr mrs ms miss mx dr prof sir mme mlle m mm monsieur madame herr herrn frau sr sra srta don doña señor señora".split())
 # Closings of letters, and what stands between a name and a contact.
 CLOSING = re.compile(r"(?:regards|sincerely|faithfully|wishes|thanks|cordialement|salutations|grüßen|grüsse|grüße|saludos?|atentamente)[,.!]?\s*$", re.I)
 ALONE = re.compile(rf"\n[ \t]*({CAPITAL})[ \t]*(?=\r?\n|$)")
-TITLED_BY = re.compile(rf"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Mme|Mlle|M(?!\.)|MM|Monsieur|Madame|Herr|Herrn|Frau|Sr|Sra|Srta|Don|Doña|Señor|Señora)\.?[ \t]+({PARTICLE}[ \t]+)?")
+TITLED_BY = re.compile(rf"\w+\.?[ \t]+((?:{PARTICLE}[ \t]+)?({CAPITAL}))(?![\d_@＠])")
 STREET = re.compile(rf"(?:{NUMBERED})\.?", re.I)
 CONTACT = re.compile(r"[ \t]*[<(:,/|][ \t]*(?:[\w.+-]{1,64}@\w|\+?\(?\d[\d ().-]{6,}\d)")
 LABELS = frozenset("tel telefon telephone telefono phone mobile mobil fax email mail courriel correo contact kontakt contacto call appelez durchwahl poste hotline".split())
@@ -94,7 +108,6 @@ COMMON = frozenset(plain(w) for words in FUNCTION_WORDS.values() for w in words.
     july august september october november december janvier fevrier mars avril mai juin juillet aout septembre octobre novembre decembre januar februar marz juni juli oktober dezember""".split()
 )
 WORD = re.compile(r"[^\W\d_]+")
-GIVEN_TRIGGER = re.compile(r"[A-ZÀ-Þ][^\W\d_]{1,12}")
 
 Span = tuple[int, int, str, list[str]]
 
@@ -115,11 +128,18 @@ def _around(text: str, start: int, end: int) -> list[str]:
 
 
 def _emails(text: str) -> Iterator[Span]:
-    for m in AT.finditer(text):
-        local = LOCAL.search(text, max(0, m.start() - 64), m.start())
-        host = HOST.match(text, m.end())
+    signs = [m.span() for m in AT.finditer(text)]
+    if " at " in text or " AT " in text or " at\t" in text or " AT\t" in text:
+        signs += [m.span() for m in SPOKEN_AT.finditer(text)]
+    for start, end in signs:
+        sign = text[start:end]
+        if sign[0] in "[({":  # one blank on either side belongs to it
+            start -= text[start - 1 : start] in (" ", "\t")
+            end += text[end : end + 1] in (" ", "\t")
+        local = LOCAL.search(text, max(0, start - 64), start)
+        host = HOST.match(text, end)
         if local and host and re.search(r"[^\W\d_]{2,}$", host.group()) and host.end() - local.start() <= MAX_SPAN:
-            kind = "sign" if m.group() in "@＠" else "word"
+            kind = "sign" if sign in "@＠" else "word"
             spelled = host.group().count(".") == 0
             yield local.start(), host.end(), "email", [f"at={kind}", f"at,spelled={kind},{spelled}"]
 
@@ -150,70 +170,103 @@ def _numbers(text: str) -> Iterator[Span]:
         yield m.start(), m.end(), "id_number", [f"kind={kind}", f"shape={_shape(value)}"] + _around(text, *m.span())
 
 
-def _addresses(text: str) -> Iterator[Span]:
-    for pattern, form in ((NUMBER_STREET, "number"), (STREET_NUMBER, "street")):
-        for m in pattern.finditer(text):
-            value = m.group()
-            words = WORD.findall(value)
-            lower = sum(w[0].islower() for w in words if w.lower() not in ("bis", "ter"))
-            french = form == "number" and bool(re.match(rf"\d+(?: ?(?:bis|ter|quater|[A-Z]))?,? (?:{ROAD_FR})\b", value, re.I))
-            kind = "fr" if french else "en" if form == "number" else "es" if re.match(ROAD_ES, value, re.I) else "de"
-            digits = len(re.match(r"\d+|", value).group()) if form == "number" else len(re.search(r"\d+", value).group())
-            yield m.start(), m.end(), "address", [f"road={kind}", f"lower={kind},{min(lower, 3) if kind == 'en' else 0}", f"road,digits={kind},{digits}", f"upper={value.isupper()}", f"words={kind},{min(len(words), 6)}"] + _around(text, *m.span())
-
-
-def _family(word: str) -> list[str]:
-    known = plain(word).endswith(SURNAME)
-    case = "upper" if word.isupper() and len(word) > 1 else "title" if word[0].isupper() else "lower"
-    return [f"family={known}", f"case={case}", f"family,case={known},{case}", f"flen={min(len(word), 5)}"]
-
+def _streets(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of what could be an address: found by its number, then by the words before or after it."""
+    for number in NUMBER.finditer(text):
+        start, end = number.span()
+        before = text[start - 1] if start else " "
+        if before in " .°ºo" or before.isalpha():
+            lead = text[max(0, start - 16) : start].rstrip().lower()
+            if (lead.endswith(STREETS_DE) or (lead.endswith(NUMERO) and lead.rstrip("n.º°o").rstrip().endswith(STREETS_DE))) and end - start < 5:
+                line = max(text.rfind("\n", 0, start) + 1, start - MAX_SPAN)
+                found = next((x for x in STREET_NUMBER.finditer(text, line, end + 3) if x.start() < start < x.end()), None)
+                if found:
+                    yield *found.span(), "de"
+        if before.isalnum() or before in "_.,/:-":
+            continue
+        m = NUMBER_FIRST.match(text, start)
+        if not m:
+            continue
+        word = m.group(1)
+        if word.rstrip(".").lower() in ROADS_FR or word.lower() in ROADS_FR:
+            found = NUMBER_ROAD.match(text, start)
+            if found:
+                yield *found.span(), "fr"
+                continue
+        if word[0].isupper() or text[end : end + 2].strip(" ,").isalpha():
+            found = NUMBER_STREET.match(text, start)
+            if found:
+                yield *found.span(), "en"
+    low = text.lower()
+    if any(w in low for w in STREETS_ES):
+        for m in ROAD_NUMBER.finditer(text):
+            yield *m.span(), "es"
 
-def _names(text: str) -> Iterator[Span]:
-    def features(start: int, end: int, form: str, family: str) -> list[str]:
-        title = bool(TITLE.search(text, max(0, start - 12), start))
-        return [f"form={form}", f"title={title}", f"form,title={form},{title}", *[f"{form}:{f}" for f in _family(family)], f"next={_follow(text, end)}"] + _around(text, start, end)
 
-    for m in GIVEN_TRIGGER.finditer(text):
-        if plain(m.group()) not in GIVEN or (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "@_.-/")) or text[m.end() : m.end() + 1] in ("@", "_", "＠"):
-            continue
-        start, end = m.span()
-        double = re.match(r"-[A-ZÀ-Þ][^\W\d_]+", text[end : end + 16])
-        end += double.end() if double else 0
-        after = FAMILY.match(text, end)
-        if after and after.group(1)[0].isupper() and after.group(1).lower() not in ("and", "und", "et", "y"):
-            yield start, after.end(), "name", features(start, after.end(), "given", after.group(1))
-        before = BEFORE.search(text, max(0, start - 40), start)
-        if before and len(before.group(2)) > 2:
-            form = "inverted" if before.group(3) else "capitals" if before.group(2).isupper() else "family"
-            initial = re.match(r" [A-ZÀ-Þ]\.(?= |,|$)", text[end : end + 4])
-            stop = end + (initial.end() if initial else 0)
-            if form != "family":
-                yield before.start(), stop, "name", features(before.start(), stop, form, before.group(2))
-    for m in INITIALS.finditer(text):
-        after = LAST.match(text, m.end())
-        if after:
-            before = NAME_BEFORE.search(text, max(0, m.start() - 24), m.start())
-            follows = f"initial:follows={bool(before and not _word(before.group(1))[2])}"
-            yield m.start(), after.end(), "name", [*features(m.start(), after.end(), "initial", after.group(1)), follows]
-            second = re.search(r"[A-ZÀ-Þ]\. ?$", m.group()[2:])
-            if second:  # the first may be an abbreviated title
-                start = m.start() + 2 + second.start()
-                yield start, after.end(), "name", features(start, after.end(), "initial", after.group(1))
+def _addresses(text: str) -> Iterator[Span]:
+    for start, end, kind in _streets(text):
+        value = text[start:end]
+        words = WORD.findall(value)
+        lower = sum(w[0].islower() for w in words if w.lower() not in ("bis", "ter"))
+        digits = len(re.match(r"\d+", value).group()) if kind in ("fr", "en") else len(re.search(r"\d+", value).group())
+        yield start, end, "address", [f"road={kind}", f"lower={kind},{min(lower, 3) if kind == 'en' else 0}", f"road,digits={kind},{digits}", f"upper={value.isupper()}", f"words={kind},{min(len(words), 6)}"] + _around(text, start, end)
 
 
-@lru_cache(100_000)
-def _word(word: str) -> tuple[bool, bool, bool, bool, bool]:
-    """Whether a word is a listed given name, ends like a surname, is a common word, a label of a contact, in capitals."""
-    w = plain(word)
-    return w in GIVEN or w.split("-")[0] in GIVEN, w.endswith(SURNAME), w in COMMON, w in LABELS, word.isupper() and len(word) > 1
+class Lexicon:
+    """What is known of a word: the field's features of words.
 
+    ``usual`` holds words that texts write in lower case, read from the vocabulary of a public
+    tokenizer; names and places are mostly not among them.
+    """
 
-def _capitalised(text: str) -> Iterator[Span]:
-    """Runs of capitalised words, single ones after a title, in a signature or before a contact, and pairs about a comma."""
+    def __init__(self, usual: frozenset[str] = frozenset()):
+        self.usual, self._known = usual, {}
+
+    def __getstate__(self):
+        return self.usual
+
+    def __setstate__(self, usual):
+        self.__init__(usual)
+
+    def __call__(self, word: str) -> tuple[bool, bool, bool, bool, bool, bool]:
+        """Whether a word is a listed given name, ends like a surname, is a common word, a label of a contact, in capitals, usual in lower case."""
+        found = self._known.get(word)
+        if found is None:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            w = plain(word)
+            found = (w in GIVEN or w.split("-")[0] in GIVEN, w.endswith(SURNAME), w in COMMON, w in LABELS, word.isupper() and len(word) > 1, word.lower() in self.usual or all(x in self.usual for x in word.lower().split("-")))
+            self._known[word] = found
+        return found
+
+
+def usual_words(*vocabularies: str) -> frozenset[str]:
+    """Words of at least three letters that a rank file holds in lower case as one token after a blank; none where the file is missing."""
+    found = set()
+    for path in filter(os.path.exists, vocabularies):
+        for line in Path(path).read_bytes().splitlines():
+            token = base64.b64decode(line.split()[0]).decode("utf-8", "ignore")
+            if len(token) > 3 and token[0] == " " and token[1:].isalpha() and token.islower():
+                found.add(token[1:])
+    return frozenset(found)
+
+
+def _capitalised(text: str, lexicon: Lexicon) -> Iterator[Span]:
+    """Runs of capitalised words with initials and particles between them, single ones after a title, in a signature or before a contact, pairs about a comma, and words after initials."""
+
+    def initialled(start: int) -> Iterator[Span]:
+        """Initials and the word after them."""
+        m = INITIALS.match(text, start)
+        after = LAST.match(text, m.end()) if m else None
+        if after:
+            before = NAME_BEFORE.search(text, max(0, start - 24), start)
+            follows = f"initial:follows={bool(before and not lexicon(before.group(1))[2])}"
+            yield start, after.end(), "name", [*features(start, after.end(), "initial", [after.group(1)]), follows]
 
     def features(start: int, end: int, form: str, words: list[str]) -> list[str]:
         title = bool(TITLE.search(text, max(0, start - 12), start))
-        kinds = [_word(w) for w in words]
+        kinds = [lexicon(w) for w in words]
+        usual = sum(k[5] for k in kinds)
         listed, inner, known = kinds[0][0], any(k[0] for k in kinds[1:]), kinds[-1][1]
         before = text[max(0, start - 12) : start].rstrip(" \t*#|_\"'(-")
         opening = not before or before[-1] in ".!?:;\n"
@@ -225,42 +278,53 @@ def _capitalised(text: str) -> Iterator[Span]:
         street = bool(STREET.fullmatch(words[-1]))
         return [
             f"form={form}", f"{form}:title={title}", f"{form}:listed={listed}", f"{form}:inner={inner}", f"{form}:family={known}", f"{form}:common={common}", f"{form}:case={case}", f"{form}:words={len(words)}", f"{form}:opening={opening}",
-            f"{form}:title,words={title},{len(words)}", f"{form}:opening,title={opening},{title}", f"{form}:listed,family={listed},{known}", f"{form}:next={follow}", f"{form}:street={street}", *(f"{form}:{f}" for f in _around(text, start, end)),
+            f"{form}:title,words={title},{len(words)}", f"{form}:opening,title={opening},{title}", f"{form}:listed,family={listed},{known}", f"{form}:next={follow}", f"{form}:street={street}", f"{form}:usual={usual},{len(words)}", f"{form}:last={kinds[-1][5]},{kinds[-1][1]}", f"{form}:first={kinds[0][5]},{opening}", *(f"{form}:{f}" for f in _around(text, start, end)),
         ]
 
-    places = [m.span() for m in CAPITALISED.finditer(text)]
     run: list[tuple[int, int]] = []  # the words of the run so far
-    for n, (start, end) in enumerate(places):
-        prior = text[start - 1 : start]
-        free = not (prior.isalnum() or prior and prior in "_@.＠/'’-")
-        if run and not (text[run[-1][1] : start] == " " or (start - run[-1][1] < 24 and BETWEEN.fullmatch(text, run[-1][1], start))):
+    last = -1
+    for m in CAPITALISED.finditer(text):
+        start, end = m.span()
+        after = text[end : end + 1]
+        if run and not ((start - last == 1 and text[last] in " \t") or (start - last < 24 and JOINT.fullmatch(text, last, start))):
             run = []
-        following = text[end : end + 1]
-        if (not run and not free) or following.isdigit() or (following and following in "_@＠"):
+        last = end
+        if after == ".":
+            if end - start == 1:
+                yield from initialled(start)
+                if not run:
+                    continue
+                if text[end + 1 : end + 2] in (" ", "\t"):
+                    last = run[-1][1]  # an initial stands between words
+                    continue
+        elif after.isdigit() or after in ("_", "@", "＠") or (after == "-" and text[end + 1 : end + 2].isdigit()):
             run = []
             continue
-        word = text[start:end]
-        if n and word.lower() not in TITLES and text[slice(*places[n - 1])].lower() in TITLES and start - places[n - 1][1] < 24:
-            lead = TITLED_BY.fullmatch(text, *(places[n - 1][0], start))
-            if lead:
-                at = lead.start(1) if lead.group(1) else start
-                yield at, end, "name", features(at, end, "single", [word])
+        if not run:
+            before = text[start - 1] if start else " "
+            if before.isalnum() or before in "_@.＠/'’-":
+                continue
+        word = m.group()
         run.append((start, end))
-        del run[:-WORDS_OF_NAME]
-        part = [text[x:y] for x, y in run] if len(run) > 1 else []
-        for i in range(len(part) - 2, -1, -1):
-            if part[i].lower() in TITLES or part[-1].lower() in TITLES:
-                break
-            if max(map(len, part[i:])) > 1 and len(part[-1]) > 1:
+        if word.lower() in TITLES:
+            lead = TITLED_BY.match(text, start)
+            if lead and lead.group(2).lower() not in TITLES:
+                yield *lead.span(1), "name", features(*lead.span(1), "single", [lead.group(2)])
+            run = []
+            continue
+        if len(run) > 1 and end - start > 1:
+            del run[:-WORDS_OF_NAME]
+            part = [text[x:y] for x, y in run]
+            for i in range(len(run) - 2, -1, -1):
                 yield run[i][0], end, "name", features(run[i][0], end, "open", part[i:])
-        if free and following in "<(:,/|" or text[end + 1 : end + 2] in "<(/|":
+        if after in ("<", "(", ":", ",", "/", "|") or (after in (" ", "\t") and text[end + 1 : end + 2] in ("<", "(", ":", ",", "/", "|")):
             if CONTACT.match(text, end):
                 yield start, end, "name", features(start, end, "contact", [word])
-            if following == "," and n + 1 < len(places) and len(word) > 1 and places[n + 1][0] - end < 4 and text[end + 1 : places[n + 1][0]].strip(" \t") == "" and text[end + 1] in " \t":
-                given = text[slice(*places[n + 1])]
-                after = text[places[n + 1][1] : places[n + 1][1] + 1]
-                if len(given) > 1 and not after.isdigit() and after not in ("_", "@", "＠"):
-                    yield start, places[n + 1][1], "name", features(start, places[n + 1][1], "comma", [given, word])
+            if after == "," and end - start > 1:
+                given = REVERSED.match(text, end)
+                if given:
+                    stop = given.end(2) if given.group(2) else given.end(1)
+                    yield start, stop, "name", features(start, stop, "comma", [given.group(1), word])
     for m in ALONE.finditer(text):
         if CLOSING.search(text, max(0, m.start() - 20), m.start()):
             yield m.start(1), m.end(1), "name", features(m.start(1), m.end(1), "signed", [m.group(1)])
@@ -273,12 +337,12 @@ def _follow(text: str, end: int) -> str:
     return "Cap" if m.group(1)[0].isupper() else "word"
 
 
-def candidates(text: str) -> list[Span]:
+def candidates(text: str, lexicon: Lexicon | None = None) -> list[Span]:
     """Possible entities with their features, ordered by start; of equal spans of one source the first, of two sources the features of both."""
     found: dict[tuple[int, int, str], list[str]] = {}
-    for source in (_emails, _numbers, _addresses, _names, _capitalised):
+    for source in (_emails(text), _numbers(text), _addresses(text), _capitalised(text, lexicon or Lexicon())):
         own: dict[tuple[int, int, str], list[str]] = {}
-        for start, end, kind, features in source(text):
+        for start, end, kind, features in source:
             if end - start <= MAX_SPAN:
                 own.setdefault((start, end, kind), features)
         for key, features in own.items():
@@ -289,8 +353,8 @@ def candidates(text: str) -> list[Span]:
 class Tagger:
     """Weights of the field, and its inference."""
 
-    def __init__(self, weights: dict[str, float] | None = None):
-        self.weights = weights or {}
+    def __init__(self, weights: dict[str, float] | None = None, lexicon: Lexicon | None = None):
+        self.weights, self.lexicon = weights or {}, lexicon or Lexicon()
 
     def score(self, span: Span) -> float:
         kind, get = span[2], self.weights.get
@@ -306,20 +370,18 @@ class Tagger:
         order = sorted(spans, key=lambda c: (c[1], c[0]))
         value, back, top = [], [], []  # top[i]: best state among the first i + 1, without a link
         for i, span in enumerate(order):
-            gain, source = self.score(span), -1
-            base = 0.0
+            base, source = 0.0, -1
             j = i - 1
             while j >= 0 and order[j][1] > span[0]:
                 j -= 1
-            if j >= 0:
+            while j >= 0 and span[0] - order[j][1] <= NEAR:
+                linked = value[j] + self.link(order[j], span)
+                if linked > base:
+                    base, source = linked, j
+                j -= 1
+            if j >= 0 and value[top[j]] > base:  # none of these is linked to it
                 base, source = value[top[j]], top[j]
-                if base < 0:
-                    base, source = 0.0, -1
-                for k in range(max(0, j - BACK + 1), j + 1):
-                    linked = value[k] + self.link(order[k], span)
-                    if linked > base:
-                        base, source = linked, k
-            value.append(base + gain)
+            value.append(base + self.score(span))
             back.append(source)
             top.append(i if not top or value[i] > value[top[-1]] else top[-1])
         i, out = top[-1], []
@@ -331,7 +393,7 @@ class Tagger:
         return out[::-1]
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
-        return [(s, e, k) for s, e, k, _ in self.best(candidates(text))]
+        return [(s, e, k) for s, e, k, _ in self.best(candidates(text, self.lexicon))]
 
 
 # Templates of the training sentences: {N}ame, {E}mail, {P}hone, {I}d, {A}ddress are entities, other slots are not.
@@ -349,9 +411,15 @@ TITLED = """Dear Mr {S},\nthe {o} is due.|Mrs. {S} keeps the {o}.|Ask Dr {S} or
 CAPITALS = """## {C} {C}\n\nThe {o} follows.|**{C} {C}**: {d} units|The {C} {C} keeps the {o}.|In {c}, the {C} {C} opened {d} sites.|{C} {C} Ltd won lot {n}.|{C} {c} and {c} the {o} moved.|{C} {c} zählt man {d} Punkte.|{C} {c}, {d} sites changed.|{F} {C}, the {o} moved.|\n\n{F} {c} and {c}, the {o} failed.|{o}. {F} {C} {n}, the {o} failed.|{F} {C} {n} moved.|{C} {r} links the {o} to {d} cases.|Der {C} prüft die {C} in {c}.|La {C} {C} ouvre en {C}.|{C} {C}\n\nThe {o} was late.|- {C} {C}: {n}|{C}, {c} and {c}|{c}, {c}, {C}|{C} {C} {C} of {c} {n}|see {C} {C} for the {o}|from {C} {c} to {c}|The {C} Lane {o} of {C} {C} Partners|at the {C} {C}.|{C} {C} Logistics signed it.|{C} {C} described the {o}.|{C} {C} is a {o}.|for {C} {c}, {n} sites|[{C} {C} {C}]|- {F} {c}, the {o} failed.|. {F} {c}, le {C} {n}|- {F} {c} and {c}, {d} sites|{F} {c}, die {o}|{F} {c} et {c}, le lot {n}|{o}. {F} {c}, {d} sites""".split("|")
 
 
-def _examples(count: int, seed: int = 11, outside: bool = False) -> Iterator[tuple[str, set[tuple[int, int, str]]]]:
-    """Labelled sentences drawn from the templates; ``outside``: with names outside the list and more capitalised words."""
+# Templates of names and of other capitalised words among any words ({w}; {W} with a capital; {f} a common word).
+FREE = """{w} {w} {N} {w} {w}.|{N} {w} {w} {w}.|{w} {f} {N} {f} {w}.|{W} {f} {w} {f} {N}.|{W}: {N}|{N}: {w} {w}.|{w}, {N}, {w} {w}|{f} {N} {f} {w}|{W} {N} {w} {f} {w}.|{W} {N},\n{w} {w}|{w} {w} {f} {N}, {w}|{w}.\n{N}\n|{N}, {N} {f} {N} {w} {w}|{w}. {N} {w} {f}|{W},\n{N}|I {w} {f} {N} {w}.|{N} {w} {w} {f} {w}|{w}. {N} {w} {f}|{f} {w} {f} {N} {w}|{W} {N} {f} {P} {w}|{w}. {W} {N} {f} {P}|{W} {f} {N}\n|{f} {w} {N} {w}""".split("|")
+FREE_CAPITALS = """{w} {f} {W} {W} {w}.|{W} {W}|{W} {W} {W}|{f} {W} {W}|{f} {c} {W} {w}|{w} {W} {W} {f} {c}|{W} {W}: {w}|{W}, {W} {f} {W}|{f} {W} {W} {W} {w}|{W} {W} {w} {w}.|{w}.\n{W} {W}\n|- {W} {W}|{w} {f} {c} {W} {w}.|{F} {c} {w} {f} {W} {W}.|{W} {f} {W} {W}|{w} {c}, {c} {f} {c} {w}|{F} {W} {W} {w}.|{w}, {W} {W}, {w}|{F} {c}, {w} {f} {w}|{w}.\n\n{F} {c}, {f} {w} {w}|{F} {c}, {f} {w} {w}|- {F} {c}, {f} {w} {w}|{w}. {F} {c} {w} {f}|{w} {f} {W} {c} {w}|{W} {c} {w} {f}|{w}. {F} {c} {w}|- {F} {c} {f} {w}|{w} {W} {W} {w}""".split("|")
+
+
+def _examples(count: int, seed: int = 11, outside: bool = False, usual: Sequence[str] = ()) -> Iterator[tuple[str, set[tuple[int, int, str]]]]:
+    """Labelled sentences drawn from the templates; ``outside``: with names outside the list and more capitalised words; ``usual``: with words of a vocabulary about them."""
     r = random.Random(seed)
+    usual = usual or "meter reading risk log budget line pilot site office report".split()
     syllables = "ba de fi go hu ka le mi no pu ra se ti vo wu xa ye zo bra cle dri fro gli kra ple tri".split()
     given, common = sorted(GIVEN), sorted(COMMON)
 
@@ -366,12 +434,12 @@ def _examples(count: int, seed: int = 11, outside: bool = False) -> Iterator[tup
         return out + "-" + (made() + r.choice(SURNAME)).capitalize() if r.random() < 0.15 else out
 
     def surname() -> str:
-        return family() if r.random() < 0.5 else made(r.choice((1, 2, 2, 3))).capitalize()
+        return family() if r.random() < 0.5 else made(r.choice((2, 2, 3))).capitalize()
 
     def name() -> str:
         g, f, x = r.choice(given).capitalize(), family(), r.random()
         if outside and r.random() < 0.5:  # a surname of any ending, mostly after a given name outside the list
-            g, f = g if r.random() < 0.3 else made(r.choice((1, 2, 2, 3))).capitalize(), surname()
+            g, f = g if r.random() < 0.3 else made(r.choice((2, 2, 3))).capitalize(), surname()
         if x < 0.55:
             return f"{g} {f}"
         if x < 0.63:
@@ -417,11 +485,12 @@ def _examples(count: int, seed: int = 11, outside: bool = False) -> Iterator[tup
 
     slots = {"N": (name, "name"), "S": (surname, "name"), "E": (email, "email"), "P": (phone, "phone"), "I": (identity, "id_number"), "A": (address, "address")}
     fill = {
-        "o": lambda: r.choice(["meter reading", "risk log", "budget line", "pilot site"]), "c": lambda: made(3).capitalize(), "n": lambda: str(r.randrange(1, 60)), "d": lambda: num("9999"),
-        "k": lambda: num("555-9999") if r.random() < 0.5 else num("999-999"), "r": lambda: f"{r.choice('ABKZ')}{r.choice('CDPT')}-{r.randrange(100, 9999)}", "B": lambda: family(), "g": lambda: r.choice(given).capitalize(), "F": lambda: r.choice(common).capitalize(), "C": lambda: (made(r.choice((1, 2, 3))) + r.choice(["", r.choice(SURNAME)])).capitalize(),
+        "o": lambda: r.choice(["meter reading", "risk log", "budget line", "pilot site"]), "c": lambda: (made(3) if r.random() < 0.6 else made() + r.choice(SURNAME)).capitalize(), "n": lambda: str(r.randrange(1, 60)), "d": lambda: num("9999"),
+        "k": lambda: num("555-9999") if r.random() < 0.5 else num("999-999"), "r": lambda: f"{r.choice('ABKZ')}{r.choice('CDPT')}-{r.randrange(100, 9999)}", "B": lambda: family(), "g": lambda: r.choice(given).capitalize(), "F": lambda: r.choice(common).capitalize(), "C": lambda: (r.choice(usual) if r.random() < 0.92 else made(r.choice((2, 3))) + r.choice(["", r.choice(SURNAME)])).capitalize(),
+        "w": lambda: r.choice(usual), "W": lambda: r.choice(usual).capitalize(), "f": lambda: r.choice(common),
     }
     for i in range(count):
-        template = r.choice((POSITIVE, NEGATIVE, POSITIVE + TITLED, NEGATIVE + CAPITALS)[1 - i % 2 + 2 * outside])
+        template = r.choice((POSITIVE, NEGATIVE, POSITIVE + TITLED + FREE, NEGATIVE + CAPITALS + FREE_CAPITALS)[1 - i % 2 + 2 * outside])
         text, truth = "", set()
         for part in re.split(r"(\{\w\})", template):
             key = part[1:-1] if re.fullmatch(r"\{\w\}", part) else ""
@@ -434,11 +503,13 @@ def _examples(count: int, seed: int = 11, outside: bool = False) -> Iterator[tup
         yield text if truth or not outside or r.random() > 0.15 else text.upper(), truth
 
 
-def train(count: int = EXAMPLES, epochs: int = EPOCHS, seed: int = 11) -> Tagger:
-    """Weights that maximise the likelihood of the labelled sentences (Adagrad, L2)."""
+def train(count: int = EXAMPLES, epochs: int = EPOCHS, seed: int = 11, vocabularies: Sequence[str] = VOCABULARIES) -> Tagger:
+    """Weights that maximise the likelihood of the labelled sentences (Adagrad, L2); the driver alone reads the vocabularies."""
     data = []
-    for text, truth in chain(_examples(count, seed), _examples(count, seed, outside=True)):
-        spans = sorted(candidates(text), key=lambda c: (c[1], c[0]))
+    lexicon = Lexicon(usual_words(*vocabularies))
+    words = sorted(lexicon.usual - GIVEN - COMMON)
+    for text, truth in chain(_examples(count, seed), _examples(2 * count, seed, outside=True, usual=words)):
+        spans = sorted(candidates(text, lexicon), key=lambda c: (c[1], c[0]))
         gold = []
         for start, kind in sorted(truth):
             same = [i for i, c in enumerate(spans) if c[0] == start and c[2] == kind]
@@ -447,7 +518,7 @@ def train(count: int = EXAMPLES, epochs: int = EPOCHS, seed: int = 11) -> Tagger
         gold = [g for k, g in enumerate(gold) if k == 0 or spans[g][0] >= spans[gold[k - 1]][1]]
         if spans:
             data.append((spans, gold))
-    tagger, squares = Tagger(), defaultdict(float)
+    tagger, squares = Tagger(lexicon=lexicon), defaultdict(float)
     order = random.Random(seed)
     for _ in range(epochs):
         order.shuffle(data)

@@ -140,3 +140,48 @@ def test_no_labels_no_subjects(spark):
     labels = spark.createDataFrame([], "doc_id long, area string")
     assert subjects.subjects(docs, "key", "text", labels, "doc_id", "area", ["law"]).count() == 0
     assert subjects.subjects(docs.limit(0), "key", "text", labels, "doc_id", "area", ["law"]).count() == 0
+
+
+STRANGERS = "Rohan Gupta,Wei Zhang,Kwame Okonkwo,Siobhan Murphy,Hiroshi Tanaka,Linh Phan,Thandiwe Dlamini,Bjarne Lund,Ewa Nowak,Priya Sharma,Oisin Kelly,Tariq Haddad,Yuki Sato,Ravi Patel,Gareth Hughes,Aoife Byrne,Imran Qureshi,Zanele Khumalo,Lorenzo Bianchi".split(",")
+SETTINGS = ["I spoke with {} yesterday about the lease.", "{} wrote that the meeting had moved.", "The form was signed by {} and filed.", "Please invite {} to the review.", "My neighbour {} complained about noise.", "{} has not replied yet.", "Sehr geehrter Herr {},", "Monsieur {} viendra mardi.", "It was reported by {} on Monday.", "Der Antrag von {} liegt vor.", "La demande de {} est close.", "El informe de {} llegó ayer.", "Ask {} for the keys.", "The customer, {}, wants a refund.", "{}: I agree with this.", "Interview with {}", "Author: {}", "Assigned to {} last week.", "{} and the team met.", "Patient {} was admitted.", "Hi {}, thanks for the note.", "Owner: {}\nStatus: open", "The witness {} said no."]
+NO_PERSON = ["The Harbour Office of Lund closed.", "North Sea Pipeline is open.", "## Annual Report\n\nText", "Project Falcon started in May.", "The University of Leeds agreed.", "The Board of Directors met.", "Terms and Conditions apply.", "The European Union signed it.", "Executive Summary", "Data Protection Officer", "In South Africa, prices rose.", "Contact Customer Support for help.", "the Work Plan and the Risk Register", "by Royal Mail", "from Human Resources", "Version Control System", "The Quality Manager signs.", "Laut Vermerk EZ-7859 steht es fest."]
+
+
+def test_strangers_in_new_settings(tagger):
+    """No given name, ending of a surname or template of the training takes part."""
+    for name in STRANGERS:
+        given, family = map(personal.plain, name.split())
+        assert given not in personal.GIVEN and not family.endswith(personal.SURNAME)
+    texts = [(s.format(n), s.index("{}"), len(n)) for n in STRANGERS for s in SETTINGS]
+    found = sum((at, at + size, "name") in tagger.find(text) for text, at, size in texts)
+    assert found >= 0.9 * len(texts)
+    assert sum(bool(tagger.find(t)) for t in NO_PERSON) <= 1
+
+
+def test_links_reach_every_near_predecessor(tagger):
+    """The best segmentation of many overlapping candidates equals that of trying all."""
+    r = random.Random(4)
+    for _ in range(30):
+        spans = sorted({(s, s + r.randrange(1, 9), r.choice(personal.TYPES)) for s in (r.randrange(40) for _ in range(11))})
+        spans = [(s, e, k, []) for s, e, k in spans]
+        own = personal.Tagger({f"{k}|": r.uniform(-1, 2) for k in personal.TYPES} | {f"{a}>{b}": r.uniform(-2, 2) for a in personal.TYPES for b in personal.TYPES})
+
+        def total(chosen):
+            return sum(map(own.score, chosen)) + sum(own.link(a, b) for a, b in zip(chosen, chosen[1:], strict=False))
+
+        every = (sorted(c, key=lambda x: x[:2]) for n in range(5) for c in combinations(spans, n))
+        best = max(total(c) for c in every if all(a[1] <= b[0] for a, b in zip(c, c[1:], strict=False)))
+        got = own.best(spans)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False)) and total(got) >= best - 1e-9
+
+
+def test_streets_in_long_lines(tagger):
+    text = "Le courrier part vers 12 rue des Lilas depuis hier et la suite de cette longue phrase ne change rien au reste."
+    assert personal.redact(text, tagger.find(text)).startswith("Le courrier part vers [ADDRESS] depuis hier")
+    assert [k for *_, k in tagger.find("Bitte an Lindenstraße 12 senden, Kopie an a@b.example.")] == ["address", "email"]
+
+
+def test_without_a_vocabulary():
+    assert personal.usual_words("/no/such/file") == frozenset()
+    bare = personal.train(200, 2, vocabularies=())
+    assert bare.find("Please contact Anna Petersen at k@w.example.")[-1][2] == "email"
