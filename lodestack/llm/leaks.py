@@ -15,6 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from lodestack.session import cut, keep
 
 LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
 SITE = re.compile(r"\[[a-z]+://[^\s\]]+[ \t]*([^\]]*)\]", re.I)
@@ -22,7 +25,7 @@ BREAK = re.compile(r"<(?:br|hr|p|div|li|td|tr)\b[^<>]*>", re.I)
 BLANK = re.compile("&nbsp;")
 INLINE = re.compile(r"</?[a-zA-Z][^<>]*>|'{2,}")
 WORD = re.compile(r"[^\W_]+")
-BLOCK = 2_000_000  # n-grams of the test items broadcast at once
+BLOCK = 1_000_000  # n-grams of the test items broadcast at once: at most 40 MB of arrays
 
 
 def shown(text: str) -> str:
@@ -40,21 +43,44 @@ def words(text: str) -> list[str]:
     return WORD.findall(shown(text).lower())
 
 
+class _Items:
+    """The items that hold a gram, by its number."""
+
+    def __init__(self, names: list, owner: np.ndarray, first: np.ndarray):
+        self.names, self.owner, self.first = names, owner, first
+
+    def __getitem__(self, gram: int) -> list:
+        return [self.names[i] for i in self.owner[self.first[gram] : self.first[gram + 1]]]
+
+
 class Grams:
-    """Word n-grams of test items with the items that hold them."""
+    """Word n-grams of test items with the items that hold them, as sorted arrays."""
 
     def __init__(self, items: list[tuple[object, str]], n: int):
         self.n = n
         self.vocabulary: dict[str, int] = {}
-        self.items: dict[bytes, list] = {}
+        names = sorted({item for item, _ in items}, key=str)
+        number = {item: i for i, item in enumerate(names)}
+        parts, owners = [np.empty((0, n), np.int32)], [np.empty(0, np.int32)]
         for item, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.int32)
-            for k in range(len(ids) - n + 1):
-                held = self.items.setdefault(ids[k : k + n].tobytes(), [])
-                if item not in held:
-                    held.append(item)
-        windows = np.array([np.frombuffer(g, np.int32) for g in self.items], np.int32).reshape(-1, n)
-        self.hashes = np.unique(self._hash(windows))
+            if len(ids) >= n:
+                parts.append(np.lib.stride_tricks.sliding_window_view(ids, n))
+                owners.append(np.full(len(ids) - n + 1, number[item], np.int32))
+        windows, owner = np.concatenate(parts), np.concatenate(owners)
+        order = np.lexsort((owner, *windows.T[::-1]))
+        windows, owner = windows[order], owner[order]
+        fresh = np.concatenate(([True], (windows[1:] != windows[:-1]).any(1))) if len(windows) else np.empty(0, bool)
+        pair = fresh | np.concatenate(([True], owner[1:] != owner[:-1])) if len(windows) else fresh
+        gram = (np.cumsum(fresh) - 1)[pair]
+        windows = windows[fresh]
+        h = self._hash(windows)
+        place = np.argsort(h, kind="stable")
+        back = np.empty_like(place)
+        back[place] = np.arange(len(place))
+        by_gram = np.argsort(back[gram], kind="stable")
+        self.hashes, self.windows = h[place], windows[place]
+        self.items = _Items(names, owner[pair][by_gram], np.searchsorted(back[gram][by_gram], np.arange(len(windows) + 1)))
 
     @staticmethod
     def _hash(windows: np.ndarray) -> np.ndarray:
@@ -65,9 +91,9 @@ class Grams:
                 h ^= h >> np.uint64(29)
         return h
 
-    def hits(self, tokens: list[str]) -> list[tuple[int, bytes]]:
+    def hits(self, tokens: list[str]) -> list[tuple[int, int]]:
         """(position of the first word, gram) of every window of the tokens that is a gram of the items."""
-        if len(tokens) < self.n:
+        if len(tokens) < self.n or not len(self.hashes):
             return []
         find = self.vocabulary.get
         ids = np.fromiter((find(w, 0) for w in tokens), np.int32, len(tokens))
@@ -77,8 +103,17 @@ class Grams:
             return []
         windows = np.lib.stride_tricks.sliding_window_view(ids, self.n)[starts]
         h = self._hash(windows)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return [(int(starts[i]), g) for i in np.flatnonzero(self.hashes[at] == h) if (g := windows[i].tobytes()) in self.items]
+        out = []
+        at = np.searchsorted(self.hashes, h)
+        while True:  # equal hashes of different grams stand side by side
+            inside = np.flatnonzero(at < len(self.hashes))
+            same = inside[self.hashes[at[inside]] == h[inside]]
+            if not len(same):
+                return sorted(out)
+            right = same[(self.windows[at[same]] == windows[same]).all(1)]
+            out.extend(zip(starts[right].tolist(), at[right].tolist(), strict=True))
+            rest = np.setdiff1d(same, right)
+            starts, windows, h, at = starts[rest], windows[rest], h[rest], at[rest] + 1
 
 
 def _blocks(items: DataFrame, item_key: str, item_text: str, n: int) -> Iterator[Grams]:
@@ -104,11 +139,8 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     kinds = {c: df.schema[name].dataType.simpleString() for c, df, name in (("key", docs, key), ("item", items, item_key))}
     schema = f"key {kinds['key']}, item {kinds['item']}, windows long"
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    found = docs.sparkSession.createDataFrame([], schema)
-    for grams in _blocks(items, item_key, item_text, n):
-        shared = docs.sparkSession.sparkContext.broadcast(grams)
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    def scanned(shared) -> DataFrame:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             grams = shared.value
             for pdf in batches:
                 out: dict[tuple, int] = {}
@@ -118,7 +150,21 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
                             out[k, item] = out.get((k, item), 0) + 1
                 yield pd.DataFrame([(k, i, c) for (k, i), c in out.items()], columns=["key", "item", "windows"])
 
-        found = found.unionByName(source.mapInPandas(scan, schema))
+        return source.mapInPandas(scan, schema)
+
+    found, context = None, docs.sparkSession.sparkContext
+    blocks = _blocks(items, item_key, item_text, n)
+    grams, after = next(blocks, None), next(blocks, None)
+    while grams is not None:
+        shared = context.broadcast(grams)
+        part = scanned(shared)
+        if after is not None or found is not None:  # several blocks: one at a time is held
+            part = keep(part)
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
+        grams, after = after, next(blocks, None)
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], schema)
     return found.groupBy("key", "item").agg(F.max("windows").alias("windows"))
 
 
@@ -137,14 +183,14 @@ def _traced(text: str) -> tuple[str, list[int]]:
     return lower, places if len(lower) == len(text) else [p for c, p in zip(text, places, strict=True) for _ in c.lower()]
 
 
-def spans(text: str, grams: Grams) -> list[tuple[int, int]]:
-    """Character ranges of a text that hold the items' n-grams, merged where they overlap or touch."""
+def spans(text: str, *blocks: Grams) -> list[tuple[int, int]]:
+    """Character ranges of a text that hold the items' n-grams of any block, merged where they overlap or touch."""
     seen, at = _traced(text)
     found = list(WORD.finditer(seen))
     tokens, places = [m.group() for m in found], [(at[m.start()], at[m.end() - 1] + 1) for m in found]
     out: list[tuple[int, int]] = []
-    for first, _ in grams.hits(tokens):
-        start, end = places[first][0], places[first + grams.n - 1][1]
+    for first, n in sorted((first, g.n) for g in blocks for first, _ in g.hits(tokens)):
+        start, end = places[first][0], places[first + n - 1][1]
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -152,35 +198,90 @@ def spans(text: str, grams: Grams) -> list[tuple[int, int]]:
     return out
 
 
-def _cutter(shared, mode: str):
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
+def _marker(shared):
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def mark(texts: pd.Series, found: pd.Series) -> pd.Series:
+        def one(t: str | None, before) -> list | None:
+            held = [(r["start"], r["end"]) for r in before] if before is not None else []
             if t is None or not shared.value.hits(words(t)):
-                return t
-            if mode == "documents":
-                return "\0"
-            while ranges := spans(t, shared.value):  # what a cut brings together may be a passage again
-                for start, end in reversed(ranges):
-                    t = t[:start] + t[end:]
-            return t
+                return held
+            return held + spans(t, shared.value)
 
-        return texts.map(one)
+        return pd.Series([one(t, f) for t, f in zip(texts, found, strict=True)])
+
+    return mark
 
-    return cut
+
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, found: pd.Series) -> pd.Series:
+    """The texts without the ranges, which may overlap."""
+
+    def one(t: str | None, ranges) -> str | None:
+        if t is None or ranges is None or not len(ranges):
+            return t
+        out, at = [], 0
+        for start, end in sorted((r["start"], r["end"]) for r in ranges):
+            if start > at:
+                out.append(t[at:start])
+            at = max(at, end)
+        return "".join(out) + t[at:]
+
+    return pd.Series([one(t, f) for t, f in zip(texts, found, strict=True)])
 
 
 def remove_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int = 8, mode: str = "spans") -> DataFrame:
     """``docs`` without leaked passages: mode ``spans`` cuts them out of the text column, ``documents`` drops the rows.
 
-    All other columns, rows with null texts and repeated rows stay as they are.
+    Every block of items marks its passages in the whole text, and only then are they cut, so that
+    the size of the blocks changes nothing; what a cut brings together may be a passage again, so
+    rounds go on until no text holds one.  All other columns, rows with null texts and repeated
+    rows stay as they are.
     """
+    context = docs.sparkSession.sparkContext
+    held = next(c for c in (f"_leaks{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    ranges = "array<struct<start:int,end:int>>"
+
+    def marked(df: DataFrame) -> DataFrame:
+        df = df.withColumn(held, F.array().cast(ranges))
+        for grams in _blocks(items, item_key, item_text, n):
+            shared = context.broadcast(grams)
+            df = cut(df.withColumn(held, _marker(shared)(F.col(f"`{text}`"), F.col(held))))
+            shared.destroy()
+        return df
+
+    blocks = _blocks(items, item_key, item_text, n)
+    only, more = next(blocks, None), next(blocks, None)
+    if only is None:
+        return docs
+    if mode == "documents":
+        if more is None:
+            found = docs.withColumn(held, _marker(context.broadcast(only))(F.col(f"`{text}`"), F.array().cast(ranges)))
+        else:
+            found = marked(docs)
+        return found.filter(F.size(held) == 0).drop(held)
+    if more is None:
+        return docs.withColumn(text, _cutter(context.broadcast(only))(F.col(f"`{text}`")))
     kept = docs
-    for grams in _blocks(items, item_key, item_text, n):
-        shared = docs.sparkSession.sparkContext.broadcast(grams)
-
-        cut = _cutter(shared, mode)
-        kept = kept.withColumn(text, cut(F.col(text)))
-        if mode == "documents":
-            kept = kept.filter(F.col(text).isNull() | (F.col(text) != "\0"))
-    return kept
+    while True:
+        found = marked(kept)
+        kept = found.withColumn(text, _without(F.col(f"`{text}`"), F.col(held))).drop(held)
+        if found.filter(F.size(held) > 0).isEmpty():
+            return kept
+
+
+def _cutter(shared):
+    """All rounds of one block in one pass."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if t is None or not shared.value.hits(words(t)):
+                return t
+            while ranges := spans(t, shared.value):
+                for start, end in reversed(ranges):
+                    t = t[:start] + t[end:]
+            return t
+
+        return texts.map(one)
+
+    return clean

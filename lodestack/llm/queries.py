@@ -104,7 +104,7 @@ def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
 def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     docs = load(spark, folder, "documents").select("doc_id", "text")
     clean = leaks.remove_leaks(docs, "doc_id", "text", load(spark, folder, "eval_items"), "item_id", "item_text")
-    return clean.select("doc_id", F.length("text").alias("n_chars_left"))
+    return clean.select("doc_id", F.length("text").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:

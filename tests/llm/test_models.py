@@ -142,7 +142,7 @@ def test_no_labels_no_subjects(spark):
     assert subjects.subjects(docs.limit(0), "key", "text", labels, "doc_id", "area", ["law"]).count() == 0
 
 
-STRANGERS = "Rohan Gupta,Wei Zhang,Kwame Okonkwo,Siobhan Murphy,Hiroshi Tanaka,Linh Phan,Thandiwe Dlamini,Bjarne Lund,Ewa Nowak,Priya Sharma,Oisin Kelly,Tariq Haddad,Yuki Sato,Ravi Patel,Gareth Hughes,Aoife Byrne,Imran Qureshi,Zanele Khumalo,Lorenzo Bianchi".split(",")
+STRANGERS = "Rohan Gupta,Wei Zhang,Kwame Okonkwo,Siobhan Murphy,Hiroshi Tanaka,Linh Phan,Thandiwe Mokoena,Bjarne Lund,Ewa Nowak,Priya Sharma,Oisin Kelly,Tariq Haddad,Yuki Sato,Ravi Patel,Gareth Hughes,Aoife Byrne,Imran Qureshi,Zanele Khumalo,Lorenzo Bianchi".split(",")
 SETTINGS = ["I spoke with {} yesterday about the lease.", "{} wrote that the meeting had moved.", "The form was signed by {} and filed.", "Please invite {} to the review.", "My neighbour {} complained about noise.", "{} has not replied yet.", "Sehr geehrter Herr {},", "Monsieur {} viendra mardi.", "It was reported by {} on Monday.", "Der Antrag von {} liegt vor.", "La demande de {} est close.", "El informe de {} llegó ayer.", "Ask {} for the keys.", "The customer, {}, wants a refund.", "{}: I agree with this.", "Interview with {}", "Author: {}", "Assigned to {} last week.", "{} and the team met.", "Patient {} was admitted.", "Hi {}, thanks for the note.", "Owner: {}\nStatus: open", "The witness {} said no."]
 NO_PERSON = ["The Harbour Office of Lund closed.", "North Sea Pipeline is open.", "## Annual Report\n\nText", "Project Falcon started in May.", "The University of Leeds agreed.", "The Board of Directors met.", "Terms and Conditions apply.", "The European Union signed it.", "Executive Summary", "Data Protection Officer", "In South Africa, prices rose.", "Contact Customer Support for help.", "the Work Plan and the Risk Register", "by Royal Mail", "from Human Resources", "Version Control System", "The Quality Manager signs.", "Laut Vermerk EZ-7859 steht es fest."]
 

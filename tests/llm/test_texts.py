@@ -103,3 +103,23 @@ def test_windows_equal_a_brute_force_scan(seed):
     got = {(k, i) for k, g in grams.hits(tokens) for i in grams.items[g]}
     want = {(k, i) for i, t in items for k in range(297) if " ".join(tokens[k : k + 4]) in {" ".join(t.split()[j : j + 4]) for j in range(9)}}
     assert got == want
+
+
+@pytest.mark.parametrize("mode", ["spans", "documents"])
+def test_blocks_change_no_cut(spark, monkeypatch, mode):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "five six seven eight nine ten eleven twelve"), (3, "start of a very long tale that ends here")], "item long, text string")
+    texts = ["start one two three four five six seven eight nine ten eleven twelve end", "start of a very one two three four five six seven eight long tale that ends here", None, "", "nothing at all", "one two three four five six seven eight"]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)] * 2, "key long, text string, _leaks0 long")
+    rows = []
+    for size in (1_000_000, 1):
+        monkeypatch.setattr(leaks, "BLOCK", size)
+        rows.append(sorted(tuple(r) for r in leaks.remove_leaks(docs, "key", "text", items, "item", "text", mode=mode).collect() if r.text is not None))
+    assert rows[0] == rows[1] and len(rows[0]) == (10 if mode == "spans" else 4)
+    if mode == "spans":
+        assert rows[0][0] == (0, "start  end", 0) and not any("ten" in t for _, t, _ in rows[0])
+
+
+def test_grams_with_equal_hashes(monkeypatch):
+    monkeypatch.setattr(leaks.Grams, "_hash", staticmethod(lambda w: __import__("numpy").zeros(len(w), "uint64")))
+    grams = leaks.Grams([("a", "x y z w"), ("b", "y z w q"), ("a", "y z w")], 3)
+    assert [(p, sorted(grams.items[g])) for p, g in grams.hits("x y z w q".split())] == [(0, ["a"]), (1, ["a", "b"]), (2, ["b"])]
