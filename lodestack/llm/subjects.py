@@ -5,7 +5,7 @@ sentence is the mean of its words' vectors, a word's vector the mean of the rows
 and hashed character runs.  One logistic output for each area reads that vector.
 
 Training: a bounded sample of labelled documents is packed once on the executors; every round each
-partition adds up the gradients of its sentences, the driver sums them and takes one Adam step.
+partition adds up the gradients of its sentences, one executor sums them and the driver takes one Adam step.
 After FIRST rounds with the documents' labels the sentences of the sample are labelled anew by the
 model itself, so that sentences about nothing, or about a second subject, no longer carry their
 document's label.  Scoring: since the outputs are linear in the mean, a word's contribution is
@@ -36,7 +36,7 @@ SHARE = 0.25  # of the sentences that treat any subject
 KNOWN = 400_000  # distinct words a task remembers
 
 COMMENT = re.compile(r"<!--.*?-->|<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|<(math|gallery|nowiki|blockquote|pre|code)\b[^<>]*>.*?</\1>", re.S | re.I)
-TEMPLATE = re.compile(r"\{\{[^{}]*\}\}|\{\{\{[^{}]*\}\}\}")
+BRACES = re.compile(r"\{\{|\}\}")
 TABLE = re.compile(r"^[ \t:]*\{\|.*?^[ \t]*\|\}", re.S | re.M)
 NAMESPACE = re.compile(r"\[\[[ \t]*[A-Za-zÀ-ÿ_-]+[ \t]*:[^\[\]]*\]\]")
 LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
@@ -44,17 +44,30 @@ LINES = re.compile(r"^(?:=.*=|[|!].*|#.*|-{4,}|~{3,}.*)[ \t]*$", re.M)
 INLINE = re.compile(r"</?[a-zA-Z][^<>]*>|'{2,}|\[[a-z]+://\S*|&nbsp;")
 
 
+def without_templates(text: str) -> str:
+    """The text with a blank for each outermost closed template, however deep they are nested; unclosed braces stay."""
+    open_, closed = [], []
+    for m in BRACES.finditer(text):
+        if m.group() == "{{":
+            open_.append(m.start())
+        elif open_:
+            start = open_.pop()
+            while closed and closed[-1][0] > start:
+                closed.pop()
+            closed.append((start, m.end()))
+    out, at = [], 0
+    for start, end in closed:
+        out += text[at:start], " "
+        at = end
+    return "".join(out) + text[at:]
+
+
 def prose(text: str) -> str:
     """The text without comments, references, quotes, templates, tables, headings, categories and link targets."""
     if "<" in text:
         text = COMMENT.sub(" ", text)
-    for _ in range(4):
-        if "{{" not in text:
-            break
-        shorter = TEMPLATE.sub(" ", text)
-        if len(shorter) == len(text):
-            break
-        text = shorter
+    if "{{" in text:
+        text = without_templates(text)
     if "{|" in text:
         text = TABLE.sub("\n", text)
     if "[[" in text:
@@ -79,7 +92,9 @@ def sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, str
 def _rows_of_words(text: str, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows (flat) and their number for distinct words: one for the word, one for each character run."""
     cps = W.code_points(text)
-    length = np.array([_length(cps, s) for s in starts.tolist()], np.int64)
+    word = W.is_word_char(np.append(cps, np.uint32(0)))
+    stops = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+    length = stops[np.searchsorted(stops, starts, side="right")] - starts if len(starts) else starts
     total = length + 2
     offset = np.concatenate(([0], np.cumsum(total)[:-1])) if len(total) else total
     chars = np.full(int(total.sum()), 1, np.uint64)
@@ -96,12 +111,6 @@ def _rows_of_words(text: str, starts: np.ndarray, hashes: np.ndarray) -> tuple[n
     return flat[order], np.bincount(owner, minlength=len(starts))
 
 
-def _length(cps: np.ndarray, start: int) -> int:
-    end = start + 40
-    piece = W.is_word_char(cps[start:end])
-    return int(len(piece) if piece.all() else np.argmin(piece))
-
-
 def _mean(values: np.ndarray, count: np.ndarray) -> np.ndarray:
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
     return np.add.reduceat(values, np.minimum(first, len(values) - 1), axis=0) / np.maximum(count, 1)[:, None]
@@ -177,7 +186,7 @@ def _gradients(packed: dict[str, bytes], model: Model, relabel: Model | None) ->
         scores = _mean(relabel.embedding[rows], count) @ relabel.weights
         seen = 1 / (1 + np.exp(-(_mean(scores[word], length) + relabel.bias)))
         best = seen == seen.max(axis=1, keepdims=True)
-        target = (best & (seen >= PLAIN) & ((target > 0) | (seen >= SURE))).astype(np.float32)
+        target = ((seen >= SURE) | (best & (seen >= PLAIN) & (target > 0))).astype(np.float32)
     vectors = _mean(model.embedding[rows], count)
     mean = _mean(vectors[word], length)
     p = 1 / (1 + np.exp(-(mean @ model.weights + model.bias)))
@@ -191,6 +200,15 @@ def _gradients(packed: dict[str, bytes], model: Model, relabel: Model | None) ->
     return embedding.astype(np.float32), mean.T @ error, error.sum(0), loss, len(length)
 
 
+SUMS = "e binary, w binary, b binary, loss double, n long"
+
+
+def _summed(parts: pd.DataFrame) -> pd.DataFrame:
+    """The sum of the partitions' gradients (at most PARTS rows), made on an executor."""
+    total = {c: [sum(np.frombuffer(x, kind) for x in parts[c]).astype(kind).tobytes()] for c, kind in (("e", np.float32), ("w", np.float64), ("b", np.float64))}
+    return pd.DataFrame(total | {"loss": [float(parts["loss"].sum())], "n": [int(parts["n"].sum())]})
+
+
 class _Adam:
     def __init__(self, *parameters: np.ndarray):
         self.parameters, self.step = parameters, 0
@@ -225,19 +243,19 @@ def fit(labelled: DataFrame, areas: list[str]) -> Model:
             for pdf in batches:
                 for row in pdf.to_dict("records"):
                     e, w, b, loss, n = _gradients(row, now, before)
-                    yield pd.DataFrame({"e": [e.astype(np.float32).tobytes()], "w": [w.astype(np.float64).tobytes()], "b": [b.astype(np.float64).tobytes()], "loss": [loss], "n": [n]})
+                    yield pd.DataFrame({"one": [0], "e": [e.astype(np.float32).tobytes()], "w": [w.astype(np.float64).tobytes()], "b": [b.astype(np.float64).tobytes()], "loss": [loss], "n": [n]})
 
-        sums = packed.mapInPandas(add, "e binary, w binary, b binary, loss double, n long").collect()  # at most PARTS rows
+        sums = packed.mapInPandas(add, f"one int, {SUMS}").groupBy("one").applyInPandas(_summed, SUMS).collect()  # one row, or none
         shared.destroy()
-        n = sum(r.n for r in sums)
-        if not n:
+        if not sums or not sums[0].n:
             model.bias[:] = -20
             break
+        total = sums[0]
         adam.update(
             [
-                sum(np.frombuffer(r.e, np.float32) for r in sums).reshape(BUCKETS, DIM) / n,
-                (sum(np.frombuffer(r.w, np.float64) for r in sums).reshape(DIM, -1) / n).astype(np.float32),
-                (sum(np.frombuffer(r.b, np.float64) for r in sums) / n).astype(np.float32),
+                np.frombuffer(total.e, np.float32).reshape(BUCKETS, DIM) / total.n,
+                (np.frombuffer(total.w, np.float64).reshape(DIM, -1) / total.n).astype(np.float32),
+                (np.frombuffer(total.b, np.float64) / total.n).astype(np.float32),
             ]
         )
     return model

@@ -185,3 +185,21 @@ def test_without_a_vocabulary():
     assert personal.usual_words("/no/such/file") == frozenset()
     bare = personal.train(200, 2, vocabularies=())
     assert bare.find("Please contact Anna Petersen at k@w.example.")[-1][2] == "email"
+
+
+def test_templates_of_any_depth():
+    for depth in (1, 5, 3000):
+        text = "A " + "{{a| " * depth + "x" + "}}" * depth + " sentence."
+        assert subjects.prose(text).split() == ["A", "sentence."]
+    assert subjects.without_templates("a {{b {{c}} d") == "a {{b   d" and subjects.without_templates("a }} {{b}} c {{d}}") == "a }}   c  "
+
+
+def test_long_words_keep_their_ends():
+    import numpy as np
+
+    from lodestack.llm import words
+
+    texts = ["x" * 43 + "abc", "x" * 43 + "abd"]
+    hashes, _, starts = words.scan(texts)
+    rows, count = subjects._rows_of_words("\0".join(texts), starts, hashes)
+    assert count[0] == count[1] and not np.array_equal(rows[1 : count[0]], rows[count[0] + 1 :])
