@@ -11,7 +11,8 @@ order, rare ones first, the first ``a - m + l`` of one and ``b - m + l`` of the
 least ``l``; only those prefixes are posted in the index, the shared ones are tallied for each
 pair, and pairs short of ``l`` are discarded.  What is left is verified on the whole sets.
 No pair at or above the threshold is lost, whatever the order; the order only decides how many
-postings meet.  It comes from counts of all positions in a sketch of fixed size.
+postings meet.  It comes from counts of all positions in a sketch of bounded size.  The meetings of a
+position that very many records hold are spread over pairs of groups of these records.
 
 Records with equal sets (copies) are one class everywhere: a class is posted and verified once.
 """
@@ -31,11 +32,15 @@ from lodestack.llm import words
 from lodestack.session import cut
 
 ID_BITS, OWNER_BITS, RANK_BITS = 42, 14, 8
-SKETCH_BITS, SKETCH_CHUNKS = 21, 32
-BLOOM_BITS = 26
+LEAST_SKETCH, MOST_SKETCH, CHUNKS = 18, 24, 32  # bits of the sketch, by the size of the input; pieces it is merged in
+LEAST_BLOOM, MOST_BLOOM = 18, 27  # bits of the filter of candidate classes, by their number
 LEAST = 5  # shared positional bytes a pair needs inside the posted prefixes
-FLUSH = 1 << 20  # postings a task gathers before it sends them on
-BUCKET = 1 << 20  # postings a bucket of the index is planned for
+FLUSH, MOST_FLUSH = 1 << 20, 1 << 23  # postings a task gathers before it sends them on
+BUCKET = 1 << 18  # postings a bucket of the index is planned for
+PARTITIONS = 1 << 14  # of the index at most; a partition then takes its buckets one after the other
+HOT = 4096  # records with one positional byte above which its meetings are spread over tasks
+MOST_GROUPS = 64  # groups the records of one positional byte are split into
+SEEN = 1 << 20  # classes a task remembers having sent
 
 
 def _ids(texts: list[str], parts: list[str], n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +63,7 @@ def _sets(pdf: pd.DataFrame, n: int, min_words: int, ranks: np.ndarray | None =
     for at, end in words.slices(pdf["text"].tolist(), rows=1 << OWNER_BITS):
         piece = pdf.iloc[at:end]
         ids, owner = _ids(piece["text"].tolist(), piece["part"].tolist(), n, min_words)
-        rank = ranks[ids >> np.uint64(ID_BITS - SKETCH_BITS)].astype(np.uint64) if ranks is not None else np.uint64(0)
+        rank = ranks[_slot(ids, len(ranks))].astype(np.uint64) if ranks is not None else np.uint64(0)
         packed = (owner.astype(np.uint64) << np.uint64(ID_BITS + RANK_BITS)) | (rank << np.uint64(ID_BITS)) | ids
         packed.sort()
         if len(packed):
@@ -70,6 +75,11 @@ def _sets(pdf: pd.DataFrame, n: int, min_words: int, ranks: np.ndarray | None =
         )
 
 
+def _slot(ids: np.ndarray, size: int) -> np.ndarray:
+    """Place of each id in a sketch of this size."""
+    return (ids >> np.uint64(ID_BITS - size.bit_length() + 1)).astype(np.int64)
+
+
 def _press(raw: bytes) -> bytes:
     return zstandard.compress(raw, 1)
 
@@ -85,32 +95,70 @@ def _signatures(owner: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner[first], first, size, signature
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of a table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _sketch(records: DataFrame, n: int, min_words: int) -> tuple[np.ndarray, int]:
-    """Rank of each sketch bucket (0: held by one record only) and the number of all postings."""
+    """Rank of each sketch bucket (0: held by one record only) and the number of all postings.
+
+    The sketch has a place for every eighth byte of the input, as far as it may grow; a full one
+    tells only the positions far above the mean from the rest, which costs meetings, no pair.
+    """
+    bits = min(MOST_SKETCH, max(LEAST_SKETCH, math.ceil(math.log2(_estimated_bytes(records) / 8 + 1))))
+    step = (1 << bits) // CHUNKS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for pdf in batches:
             for _, _, ids in _sets(pdf, n, min_words):
-                total += np.bincount((ids >> np.uint64(ID_BITS - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                places, times = np.unique(_slot(ids, len(total)), return_counts=True)
+                total[places] += times.astype(np.uint32)
         if total.any():
-            step = len(total) // SKETCH_CHUNKS
-            for k in range(SKETCH_CHUNKS):
+            for k in range(CHUNKS):
                 chunk = total[k * step : (k + 1) * step]
-                yield pd.DataFrame({"chunk": [k], "total": [int(chunk.sum())], "counts": [_press(np.minimum(chunk, 65535).astype("<u2").tobytes())]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = sum(np.frombuffer(zstandard.decompress(b), "<u2").astype(np.int64) for b in pdf["counts"])
+                yield pd.DataFrame({"chunk": [k], "total": [int(chunk.sum(dtype=np.int64))], "counts": [_press(chunk.astype("<u4").tobytes())]})
+
+    def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, total = np.zeros(step, np.int64), 0
+        for pdf in parts:
+            for b in pdf["counts"]:
+                counts += np.frombuffer(zstandard.decompress(b), "<u4")
+            total += int(pdf["total"].sum())
         ranks = np.where(counts < 2, 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(counts, 1) / 2)))).astype(np.uint8)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "total": [int(pdf["total"].sum())], "ranks": [ranks.tobytes()]})
+        yield pd.DataFrame({"chunk": [key[0]], "total": [total], "ranks": [ranks.tobytes()]})
 
     rows = records.mapInPandas(count, "chunk int, total long, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, total long, ranks binary").collect()
-    ranks = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in rows:  # at most SKETCH_CHUNKS rows, one byte a bucket
-        ranks[row.chunk * len(ranks) // SKETCH_CHUNKS : (row.chunk + 1) * len(ranks) // SKETCH_CHUNKS] = np.frombuffer(row.ranks, np.uint8)
+    ranks = np.zeros(1 << bits, np.uint8)
+    for row in rows:  # at most CHUNKS rows, one byte a place
+        ranks[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.ranks, np.uint8)
     return ranks, sum(row.total for row in rows)
 
 
+def _groups(rank: np.ndarray) -> np.ndarray:
+    """Groups the records of a positional byte are split into, by how many its place in the sketch has."""
+    about = 2.0 ** (1 + (rank.astype(np.float64) - 1) / 8)
+    return np.where(rank > 0, np.clip(np.ceil(about / HOT), 1, MOST_GROUPS), 1).astype(np.int64)
+
+
+def _spread(ids: np.ndarray, sig: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the posting, id, side) with the postings of hot positional bytes once for each pair of groups they take part in.
+
+    The records of a hot byte fall into g groups by their signature; each pair of groups is a cell with an
+    id of its own, so that its meetings go to a bucket of their own.  In a cell of two groups only postings of
+    different sides (0, 1) meet, in a cell of one group (side 2) all do: every two records meet in one cell.
+    """
+    groups = _groups(rank)
+    at = np.repeat(np.arange(len(ids)), groups)
+    g = groups[at]
+    other = np.arange(len(at)) - np.repeat(np.cumsum(groups) - groups, groups)
+    own = (words.mix(sig[at] ^ np.uint64(0x5BD1)) % g.astype(np.uint64)).astype(np.int64)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    cell = words.mix(ids[at] ^ words.mix((low * MOST_GROUPS + high + 1).astype(np.uint64))) >> np.uint64(64 - ID_BITS)
+    return at, np.where(g > 1, cell, ids[at]), np.where(low == high, 2, own == high).astype(np.uint8)
+
+
 def _least(size: np.ndarray, threshold: float) -> np.ndarray:
     """Shared positional bytes demanded inside the prefixes of a record of this size."""
     return np.minimum(LEAST, np.ceil(threshold * size - 1e-9).astype(np.int64))
@@ -122,9 +170,10 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         held, count = [], 0
+        enough = min(MOST_FLUSH, max(FLUSH, 16 * buckets))
 
         def flush() -> pd.DataFrame:
-            ids, sig, size, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, sig, size, at, side = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = (words.mix(ids) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -135,7 +184,7 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
                 heads = mine[fresh]
                 each = np.diff(np.append(np.flatnonzero(fresh), len(mine)))
                 low = (ids[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                columns = (np.array([len(mine), len(heads)], "<u4"), sig[heads].astype("<u8"), size[heads].astype("<u4"), each.astype("<u4"), low, (ids[mine] >> np.uint64(32)).astype("<u2"), (at[mine] & 0xFFFF).astype("<u2"), (at[mine] >> 16).astype("<u2"))
+                columns = (np.array([len(mine), len(heads)], "<u4"), sig[heads].astype("<u8"), size[heads].astype("<u4"), each.astype("<u4"), low, (ids[mine] >> np.uint64(32)).astype("<u2"), (at[mine] & 0xFFFF).astype("<u2"), (at[mine] >> 16).astype("<u2"), side[mine])
                 out.append((int(b), _press(b"".join(x.tobytes() for x in columns))))
             return pd.DataFrame(out, columns=["bucket", "blob"])
 
@@ -143,6 +192,8 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
             for owner, rank, ids in _sets(pdf, n, min_words, ranks.value):
                 _, first, size, signature = _signatures(owner, ids)
                 fresh = np.zeros(len(first), bool)
+                if len(seen) > SEEN:
+                    seen.clear()
                 for i, s in enumerate(signature.tolist()):
                     if s not in seen:
                         seen.add(s)
@@ -151,9 +202,11 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
                 at = np.arange(len(ids)) - np.repeat(first, size)
                 prefix = whole - np.ceil(threshold * whole - 1e-9).astype(np.int64) + _least(whole, threshold)
                 keep = (at < prefix) & (rank > 0) & np.repeat(fresh, size)
-                held.append((ids[keep], np.repeat(signature, size)[keep], whole[keep], at[keep]))
-                count += int(keep.sum())
-                if count >= FLUSH:
+                sig, whole, at = np.repeat(signature, size)[keep], whole[keep], at[keep]
+                which, cells, side = _spread(ids[keep], sig, rank[keep])
+                held.append((cells, sig[which], whole[which], at[which], side))
+                count += len(which)
+                if count >= enough:
                     yield flush()
                     held, count = [], 0
         if count:
@@ -162,7 +215,7 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
     return records.mapInPandas(post, "bucket int, blob binary")
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     blob = zstandard.decompress(blob)
     count, heads = map(int, np.frombuffer(blob, "<u4", 2))
     place = 8
@@ -174,17 +227,17 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         return values
 
     sig, size, each = column("<u8", heads), column("<u4", heads).astype(np.int64), column("<u4", heads)
-    low, high, at, over = column("<u4", count), column("<u2", count), column("<u2", count), column("<u2", count)
+    low, high, at, over, side = column("<u4", count), column("<u2", count), column("<u2", count), column("<u2", count), column("u1", count)
     ids = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    return ids, np.repeat(sig, each), np.repeat(size, each), at.astype(np.int64) | over.astype(np.int64) << 16
+    return ids, np.repeat(sig, each), np.repeat(size, each), at.astype(np.int64) | over.astype(np.int64) << 16, side
 
 
-def _meetings(ids: np.ndarray, sig: np.ndarray, size: np.ndarray, at: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _meetings(ids: np.ndarray, sig: np.ndarray, size: np.ndarray, at: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(smaller, larger, demanded) for postings of one bucket that meet and may still reach the minimum."""
     order = np.lexsort((sig, size, ids))
-    ids, sig, size, at = ids[order], sig[order], size[order], at[order]
+    ids, sig, size, at, side = ids[order], sig[order], size[order], at[order], side[order]
     fresh = np.concatenate(([True], (ids[1:] != ids[:-1]) | (sig[1:] != sig[:-1]))) if len(ids) else np.empty(0, bool)
-    ids, sig, size, at = ids[fresh], sig[fresh], size[fresh], at[fresh]  # the same class posted by several tasks
+    ids, sig, size, at, side = ids[fresh], sig[fresh], size[fresh], at[fresh], side[fresh]  # the same class posted by several tasks
     least = _least(size, threshold)
     index = at < size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64) + least
     active, step = np.flatnonzero(index), 1
@@ -198,11 +251,12 @@ def _meetings(ids: np.ndarray, sig: np.ndarray, size: np.ndarray, at: np.ndarray
         need = np.ceil(threshold / (1 + threshold) * (size[active] + size[other]) - 1e-9).astype(np.int64)
         demand = np.minimum(least[active], least[other])
         fits = np.minimum(size[active] - at[active], size[other] - at[other]) >= need - demand + 1
+        fits &= (side[active] != side[other]) | (side[active] == 2)
         yield sig[active[fits]], sig[other[fits]], demand[fits]
         step += 1
 
 
-def _tally(postings: DataFrame, threshold: float) -> DataFrame:
+def _tally(postings: DataFrame, threshold: float, buckets: int) -> DataFrame:
     """Candidate pairs of classes: those whose shared positional bytes reach the demanded number."""
 
     def count(held: list) -> pd.DataFrame:
@@ -237,35 +291,50 @@ def _tally(postings: DataFrame, threshold: float) -> DataFrame:
         if blobs:
             yield from bucket(blobs)
 
-    met = postings.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "a long, b long, shared int, demand int")
+    met = postings.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInPandas(meet, "a long, b long, shared int, demand int")
     return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("demand").alias("demand")).filter("shared >= demand").select("a", "b")
 
 
 def _bloom(pairs: DataFrame) -> np.ndarray:
-    """Bit array of fixed size that holds the signatures of all candidate classes."""
+    """Packed bit array that holds the signatures of all candidate classes, sized by their number."""
+    bits = min(MOST_BLOOM, max(LEAST_BLOOM, math.ceil(math.log2(32 * pairs.count() + 1))))
+    step = (1 << bits) // 8 // CHUNKS
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        some = np.zeros(1 << bits, bool)
         for pdf in batches:
             for c in ("a", "b"):
                 h = pdf[c].to_numpy().view(np.uint64)
                 for k in (0, 1):
-                    bits[(words.mix(h + np.uint64(k)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)] = True
-        packed = np.packbits(bits)
-        step = len(packed) // SKETCH_CHUNKS
-        for k in range(SKETCH_CHUNKS):
+                    some[(words.mix(h + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        packed = np.packbits(some)
+        for k in range(CHUNKS):
             if packed[k * step : (k + 1) * step].any():
                 yield pd.DataFrame({"chunk": [k], "bits": [packed[k * step : (k + 1) * step].tobytes()]})
 
-    def either(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
+    def either(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        merged = np.zeros(step, np.uint8)
+        for pdf in parts:
+            for b in pdf["bits"]:
+                merged |= np.frombuffer(b, np.uint8)
+        yield pd.DataFrame({"chunk": [key[0]], "bits": [merged.tobytes()]})
 
-    packed = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    for row in pairs.mapInPandas(mark, "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect():
-        packed[row.chunk * len(packed) // SKETCH_CHUNKS : (row.chunk + 1) * len(packed) // SKETCH_CHUNKS] = np.frombuffer(row.bits, np.uint8)
+    packed = np.zeros((1 << bits) // 8, np.uint8)
+    for row in pairs.mapInPandas(mark, "chunk int, bits binary").groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect():  # at most CHUNKS rows
+        packed[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.bits, np.uint8)
     return packed
 
 
+def _holds(packed: np.ndarray, signature: np.ndarray) -> np.ndarray:
+    """Which signatures may be in the filter."""
+    bits = (8 * len(packed)).bit_length() - 1
+    hit = np.ones(len(signature), bool)
+    for k in (0, 1):
+        bit = (words.mix(signature + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64)
+        hit &= (packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+    return hit
+
+
 def _members(records: DataFrame, bloom, n: int, min_words: int) -> DataFrame:
     """Rows (sig, key, null) for every record and (sig, null, set) once a task for every candidate class."""
 
@@ -279,10 +348,9 @@ def _members(records: DataFrame, bloom, n: int, min_words: int) -> DataFrame:
                     continue
                 sig = signature.view(np.int64)
                 yield pd.DataFrame({"sig": sig, "part": parts[row], "key": keys[row], "ids": None})
-                hit = np.ones(len(row), bool)
-                for k in (0, 1):
-                    bit = (words.mix(signature + np.uint64(k)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
-                    hit &= (bloom.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+                hit = _holds(bloom.value, signature)
+                if len(seen) > SEEN:
+                    seen.clear()
                 fresh = [i for i in np.flatnonzero(hit) if sig[i] not in seen and not seen.add(sig[i])]
                 if fresh:
                     sets = [(ids[first[i] : first[i] + size[i]]).astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes() for i in fresh]
@@ -324,7 +392,7 @@ def near_classes(df: DataFrame, key: str, text: str, part: str | None = None, n:
     context = df.sparkSession.sparkContext
     ranks, total = _sketch(records, n, min_words)
     buckets = max(24, math.ceil(total / BUCKET))
-    pairs = cut(_tally(_postings(records, context.broadcast(ranks), n, min_words, threshold, buckets), threshold))
+    pairs = cut(_tally(_postings(records, context.broadcast(ranks), n, min_words, threshold, buckets), threshold, buckets))
     emitted = cut(_members(records, context.broadcast(_bloom(pairs)), n, min_words))
     sets = emitted.filter("ids is not null").select("sig", "ids").dropDuplicates(["sig"])
     links = (

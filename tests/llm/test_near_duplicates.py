@@ -78,3 +78,32 @@ def test_empty_table(spark):
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.sig, r.root) for r in N.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_records_of_a_hot_position_meet_once(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(N, "HOT", 10)
+    r = np.random.default_rng(3)
+    sig = r.integers(1, 2**62, 90).astype(np.uint64)
+    ids = np.repeat(np.array([5, 9], np.uint64), [80, 10])
+    rank = np.where(ids == 5, 1 + int(8 * np.log2(80 / 2)), 0).astype(np.uint8)
+    at, cells, side = N._spread(ids, sig, rank)
+    assert len(set(cells[at < 80].tolist())) > 10 and (cells[at >= 80] == 9).all()
+    size, place = np.full(len(at), 30), np.zeros(len(at), np.int64)
+    met = []
+    for cell in sorted(set(cells.tolist())):  # each cell may be in a bucket of its own
+        mine = cells == cell
+        for a, b, _ in N._meetings(cells[mine], sig[at][mine], size[mine], place[mine], side[mine], 0.5):
+            met += [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    want = {tuple(sorted((int(x), int(y)))) for part in (sig[:80], sig[80:]) for i, x in enumerate(part) for y in part[:i]}
+    assert len(met) == len(want) and set(met) == want
+
+
+def test_one_paragraph_in_very_many_texts(spark):
+    r = random.Random(1)
+    paragraph = " ".join(f"shared{i}" for i in range(40))
+    rows = [(f"{i:05d}", " ".join(f"own{r.randrange(10**6)}" for _ in range(45)) + " " + paragraph) for i in range(20_000)]
+    rows += [(f"x{i}", rows[i][1].replace("own", "own", 1) + " more") for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, t string").repartition(6)
+    assert {(p.first_key, p.second_key) for p in N.near_pairs(df, "k", "t").collect()} == {(f"{i:05d}", f"x{i}") for i in range(5)}
