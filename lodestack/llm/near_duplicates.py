@@ -36,7 +36,7 @@ LEAST_SKETCH, MOST_SKETCH, CHUNKS = 18, 24, 32  # bits of the sketch, by the siz
 LEAST_BLOOM, MOST_BLOOM = 18, 27  # bits of the filter of candidate classes, by their number
 LEAST = 5  # shared positional bytes a pair needs inside the posted prefixes
 FLUSH, MOST_FLUSH = 1 << 20, 1 << 23  # postings a task gathers before it sends them on
-BUCKET = 1 << 18  # postings a bucket of the index is planned for
+BUCKET = 1 << 19  # postings a bucket of the index is planned for
 PARTITIONS = 1 << 14  # of the index at most; a partition then takes its buckets one after the other
 HOT = 4096  # records with one positional byte above which its meetings are spread over tasks
 MOST_GROUPS = 64  # groups the records of one positional byte are split into
@@ -103,18 +103,21 @@ def _estimated_bytes(df: DataFrame) -> int:
 def _sketch(records: DataFrame, n: int, min_words: int) -> tuple[np.ndarray, int]:
     """Rank of each sketch bucket (0: held by one record only) and the number of all postings.
 
-    The sketch has a place for every eighth byte of the input, as far as it may grow; a full one
+    The sketch has a place for 32 bytes of the input, as far as it may grow; a full one
     tells only the positions far above the mean from the rest, which costs meetings, no pair.
     """
-    bits = min(MOST_SKETCH, max(LEAST_SKETCH, math.ceil(math.log2(_estimated_bytes(records) / 8 + 1))))
+    bits = min(MOST_SKETCH, max(LEAST_SKETCH, math.ceil(math.log2(_estimated_bytes(records) / 32 + 1))))
     step = (1 << bits) // CHUNKS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.uint32)
         for pdf in batches:
             for _, _, ids in _sets(pdf, n, min_words):
-                places, times = np.unique(_slot(ids, len(total)), return_counts=True)
-                total[places] += times.astype(np.uint32)
+                if len(total) <= 16 * len(ids):
+                    total += np.bincount(_slot(ids, len(total)), minlength=len(total)).astype(np.uint32)
+                else:
+                    places, times = np.unique(_slot(ids, len(total)), return_counts=True)
+                    total[places] += times.astype(np.uint32)
         if total.any():
             for k in range(CHUNKS):
                 chunk = total[k * step : (k + 1) * step]
