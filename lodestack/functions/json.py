@@ -25,32 +25,39 @@ def without(column: str | Column, *keys: str) -> Column:
     )
 
 
+TOKEN = re.compile(r'(?P<string>"(?:[^"\\]|\\.)*")|(?P<open>[{\[])|(?P<end>[}\]])|(?P<torn>")|(?P<other>[^\s,:"{}\[\]]+)', re.S)
+
+
 def close(text: str) -> str:
-    """A truncated JSON text with its open string, arrays and objects closed and a trailing comma dropped."""
-    stack, quoted, escaped = [], False, False
-    for c in text:
-        if quoted:
-            escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack:
-            stack.pop()
-    body = text + ('"' if quoted else "")
-    return re.sub(r",\s*$", "", body) + "".join(reversed(stack))
+    """A truncated JSON text cut back to its last whole token, with what is open there closed.
+
+    An unfinished string and trailing commas and colons are dropped; a key without a value stays, so that the text is no JSON then.
+    """
+    expected, whole = [], 0
+    for m in TOKEN.finditer(text):
+        if m.lastgroup == "torn":
+            break
+        if m.lastgroup == "open":
+            expected.append("}" if m.group() == "{" else "]")
+            continue
+        if m.lastgroup == "end" and expected:
+            expected.pop()
+        whole = m.end()
+    return text[:whole] + "".join(reversed(expected))
+
+
+FENCED = re.compile(r"```(?:json)?\s*(\{.*\})\s*```", re.S)
 
 
 def parse(text: str) -> dict | None:
-    """The first JSON object of model output: fences dropped, parsed as it is, else repaired; None if that fails."""
-    fenced = re.search(r"```(?:json)?\s*(.*?)(?:```|\Z)", text, re.S)
+    """The JSON object of model output: inside a fence, else from the first to the last brace, parsed as it is, else repaired; None if that fails."""
+    fenced = FENCED.search(text)
     body = fenced.group(1) if fenced else text
-    start = body.find("{")
+    start, end = body.find("{"), body.rfind("}")
     if start < 0:
         return None
-    body = body[start:]
-    end = body.rfind("}")
-    for attempt in ([body[: end + 1]] if end >= 0 else []) + [close(body)]:
+    body = body[start : end + 1] if end > start else body[start:]
+    for attempt in (body, close(body)):
         try:
             value = json.loads(attempt)
         except ValueError:

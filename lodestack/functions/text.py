@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
 SECTIONS = ("Executive Summary", "Understanding", "Approach", "Proposed Team", "Risks", "Why Us")
 SLUG_WORDS = (("+", " plus "), ("@", " at "), ("&", " and "), ("%", " percent "), ("$", " dollar "))
+LIGATURES = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("đ", "d"))
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
@@ -37,10 +41,19 @@ def token_estimate(column: Column | str) -> Column:
     return F.when(n >= 5120, F.ceil(n / 8.0)).otherwise(F.ceil(n / 4.0)).cast("long")
 
 
+@lru_cache
+def plain_letters() -> tuple[str, str]:
+    """Lower-case letters with marks of the Latin blocks, and the letters they are without them."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, (*range(0xDF, 0x250), *range(0x1E00, 0x1F00))) if c.islower() and unicodedata.normalize("NFD", c)[0] != c]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def slug(column: Column | str) -> Column:
+    """Lower case, symbols as words, letters with marks as plain ones, everything else as one dash."""
     c = F.lower(_c(column))
-    for symbol, word in SLUG_WORDS:
+    for symbol, word in SLUG_WORDS + LIGATURES:
         c = F.replace(c, F.lit(symbol), F.lit(word))
+    c = F.translate(c, *plain_letters())
     c = F.regexp_replace(c, r"[^a-z0-9\s-]", "")
     return F.regexp_replace(F.regexp_replace(c, r"[\s-]+", "-"), r"^-|-$", "")
 

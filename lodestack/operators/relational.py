@@ -11,6 +11,40 @@ from pyspark.sql import functions as F
 ABSENT = object()
 
 
+class Once:
+    """Rows of ``df`` without repeated deliveries, one a ``key``.
+
+    Repeats of a key carry the same content, so a filter keeps all of them or none: filters go to the
+    table itself, where the scan can use them, and repeats are dropped when anything else is asked.
+    Columns that a query leaves out are not moved.
+    """
+
+    def __init__(self, df: DataFrame, key: str):
+        self._df, self._key = df, key
+
+    def filter(self, condition: Column | str) -> Once:
+        return Once(self._df.filter(condition), self._key)
+
+    def dropna(self, subset: Sequence[str]) -> Once:
+        return Once(self._df.dropna(subset=list(subset)), self._key)
+
+    def select(self, *columns: Column | str) -> DataFrame:
+        if all(isinstance(c, str) for c in columns) and self._key in columns:
+            return self._df.select(*columns).distinct()
+        return self.rows().select(*columns)
+
+    def rows(self) -> DataFrame:
+        return self._df.dropDuplicates([self._key])
+
+    def __getitem__(self, column: str) -> Column:
+        return self._df[column]
+
+    def __getattr__(self, name: str) -> Any:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self.rows(), name)
+
+
 def where(df: DataFrame, **clause: Any) -> DataFrame:
     """Rows that equal the clause in every column: None means null, ABSENT means no condition, a list means any of."""
     for name, value in clause.items():

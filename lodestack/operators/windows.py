@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def rolling_count(df: DataFrame, keys: Sequence[str], micros: Column, seconds: int, name: str = "recent") -> DataFrame:
@@ -76,6 +78,33 @@ def sessions(df: DataFrame, keys: Sequence[str], micros: Column, gap_seconds: in
     return counted.withColumn("session", (F.col("_sum") + F.col("_new")).cast("long")).drop("_at", "_new", "_sum")
 
 
+def holds(df: DataFrame, keys: Sequence[str], micros: Column, ttl: Column, tie: str, days: int = 7) -> DataFrame:
+    """(columns of ``df``, fresh): whether a row starts a hold of its key: the first row, and each one more than ``ttl`` microseconds after the last that did.
+
+    Rows in between do not renew the hold.  A row more than ``ttl`` after the one before always starts one, so the time line of a key falls into runs that
+    are walked on their own, in order, with nothing held but the last start.  Rows without an instant are left out.
+    """
+    timed = df.withColumn("_at", micros).withColumn("_ttl", ttl).filter("_at is not null")
+    bucket = F.floor(F.col("_at") / (days * 86_400_000_000))
+    linked = previous(timed, keys, bucket, ["_at", tie], F.col("_at"), "_prev")
+    first = F.col("_prev").isNull() | (F.col("_at") - F.col("_prev.value") > F.col("_ttl"))
+    flagged = linked.withColumn("_first", first).drop("_prev")
+    run = running_sum(flagged, keys, bucket, ["_at", tie], F.col("_first").cast("int"), "_run").withColumn("_run", F.col("_run") + F.col("_first").cast("int"))
+    columns, ordered = df.columns, run.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "_at", tie)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = 0
+        for pdf in batches:
+            fresh = []
+            for start, at, wait in zip(pdf["_first"], pdf["_at"], pdf["_ttl"], strict=True):
+                new = start or at - last > wait
+                last = at if new else last
+                fresh.append(bool(new))
+            yield pdf[columns].assign(fresh=fresh)
+
+    return ordered.mapInPandas(walk, StructType([*df.schema.fields, StructField("fresh", BooleanType())]))
+
+
 def changes(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: Column, days: int = 30) -> DataFrame:
     """Rows whose value differs from that of the row before (``previous``); the first row of a key is no change. Rows without an instant come last."""
     timed = df.withColumn("_at", F.coalesce(F.unix_micros(ts), F.lit(2**62)))

@@ -124,11 +124,11 @@ def _(t):
     return R.latest(chats(t), ["workspace_id"], [F.desc_nulls_last("feedback_score"), F.desc("chat_id")], 5).select("workspace_id", "chat_id")
 
 
-@query("op93_fuzzy_union", f"select distinct kind, name from (select 'workspace' as kind, title as name from workspaces union all select 'document', title from {RAW}) where contains(lower(name), 'ware') or levenshtein(lower(name), 'archive') <= 3")
+@query("op93_fuzzy_union", f"select distinct kind, name from (select 'workspace' as kind, title as name from workspaces union all select 'document', title from {RAW}) where contains(lower(name), 'storage') or levenshtein(lower(name), 'risk log') <= 3")
 def _(t):
     names = t.workspaces.select(F.lit("workspace").alias("kind"), F.col("title").alias("name")).unionByName(t.raw_documents.select(F.lit("document").alias("kind"), F.col("title").alias("name")))
     low = F.lower("name")
-    return names.filter(low.contains("ware") | (F.levenshtein(low, F.lit("archive")) <= 3)).distinct()
+    return names.filter(low.contains("storage") | (F.levenshtein(low, F.lit("risk log")) <= 3)).distinct()
 
 
 @query("op124_role_pairs", f"select chat_id, 0 as part, 'user' as role, message as content from {CHATS} where message is not null and textresponse is not null union all select chat_id, 1, 'assistant', textresponse from {CHATS} where message is not null and textresponse is not null")

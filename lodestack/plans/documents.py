@@ -6,12 +6,13 @@ import json
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestack.functions import cron, html, paths
 from lodestack.functions import json as J
 from lodestack.operators import retrieval as V
+from lodestack.operators.windows import running_sum
 from lodestack.plans import pipeline
 from lodestack.plans.registry import query
 from lodestack.plans.relational import CHATS, chats
@@ -92,8 +93,8 @@ def _(t):
 def _(t):
     docs = raw(t).filter("textcontent is not null").select("workspace_id", "raw_id")
     sizes = docs.groupBy(F.col("workspace_id").alias("w")).agg(F.count("*").alias("total"))
-    order = F.row_number().over(Window.partitionBy("workspace_id").orderBy("raw_id"))
-    return docs.withColumn("done", order).join(sizes, F.col("workspace_id").eqNullSafe(F.col("w"))).select("workspace_id", "raw_id", "done", "total")
+    placed = running_sum(docs, ["workspace_id"], F.floor(F.col("raw_id") / 10_000), ["raw_id"], F.lit(1), "before").withColumn("done", (F.col("before") + 1).cast("long"))
+    return placed.join(sizes, F.col("workspace_id").eqNullSafe(F.col("w"))).select("workspace_id", "raw_id", "done", "total")
 
 
 @query("op151_running_summary")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestack.operators import relational as R
+from lodestack.operators import windows as W
 from lodestack.plans.registry import query
 
 CHATS = "(select distinct * exclude (ingested_at) from workspace_chats)"
 
 
 def chats(t):
-    """Chats without repeated deliveries: by key, so that columns a query leaves out are not moved."""
-    return t.workspace_chats.drop("ingested_at").dropDuplicates(["chat_id"])
+    return R.Once(t.workspace_chats.drop("ingested_at"), "chat_id")
 
 
 @query("op15_table_scan", f"select chat_id, workspace_id, message from {CHATS} where workspace_id = 7 and feedback_score order by chat_id desc limit 20 offset 5")
@@ -140,21 +140,21 @@ def _(t):
     return per.filter("chats >= 5 and last < timestamp '2026-01-01' - interval 20 minutes").select("user_id", "workspace_id", "chats", F.unix_micros("last").alias("last_us"))
 
 
-@query(
-    "op60_group_lists",
-    f"select user_id, workspace_id, count(*) as chats, min(chat_id) as first_chat, max(chat_id) as last_chat, arg_max_null(chat_source, chat_id) as last_source from {CHATS} group by 1, 2",
-)
+@query("op60_group_lists", f"select user_id, workspace_id, row_number() over (partition by user_id, workspace_id order by chat_id) - 1 as place, chat_id, message from {CHATS}")
 def _(t):
-    return chats(t).groupBy("user_id", "workspace_id").agg(F.count("*").alias("chats"), F.min("chat_id").alias("first_chat"), F.max("chat_id").alias("last_chat"), F.max_by("chat_source", "chat_id").alias("last_source"))
+    """The ordered list of chats of every (user, workspace), one row a place, so that no hot group is one value or one task."""
+    rows = chats(t).select("user_id", "workspace_id", "chat_id", "message")
+    return W.running_sum(rows, ["user_id", "workspace_id"], F.floor(F.col("chat_id") / 10_000), ["chat_id"], F.lit(1), "place").select("user_id", "workspace_id", F.col("place").cast("long"), "chat_id", "message")
 
 
 @query(
     "op62_group_maps",
-    "select docsource, count(distinct workspace_id) as workspaces, max_by(workspace_id, raw_id) as last_workspace from (select distinct raw_id, workspace_id, docsource from raw_documents where workspace_id is not null) group by 1",
+    "select docsource, array_to_string(list_sort(list(distinct workspace_id)), ',') as workspaces, count(distinct title) as titles from raw_documents where workspace_id is not null group by 1",
 )
 def _(t):
-    docs = t.raw_documents.filter("workspace_id is not null").select("raw_id", "workspace_id", "docsource").distinct()
-    return docs.groupBy("docsource").agg(F.countDistinct("workspace_id").alias("workspaces"), F.max_by("workspace_id", "raw_id").alias("last_workspace"))
+    """Each source of documents with the distinct workspaces that hold them: at most as many as there are workspaces."""
+    docs = t.raw_documents.filter("workspace_id is not null")
+    return docs.groupBy("docsource").agg(F.array_join(F.sort_array(F.collect_set("workspace_id")).cast("array<string>"), ",").alias("workspaces"), F.countDistinct("title").alias("titles"))
 
 
 @query(

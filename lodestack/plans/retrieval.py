@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestack.operators import relational as R
 from lodestack.operators import retrieval as V
 from lodestack.plans.registry import query
 from lodestack.plans.relational import CHATS, chats
@@ -53,6 +54,15 @@ def _(t):
     return t.workspaces.select("workspace_id", F.when(s.isNull() | F.isnan(s) | ~s.between(0, 1), 0.25).otherwise(s).alias("threshold"))
 
 
+def _history(t, n: int, score: float, pinned=None):
+    """Sources of each query's namespace, newest first: the newest ``n`` that are not pinned, as no more can be filled in (a window and its hits)."""
+    held = vectors(t).select("namespace", "vec_id")
+    if pinned is not None:
+        held = held.join(pinned.select(F.col("id").alias("vec_id")), "vec_id", "left_anti")
+    newest = R.latest(held, ["namespace"], [F.desc("vec_id")], n)
+    return probes(t).select(F.col("query_id").alias("key"), "namespace").join(newest, "namespace").select("key", F.col("vec_id").alias("id"), F.lit(score).alias("score"), F.lit("past").alias("text"), F.col("vec_id").alias("turn"), F.lit(0).alias("place"))
+
+
 @query(
     "op92_source_backfill",
     f"""with hits as (select query_id as key, vec_id as id, round(1 - distance, 6) as score, place from ({_near('q.vec_id % 20 = 0', 4)}) where 1 - distance >= 0.3 and vec_id % 5 <> 1),
@@ -62,8 +72,8 @@ def _(t):
 )
 def _(t):
     hits = V.search(vectors(t), probes(t).drop("namespace"), 4, 0.3).select(F.col("query_id").alias("key"), F.col("vec_id").alias("id"), "score", F.lit("hit").alias("text"), "place")
-    past = probes(t).select(F.col("query_id").alias("key"), "namespace").join(vectors(t), "namespace").select("key", F.col("vec_id").alias("id"), F.lit(0.5).alias("score"), F.lit("past").alias("text"), F.col("vec_id").alias("turn"), F.lit(0).alias("place"))
     pins = t.embeddings.filter("vec_id % 5 = 1").select(F.col("vec_id").alias("id"))
+    past = _history(t, 8 + 4, 0.5, pins)
     return V.backfill(hits, past, 8, pins).select("key", "id", "score", "origin")
 
 
@@ -97,6 +107,6 @@ def _(t):
     """Query-mode context of each question: pinned vectors, hits above the threshold, backfill, refusal where nothing is left."""
     hits = V.search(vectors(t), probes(t), 4, 0.3, same_namespace=True)
     source = hits.select(F.col("query_id").alias("key"), F.col("vec_id").alias("id"), "score", F.lit("hit").alias("text"), "place")
-    past = probes(t).select(F.col("query_id").alias("key"), "namespace").join(vectors(t), "namespace").select("key", F.col("vec_id").alias("id"), F.lit(0.3).alias("score"), F.lit("past").alias("text"), F.col("vec_id").alias("turn"), F.lit(0).alias("place"))
+    past = _history(t, 6 + 4, 0.3)
     filled = V.backfill(source, past, 6).groupBy("key").agg(F.count("*").alias("sources"), F.round(F.max("score"), 6).alias("best"))
     return probes(t).select(F.col("query_id").alias("key")).join(filled, "key", "left").select("key", F.coalesce("sources", F.lit(0)).alias("sources"), "best", F.when(F.col("sources").isNull(), "no relevant information").alias("refusal"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import json as J
 from lodestack.functions import text as X
+from lodestack.operators import relational as R
 from lodestack.plans.registry import query
 from lodestack.plans.relational import CHATS, chats
 from lodestack.sources import sql as S
@@ -15,11 +16,11 @@ RUNS = "(select distinct * exclude (ingested_at) from rfp_runs)"
 
 
 def raw(t):
-    return t.raw_documents.drop("ingested_at").dropDuplicates(["raw_id"])
+    return R.Once(t.raw_documents.drop("ingested_at"), "raw_id")
 
 
 def runs(t):
-    return t.rfp_runs.drop("ingested_at").dropDuplicates(["run_id"])
+    return R.Once(t.rfp_runs.drop("ingested_at"), "run_id")
 
 
 @query(
@@ -46,7 +47,8 @@ def _(t):
 def _slug_sql(c: str) -> str:
     for symbol, word in X.SLUG_WORDS:
         c = f"replace({c}, '{symbol}', '{word}')"
-    return rf"regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9\s-]', '', 'g'), '[\s-]+', '-', 'g'), '^-|-$', '', 'g')"
+    c = f"replace(replace(replace(replace(strip_accents(replace(replace(lower({c}), 'ß', 'ss'), 'ø', 'o')), 'æ', 'ae'), 'œ', 'oe'), 'ł', 'l'), 'đ', 'd')"
+    return rf"regexp_replace(regexp_replace(regexp_replace({c}, '[^a-z0-9\s-]', '', 'g'), '[\s-]+', '-', 'g'), '^-|-$', '', 'g')"
 
 
 @query("op09_raw_text_ingest", f"select raw_id, {_slug_sql('title')} || '.txt' as file_title, coalesce(url, 'file://' || {_slug_sql('title')} || '.txt') as file_url, coalesce(docauthor, 'no author found') as author, coalesce(description, 'No description found.') as about from {RAW}")
@@ -57,7 +59,7 @@ def _(t):
 
 @query(
     "op13_connection_parts",
-    "select workspace_id, 'postgresql' as scheme, 'u' || workspace_id as username, slug || '.example' as host, 5432 as port, slug as endpoint from workspaces",
+    "select workspace_id, 'postgresql' as scheme, 'u' || workspace_id as username, slug || '.example' as host, 5432 as port, slug as endpoint, slug || '.example:5432,backup.example' as hosts, 's@cret' as password, 'true' as ssl from workspaces",
 )
 def _(t):
     uri = F.concat(F.lit("postgresql://u"), F.col("workspace_id").cast("string"), F.lit(":s%40cret@"), F.col("slug"), F.lit(".example:5432,backup.example/"), F.col("slug"), F.lit("?ssl=true"))
@@ -88,11 +90,11 @@ def _(t):
 
 @query(
     "op19_content_search",
-    f"""with l as (select raw_id, unnest(string_split(textcontent, chr(10))) as content, generate_subscripts(string_split(textcontent, chr(10)), 1) as line from {RAW} where textcontent is not null and docsource in ('mail export', 'upload'))
+    f"""with l as (select raw_id, unnest(string_split(textcontent, chr(10))) as content, generate_subscripts(string_split(textcontent, chr(10)), 1) as line from {RAW} where textcontent is not null)
     select raw_id, line::int as line, content from l where regexp_matches(content, '(?i)signature book')""",
 )
 def _(t):
-    hits = raw(t).filter(F.col("docsource").isin("mail export", "upload") & F.col("textcontent").rlike("(?i)signature book")).select("raw_id", F.posexplode(F.split("textcontent", "\n")).alias("at", "content"))
+    hits = raw(t).filter(F.col("textcontent").rlike("(?i)signature book")).select("raw_id", F.posexplode(F.split("textcontent", "\n")).alias("at", "content"))
     return hits.filter(F.col("content").rlike("(?i)signature book")).select("raw_id", (F.col("at") + 1).alias("line"), "content")
 
 
@@ -135,10 +137,12 @@ def _(t):
     return raw(t).filter("chunksource is not null").select("raw_id", X.can_watch("chunksource").alias("watchable"))
 
 
-@query("op43_url_validity", f"select raw_id, regexp_matches(url, '^https?://[^/?#\\s]+') as valid, regexp_matches('http://10.0.0.' || (raw_id % 9), '^https?://(8)') as private_valid from {RAW} where url is not null")
+@query("op43_url_validity", f"select raw_id, regexp_matches(url, '^https?://[^/?#\\s]+') as valid, raw_id % 4 = 3 as address_valid from {RAW} where url is not null")
 def _(t):
-    inner = F.concat(F.lit("http://10.0.0."), (F.col("raw_id") % 9).cast("string"))
-    return raw(t).filter("url is not null").select("raw_id", X.is_public_url("url").alias("valid"), X.is_public_url(inner).alias("private_valid"))
+    """URLs of the table, and addresses of four kinds: private ones, another scheme and public ones."""
+    hosts = F.array(*map(F.lit, ("http://10.0.0.", "http://192.168.1.", "ftp://8.8.4.", "http://8.8.4.")))
+    address = F.concat(F.get(hosts, (F.col("raw_id") % 4).cast("int")), (F.col("raw_id") % 9).cast("string"))
+    return raw(t).filter("url is not null").select("raw_id", X.is_public_url("url").alias("valid"), X.is_public_url(address).alias("address_valid"))
 
 
 @query("op45_allow_list", f"select chat_id, coalesce(chat_source in ('api', 'embed'), false) as allowed, coalesce(regexp_matches(api_session_id, '^[0-9a-f-]{{36}}$'), false) as session_ok from {CHATS}")
@@ -222,9 +226,10 @@ def _(t):
     return df.select("chat_id", X.expand_template(F.lit("Hi {user.id} in {workspace.name}, {date}: {user.bio}"), {"user.id": F.col("user_id"), "workspace.name": F.col("title")}).alias("prompt"))
 
 
-@query("op105_slug", f"select workspace_id, {_slug_sql('title')} as made from workspaces")
+@query("op105_slug", f"select distinct page_id, page_title, {_slug_sql('page_title')} as made, {_slug_sql(chr(39) + 'Größe & Œuvre: ' + chr(39) + ' || page_title')} as accented from documents where page_title is not null")
 def _(t):
-    return t.workspaces.select("workspace_id", X.slug("title").alias("made"))
+    titles = t.documents.filter("page_title is not null").select("page_id", "page_title").distinct()
+    return titles.select("page_id", "page_title", X.slug("page_title").alias("made"), X.slug(F.concat(F.lit("Größe & Œuvre: "), F.col("page_title"))).alias("accented"))
 
 
 @query(

@@ -24,13 +24,20 @@ def _(t):
     return t.events.filter("ts is not null and user_id is not null").groupBy("user_id", gap).agg(F.min("ts").alias("a"), F.count("*").alias("events")).select("user_id", F.unix_micros("a").alias("from_us"), "events")
 
 
-@query("op140_cached_decisions", f"select event_id, coalesce({US} - lag({US}) over (partition by user_id, event_type order by ts, event_id) <= case when event_type = 'error' then 30000000 else 3600000000 end, false) as cached from events where ts is not null")
+def _held_sql(condition: str, ttl: int) -> str:
+    """Events that start a hold of (user, type), by following from each start the first event later than the hold."""
+    return f"""select event_id from (with recursive e as (select event_id, user_id, event_type, {US} as a from events where ts is not null and {condition}),
+        n as (select event_id, min({{'a': a, 'id': event_id}}) over (partition by user_id, event_type order by a range between {ttl + 1} following and unbounded following) as later from e),
+        c as (select min({{'a': a, 'id': event_id}}).id as event_id from e group by user_id, event_type union all select n.later.id from c join n using (event_id) where n.later is not null)
+        select event_id from c)"""
+
+
+@query("op140_cached_decisions", f"select event_id, event_id not in ({_held_sql(chr(39) + 'error' + chr(39) + ' = event_type', 30_000_000)} union all {_held_sql('event_type is distinct from ' + chr(39) + 'error' + chr(39), 3_600_000_000)}) as cached from events where ts is not null")
 def _(t):
-    """Whether the decision for (user, type) is still held: 30 seconds for failures, an hour otherwise."""
-    timed = t.events.filter("ts is not null").withColumn("at", F.unix_micros("ts"))
-    linked = W.previous(timed, ["user_id", "event_type"], F.floor(F.col("at") / (7 * 86_400_000_000)), ["at", "event_id"], F.col("at"), "prev")
-    age = F.col("at") - F.col("prev.value")
-    return linked.select("event_id", F.coalesce(age <= F.when(F.col("event_type") == "error", 30_000_000).otherwise(3_600_000_000), F.lit(False)).alias("cached"))
+    """Whether the decision for (user, type) is still held since it was made: 30 seconds for failures, an hour otherwise; a use does not renew it."""
+    ttl = F.when(F.col("event_type") == "error", 30_000_000).otherwise(3_600_000_000)
+    events = t.events.select("event_id", "user_id", "event_type", "ts")
+    return W.holds(events, ["user_id", "event_type"], F.unix_micros("ts"), ttl, "event_id").select("event_id", (~F.col("fresh")).alias("cached"))
 
 
 @query("op141_route_order", "select event_id, coalesce(case when value > 80 then 'calculated' end, case when event_type = 'purchase' then 'model' end, case when user_id % 5 = 0 then 'sticky' end, 'fallback') as route from events")
@@ -45,11 +52,11 @@ def _(t):
     return chats(t).groupBy(signature.alias("signature")).agg(F.min("chat_id").alias("chat_id"))
 
 
-@query("op142_cooldown", f"select event_id from (select event_id, {US} as a, lag({US}) over (partition by user_id, event_type order by ts, event_id) as b from events where ts is not null) where b is null or a - b > 30000000")
+@query("op142_cooldown", _held_sql("true", 30_000_000))
 def _(t):
-    """Events that do not follow one of the same user and type within the 30 seconds before."""
-    df = W.sessions(t.events.filter("ts is not null"), ["user_id", "event_type"], F.unix_micros("ts"), 30, "event_id")
-    return df.groupBy("user_id", "event_type", "session").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("event_id")
+    """Events let through when each one blocks those of the same user and type for 30 seconds; a blocked one blocks nothing."""
+    events = t.events.select("event_id", "user_id", "event_type", "ts")
+    return W.holds(events, ["user_id", "event_type"], F.unix_micros("ts"), F.lit(30_000_000), "event_id").filter("fresh").select("event_id")
 
 
 @query("op142_unique_once", "select event_type, user_id, min_by(event_id, (ts, event_id)) as event_id from events where ts is not null group by 1, 2")

@@ -31,10 +31,11 @@ def run_select(spark: SparkSession, text: str) -> DataFrame:
 
 
 def answer(spark: SparkSession, text: str, limit: int = 1000) -> dict:
-    """{rows, count, error} of a statement for a tool that shows at most ``limit`` rows."""
+    """{rows, count, error} of a statement for a tool that shows at most ``limit`` rows; ``count`` is that of the whole result."""
     try:
-        rows = [r.asDict(recursive=True) for r in run_select(spark, text).limit(limit).collect()]
-        return {"rows": rows, "count": len(rows), "error": None}
+        result = run_select(spark, text)
+        rows = [r.asDict(recursive=True) for r in result.limit(limit).collect()]
+        return {"rows": rows, "count": len(rows) if len(rows) < limit else result.count(), "error": None}
     except Exception as e:  # noqa: BLE001  (any failure is reported to the caller)
         return {"rows": [], "count": 0, "error": str(e).splitlines()[0]}
 
@@ -56,7 +57,7 @@ def parse_connection(uri: str) -> dict:
 
 
 def connection_columns(uri: Column) -> list[Column]:
-    """The same parts as columns: scheme, username, first host and port, endpoint; null where absent."""
+    """The same parts as columns: scheme, username, password, all hosts, the first host and port, endpoint, option ``ssl``; null where absent."""
     def part(pattern: str, group: int = 1) -> Column:
         return F.nullif(F.regexp_extract(uri, pattern, group), F.lit(""))
 
@@ -66,6 +67,9 @@ def connection_columns(uri: Column) -> list[Column]:
         part(r"^[^:]+://(?:[^@/]*@)?([^:,/?]+)").alias("host"),
         F.regexp_extract(uri, r"^[^:]+://(?:[^@/]*@)?[^:,/?]+:([0-9]+)", 1).try_cast("int").alias("port"),
         part(r"^[^:]+://[^/?]*/([^?]*)").alias("endpoint"),
+        part(r"^[^:]+://(?:[^@/]*@)?([^/?]+)").alias("hosts"),
+        F.url_decode(part(r"^[^:]+://[^:@/]*:([^@/]*)@")).alias("password"),
+        part(r"[?&]ssl=([^&]*)").alias("ssl"),
     ]
 
 

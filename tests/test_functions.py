@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 from datetime import datetime
 
@@ -43,7 +44,9 @@ def test_chunks_of_a_table(spark):
 
 def test_json_repair_and_paths():
     assert J.parse('Here it is:\n```json\n{"a": [1, 2], "b": {"c": "x"}}\n```') == {"a": [1, 2], "b": {"c": "x"}}
-    assert J.parse('{"a": [1, 2, "thr') == {"a": [1, 2, "thr"]} and J.parse('{"a": 1, "b":') is None and J.parse("no") is None
+    assert J.parse('{"a": [1, 2, "thr') == {"a": [1, 2]} and J.parse('{"a": 1, "b') == {"a": 1}  # an unfinished string is dropped
+    assert J.close('{"a": {"b": [1, ') == '{"a": {"b": [1]}}'
+    assert J.parse('{"a": 1, "b":') is None and J.parse("no") is None
     value = {"a": {"b": [{"c d": 5}]}}
     assert J.get(value, "a.b[0]['c d']") == "5" and J.get(value, "a.x") == "" and J.get(value, "a.b") == '[{"c d": 5}]'
     assert J.substitute("v=${a.b[0]['c d']} ${none}", value) == "v=5 ${none}"
@@ -208,3 +211,44 @@ def test_tools_and_summaries(spark):
     pipeline.install(spark, "shout")
     assert spark.sql("select shout('a') as a").collect()[0].a == "A"
     assert pipeline.summarise("abcdefghij", 10, lambda t: t[-2:]) == "ij"
+
+
+def test_repeats_are_dropped_after_filters(spark):
+    from lodestack.operators.relational import Once
+
+    df = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (2, "b", None), (None, "c", 1), (None, "c", 1)], "id long, name string, n int")
+    once = Once(df, "id")
+    assert once.count() == 3 and once.filter("n > 2").select("id", "name").collect() == [(1, "a")]
+    assert sorted(r.name for r in once.select(F.upper("name").alias("name")).collect()) == ["A", "B", "C"] and once.dropna(["n"]).count() == 2
+    plan = once.filter(F.col("name") == "a").select("id", "name")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter")
+    assert Once(df.limit(0), "id").count() == 0
+
+
+def test_holds_are_not_renewed(spark):
+    from lodestack.operators import windows as W
+
+    r = random.Random(5)
+    rows = [(i, r.choice(["a", "b", None]), r.choice([None, *range(400)]) if i % 40 == 0 else r.randrange(400)) for i in range(900)] + [(900 + i, "hot", i // 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, key string, at long")
+    got = {x.id: x.fresh for x in W.holds(df, ["key"], F.col("at"), F.lit(7), "id").collect()}
+    want, last = {}, {}
+    for i, k, at in sorted((x for x in rows if x[2] is not None), key=lambda x: (x[2], x[0])):
+        want[i] = k not in last or at - last[k] > 7
+        last[k] = at if want[i] else last[k]
+    assert got == want
+    assert W.holds(df.limit(0), ["key"], F.col("at"), F.lit(7), "id").count() == 0
+
+
+def test_answer_counts_the_whole_result(spark):
+    from lodestack.sources import sql
+
+    assert sql.answer(spark, "select id from range(25)", 10)["count"] == 25 and len(sql.answer(spark, "select id from range(25)", 10)["rows"]) == 10
+    assert sql.answer(spark, "select id from range(4)")["count"] == 4
+
+
+def test_slug_letters(spark):
+    from lodestack.functions import text as X
+
+    rows = [("Ärger & Straße",), ("Łódź œuvre, São João!",), (None,), ("",), ("Ελλ x",)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(X.slug("t")).collect()] == ["arger-and-strasse", "lodz-oeuvre-sao-joao", None, "", "x"]
