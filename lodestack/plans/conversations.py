@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestack.functions import tokens
 from lodestack.operators import relational as R
 from lodestack.operators import windows as W
 from lodestack.plans.registry import query
@@ -65,6 +66,21 @@ def _(t):
     return chats(t).groupBy("workspace_id", "thread_id").agg(F.sum(parts[0] + parts[1]).cast("long").alias("tokens"))
 
 
+@query("op64_conversation_token_count")
+def _(t):
+    """Tokens of each conversation, counted by a tokenizer."""
+    rows = chats(t).select("chat_id", "workspace_id", "thread_id", "message", "textresponse")
+    counted = rows.select("workspace_id", "thread_id", *(tokens.count(F.coalesce(c, F.lit(""))).alias(c) for c in ("message", "textresponse")))
+    return counted.groupBy("workspace_id", "thread_id").agg(F.sum(F.col("message") + F.col("textresponse")).alias("tokens"))
+
+
+@query("op65_message_token_count")
+def _(t):
+    """Three tokens a message, its own and five for the list, of each workspace."""
+    counted = chats(t).select("chat_id", "workspace_id", "message").select("workspace_id", tokens.count(F.coalesce("message", F.lit(""))).alias("n"))
+    return counted.groupBy("workspace_id").agg((3 * F.count("*") + F.sum("n") + 5).alias("tokens"))
+
+
 @query("op71_latest_n", f"select workspace_id, thread_id, chat_id from (select *, row_number() over (partition by workspace_id, thread_id order by chat_id desc) rn from {CHATS}) where rn <= 20 order by chat_id")
 def _(t):
     return R.latest(chats(t), ["workspace_id", "thread_id"], [F.desc("chat_id")], 20).select("workspace_id", "thread_id", "chat_id").orderBy("chat_id")

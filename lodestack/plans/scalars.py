@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import json as J
 from lodestack.functions import text as X
+from lodestack.functions import tokens
 from lodestack.operators import relational as R
 from lodestack.plans.registry import query
 from lodestack.plans.relational import CHATS, chats
@@ -178,6 +179,12 @@ def _(t):
     return t.documents.filter("text is not null").select("doc_id", X.token_estimate("text").alias("tokens"))
 
 
+@query("op95_token_count")
+def _(t):
+    """Tokens of every text: counted by a tokenizer, estimated where it is long."""
+    return t.documents.filter("text is not null").select("doc_id", tokens.count("text").alias("tokens"))
+
+
 @query("op97_max_chunk", "select profile, least(coalesce(max_size, 1000), 1024)::int as chunk_size from size_limits")
 def _(t):
     return t.size_limits.select("profile", F.least(F.coalesce("max_size", F.lit(1000)), F.lit(1024)).alias("chunk_size"))
@@ -208,6 +215,24 @@ def _(t):
     return t.documents.filter("text is not null").select("doc_id", F.array_join(X.middle_out(words, 60), " ").alias("prompt"))
 
 
+@query("op99_token_windows")
+def _(t):
+    """Pieces of 200 tokens of every text."""
+    return t.documents.filter("text is not null").select("doc_id", F.posexplode(tokens.chunks("text", 200)).alias("ix", "chunk"))
+
+
+@query("op99_last_tokens")
+def _(t):
+    """The last 100 tokens of every text."""
+    return t.documents.filter("text is not null").select("doc_id", tokens.last("text", 100).alias("tail"))
+
+
+@query("op100_middle_out_tokens")
+def _(t):
+    """Every text cut to 120 tokens by removing its middle."""
+    return t.documents.filter("text is not null").select("doc_id", tokens.middle_out("text", 120).alias("prompt"))
+
+
 @query("op101_fuzzy_match", "with q(term) as (values ('storage'), ('vendor list'), ('gate')) select w.workspace_id, q.term from workspaces w, q where contains(lower(w.title), q.term) or levenshtein(lower(w.title), q.term) <= 3")
 def _(t):
     terms = t._spark.createDataFrame([("storage",), ("vendor list",), ("gate",)], "term string")
