@@ -11,8 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Elements that hold no content, and class names of what is cleaned away.
-DROPPED = frozenset("script style noscript nav footer aside form iframe svg button template header".split())
-JUNK = frozenset("advertisement ads sidebar cookie-banner navbox mw-editsection reference citation".split())
+DROPPED = frozenset("script style noscript nav footer header aside iframe svg".split())
+ROLES = frozenset("navigation banner contentinfo".split())
+JUNK = frozenset("reflist references refbegin catlinks mw-authority-control".split())
+MARKS = frozenset("reference noprint".split())  # of sup elements
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 MAIN = ("article", "main")
 LONGEST_LINK = 200
@@ -28,7 +30,10 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         main = tag == self.only or (self.only == "role" and a.get("role") == "main")
-        hide = tag in DROPPED or bool(JUNK & set(a.get("class", "").split())) or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")) is not None or "hidden" in a
+        classes = set(a.get("class", "").split())
+        marked = bool(JUNK & classes) or a.get("id") == "References" or (tag == "sup" and bool(MARKS & classes))
+        unseen = re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I) is not None or "hidden" in a or a.get("aria-hidden") == "true"
+        hide = tag in DROPPED or a.get("role") in ROLES or marked or unseen
         if tag not in VOID:
             self.stack.append((tag, hide, main))
             self.hidden += hide
@@ -61,7 +66,7 @@ class _Builder(HTMLParser):
             self.links.append((len(self.out), a.get("href", "")))
         elif tag == "img":
             source = a.get("src", "")
-            if source and not source.startswith("data:") and "badge" not in source:
+            if source and not source.startswith("data:") and "badge" not in source and len(urljoin(self.base, source)) < LONGEST_LINK:
                 self.out.append(f"![{a.get('alt', '')}]({urljoin(self.base, source)})")
 
     def handle_endtag(self, tag):

@@ -23,6 +23,14 @@ def _(t):
     return chats(t).select("chat_id", F.concat_ws(",", *(_csv(c) for c in ("chat_id", "message", "textresponse", "chat_source"))).alias("line"))
 
 
+@query("op24_export_csv_file", f"""select -1::bigint as row_order, 'id,workspace,prompt,response,sent_at,rating' as line union all select c.chat_id, '"' || c.chat_id || '","' || replace(coalesce(w.title, 'unknown workspace'), '"', '""') || '","' || {VISIBLE.format('message')} || '","' || {VISIBLE.format('textresponse')} || '","' || coalesce(strftime(c.created_at, '%Y-%m-%d %H:%M:%S'), '') || '","' || case when feedback_score is null then '--' when feedback_score then 'GOOD' else 'BAD' end || '"' from {CHATS} c left join workspaces w using (workspace_id)""")
+def _(t):
+    """The whole file: the five fixed columns and those the rows add as header, every cell quoted; the sink sorts by ``row_order``."""
+    df = chats(t).join(t.workspaces.select("workspace_id", "title"), "workspace_id", "left").select("chat_id", F.coalesce("title", F.lit("unknown workspace")).alias("workspace"), F.col("message").alias("prompt"), F.col("textresponse").alias("response"), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("sent_at"), _rating().alias("rating"))
+    header = t._spark.createDataFrame([(-1, ",".join(["id", *df.columns[1:]]))], "row_order long, line string")
+    return header.unionByName(df.select(F.col("chat_id").alias("row_order"), F.concat_ws(",", *(_csv(c) for c in df.columns)).alias("line")))
+
+
 RATING = "case when feedback_score is null then '--' when feedback_score then 'GOOD' else 'BAD' end"
 
 
@@ -30,10 +38,10 @@ def _rating():
     return F.when(F.col("feedback_score").isNull(), "--").when(F.col("feedback_score"), "GOOD").otherwise("BAD")
 
 
-@query("op25_export_json", f"""select c.chat_id, coalesce(w.title, 'unknown workspace') as workspace, coalesce('user ' || c.user_id, 'API') as username, {RATING} as rating, c.message as prompt, c.textresponse as response from {CHATS} c left join workspaces w using (workspace_id)""")
+@query("op25_export_json", f"""select c.chat_id, coalesce(w.title, 'unknown workspace') as workspace, case when c.user_id is not null then 'user ' || c.user_id when c.api_session_id is not null then 'API' else 'unknown user' end as username, {RATING} as rating, c.message as prompt, c.textresponse as response from {CHATS} c left join workspaces w using (workspace_id)""")
 def _(t):
     df = chats(t).join(t.workspaces.select("workspace_id", "title"), "workspace_id", "left")
-    return df.select("chat_id", F.coalesce("title", F.lit("unknown workspace")).alias("workspace"), F.coalesce(F.concat(F.lit("user "), F.col("user_id").cast("string")), F.lit("API")).alias("username"), _rating().alias("rating"), F.col("message").alias("prompt"), F.col("textresponse").alias("response"))
+    return df.select("chat_id", F.coalesce("title", F.lit("unknown workspace")).alias("workspace"), F.when(F.col("user_id").isNotNull(), F.concat(F.lit("user "), F.col("user_id").cast("string"))).when(F.col("api_session_id").isNotNull(), "API").otherwise("unknown user").alias("username"), _rating().alias("rating"), F.col("message").alias("prompt"), F.col("textresponse").alias("response"))
 
 
 @query("op26_export_alpaca", f"""select c.chat_id, 'You work in ' || coalesce(w.title, '-') || '.' || case when c.thread_id is not null then chr(10) || '[CONTEXT 0]:' || chr(10) || 'thread ' || c.thread_id || chr(10) || '[END CONTEXT 0]' else '' end as instruction, c.message as input, c.textresponse as output from {CHATS} c left join workspaces w using (workspace_id) where c.message is not null and c.textresponse is not null""")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestack.functions import cron, html, paths
+from lodestack.functions import cron, edits, html, paths
 from lodestack.functions import json as J
 from lodestack.operators import retrieval as V
 from lodestack.operators.windows import running_sum
@@ -36,10 +36,24 @@ def _(t):
     return raw(t).select("raw_id", kind.alias("kind"))
 
 
-@query("op11_html_to_markdown", f"select workspace_id, '# ' || title || chr(10) || chr(10) || 'See **' || slug || '**.' as markdown from workspaces where title is not null and slug is not null")
+@query(
+    "op11_html_to_markdown",
+    """select workspace_id, case workspace_id % 4 when 0 then '# ' || title || chr(10) || chr(10) || 'See **' || slug || '**.' when 1 then 'Order: ' || slug || ' ' || title when 2 then '- ' || title || chr(10) || '- [' || slug || '](https://a.example/' || slug || ')' else '## ' || slug end as markdown
+    from workspaces where title is not null and slug is not null""",
+)
 def _(t):
-    page = F.concat(F.lit("<html><nav>Menu</nav><main><h1>"), F.col("title"), F.lit("</h1><script>x()</script><p>See <b>"), F.col("slug"), F.lit("</b>.[3]</p></main><footer>End</footer></html>"))
-    pages = t.workspaces.filter("title is not null and slug is not null").select("workspace_id", page.alias("html"))
+    """Four kinds of page around each title: a main part among navigation, a form, a list with a link, hidden and credited nodes."""
+    def page(*parts):
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+    title, slug = F.col("title"), F.col("slug")
+    kinds = F.array(
+        page("<html><nav>Menu</nav><main><h1>", title, "</h1><script>x()</script><p>See <b>", slug, "</b>.[3]</p></main><footer>End</footer></html>"),
+        page("<html><div role='navigation'>Menu</div><form>Order: <button>", slug, "</button> <span class='citation'>", title, "</span></form><div aria-hidden='true'>x</div></html>"),
+        page("<html><header>Top</header><article><ul><li>", title, "</li><li><a href='https://a.example/", slug, "'>", slug, "</a></li></ul><img src='https://a.example/", F.repeat(F.lit("y"), 220), "'></article></html>"),
+        page("<html><p hidden>", title, "</p><h2>", slug, "<sup class='reference'>4</sup></h2><p style='display:none'>x</p><div class='reflist'>", title, "</div><div role='contentinfo'>y</div></html>"),
+    )
+    pages = t.workspaces.filter("title is not null and slug is not null").select("workspace_id", F.get(kinds, (F.col("workspace_id") % 4).cast("int")).alias("html"))
     return pages.select("workspace_id", html.html_to_markdown("html").alias("markdown"))
 
 
@@ -63,6 +77,19 @@ def _(t):
     return held.select("event_id", _text(lambda p: J.substitute("k=${k} ${missing}", json.loads(p)), "props").alias("filled"))
 
 
+@query("op118_line_edit", f"select raw_id, regexp_replace(replace(textcontent, chr(13) || chr(10), chr(10)), 'risk log', 'risk register') as edited from {RAW} where contains(textcontent, 'risk log')")
+def _(t):
+    """The first place of a phrase replaced in every text that has it."""
+    return raw(t).filter(F.col("textcontent").contains("risk log")).select("raw_id", edits.edited("textcontent", "risk log", "risk register").alias("edited"))
+
+
+@query("op118_unified_diff")
+def _(t):
+    """The same edits as unified diffs."""
+    both = raw(t).filter(F.col("textcontent").contains("risk log")).select("raw_id", "textcontent", edits.edited("textcontent", "risk log", "risk register").alias("edited"))
+    return both.select("raw_id", edits.diff(F.col("textcontent"), F.col("edited")).alias("diff"))
+
+
 @query("op121_json_repair")
 def _(t):
     """Requirements that are no valid JSON, closed where they were cut, and whether that made them valid."""

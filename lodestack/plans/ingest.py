@@ -8,6 +8,7 @@ from lodestack.functions import embedding
 from lodestack.functions import text as X
 from lodestack.operators import chunking
 from lodestack.plans.registry import query
+from lodestack.plans.relational import chats
 from lodestack.plans.scalars import RAW, RUNS, raw, runs
 
 # Fixed value: the namespace of URL names in version 5 identifiers.
@@ -59,6 +60,39 @@ def _(t):
     return runs(t).filter("draft_proposal is not null").select("run_id", F.coalesce(best["name"], F.lit("none")).alias("rule"))
 
 
+RULES = [(1, 2, True, "AND", "field"), (2, 1, True, "OR", "urgent"), (3, 3, True, "AND", "long"), (4, 0, False, "AND", "off"), (5, 4, True, "AND", "never"), (6, 5, True, "AND", "broken")]
+CONDITIONS = [(1, "prompt", "contains", "Metering, sensor ,"), (1, "source", "neq", "API"), (2, "prompt", "matches", "/^(quick|pls)/i"), (2, "prompt", "eq", "hello"), (3, "size", "between", "70,90"), (3, "size", "gte", "75"), (4, "size", "gt", "0"), (6, "prompt", "matches", "(["), (6, "size", "gt", "x")]
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+
+
+@query(
+    "op54_rule_tables",
+    f"""with rules(rule_id, priority, enabled, logic, target) as (values {_values(RULES)}), conditions(rule_id, property, comparator, v) as (values {_values(CONDITIONS)}),
+    c as (select chat_id, coalesce(message, '') as prompt, coalesce(chat_source, '') as source, length(message) as size from (select distinct * exclude (ingested_at) from workspace_chats)),
+    met as (select chat_id, rule_id, case
+        when property = 'size' then coalesce(case comparator when 'between' then size between split_part(v, ',', 1)::int and split_part(v, ',', 2)::int when 'gte' then size >= try_cast(v as int) when 'gt' then size > try_cast(v as int) end, false)
+        when comparator = 'contains' then list_bool_or(list_transform(list_filter(list_transform(string_split(v, ','), lambda w: lower(trim(w))), lambda w: w <> ''), lambda w: contains(lower(prompt), w)))
+        when comparator = 'matches' then v <> '([' and regexp_matches(lower(prompt), '^(quick|pls)')
+        when comparator = 'eq' then lower(prompt) = lower(v) else lower(source) <> lower(v) end as hit from c, conditions),
+    held as (select chat_id, rule_id, bool_and(hit) as all_met, bool_or(hit) as any_met from met group by 1, 2),
+    best as (select chat_id, min_by(target, priority) as target from held join rules using (rule_id) where enabled and case logic when 'OR' then any_met else all_met end group by 1)
+    select c.chat_id, coalesce(b.target, 'fallback') as target from c left join best b using (chat_id)""",
+)
+def _(t):
+    """Rules and their conditions as tables, the first by priority that holds."""
+    from lodestack.operators import rules
+
+    spark = t._spark
+    table = spark.createDataFrame(RULES, "rule_id int, priority int, enabled boolean, logic string, target string")
+    conditions = spark.createDataFrame(CONDITIONS, "rule_id int, property string, comparator string, value string")
+    requests = chats(t).select("chat_id", "message", "chat_source")
+    properties = {"prompt": F.col("message"), "source": F.col("chat_source"), "size": F.length("message")}
+    return requests.select("chat_id", rules.route(requests, table, conditions, properties, ("size",)).alias("target"))
+
+
 @query("op55_branch_join", f"select a.run_id, a.requirements_size, b.draft_size from (select run_id, length(requirements) as requirements_size from {RUNS} where requirements is not null) a join (select run_id, length(draft_proposal) as draft_size from {RUNS} where draft_proposal is not null) b using (run_id)")
 def _(t):
     left = runs(t).filter("requirements is not null").select("run_id", F.length("requirements").alias("requirements_size"))

@@ -2,16 +2,14 @@
 
 Every reader takes ``binaryFile`` rows through ``mapInPandas``; a file that cannot be read gives a
 row with its error and no text, never a failed job.  Formats whose parser is no part of the
-standard library (PDF, images) are read by converters the caller registers.
+repository (images) are read by converters the caller registers.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import mailbox
 import re
-import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from email import message_from_bytes, policy
@@ -21,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.sources import pdf
+
 # Extensions by converter.
 EXTENSIONS = {
     "text": ("txt", "md", "org", "adoc", "rst", "csv", "json", "html"), "pdf": ("pdf",), "docx": ("docx",), "slides": ("pptx", "odp"), "writer": ("odt",), "sheet": ("xlsx",),
@@ -133,29 +133,26 @@ def merge_sheets(parts: list[tuple[str, str]]) -> str:
 
 
 def mail(data: bytes) -> list[tuple[str, str]]:
-    """One part per message with text, titled by its subject."""
-    with tempfile.NamedTemporaryFile() as f:  # the mailbox parser reads files; this one never leaves the task
-        f.write(data)
-        f.flush()
-        out = []
-        for m in mailbox.mbox(f.name):
-            message = message_from_bytes(m.as_bytes(), policy=policy.default)
-            body = message.get_body(("plain", "html"))
-            text = body.get_content().strip() if body else ""
-            if text:
-                out.append((str(message["subject"] or "no subject"), text))
-        return out
+    """One part per message with text, titled by its subject; messages begin at lines ``From `` after a blank line."""
+    out = []
+    for part in re.split(rb"(?:^|(?<=\n\n)|(?<=\n\r\n))From [^\n]*\n", data)[1:]:
+        message = message_from_bytes(re.sub(rb"^>(>*From )", rb"\1", part, flags=re.M), policy=policy.default)
+        body = message.get_body(("plain", "html"))
+        text = body.get_content().strip() if body else ""
+        if text:
+            out.append((str(message["subject"] or "no subject"), text))
+    return out
 
 
 def plain(data: bytes) -> list[tuple[str, str]]:
     return [("", data.decode("utf-8", "replace"))]
 
 
-CONVERTERS.update(text=plain, docx=docx, slides=slides, writer=writer, sheet=sheet, book=book, mail=mail)
+CONVERTERS.update(text=plain, pdf=pdf.convert, docx=docx, slides=slides, writer=writer, sheet=sheet, book=book, mail=mail)
 
 
 def register(name: str, convert: Callable[[bytes], list[tuple[str, str]]], *extensions: str) -> None:
-    """Add a converter (bytes -> [(part, text)]) for a format, such as PDF with a parser of the caller's choice."""
+    """Add a converter (bytes -> [(part, text)]) for a format, such as images with a recogniser of the caller's choice."""
     CONVERTERS[name] = convert
     if extensions:
         EXTENSIONS[name] = tuple(extensions)
