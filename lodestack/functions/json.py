@@ -49,15 +49,18 @@ def close(text: str) -> str:
 FENCED = re.compile(r"```(?:json)?\s*(\{.*\})\s*```", re.S)
 
 
-def parse(text: str) -> dict | None:
-    """The JSON object of model output: inside a fence, else from the first to the last brace, parsed as it is, else repaired; None if that fails."""
+def body(text: str) -> str:
+    """The part of model output that should be JSON: inside a fence, else from the first brace to the last one, or to the end."""
     fenced = FENCED.search(text)
-    body = fenced.group(1) if fenced else text
-    start, end = body.find("{"), body.rfind("}")
-    if start < 0:
-        return None
-    body = body[start : end + 1] if end > start else body[start:]
-    for attempt in (body, close(body)):
+    held = fenced.group(1) if fenced else text
+    start, end = held.find("{"), held.rfind("}")
+    return held if start < 0 else held[start : end + 1] if end > start else held[start:]
+
+
+def parse(text: str) -> dict | None:
+    """The JSON object of model output (see :func:`body`), parsed as it is, else repaired; None if that fails."""
+    held = body(text)
+    for attempt in (held, close(held)):
         try:
             value = json.loads(attempt)
         except ValueError:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns, symbols and section names.
@@ -168,6 +169,24 @@ def expand_template(template: Column, values: dict[str, Column]) -> Column:
     return F.regexp_replace(out, r"\{workspace\.([A-Za-z]+)\}", "[Workspace $1]")
 
 
+def expand_presets(column: Column, presets: DataFrame) -> Column:
+    """Commands of (created, command, prompt) replaced where they stand between blanks, in the order they were created; settings, not data."""
+    out = column
+    for r in presets.orderBy("created").limit(10_000).collect():
+        prompt = r.prompt.replace("\\", "\\\\").replace("$", "\\$")
+        out = F.regexp_replace(out, rf"(^|\s){re.escape(r.command)}(\s|$)", f"$1{prompt}$2")
+    return out
+
+
+def fill_template(template: Column, values: dict[str, Column]) -> Column:
+    """``{name}`` replaced by its value; a ``{class.prop}`` without one becomes ``[Class prop]``, other names stay."""
+    out = template
+    for name, value in values.items():
+        kind, _, prop = name.partition(".")
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit(f"[{kind.capitalize()} {prop}]" if prop else "")))
+    return F.regexp_replace(F.regexp_replace(out, r"\{user\.([A-Za-z]+)\}", "[User $1]"), r"\{workspace\.([A-Za-z]+)\}", "[Workspace $1]")
+
+
 def delimiter(column: Column | str) -> Column:
     """The most frequent of , ; tab | in the first line; on equal counts the earlier of them, comma where none occurs."""
     line = F.substring_index(_c(column), "\n", 1)

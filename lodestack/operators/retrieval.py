@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.session import keep
+
 QUERIES_AT_ONCE = 2_000  # query vectors broadcast in one block
+BLOCKS_HELD = 8  # blocks of queries the driver holds at once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,14 +51,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 4, same_namespace
     for b in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).filter("embedding is not null")
         rows = block.select("query_id", "embedding", (F.col("namespace") if same_namespace else F.lit("")).cast("string").alias("namespace")).collect()
-        near = _nearest_of(vectors, rows, top, same_namespace)
+        near, shared = _nearest_of(vectors, rows, top, same_namespace)
+        if blocks > BLOCKS_HELD:  # the answers of a block are written, and its queries leave the driver
+            near = keep(near)
+            shared.destroy()
         found = near if found is None else found.unionByName(near)
     order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
 
 
-def _nearest_of(vectors: DataFrame, rows: list, top: int, same_namespace: bool) -> DataFrame:
-    """The nearest vectors each task finds for one block of queries."""
+def _nearest_of(vectors: DataFrame, rows: list, top: int, same_namespace: bool) -> tuple:
+    """The nearest vectors each task finds for one block of queries, and the block as it was sent."""
     ids = np.array([r.query_id for r in rows], np.int64)
     matrix = _unit(np.array([r.embedding for r in rows], np.float64)) if rows else np.empty((0, 0))
     spaces = np.array([r.namespace for r in rows], object)
@@ -85,7 +91,7 @@ def _nearest_of(vectors: DataFrame, rows: list, top: int, same_namespace: bool)
             yield out.assign(distance=out["distance"].astype(object).where(out["distance"].notna(), None))
 
     space = F.col("namespace").cast("string").alias("namespace") if same_namespace else F.lit("").alias("namespace")
-    return vectors.select("vec_id", "embedding", space).mapInPandas(hold, "query_id long, vec_id long, distance double")
+    return vectors.select("vec_id", "embedding", space).mapInPandas(hold, "query_id long, vec_id long, distance double"), shared
 
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = 4, threshold: float | None = 0.25, pinned: DataFrame | None = None, compat: bool = False, same_namespace: bool = False) -> DataFrame:

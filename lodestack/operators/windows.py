@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, NumericType, StructField, StructType
 
 
 def rolling_count(df: DataFrame, keys: Sequence[str], micros: Column, seconds: int, name: str = "recent") -> DataFrame:
     """Rows of the same key in the ``seconds`` up to and including each row's instant.
 
-    Time is cut into buckets of that length and every row is also context of the next bucket, so
-    the rows of a hot key are spread over its buckets and no window holds more than two of them.
+    Rows of one key and instant are counted first; the count up to an instant, less the count before
+    the window's beginning, is the answer, so a key is cut into short ranges of time however hot it is.
     Rows without an instant count nothing and get null.
     """
     width = seconds * 1_000_000
     at = df.withColumn("_at", micros)
-    bucket = F.floor(F.col("_at") / width)
-    spread = at.withColumn("_slot", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))))
-    window = Window.partitionBy(*keys, "_slot.b").orderBy("_at").rangeBetween(-width, 0)
-    counted = spread.withColumn(name, F.count("_at").over(window)).filter("_slot.own")
-    return counted.withColumn(name, F.when(F.col("_at").isNotNull(), F.col(name))).drop("_at", "_slot")
+    instants = at.filter("_at is not null").groupBy(*keys, "_at").agg(F.count("*").alias("_n"))
+    ends = F.array(
+        F.struct((F.col("_at") - width).alias("_t"), F.lit(0).alias("_k"), F.lit(0).cast("long").alias("_m")),
+        F.struct(F.col("_at").alias("_t"), F.lit(1).alias("_k"), F.col("_n").alias("_m")),
+    )
+    marks = instants.select(*keys, F.col("_at").alias("_of"), F.inline(ends))
+    summed = running_sum(marks, keys, F.floor(F.col("_t") / max(1, width // 16)), ["_t", "_k"], F.col("_m"), "_upto")
+    counts = summed.groupBy(*keys, "_of").agg(F.sum(F.when(F.col("_k") == 1, F.col("_upto") + F.col("_m")).otherwise(-F.col("_upto"))).alias("_count"))
+    same = _same("r", "s", keys) & (F.col("r._at") == F.col("s._of"))
+    return at.alias("r").join(counts.alias("s"), same, "left").select(*(F.col(f"r.`{c}`") for c in df.columns), F.col("s._count").alias(name))
 
 
 def _same(left: str, right: str, columns: Sequence[str]) -> Column:
@@ -105,9 +110,36 @@ def holds(df: DataFrame, keys: Sequence[str], micros: Column, ttl: Column, tie:
     return ordered.mapInPandas(walk, StructType([*df.schema.fields, StructField("fresh", BooleanType())]))
 
 
+def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, start: object, state: str) -> DataFrame:
+    """(columns of ``df``, before, after): a state carried through the rows of each key in order.
+
+    ``step(state, row)`` gives the next state, ``row`` a tuple of the columns; ``state`` is its Spark type.  Rows
+    stream through a task in order and only the state is held, so a key may have any number of rows.
+    """
+    columns = df.columns
+    ordered = df.withColumn("_g", F.to_json(F.struct(*keys))).repartition("_g").sortWithinPartitions("_g", *order)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, now = None, start
+        for pdf in batches:
+            before, after = [], []
+            for g, *row in zip(pdf["_g"], *(pdf[c] for c in columns), strict=True):
+                if g != key:
+                    key, now = g, start
+                before.append(now)
+                now = step(now, tuple(row))
+                after.append(now)
+            yield pdf[columns].assign(before=before, after=after)
+
+    extra = StructType.fromDDL(f"before {state}, after {state}").fields
+    return ordered.mapInPandas(walk, StructType([*df.schema.fields, *extra]))
+
+
 def changes(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: Column, days: int = 30) -> DataFrame:
     """Rows whose value differs from that of the row before (``previous``); the first row of a key is no change. Rows without an instant come last."""
     timed = df.withColumn("_at", F.coalesce(F.unix_micros(ts), F.lit(2**62)))
-    linked = previous(timed, keys, F.floor(F.col("_at") / (days * 86_400_000_000)), ["_at", tie], value, "_prev")
+    place = F.floor(F.col(tie) / 10_000) if isinstance(df.schema[tie].dataType, NumericType) else F.ascii(tie) * 0x200000 + F.ascii(F.substring(tie, 2, 1))
+    bucket = F.when(F.col("_at") < 2**62, F.floor(F.col("_at") / (days * 86_400_000_000))).otherwise(F.lit(2**42) + place)
+    linked = previous(timed, keys, bucket, ["_at", tie], value, "_prev")
     changed = linked.filter(F.col("_prev").isNotNull() & ~value.eqNullSafe(F.col("_prev.value")))
     return changed.withColumn("previous", F.col("_prev.value")).drop("_prev", "_at")

@@ -148,6 +148,15 @@ def _(t):
     return R.latest(chats(t), ["workspace_id"], [F.desc_nulls_last("feedback_score"), F.desc("chat_id")], 5).select("workspace_id", "chat_id")
 
 
+@query("op88_two_scopes", f"with m as (select workspace_id, user_id, chat_id, coalesce(thread_id % 2 = 0, false) as is_global from {CHATS}), g as (select coalesce(user_id, -1) as u, chat_id, row_number() over (partition by coalesce(user_id, -1) order by chat_id desc) rn from m where is_global), w as (select coalesce(user_id, -1) as u, workspace_id, chat_id, row_number() over (partition by coalesce(user_id, -1), workspace_id order by chat_id desc) rn from m where not is_global) select 'global' as scope, u as user_key, null::bigint as workspace_id, chat_id from g where rn <= 5 union all select 'workspace', u, workspace_id, chat_id from w where rn <= 5")
+def _(t):
+    """At most five entries of each user's own scope and five of each workspace, the newest."""
+    rows = chats(t).select("chat_id", "workspace_id", "user_id", "thread_id").select("chat_id", "workspace_id", F.coalesce("user_id", F.lit(-1)).cast("long").alias("user_key"), F.coalesce(F.col("thread_id") % 2 == 0, F.lit(False)).alias("own"))
+    own = R.latest(rows.filter("own"), ["user_key"], [F.desc("chat_id")], 5).select(F.lit("global").alias("scope"), "user_key", F.lit(None).cast("long").alias("workspace_id"), "chat_id")
+    shared = R.latest(rows.filter("not own"), ["user_key", "workspace_id"], [F.desc("chat_id")], 5).select(F.lit("workspace").alias("scope"), "user_key", "workspace_id", "chat_id")
+    return own.unionByName(shared)
+
+
 @query("op93_fuzzy_union", f"select distinct kind, name from (select 'workspace' as kind, title as name from workspaces union all select 'document', title from {RAW}) where contains(lower(name), 'storage') or levenshtein(lower(name), 'risk log') <= 3")
 def _(t):
     names = t.workspaces.select(F.lit("workspace").alias("kind"), F.col("title").alias("name")).unionByName(t.raw_documents.select(F.lit("document").alias("kind"), F.col("title").alias("name")))

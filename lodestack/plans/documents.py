@@ -94,7 +94,7 @@ def _(t):
 def _(t):
     """Requirements that are no valid JSON, closed where they were cut, and whether that made them valid."""
     broken = runs(t).filter("requirements is not null").filter(F.try_parse_json("requirements").isNull())
-    closed = broken.select("run_id", _text(J.close, "requirements").alias("closed"))
+    closed = broken.select("run_id", _text(lambda x: J.close(J.body(x)), "requirements").alias("closed"))
     return closed.select("run_id", "closed", F.try_parse_json("closed").isNotNull().alias("valid"))
 
 

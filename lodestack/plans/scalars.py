@@ -245,6 +245,31 @@ def _(t):
     return chats(t).filter(F.col("message").contains("@agent")).select("chat_id", F.regexp_replace("message", r"(^|\s)@agent(\s|$)", "$1Please act as an agent.$2").alias("expanded"))
 
 
+PRESETS = [("/sum", "Summarise:"), ("/sum2", "Summarise twice:"), ("List", "Enumerate")]
+
+
+@query(
+    "op102_preset_table",
+    "select chat_id, regexp_replace(regexp_replace(regexp_replace(message, '(^|\\s)/sum(\\s|$)', '\\1Summarise:\\2', 'g'), '(^|\\s)/sum2(\\s|$)', '\\1Summarise twice:\\2', 'g'), '(^|\\s)List(\\s|$)', '\\1Enumerate\\2', 'g') as expanded from " + CHATS + " where message is not null",
+)
+def _(t):
+    """Commands kept as a table, applied in its order where they stand as words of their own."""
+    table = t._spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(PRESETS)], "created int, command string, prompt string")
+    return chats(t).filter("message is not null").select("chat_id", "message").select("chat_id", X.expand_presets(F.col("message"), table).alias("expanded"))
+
+
+VARIABLES = [("date", "2026-01-01", None), ("motto", "to the point", None), ("user.name", None, "user_id"), ("workspace.name", None, "title"), ("workspace.slug", None, "slug")]
+
+
+@query("op103_variable_table", f"select c.chat_id, '2026-01-01: ' || coalesce(c.user_id::varchar, '[User name]') || ' in ' || coalesce(w.title, '[Workspace name]') || ' (' || coalesce(w.slug, '[Workspace slug]') || '), to the point {{unknown}} [User bio]' as prompt from {CHATS} c left join workspaces w using (workspace_id)")
+def _(t):
+    """Variables kept as a table: fixed texts, and properties of the user and the workspace; what has no value shows its name."""
+    table = t._spark.createDataFrame(VARIABLES, "key string, value string, source string")
+    df = chats(t).select("chat_id", "workspace_id", "user_id").join(t.workspaces.select("workspace_id", "title", "slug"), "workspace_id", "left")
+    values = {r.key: F.lit(r.value) if r.source is None else F.col(r.source).cast("string") for r in table.limit(1_000).collect()}  # settings, not data
+    return df.select("chat_id", X.fill_template(F.lit("{date}: {user.name} in {workspace.name} ({workspace.slug}), {motto} {unknown} {user.bio}"), values).alias("prompt"))
+
+
 @query("op103_template_expansion", f"select c.chat_id, 'Hi ' || coalesce(c.user_id::varchar, '') || ' in ' || coalesce(w.title, '') || ', {{date}}: [User bio]' as prompt from {CHATS} c left join workspaces w using (workspace_id)")
 def _(t):
     df = chats(t).select("chat_id", "workspace_id", "user_id").join(t.workspaces.select("workspace_id", "title"), "workspace_id", "left")

@@ -72,6 +72,40 @@ def _(t):
     return free.groupBy("event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("claimed"))
 
 
+# States of a job's runs and what changes them.
+TRANSITIONS = {("idle", "signup"): "queued", ("queued", "click"): "running", ("queued", "error"): "failed", ("running", "view"): "completed", ("running", "error"): "failed", ("running", "purchase"): "timed_out"}
+NEXT_RUN = "signup"
+_STEP = " ".join(f"when (case when s in ('completed', 'failed', 'timed_out') and x = '{NEXT_RUN}' then 'idle' else s end) = '{a}' and x = '{e}' then '{b}'" for (a, e), b in TRANSITIONS.items())
+
+
+@query("op143_job_states", f"select user_id, list_reduce(list_prepend('idle', list(event_type order by ts, event_id)), lambda s, x: case {_STEP} else s end) as state from events where ts is not null and event_type is not null group by 1")
+def _(t):
+    """State of each job after all its events: one run in flight at most, and none changes once it has ended."""
+    table = TRANSITIONS
+
+    def step(state: str, row: tuple) -> str:
+        ended = state in ("completed", "failed", "timed_out")
+        return table.get(("idle" if ended and row[1] == NEXT_RUN else state, row[1]), state)
+
+    events = t.events.filter("ts is not null and event_type is not null").select("user_id", "event_type", "ts", "event_id")
+    folded = W.fold(events, ["user_id"], ["ts", "event_id"], step, "idle", "string")
+    return folded.groupBy("user_id").agg(F.max_by("after", F.struct("ts", "event_id")).alias("state"))
+
+
+@query("op142_checks_in_order", f"""with c as ({{}}), e as (select event_id, user_id, event_type, value, ts, row_number() over (partition by user_id, event_type, value order by ts, event_id) as same, row_number() over (partition by user_id, event_type order by ts, event_id) as nth from events where ts is not null)
+    select event_id, case when event_id not in (select event_id from c) then 'cooldown' when event_type = 'signup' and nth > 1 then 'once' when same > 1 then 'repeat' else 'pass' end as verdict from e""".format(_held_sql("true", 30_000_000)))
+def _(t):
+    """Why an event is held back: a cooldown still runs, then a thing done once, then the same arguments before; or that it passes."""
+    events = t.events.select("event_id", "user_id", "event_type", "value", "ts")
+    held = W.holds(events, ["user_id", "event_type"], F.unix_micros("ts"), F.lit(30_000_000), "event_id")
+    first = F.struct("ts", "event_id")
+    same = events.filter("ts is not null").groupBy("user_id", "event_type", "value").agg(F.min_by("event_id", first).alias("event_id")).select("event_id", F.lit(True).alias("fresh_value"))
+    nth = events.filter("ts is not null").groupBy("user_id", "event_type").agg(F.min_by("event_id", first).alias("event_id")).select("event_id", F.lit(True).alias("fresh_type"))
+    marked = held.select("event_id", "event_type", "fresh").join(same, "event_id", "left").join(nth, "event_id", "left")
+    once = (F.col("event_type") == "signup") & F.col("fresh_type").isNull()
+    return marked.select("event_id", F.when(~F.col("fresh"), "cooldown").when(once, "once").when(F.col("fresh_value").isNull(), "repeat").otherwise("pass").alias("verdict"))
+
+
 @query("op146_merged_state", "select user_id, max_by(value, (ts, event_id)) as last_value, max_by(event_type, (ts, event_id)) as last_type, count(*) as steps from events where ts is not null and value is not null and event_type is not null group by 1")
 def _(t):
     """State of each key after all its partial updates: the last value of every field, by aggregates that merge."""

@@ -40,7 +40,8 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
-    assert catalog.queries()[name](spark, DATA).count() >= 0
+    got = catalog.queries()[name](spark, DATA)
+    assert len(set(got.columns)) == len(got.columns) and got.count() > 0
 
 
 def test_store_listing_is_whole(spark, duck):
