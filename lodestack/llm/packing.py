@@ -11,7 +11,6 @@ empty.  Only lengths are moved, never texts.
 
 from __future__ import annotations
 
-import base64
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -21,31 +20,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions import tokens
 from lodestack.session import cut
 
 GROUP = 20_000  # items a group is planned for
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: the splitting pattern that belongs to the default vocabulary.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_encodings: dict[str, object] = {}
-
-
-def encoding(path: str, pattern: str = PATTERN):
-    """The tokenizer of a rank file, kept for the life of the worker process."""
-    if path not in _encodings:
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-        _encodings[path] = tiktoken.Encoding(Path(path).stem, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+VOCABULARY = tokens.VOCABULARY
 
 
 def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, mark, tokens) of every text, each delivered text once; null texts have no row."""
+    """(key, mark, tokens) of every text, each delivered text once; null texts have no row.
+
+    The driver alone reads the rank file and sends it to the executors.
+    """
     kind = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = tokens.encoding(shared.value).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({"key": pdf["key"], "mark": pdf["mark"], "tokens": [len(encode(t)) for t in pdf["text"]]})
 

@@ -76,10 +76,12 @@ def is_empty(shown: str) -> bool:
 def is_refusal(shown: str) -> bool:
     """Sentences of refusal and nothing else of substance: short referrals elsewhere are nothing."""
     shown = shown.replace("’", "'").replace("\u00a0", " ")
-    if not REFUSAL.search(shown):
-        return False
-    rest = [s for s in SENTENCE.split(shown) if not REFUSAL.search(s) and len(WORD.findall(s)) > 3 and not (REFERRAL.match(s) and len(WORD.findall(s)) <= 14)]
-    return not rest
+    for s in SENTENCE.split(shown):
+        if not REFUSAL.search(s):
+            size = len(WORD.findall(s))
+            if size > 3 and not (size <= 14 and REFERRAL.match(s)):
+                return False
+    return bool(REFUSAL.search(shown))
 
 
 def is_copy(message: str, shown: str) -> bool:
