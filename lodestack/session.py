@@ -20,6 +20,9 @@ DEFAULTS = {
 }
 
 
+_kept: dict[str, tuple] = {}
+
+
 def get_session(app: str = "lodestack", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; ``conf`` overrides them (dots as double underscores)."""
     builder = SparkSession.builder.appName(app)
@@ -54,11 +57,26 @@ def cut(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: lineage ends here, and what reads it reads only its columns.
 
-    Smaller than a checkpoint of texts; the table is deleted when the application ends.
+    Smaller than a checkpoint of texts; the table is deleted by :func:`release`, or when the application ends.
     """
     spark = df.sparkSession
     folder = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
+    _kept[folder] = path, files = _path(spark, folder)
+    files.deleteOnExit(path)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table.lodestack_folder = folder
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of :func:`keep` that nothing reads any more."""
+    folder = getattr(table, "lodestack_folder", None)
+    if folder in _kept:
+        path, files = _kept.pop(folder)
+        files.delete(path, True)
+
+
+def _path(spark: SparkSession, folder: str) -> tuple:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
