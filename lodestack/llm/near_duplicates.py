@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import words
-from lodestack.session import cut
+from lodestack.session import cut, keep, release
 
 ID_BITS, OWNER_BITS, RANK_BITS = 42, 14, 8
 LEAST_SKETCH, MOST_SKETCH, CHUNKS = 18, 24, 32  # bits of the sketch, by the size of the input; pieces it is merged in
@@ -451,16 +451,17 @@ def near_groups(df: DataFrame, key: str, text: str, part: str | None = None, n:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b): rows (sig, root), root the least node; lineage is cut each round."""
-    pairs = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    """Connected components of (a, b): rows (sig, root), root the least node; lineage is cut each round, and the table of the round before is deleted."""
+    pairs = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        after = cut(small.union(down.select("u", F.col("m").alias("v"))).distinct())
+        after = keep(small.union(down.select("u", F.col("m").alias("v"))).distinct())
         changed = after.exceptAll(pairs).limit(1).count() or pairs.exceptAll(after).limit(1).count()
+        release(pairs)
         pairs = after
         if not changed:
             return pairs.select(F.col("u").alias("sig"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("sig"), F.col("v").alias("root")).distinct())
