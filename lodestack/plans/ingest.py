@@ -31,6 +31,12 @@ def _(t):
     return keyed.join(stored, "cache_key", "left_anti").select("raw_id")
 
 
+@query("op17_cache_keys")
+def _(t):
+    """The cache key of every stored name."""
+    return raw(t).filter("chunksource is not null").select("raw_id", "chunksource").select("raw_id", "chunksource", cache_key(F.col("chunksource")).alias("cache_key"))
+
+
 @query("op21_corpus_namespaces", f"select case when docsource in ('upload', 'mail export') then 'inbox' when docsource = 'policy library' then 'policies' else 'other' end as namespace, count(*) as documents, min(title) as first_title from {RAW} group by 1")
 def _(t):
     names = F.when(F.col("docsource").isin("upload", "mail export"), "inbox").when(F.col("docsource") == "policy library", "policies").otherwise("other")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestack.functions import json as J
@@ -73,9 +74,43 @@ def _(t):
     return S.table_schema(t._spark, "orders")
 
 
-@query("op16_document_store", f"select raw_id, title, url, docsource, chunksource, wordcount from {RAW} where title is not null and url is not null and docsource is not null and chunksource is not null and wordcount is not null")
+STORED = ("raw_id", "url", "title", "docauthor", "description", "docsource", "chunksource", "published", "wordcount", "token_count_estimate")
+
+
+@query("op16_document_store", f"select {', '.join(STORED)} from {RAW} where {' and '.join(f'{c} is not null' for c in (*STORED, 'textcontent'))}")
+def _(t):
+    """Stored documents that have every field of the canonical form, without their text."""
+    return raw(t).dropna(subset=[*STORED, "textcontent"]).select(*STORED)
+
+
+FORM = (("id", "raw_id"), ("url", "url"), ("title", "title"), ("docAuthor", "docauthor"), ("description", "description"), ("docSource", "docsource"), ("chunkSource", "chunksource"), ("published", "published"), ("wordCount", "wordcount"), ("pageContent", "textcontent"), ("token_count_estimate", "token_count_estimate"))
+
+
+@query("op23_document_json", "select raw_id, to_json({" + ", ".join(f"'{name}': {column}" for name, column in FORM) + "})::varchar as document from " + RAW)
 def _(t):
-    return raw(t).dropna(subset=["title", "url", "docsource", "chunksource", "wordcount"]).select("raw_id", "title", "url", "docsource", "chunksource", "wordcount")
+    """Every document in its canonical form as one JSON value; what is missing is null."""
+    columns = list(dict.fromkeys(c for _, c in FORM))
+    return raw(t).select(*columns).select("raw_id", F.to_json(F.struct(*(F.col(c).alias(n) for n, c in FORM)), {"ignoreNullFields": "false"}).alias("document"))
+
+
+@query("op32_draft_files", rf"select run_id, regexp_replace(coalesce(tender_filename, run_id), '[.][A-Za-z0-9]+$', '') || '-draft.md' as file_name, draft_proposal as content from {RUNS} where draft_proposal is not null and trim(draft_proposal) <> ''")
+def _(t):
+    """Every draft that has text as a Markdown file named after its tender."""
+    drafts = runs(t).filter("draft_proposal is not null and trim(draft_proposal) <> ''").select("run_id", "tender_filename", "draft_proposal")
+    name = F.concat(F.regexp_replace(F.coalesce("tender_filename", "run_id"), r"[.][A-Za-z0-9]+$", ""), F.lit("-draft.md"))
+    return drafts.select("run_id", name.alias("file_name"), F.col("draft_proposal").alias("content"))
+
+
+@query("op03_plain_files", f"select raw_id, textcontent as text from {RAW} where textcontent is not null")
+def _(t):
+    """Every text as the bytes of a file and read again by the converter of its extension."""
+    from lodestack.sources import files
+
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda b: files.convert("text", bytes(b))[0][1])
+
+    return raw(t).filter("textcontent is not null").select("raw_id", "textcontent").select("raw_id", read(F.encode("textcontent", "utf-8")).alias("text"))
 
 
 @query(

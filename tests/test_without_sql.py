@@ -139,3 +139,10 @@ def test_changes_of_rows_without_an_instant(spark):
     got = {x.tie: x.previous for x in W.changes(df.withColumn("k", F.lit(1)), ["k"], "ts", "tie", F.col("v")).collect()}
     order = sorted(rows, key=lambda x: (x[2] is None, x[2] or 0, x[1]))
     assert got == {b[1]: a[3] for a, b in zip(order, order[1:], strict=False) if a[3] != b[3]}
+
+
+def test_cache_keys(spark, folder):
+    import uuid
+
+    rows = run(spark, folder, "op17_cache_keys")
+    assert rows and all(r.cache_key == str(uuid.uuid5(uuid.NAMESPACE_URL, r.chunksource)) for r in rows)
