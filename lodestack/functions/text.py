@@ -154,6 +154,13 @@ def clip_context(column: Column | str, limit: int) -> Column:
     return F.when(F.length(_c(column)) <= limit, _c(column)).otherwise(tidy)
 
 
+def clip_words(column: Column | str, limit: int) -> Column:
+    """The first ``limit`` characters, back to the last blank where that keeps over four fifths of them."""
+    head = F.substring(_c(column), 1, limit)
+    blank = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
+    return F.when(F.length(_c(column)) <= limit, _c(column)).when(blank > limit * 0.8, F.substring(head, F.lit(1), blank)).otherwise(head)
+
+
 def array_chunks(array: Column, size: int) -> Column:
     """The array in consecutive pieces of ``size``; an empty array has none."""
     starts = F.sequence(F.lit(1), F.size(array), F.lit(size))

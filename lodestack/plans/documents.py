@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import cron, edits, html, paths
 from lodestack.functions import json as J
+from lodestack.functions import text as X
 from lodestack.operators import retrieval as V
 from lodestack.operators.windows import running_sum
 from lodestack.plans import pipeline
@@ -71,6 +72,26 @@ def _(t):
     return V.rerank(parts, score, ["key"], 15).select("key", "id", "score")
 
 
+_ASKED, _BATCH, _CLIP = "change request budget schedule", 25, 1000
+_HEAD = f"substring(textcontent, 1, {_CLIP})"
+_CLIPPED = f"case when length(textcontent) <= {_CLIP} then textcontent when contains({_HEAD}, ' ') and length({_HEAD}) - position(' ' in reverse({_HEAD})) > {_CLIP * 8 // 10} then substring({_HEAD}, 1, length({_HEAD}) - position(' ' in reverse({_HEAD}))) else {_HEAD} end"
+
+
+@query(
+    "op85_tool_rerank",
+    f"""with d as (select raw_id, {_CLIPPED} as shown, (row_number() over (order by raw_id) - 1) // {_BATCH} as batch from {RAW} where textcontent is not null),
+    s as (select raw_id, batch, length(shown) as shown, round(1 / (1 + exp(-(len(list_intersect(['{"', '".join(_ASKED.split())}'], list_distinct(string_split_regex(lower(shown), '[^a-z0-9]+')))) - 2)::double)), 6) as score from d)
+    select raw_id, batch::bigint as batch, shown::int as shown, score from s order by score desc, raw_id limit 15""",
+)
+def _(t):
+    """Tools scored in batches of 25 by texts cut at a word's edge, and the best 15 of all batches together."""
+    docs = raw(t).filter("textcontent is not null").select("raw_id", "textcontent")
+    placed = running_sum(docs, [], F.floor(F.col("raw_id") / 10_000), ["raw_id"], F.lit(1), "place")
+    shown = placed.select("raw_id", F.floor(F.col("place") / _BATCH).alias("batch"), X.clip_words("textcontent", _CLIP).alias("text"))
+    scored = shown.select("raw_id", "batch", F.length("text").alias("shown"), V.overlap_score(F.lit(_ASKED), F.col("text")).alias("score"))
+    return scored.orderBy(F.desc("score"), "raw_id").limit(15)
+
+
 @query("op104_path_template", "select event_id, 'k=' || (props ->> '$.k') || ' ${missing}' as filled from events where json_valid(props) and (props ->> '$.k') is not null")
 def _(t):
     held = t.events.filter("props is not null").filter(J.path("props", "$.k").isNotNull())

@@ -74,6 +74,20 @@ def _(t):
     return R.latest(valid, ["workspace_id"], [F.asc("chat_id")], 20).groupBy("workspace_id").agg(F.count("*").alias("kept"))
 
 
+_ACTION = "case when chat_id % 3 = 0 and thread_id is not null then 'update' else 'create' end"
+
+
+@query("op154_memory_actions", f"select workspace_id, least(count(*) filter (where action = 'create' and scope = 'WORKSPACE'), 20)::bigint as workspace_created, least(count(*) filter (where action = 'create' and scope = 'GLOBAL'), 5)::bigint as global_created, count(*) filter (where action = 'update') as updated from (select workspace_id, {_ACTION} as action, case when chat_id % 4 = 0 then 'GLOBAL' else 'WORKSPACE' end as scope from {CHATS} where textresponse is not null and regexp_matches(textresponse, '\\S')) group by 1")
+def _(t):
+    """Extracted entries applied to each workspace: creations up to the slots of their scope, updates without a limit; blank ones count for nothing."""
+    valid = chats(t).filter(F.col("textresponse").rlike(r"\S")).select("chat_id", "workspace_id", "thread_id")
+    action = F.when((F.col("chat_id") % 3 == 0) & F.col("thread_id").isNotNull(), "update").otherwise("create")
+    scope = F.when(F.col("chat_id") % 4 == 0, "GLOBAL").otherwise("WORKSPACE")
+    entries = valid.select("workspace_id", action.alias("action"), scope.alias("scope"))
+    created = {s: F.count_if((F.col("action") == "create") & (F.col("scope") == s)) for s in ("WORKSPACE", "GLOBAL")}
+    return entries.groupBy("workspace_id").agg(F.least(created["WORKSPACE"], F.lit(20)).alias("workspace_created"), F.least(created["GLOBAL"], F.lit(5)).alias("global_created"), F.count_if(F.col("action") == "update").alias("updated"))
+
+
 @query("op172_watch_group", "with g as (select title, count(*) filter (where docsource = 'upload') as queued from (select distinct raw_id, title, docsource from raw_documents where title is not null) group by 1) select d.raw_id, g.queued = 0 as watched from (select distinct raw_id, title from raw_documents where title is not null) d join g using (title)")
 def _(t):
     """All rows of a title are watched unless one of them already is."""
