@@ -29,7 +29,7 @@ BUCKETS, DIM = 1 << 15, 12
 RUNS = (3, 4, 5)  # lengths of the character runs
 FIRST, SECOND, RATE = 16, 8, 0.3
 SAMPLE = 6000  # labelled documents at most
-PARTS = 6  # partitions of the sample
+PARTS = 3  # partitions of the sample
 PLAIN, SURE = 0.4, 0.85  # least probability of a sentence's subject with and without a label of its document when labelled anew
 TREATS = 0.5  # least probability of a subject that a sentence treats
 SHARE = 0.25  # of the sentences that treat any subject
