@@ -1,4 +1,4 @@
-"""Language of a short text by its function words (English, French, German, Spanish)."""
+"""Language of a short text by its function words (English, French, German, Spanish; Italian, Portuguese and Dutch to tell them apart)."""
 
 from __future__ import annotations
 
@@ -15,15 +15,23 @@ FUNCTION_WORDS = {
     "de": "der die das den dem des ein eine einen einem einer und oder ist sind war waren wird werden hat haben nicht kein keine in im am an auf für mit von vom zu zum zur bei nach über unter was wer wie wann wo warum ich wir sie er es uns mir dass noch nur ja nein aus als durch ohne laut genau seit gilt heute tage tagen zwischen los kostet rund steht muss darf leider dabei",
     "es": "el la los las un una unos unas de del y o en es son era que qué quién cuál cuáles cómo cuándo dónde por para con sin sobre este esta estos estas no sí se su sus lo al como más pero según desde entre hasta antes después tras está me mi nos hay sigue vigente cuesta días solo firma dice puedo siento resume lote exige abarca",
 }
+# Function words of languages that are told apart from these.
+OTHER_WORDS = {
+    "it": "il lo gli uno di del della dei delle degli dal dalla nel nella sul sulla che chi cui non è sono con tra fra come quando dove perché anche più questo questa questi lui lei noi voi loro ci ho ha hanno essere ma alla dopo prima deve quale",
+    "pt": "o os um uma uns umas do da dos das em na nos nas quem não é são com como quando onde porque mais ele ela nós eles seu sua ao aos ou mas pelo pela depois antes já muito qual deve",
+    "nl": "het een van en op te dat voor met zijn niet aan er om ook als maar bij door nog naar uit wordt worden kan geen ik je hij zij wij dit deze hoe wat wie waar waarom moet welke",
+}
 LANGUAGE_NAMES = {
     "en": "english anglais englisch englische englischer inglés ingles",
     "fr": "french français francais französisch französische francés frances",
+    "it": "italian italien italienisch italiano", "pt": "portuguese portugais portugiesisch portugués português", "nl": "dutch néerlandais niederländisch neerlandés nederlands",
     "de": "german allemand deutsch deutsche alemán aleman",
     "es": "spanish espagnol spanisch spanische español espanol castellano",
 }
 
 _SPEAKS: dict[str, list[int]] = {}
-for _place, _words in enumerate(FUNCTION_WORDS.values()):
+LANGUAGES = FUNCTION_WORDS | OTHER_WORDS
+for _place, _words in enumerate(LANGUAGES.values()):
     for _word in set(_words.split()):
         _SPEAKS.setdefault(_word, []).append(_place)
 _NAMES = {name: lang for lang, names in LANGUAGE_NAMES.items() for name in names.split()}
@@ -39,7 +47,7 @@ def _lookup() -> tuple[np.ndarray, np.ndarray]:
         words = sorted(_SPEAKS)
         hashes = W.scan(words)[0]
         order = np.argsort(hashes)
-        rows = np.zeros((len(words), len(FUNCTION_WORDS)))
+        rows = np.zeros((len(words), len(LANGUAGES)))
         for i, w in enumerate(words):
             rows[i, _SPEAKS[w]] = 1
         _tables["hash"], _tables["rows"] = hashes[order], rows[order]
@@ -71,9 +79,9 @@ def _detect(lowered: list[str]) -> list[str | None]:
         text = np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), high, side="right")
         for lang, letters in LETTERS.items():
             has = np.isin(cps[high], W.code_points(letters))
-            score[:, list(FUNCTION_WORDS).index(lang)] += 0.5 * np.minimum(2, np.bincount(text[has], minlength=len(lowered)))
+            score[:, list(LANGUAGES).index(lang)] += 0.5 * np.minimum(2, np.bincount(text[has], minlength=len(lowered)))
     ranked = np.sort(score, axis=1)
-    names = list(FUNCTION_WORDS)
+    names = list(LANGUAGES)
     return [names[k] if clear else None for k, clear in zip(score.argmax(1).tolist(), (ranked[:, -1] > ranked[:, -2]).tolist(), strict=True)]
 
 

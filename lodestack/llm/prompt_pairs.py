@@ -40,6 +40,8 @@ REFUSAL = re.compile(
     |(?:das|dies|so\ etwas|darauf|dazu|darüber|hierzu|hierauf|hierüber|dabei)\ (?:kann|darf|können|dürfen)\ (?:ich|wir)\b[^.!?]{0,60}\b(?:nicht|nichts|kein\w*)\b|(?:ich|wir)\ (?:können|dürfen)\b[^.!?]{0,60}\b(?:nicht|keine?n?)\b|(?:ich\ bin|wir\ sind)\ (?:dazu\ )?nicht\ (?:in\ der\ lage|befugt|berechtigt)
     |(?:(?:cela|ça),?\ )?(?:je\ ne\ (?:peux|puis|saurais)\b|nous\ ne\ (?:pouvons|saurions)\ pas|(?:je\ ne\ suis|nous\ ne\ sommes)\ pas\ (?:en\ mesure|autorisé|habilité)|nous\ n['’]avons\ pas\ le\ droit)(?!\ (?:pas\ )?(?:assez|trop)\b)
     |(?:eso\ |esto\ )?no\ (?:(?:lo\ )?(?:puedo|podemos)|(?:me|nos)\ es\ posible|estamos\ autorizad|se\ me\ permite)\b(?!\ (?:exagerar|subrayar|dejar\ de|esperar)\b)
+    |(?:that|this)\ (?:isn't|is\ not)\ something\ (?:i|we)\b|(?:i|we)(?:'ll|\ will|\ have\ to|\ must|'d\ rather|\ would\ rather)\ pass\ on\b|(?:i|we)(?:'m|\ am|'re|\ are)\ not\ comfortable\b
+    |(?:mi\ dispiace,?\ (?:ma\ )?)?non\ (?:posso|possiamo|mi\ è\ permesso|sono\ (?:autorizzat|in\ grado))|preferisco\ non\b
     |no\ answer\ can\ be\ given|(?:that's|this\ is|that\ is)\ (?:something\ i\ would\ rather\ not|outside\ my|beyond\ (?:my|what\ i))|my\ (?:guidelines|rules|policies|instructions)\ (?:prevent|forbid|do\ not\ allow|don't\ allow)
     |this\ (?:request|question)\ (?:goes\ beyond|exceeds|is\ beyond)\ (?:what\ i|my)|nothing\ in\ this\ \w+\ lets\ me\ answer
     |je\ (?:ne\ peux\ pas|ne\ suis\ pas\ (?:en\ mesure|autorisée?)|ne\ saurais|préfère\ ne\ pas|refuse|dois\ (?:refuser|décliner))|il\ m['’]est\ (?:impossible|interdit)\ de|cette\ (?:question|demande)\ dépasse\ ce\ que\ je|je\ n['’]ai\ pas\ le\ droit

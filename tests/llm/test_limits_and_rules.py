@@ -110,3 +110,14 @@ def test_hot_copies_and_extra_columns(spark, n):
 
 def test_defects_of_an_empty_table(spark):
     assert rules(spark, []) == {}
+
+
+@pytest.mark.parametrize("answer", ["That isn't something I'm comfortable discussing.", "I have to pass on this one.", "I'm not comfortable answering this.", "Mi dispiace, ma non posso rispondere a questa domanda.", "I can't help with that. Please contact the office."])
+def test_more_refusals(answer):
+    assert P.is_refusal(answer) and not P.is_refusal("The harbour office of Lund closed the old risk log in May. " + answer)
+
+
+def test_neighbouring_languages():
+    texts = ["Il registro dei rischi non è stato chiuso dalla commissione.", "O relatório não foi aprovado pela comissão.", "Het rapport is niet door de commissie goedgekeurd.", "La commission ne valide pas le rapport.", "La comisión no aprueba el informe."]
+    assert language.detect_all(texts) == ["it", "pt", "nl", "fr", "es"] and language.requested("answer in Italian please") == {"it"}
+    assert P.other_language(["What is due?"], [texts[0]]) == [True]
