@@ -14,11 +14,16 @@ No pair at or above the threshold is lost, whatever the order; the order only de
 postings meet.  It comes from counts of all positions in a sketch of bounded size.  The meetings of a
 position that very many records hold are spread over pairs of groups of these records.
 
+Meetings grow faster than the input.  They are packed before they move, and where there are more than
+the disk should hold, they are tallied in passes over the same index, each for a share of the records.
+
 Records with equal sets (copies) are one class everywhere: a class is posted and verified once.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,18 +34,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm import words
-from lodestack.session import cut, keep, release
+from lodestack.session import cut, keep, release, sweep
 
 ID_BITS, OWNER_BITS, RANK_BITS = 42, 14, 8
 LEAST_SKETCH, MOST_SKETCH, CHUNKS = 18, 24, 32  # bits of the sketch, by the size of the input; pieces it is merged in
 LEAST_BLOOM, MOST_BLOOM = 18, 27  # bits of the filter of candidate classes, by their number
-LEAST = 5  # shared positional bytes a pair needs inside the posted prefixes
+SHORT_BITS = 32  # of a class's signature, by which the index knows it
+LEAST = 8  # shared positional bytes a pair needs inside the posted prefixes
 FLUSH, MOST_FLUSH = 1 << 20, 1 << 23  # postings a task gathers before it sends them on
 BUCKET = 1 << 19  # postings a bucket of the index is planned for
 PARTITIONS = 1 << 14  # of the index at most; a partition then takes its buckets one after the other
 HOT = 4096  # records with one positional byte above which its meetings are spread over tasks
 MOST_GROUPS = 64  # groups the records of one positional byte are split into
 SEEN = 1 << 20  # classes a task remembers having sent
+MET = 1 << 21  # meetings a task gathers before it sends them on, and a task of the tally is planned for
+PASS, SHARE = 1 << 25, 3  # meetings tallied in one pass: so many, or one for so many postings if that is more
+MOST_PARITIES = 1 << 16  # bits a set is compared by before it is compared whole
+SAMPLE = 16  # of so many parts of the index one is looked at to plan the passes
 
 
 def _ids(texts: list[str], parts: list[str], n: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +90,25 @@ def _slot(ids: np.ndarray, size: int) -> np.ndarray:
     return (ids >> np.uint64(ID_BITS - size.bit_length() + 1)).astype(np.int64)
 
 
-def _press(raw: bytes) -> bytes:
-    return zstandard.compress(raw, 1)
+def _press(*columns: np.ndarray) -> bytes:
+    """Columns packed by the place of their bytes, so that high bytes, mostly zero, cost nothing."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in columns), 1)
+
+
+def _column(raw: bytes, place: int, width: int, n: int) -> tuple[np.ndarray, int]:
+    """n numbers of so many bytes from a packed column, and where the next one begins."""
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8, width * n, place).reshape(width, n).T
+    return wide.view("<u8").ravel(), place + width * n
+
+
+def _short(signature: np.ndarray) -> np.ndarray:
+    """The first bits of signatures, the names of classes in the index.
+
+    Classes of one name share its candidates; each is verified by itself.  Only two similar classes that have one
+    name, one size and the same places are taken for one, with a chance below 2^-SHORT_BITS for a pair.
+    """
+    return signature >> np.uint64(64 - SHORT_BITS)
 
 
 def _signatures(owner: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +148,7 @@ def _sketch(records: DataFrame, n: int, min_words: int) -> tuple[np.ndarray, int
         if total.any():
             for k in range(CHUNKS):
                 chunk = total[k * step : (k + 1) * step]
-                yield pd.DataFrame({"chunk": [k], "total": [int(chunk.sum(dtype=np.int64))], "counts": [_press(chunk.astype("<u4").tobytes())]})
+                yield pd.DataFrame({"chunk": [k], "total": [int(chunk.sum(dtype=np.int64))], "counts": [zstandard.compress(chunk.astype("<u4").tobytes(), 1)]})
 
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, total = np.zeros(step, np.int64), 0
@@ -186,9 +213,8 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
                 fresh = np.concatenate(([True], sig[mine[1:]] != sig[mine[:-1]]))  # a record's postings stay together
                 heads = mine[fresh]
                 each = np.diff(np.append(np.flatnonzero(fresh), len(mine)))
-                low = (ids[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                columns = (np.array([len(mine), len(heads)], "<u4"), sig[heads].astype("<u8"), size[heads].astype("<u4"), each.astype("<u4"), low, (ids[mine] >> np.uint64(32)).astype("<u2"), (at[mine] & 0xFFFF).astype("<u2"), (at[mine] >> 16).astype("<u2"), side[mine])
-                out.append((int(b), _press(b"".join(x.tobytes() for x in columns))))
+                packed = _press(np.array([len(mine), len(heads)], "<u4").view(np.uint8), sig[heads].astype("<u4"), size[heads].astype("<u4"), each.astype("<u4"), ids[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], at[mine].astype("<u4"), side[mine])
+                out.append((int(b), packed))
             return pd.DataFrame(out, columns=["bucket", "blob"])
 
         for pdf in batches:
@@ -205,7 +231,7 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
                 at = np.arange(len(ids)) - np.repeat(first, size)
                 prefix = whole - np.ceil(threshold * whole - 1e-9).astype(np.int64) + _least(whole, threshold)
                 keep = (at < prefix) & (rank > 0) & np.repeat(fresh, size)
-                sig, whole, at = np.repeat(signature, size)[keep], whole[keep], at[keep]
+                sig, whole, at = np.repeat(_short(signature), size)[keep], whole[keep], at[keep]
                 which, cells, side = _spread(ids[keep], sig, rank[keep])
                 held.append((cells, sig[which], whole[which], at[which], side))
                 count += len(which)
@@ -219,30 +245,27 @@ def _postings(records: DataFrame, ranks, n: int, min_words: int, threshold: floa
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    blob = zstandard.decompress(blob)
-    count, heads = map(int, np.frombuffer(blob, "<u4", 2))
-    place = 8
-
-    def column(kind: str, n: int) -> np.ndarray:
-        nonlocal place
-        values = np.frombuffer(blob, kind, n, place)
-        place += values.nbytes
-        return values
-
-    sig, size, each = column("<u8", heads), column("<u4", heads).astype(np.int64), column("<u4", heads)
-    low, high, at, over, side = column("<u4", count), column("<u2", count), column("<u2", count), column("<u2", count), column("u1", count)
-    ids = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    return ids, np.repeat(sig, each), np.repeat(size, each), at.astype(np.int64) | over.astype(np.int64) << 16, side
-
-
-def _meetings(ids: np.ndarray, sig: np.ndarray, size: np.ndarray, at: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(smaller, larger, demanded) for postings of one bucket that meet and may still reach the minimum."""
-    order = np.lexsort((sig, size, ids))
+    raw = zstandard.decompress(bytes(blob))
+    count, heads = map(int, np.frombuffer(raw, "<u4", 2))
+    columns, place = [], 8
+    for width, n in ((4, heads), (4, heads), (4, heads), (6, count), (4, count), (1, count)):
+        column, place = _column(raw, place, width, n)
+        columns.append(column)
+    sig, size, each, ids, at, side = columns
+    each = each.astype(np.int64)
+    return ids, np.repeat(sig, each), np.repeat(size.astype(np.int64), each), at.astype(np.int64), side.astype(np.uint8)
+
+
+def _meetings(ids: np.ndarray, sig: np.ndarray, size: np.ndarray, at: np.ndarray, side: np.ndarray, threshold: float, share: int = 0, shares: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(smaller, larger, demanded) for postings of one bucket that meet and may still reach the minimum, of one share of the smaller ones."""
+    order = np.lexsort((at, sig, size, ids))
     ids, sig, size, at, side = ids[order], sig[order], size[order], at[order], side[order]
-    fresh = np.concatenate(([True], (ids[1:] != ids[:-1]) | (sig[1:] != sig[:-1]))) if len(ids) else np.empty(0, bool)
+    fresh = np.concatenate(([True], (ids[1:] != ids[:-1]) | (sig[1:] != sig[:-1]) | (size[1:] != size[:-1]) | (at[1:] != at[:-1]))) if len(ids) else np.empty(0, bool)
     ids, sig, size, at, side = ids[fresh], sig[fresh], size[fresh], at[fresh], side[fresh]  # the same class posted by several tasks
     least = _least(size, threshold)
     index = at < size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64) + least
+    if shares > 1:
+        index &= words.mix(sig) % np.uint64(shares) == np.uint64(share)
     active, step = np.flatnonzero(index), 1
     while len(active):
         active = active[active + step < len(ids)]
@@ -259,47 +282,94 @@ def _meetings(ids: np.ndarray, sig: np.ndarray, size: np.ndarray, at: np.ndarray
         step += 1
 
 
-def _tally(postings: DataFrame, threshold: float, buckets: int) -> DataFrame:
+def _pack(held: list, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Meetings as (part, blob): how often each pair met and how often it must, by a key whose first bits name the part."""
+    a, b, demand = (np.concatenate(x) for x in zip(*held, strict=True))
+    key = (a ^ _short(words.mix(b))) << np.uint64(SHORT_BITS) | b
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    shared = np.minimum(np.diff(np.append(first, len(key))), 255).astype(np.uint8)
+    demand = np.minimum.reduceat(demand[order], first).astype(np.uint8)
+    key = key[first]
+    high, low = key >> np.uint64(SHORT_BITS), key.astype("<u4")
+    edges = np.searchsorted(high * np.uint64(parts) >> np.uint64(SHORT_BITS), np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(edges)):
+        mine = slice(edges[p], edges[p + 1])
+        steps = np.diff(high[mine], prepend=np.uint64(0)).astype("<u4")
+        yield int(p), _press(np.array([len(steps)], "<u4").view(np.uint8), steps, low[mine], shared[mine], demand[mine])
+
+
+def _summed(blobs: list[bytes]) -> pd.DataFrame:
+    """The pairs of one part that met as often as they must."""
+    keys, times, musts = [], [], []
+    for blob in blobs:
+        raw = zstandard.decompress(bytes(blob))
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        steps, place = _column(raw, 4, 4, n)
+        low, place = _column(raw, place, 4, n)
+        keys.append(np.cumsum(steps, dtype=np.uint64) << np.uint64(SHORT_BITS) | low)
+        times.append(np.frombuffer(raw, np.uint8, n, place))
+        musts.append(np.frombuffer(raw, np.uint8, n, place + n))
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    enough = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), first) >= np.minimum.reduceat(np.concatenate(musts)[order], first)
+    key = key[first[enough]]
+    b = key & np.uint64(2**SHORT_BITS - 1)
+    a = (key >> np.uint64(SHORT_BITS)) ^ _short(words.mix(b))
+    return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+
+def _passes(met: int, total: int) -> int:
+    """Passes in which so many meetings are tallied."""
+    return max(1, math.ceil(met / max(PASS, total // SHARE)))
+
+
+def _tally(postings: DataFrame, threshold: float, buckets: int, total: int) -> DataFrame:
     """Candidate pairs of classes: those whose shared positional bytes reach the demanded number."""
+    spark = postings.sparkSession
+    # as an RDD, whose exchange is written once and read by every pass
+    index = postings.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").rdd
 
-    def count(held: list) -> pd.DataFrame:
-        a, b, demand = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((b, a))
-        a, b, demand = a[order], b[order], demand[order]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        return pd.DataFrame({"a": a[first].view(np.int64), "b": b[first].view(np.int64), "shared": np.diff(np.append(first, len(a))).astype(np.int32), "demand": demand[first].astype(np.int32)})
+    def meetings(rows: Iterator[tuple[int, bytes]], share: int = 0, shares: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for _, bucket in itertools.groupby(rows, lambda row: row[0]):
+            columns = [np.concatenate(x) for x in zip(*(_unpack(row[1]) for row in bucket), strict=True)]
+            yield from (met for met in _meetings(*columns, threshold, share, shares) if len(met[0]))
 
-    def bucket(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
-        columns = [np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True)]
+    def sent(rows: Iterator[tuple[int, bytes]], share: int, shares: int, parts: int) -> Iterator[tuple[int, bytes]]:
         held, size = [], 0
-        for met in _meetings(*columns, threshold):
-            if len(met[0]):
-                held.append(met)
-                size += len(met[0])
-            if size > 1 << 21:
-                yield count(held)
+        for met in meetings(rows, share, shares):
+            held.append(met)
+            size += len(met[0])
+            if size > MET:
+                yield from _pack(held, parts)
                 held, size = [], 0
         if held:
-            yield count(held)
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, blobs = None, []
-        for pdf in batches:
-            for b, blob in zip(pdf["bucket"], pdf["blob"], strict=True):
-                if b != current and blobs:
-                    yield from bucket(blobs)
-                    blobs = []
-                current = b
-                blobs.append(blob)
-        if blobs:
-            yield from bucket(blobs)
-
-    met = postings.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInPandas(meet, "a long, b long, shared int, demand int")
-    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("demand").alias("demand")).filter("shared >= demand").select("a", "b")
+            yield from _pack(held, parts)
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for pdf in batches for row in zip(pdf["part"], pdf["blob"], strict=True))
+        for _, part in itertools.groupby(rows, lambda row: row[0]):
+            yield _summed([blob for _, blob in part])
+
+    some = range(0, index.getNumPartitions(), SAMPLE)
+    met = sum(spark.sparkContext.runJob(index, lambda rows: [sum(len(m[0]) for m in meetings(rows))], some)) * index.getNumPartitions() // len(some)
+    shares = _passes(met, total)
+    parts = max(12, math.ceil(met / shares / MET))
+    found = []
+    for share in range(shares):
+        blobs = spark.createDataFrame(index.mapPartitions(lambda rows, share=share: sent(rows, share, shares, parts)), "part int, blob binary", verifySchema=False)
+        found.append(cut(blobs.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(reach, "a long, b long")))
+        del blobs
+        sweep(spark, index if share == shares - 1 else None)
+    # classes of one short name may meet those of another in both orders
+    return functools.reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _bloom(pairs: DataFrame) -> np.ndarray:
-    """Packed bit array that holds the signatures of all candidate classes, sized by their number."""
+    """Packed bit array that holds the short names of all candidate classes, sized by their number."""
     bits = min(MOST_BLOOM, max(LEAST_BLOOM, math.ceil(math.log2(32 * pairs.count() + 1))))
     step = (1 << bits) // 8 // CHUNKS
 
@@ -328,18 +398,47 @@ def _bloom(pairs: DataFrame) -> np.ndarray:
     return packed
 
 
-def _holds(packed: np.ndarray, signature: np.ndarray) -> np.ndarray:
-    """Which signatures may be in the filter."""
+def _holds(packed: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Which short names may be in the filter."""
     bits = (8 * len(packed)).bit_length() - 1
-    hit = np.ones(len(signature), bool)
+    hit = np.ones(len(short), bool)
     for k in (0, 1):
-        bit = (words.mix(signature + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64)
+        bit = (words.mix(short + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64)
         hit &= (packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
     return hit
 
 
+def _parities(ids: np.ndarray) -> bytes:
+    """A set as bits, each the parity of the members whose hash falls on it: four places or more for a member, up to MOST_PARITIES.
+
+    A member that only one of two sets has turns one bit, so sets differ in at least as many members as bits.
+    """
+    places = min(MOST_PARITIES, max(64, 1 << (4 * len(ids) - 1).bit_length()))
+    return np.packbits(np.bincount((words.mix(ids) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """Members at least that only one of two sets has, from their parities; more places fold onto fewer."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _may_be_similar(threshold: float):
+    @F.pandas_udf("boolean")
+    def similar(left: pd.Series, right: pd.Series, size: pd.Series, other: pd.Series) -> pd.Series:
+        both = (size + other).to_numpy().astype(np.int64)
+        most = both - 2 * np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
+        return pd.Series([_differ(x, y) <= m for x, y, m in zip(left, right, most.tolist(), strict=True)], dtype=bool)
+
+    return similar
+
+
 def _members(records: DataFrame, bloom, n: int, min_words: int) -> DataFrame:
-    """Rows (sig, key, null) for every record and (sig, null, set) once a task for every candidate class."""
+    """Rows (sig, key, null) for every record and (sig, null, set, its size and parities) once a task for every candidate class."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -350,16 +449,16 @@ def _members(records: DataFrame, bloom, n: int, min_words: int) -> DataFrame:
                 if not len(row):
                     continue
                 sig = signature.view(np.int64)
-                yield pd.DataFrame({"sig": sig, "part": parts[row], "key": keys[row], "ids": None})
-                hit = _holds(bloom.value, signature)
+                yield pd.DataFrame({"sig": sig, "part": parts[row], "key": keys[row], "ids": None, "size": 0, "bits": None})
+                hit = _holds(bloom.value, _short(signature))
                 if len(seen) > SEEN:
                     seen.clear()
                 fresh = [i for i in np.flatnonzero(hit) if sig[i] not in seen and not seen.add(sig[i])]
                 if fresh:
                     sets = [(ids[first[i] : first[i] + size[i]]).astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes() for i in fresh]
-                    yield pd.DataFrame({"sig": sig[fresh], "part": None, "key": None, "ids": sets})
+                    yield pd.DataFrame({"sig": sig[fresh], "part": None, "key": None, "ids": sets, "size": size[fresh], "bits": [_parities(ids[first[i] : first[i] + size[i]]) for i in fresh]})
 
-    return records.mapInPandas(emit, "sig long, part string, key string, ids binary")
+    return records.mapInPandas(emit, "sig long, part string, key string, ids binary, size int, bits binary")
 
 
 def _similar(threshold: float):
@@ -394,12 +493,24 @@ def near_classes(df: DataFrame, key: str, text: str, part: str | None = None, n:
     ).filter("key is not null and text is not null and part is not null")
     context = df.sparkSession.sparkContext
     ranks, total = _sketch(records, n, min_words)
+    sweep(df.sparkSession)
     buckets = max(24, math.ceil(total / BUCKET))
-    pairs = cut(_tally(_postings(records, context.broadcast(ranks), n, min_words, threshold, buckets), threshold, buckets))
+    pairs = cut(_tally(_postings(records, context.broadcast(ranks), n, min_words, threshold, buckets), threshold, buckets, total))
     emitted = cut(_members(records, context.broadcast(_bloom(pairs)), n, min_words))
-    sets = emitted.filter("ids is not null").select("sig", "ids").dropDuplicates(["sig"])
+    classes = emitted.filter("ids is not null")
+    marks = classes.select(F.shiftrightunsigned("sig", 64 - SHORT_BITS).alias("short"), "sig", "size", "bits").repartition("short").dropDuplicates(["short", "sig"])
+    # parities first: they are a tenth of the sets, and few pairs that are not similar pass
+    near = (
+        pairs.withColumnsRenamed({"a": "short_a", "b": "short_b"})
+        .join(marks.toDF("short_b", "b", "size_b", "right"), "short_b")
+        .join(marks.toDF("short_a", "a", "size_a", "left"), "short_a")
+        .filter("short_a < short_b or a < b")
+        .filter(_may_be_similar(threshold)("left", "right", "size_a", "size_b"))
+        .select("a", "b")
+    )
+    sets = classes.select("sig", "ids").dropDuplicates(["sig"])
     links = (
-        pairs.join(sets.select(F.col("sig").alias("b"), F.col("ids").alias("right")), "b")
+        near.join(sets.select(F.col("sig").alias("b"), F.col("ids").alias("right")), "b")
         .join(sets.select(F.col("sig").alias("a"), F.col("ids").alias("left")), "a")
         .select("a", "b", _similar(threshold)("left", "right").alias("similarity"))
         .filter(F.col("similarity") >= threshold - 1e-12)
@@ -438,6 +549,7 @@ def near_groups(df: DataFrame, key: str, text: str, part: str | None = None, n:
     """
     links, members = near_classes(df, key, text, part, n, threshold, min_words)
     links = cut(links)
+    sweep(df.sparkSession)
     roots = components(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("linked"))
     sizes = members.groupBy("sig").agg(F.count("*").alias("copies"), F.min("key").alias("least"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -77,6 +80,17 @@ def release(table: DataFrame) -> None:
         files.delete(path, True)
 
 
+def sweep(spark: SparkSession, rdd: RDD | None = None) -> None:
+    """Delete the shuffle files below ``rdd``, which nothing may read again, and those of plans that nothing holds any more;
+    else they stay until the driver happens to collect its garbage."""
+    if rdd is not None:
+        rdd._jrdd.rdd().cleanShuffleDependencies(True)
+    gc.collect()
+    for _ in range(2):  # what just ended is still held by events on their way
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def _path(spark: SparkSession, folder: str) -> tuple:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

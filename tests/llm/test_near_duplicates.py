@@ -107,3 +107,37 @@ def test_one_paragraph_in_very_many_texts(spark):
     rows += [(f"x{i}", rows[i][1].replace("own", "own", 1) + " more") for i in range(5)]
     df = spark.createDataFrame(rows, "k string, t string").repartition(6)
     assert {(p.first_key, p.second_key) for p in N.near_pairs(df, "k", "t").collect()} == {(f"{i:05d}", f"x{i}") for i in range(5)}
+
+
+def test_meetings_take_little_disk_and_are_tallied_in_passes(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    a, b = r.integers(0, 2**32, (2, 300_000)).astype(np.uint64)
+    times = np.where(np.arange(len(a)) < 1000, 8, 1)
+    held = [(np.repeat(a, times), np.repeat(b, times), np.full(times.sum(), 8))]
+    blobs = list(N._pack(held, 4))
+    assert sum(len(blob) for _, blob in blobs) < 9 * len(a)  # rows of a and b with two counts take some 20 bytes
+    found = [N._summed([blob for p, blob in blobs if p == part]) for part in range(4)]
+    assert {pair for f in found for pair in zip(f["a"], f["b"], strict=True)} == set(zip(a[:1000].tolist(), b[:1000].tolist(), strict=True))
+
+    planned = []
+    passes = N._passes
+    monkeypatch.setattr(N, "_passes", lambda met, total: planned.append(passes(met, total)) or planned[-1])
+    monkeypatch.setattr(N, "PASS", 2000)
+    monkeypatch.setattr(N, "SHARE", 10**9)
+    rows = corpus(1, 300)
+    got = {(p.first_key, p.second_key) for p in N.near_pairs(spark.createDataFrame(rows, "k string, t string").repartition(3), "k", "t").collect()}
+    assert got == brute(rows, 0.5) and len(got) > 20 and planned[0] > 1
+
+
+def test_parities_never_tell_more_differences_than_there_are():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for size, other, shared in [(18, 30, 16), (100, 100, 67), (100, 180, 90), (250, 250, 10), (900, 500, 480), (40_000, 30_000, 25_000)]:
+        ids = r.choice(2**42, size + other - shared, replace=False).astype(np.uint64)
+        differ = N._differ(N._parities(ids[:size]), N._parities(ids[size - shared :]))
+        assert differ <= size + other - 2 * shared
+        if shared == 10:
+            assert differ > (size + other) / 3
